@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .mixing import op1_mixing
+from .order_minhash import op10_order_minhash
 from .quality_ledger import OP3_SQL, op3_quality_ledger
 from .sharding import OP9_SQL, op9_sharding
 from .url_automaton import OP5_SQL, op5_url_automaton
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality_ledger, op5_url_automaton, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality_ledger, op5_url_automaton, op9_sharding, op10_order_minhash)}
 
 ORACLES = {"op3_quality_ledger": OP3_SQL, "op5_url_automaton": OP5_SQL, "op9_sharding": OP9_SQL}
