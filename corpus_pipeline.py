@@ -3,10 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.llm.decontamination import decontaminated
 from quillspark.llm.mixing import mixed
+from quillspark.llm.order_minhash import deduplicated
 from quillspark.llm.sharding import shard
 from quillspark.llm.text import read_table, written
+from quillspark.llm.toxicity import fit, held_out, score
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity models reject."""
+    labels = read_table(spark, sf_dir, "labels").filter(~held_out())
+    return score(docs, fit(docs, labels)).filter(F.col("score") < 0.5).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return deduplicated(docs).select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a passage of the benchmark."""
+    return decontaminated(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,10 +35,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With the shard of every document."""
     return shard(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
     ("mixing", mix_sources),
     ("sharding", shard_corpus),
 ]

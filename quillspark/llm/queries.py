@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_spaced_seeds
 from .mixing import op1_mixing
 from .order_minhash import op10_order_minhash
 from .quality_ledger import OP3_SQL, op3_quality_ledger
@@ -9,6 +10,6 @@ from .sharding import OP9_SQL, op9_sharding
 from .toxicity import op6_toxicity
 from .url_automaton import OP5_SQL, op5_url_automaton
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality_ledger, op5_url_automaton, op6_toxicity, op9_sharding, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality_ledger, op5_url_automaton, op6_toxicity, op7_spaced_seeds, op9_sharding, op10_order_minhash)}
 
 ORACLES = {"op3_quality_ledger": OP3_SQL, "op5_url_automaton": OP5_SQL, "op9_sharding": OP9_SQL}

@@ -17,6 +17,13 @@ PIECE = 1 << 20
 LONG_WORD = 48
 
 U = np.uint64
+
+#: For words without case and punctuation: what separates them, and lower case.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
@@ -42,6 +49,15 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = end
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of ASCII and Latin-1 in lower case."""
+    data = _LOWER[data]
+    if len(data) > 1:
+        accent = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        data[1:][accent] += 32
+    return data
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words; a word never crosses from one row into the next."""
     inside = np.zeros(len(data) + 2, bool)
@@ -69,10 +85,12 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         return mix64(out)
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, word hashes, row offsets into them) piece by piece."""
+def word_hashes(texts: pa.Array, plain: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, word hashes, row offsets into them) piece by piece. plain: words without case and punctuation."""
     for at, end, data, offsets in pieces(texts):
-        starts, ends = spans(data, offsets)
+        if plain:
+            data = lower(data)
+        starts, ends = spans(data, offsets, NO_LETTER if plain else _BLANK)
         yield at, end, hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import written
-from .tokens import U, hashes, mix64, pieces, spans
+from .tokens import NO_LETTER, U, hashes, lower, mix64, pieces, spans
 
 ORDER, SHARED = 6, 3
 WINDOW = 5
@@ -35,11 +35,6 @@ SAMPLE = 20_000
 #: n-grams of one order in a model; beyond, the rarest go (they fall back to lower orders).
 MAX_ENTRIES = 1 << 21
 
-_SPACE = np.ones(256, bool)
-_SPACE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 
 class Table:
     """An open-addressing hash table of numbers by 64-bit key, looked up by arrays."""
@@ -75,11 +70,8 @@ def typed(texts: pa.Array) -> Iterator[tuple]:
     """Piece by piece: first and last row, row offsets into words, each word's type, and the types' letters: bytes with a
     space on both sides, and offsets into them."""
     for at, end, data, offsets in pieces(texts):
-        data = _LOWER[data]
-        if len(data) > 1:  # capitals of Latin-1, in UTF-8
-            accent = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-            data[1:][accent] += 32
-        starts, ends = spans(data, offsets, _SPACE)
+        data = lower(data)
+        starts, ends = spans(data, offsets, NO_LETTER)
         _, one, which = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
         starts_of, size = starts[one], ends[one] - starts[one]
         o = np.concatenate([[0], np.cumsum(size + 2)])
