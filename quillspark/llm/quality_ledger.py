@@ -44,10 +44,10 @@ def repeated_words(words: Column) -> Column:
     hash_at = lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])
     windows = F.when(F.size(words) < 3, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(words) - 3))
     packed = F.sort_array(F.transform(windows, lambda i: F.shiftleft(hash_at(i), POSITION_BITS).bitwiseOR(i.cast("long"))))
-    group = lambda s, i: F.shiftright(F.get(s, i), POSITION_BITS)
-    near = let(packed, lambda s: F.filter(s, lambda x, i: F.coalesce((F.shiftright(x, POSITION_BITS) == group(s, i - 1)) | (F.shiftright(x, POSITION_BITS) == group(s, i + 1)), (F.shiftright(x, POSITION_BITS) == group(s, i - 1)), F.shiftright(x, POSITION_BITS) == group(s, i + 1), F.lit(False))))
+    group = lambda x: F.shiftright(x, POSITION_BITS)
+    near = let(packed, lambda s: F.filter(s, lambda x, i: group(x).eqNullSafe(group(F.get(s, i - 1))) | group(x).eqNullSafe(group(F.get(s, i + 1)))))
     exact = F.sort_array(F.transform(near, lambda x: let(x.bitwiseAND(F.lit(POSITION_MASK)).cast("int"), lambda p: F.struct(hash_at(p).alias("h"), p.alias("p")))))
-    same = lambda s, x, i: F.coalesce(x["h"] == F.get(s, i)["h"], F.lit(False))
+    same = lambda s, x, i: x["h"].eqNullSafe(F.get(s, i)["h"])
     starts = F.sort_array(F.transform(let(exact, lambda s: F.filter(s, lambda x, i: same(s, x, i - 1) | same(s, x, i + 1))), lambda x: x["p"]))
     return let(starts, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b))
 
