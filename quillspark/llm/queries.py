@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from .decontamination import op7_spaced_seeds
+from .language import op2_language
 from .mixing import op1_mixing
 from .order_minhash import op10_order_minhash
 from .quality_ledger import OP3_SQL, op3_quality_ledger
 from .sharding import OP9_SQL, op9_sharding
+from .surrogates import op8_surrogates
 from .toxicity import op6_toxicity
 from .url_automaton import OP5_SQL, op5_url_automaton
 from .warc import OP4_SQL, op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality_ledger, op4_warc, op5_url_automaton, op6_toxicity, op7_spaced_seeds, op9_sharding, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_language, op3_quality_ledger, op4_warc, op5_url_automaton, op6_toxicity, op7_spaced_seeds, op8_surrogates, op9_sharding, op10_order_minhash)}
 
 ORACLES = {"op3_quality_ledger": OP3_SQL, "op4_warc": OP4_SQL, "op5_url_automaton": OP5_SQL, "op9_sharding": OP9_SQL}
