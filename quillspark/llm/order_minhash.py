@@ -6,9 +6,9 @@ probability that falls with their edit distance, not only with their sets. Texts
 banded alignment decides: similarity is c / (a + b - c), with a and b the texts' numbers of shingles and c those that
 an alignment matches in order. At 0.8 a pair is missed with a chance of (1 - 0.8^(2*ROWS))^BANDS, below 0.1 %.
 
-Exact copies are one node from the start. Within a band's bucket, candidates are compared with a few pivots, and with more of them
-(by a factor of GROWTH) only as long as the bucket holds more than one component; the last turn compares all that is
-left, so that a bucket of any size costs about its size and loses no link between components.
+Exact copies are one node from the start. The nodes of a large bucket are compared in blocks inside tasks, by matrix products that
+count common shingles; no pair of a bucket becomes a row unless it is a link that connects what was not connected. That work still
+grows with the square of a bucket's distinct texts (about 10 ns for two texts), and is dealt out in blocks of bounded size.
 
 Defined results: a null text is in a class of its own; texts without words are copies of each other only if they are
 equal; a text of 1 to 4 words has one shingle; a class is named by its smallest doc_id (null ids only: null); rows that repeat share
@@ -31,7 +31,10 @@ from .tokens import U, mix64, shingles, word_hashes
 
 BANDS, ROWS, WORDS = 24, 3, 5
 SIMILARITY = 0.8
-SMALL_BUCKET, GROWTH = 6, 8
+
+#: Buckets of up to so many nodes are compared pair by pair; larger ones in blocks of about so many nodes, or words.
+SMALL_BUCKET, BLOCK_NODES, BLOCK_WORDS = 6, 512, 300_000
+COLUMNS = 4096
 
 
 def occurrence_labelled(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -157,7 +160,7 @@ def fingerprint(text: str) -> F.Column:
 
 
 def sketches(docs: DataFrame, text: str) -> DataFrame:
-    """docs (fp, text, ...) -> fp and bands (null where there is no word)."""
+    """docs (doc_id, fp, text) -> doc_id, fp, n_words and bands (null where there is no word)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, words, offsets in word_hashes(batch.column(text)):
@@ -165,9 +168,9 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
                 keys = sketch(occurrence_labelled(s, o), o).view(np.int64)
                 keys = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()), mask=pa.array(np.diff(o) == 0))
                 rest = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([rest.column("doc_id"), rest.column("fp"), keys], names=["doc_id", "fp", "bands"])
+                yield pa.RecordBatch.from_arrays([rest.column("doc_id"), rest.column("fp"), pa.array(np.diff(offsets)), keys], names=["doc_id", "fp", "n_words", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary, bands array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary, n_words long, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -191,50 +194,90 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x binary, y binary")
 
 
+def block_links(rows: list[tuple], least: float) -> Iterator[tuple]:
+    """rows: (node, words, labelled shingles, shingles, side) -> a spanning set of the similar pairs of two different sides
+    (of any two rows, if all sides are alike).
+
+    Counts what each two rows have in common by matrix products over the shingles that occur twice, so that only pairs that can be
+    similar are aligned, and of these only pairs that earlier links haven't connected.
+    """
+    n = np.array([len(r[2]) for r in rows])
+    _, which = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), n)
+    twice = np.bincount(which)[which] > 1
+    row, which = row[twice], np.unique(which[twice], return_inverse=True)[1]
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    order = np.argsort(which, kind="stable")
+    row, which = row[order], which[order]
+    for at in range(0, int(which.max(initial=-1)) + 1, COLUMNS):
+        lo, hi = np.searchsorted(which, [at, at + COLUMNS])
+        part = np.zeros((len(rows), COLUMNS), np.float32)
+        part[row[lo:hi], which[lo:hi] - at] = 1
+        common += part @ part.T
+    side = np.array([r[4] for r in rows])
+    cross = np.triu(np.ones_like(common, bool), 1) if (side == side[0]).all() else np.triu(side[:, None] != side[None, :], 1)
+    share = np.where(cross, common / np.maximum(n[:, None] + n[None, :] - common, 1), 0)
+    x, y = np.nonzero(share >= least - 1e-6)
+    near = np.argsort(-share[x, y], kind="stable")
+    root = np.arange(len(rows))
+    for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+        if root[i] != root[j] and similarity(rows[i][1], rows[j][1], rows[i][3], rows[j][3], least) >= least:
+            root[root == root[i]] = root[j]
+            yield rows[i][0], rows[j][0]
+
+
 def links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members (key, node) of buckets with two nodes or more -> components (node, root) of their similar pairs."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
-    sized = written(members.join(sizes, "key"), "near-members")
+    """members (key, node) of buckets with two nodes or more, texts (node, text, n_words) -> similar pairs (x, y) that connect all that
+    the buckets' similar pairs connect.
+
+    The nodes of a small bucket are compared pair by pair, a pair of several buckets once. A larger bucket is dealt into blocks of about
+    BLOCK_NODES nodes or BLOCK_WORDS words, and each two blocks meet in one task.
+    """
+    sized = members.join(texts.select("node", "n_words"), "node")
+    sums = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
+    sized = written(sized.join(sums, "key").select("key", "node", "n", "w"), "near-members")
     small = sized.filter(F.col("n") <= SMALL_BUCKET)
     a, b = small.select("key", F.col("node").alias("x")), small.select("key", F.col("node").alias("y"))
-    pairs = a.join(b, "key").filter("x < y").select("x", "y").unionByName(sized.filter((F.col("n") > SMALL_BUCKET) & (F.col("pivot") != F.col("node"))).select(F.col("pivot").alias("x"), F.col("node").alias("y")))
-    found = written(verified(pairs.distinct(), texts, least), "near-links")
-    roots = written(components(found), "near-roots")
-    large = sized.filter(F.col("n") > SMALL_BUCKET)
-    share, before = 1.0, 0.0  # expected pivots per bucket, beside the first one
-    while True:
-        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        large = written(rooted.join(mixed, "key", "left_semi").drop("root"), "near-open")
-        largest = large.agg(F.max("n")).first()[0]
-        if not largest or before >= largest:
-            break
-        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        place = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / float(1 << 30)) * F.col("n")
-        pivots = rooted.filter((place >= before) & (place < share)).select("key", F.col("node").alias("p"), F.col("root").alias("p_root"))
-        pairs = rooted.join(pivots, "key").filter("root <> p_root").select(F.least("node", "p").alias("x"), F.greatest("node", "p").alias("y")).distinct()
-        more = written(verified(pairs, texts, least), "near-links")
-        found = found.unionByName(more)
-        if more.limit(1).count():
-            roots = written(components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).filter("x <> y").unionByName(more)), "near-roots")
-        before, share = share, share * GROWTH
-    return roots
+    pairs = a.join(b, "key").filter("x < y").select("x", "y").distinct()
+    few = verified(pairs, texts, least)
+
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
+    dealt = sized.filter(F.col("n") > SMALL_BUCKET).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = dealt.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    placed = placed.select("key", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, texts_of = [], table.column("text").combine_chunks()
+        nodes, sides = table.column("node").to_pylist(), table.column("own").to_pylist()
+        for at, _, words, offsets in word_hashes(texts_of):
+            s, o = shingles(words, offsets, WORDS)
+            labelled = occurrence_labelled(s, o)
+            for r in range(len(offsets) - 1):
+                rows.append((nodes[at + r], words[offsets[r] : offsets[r + 1]], labelled[o[r] : o[r + 1]], s[o[r] : o[r + 1]], sides[at + r]))
+        if table.column("i")[0] != table.column("j")[0] and len(set(sides)) == 1:
+            found = []  # the other block is empty
+        else:
+            found = list(block_links(rows, least))
+        return pa.table({"x": pa.array([f[0] for f in found], pa.binary()), "y": pa.array([f[1] for f in found], pa.binary())})
+
+    many = placed.join(texts.select("node", "text"), "node").select("key", "i", "j", "own", "node", "text").groupBy("key", "i", "j").applyInArrow(run, "x binary, y binary")
+    return few.unionByName(many)
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """key, fp and class_id for every row of docs, as a written table."""
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), fingerprint(text).alias("fp"), F.col(f"`{text}`").alias("text"))
     sketched = written(sketches(source, "text"), "near-sketches")
-    nodes = sketched.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = sketched.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     nodes = written(nodes, "near-nodes")
     rows = nodes.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("fp").alias("node"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = written(rows.join(shared, "key", "left_semi"), "near-buckets")
-    wanted = members.select("node").distinct().join(nodes.select(F.col("fp").alias("node"), "first"), "node")
+    wanted = members.select("node").distinct().join(nodes.select(F.col("fp").alias("node"), "first", "n_words"), "node")
     own = source.select(F.col("fp").alias("node"), F.col("doc_id").alias("first"), "text")
     on = (own["node"] == wanted["node"]) & own["first"].eqNullSafe(wanted["first"])
-    texts = written(own.join(wanted, on, "left_semi").select("node", "text").dropDuplicates(["node"]), "near-texts")
-    roots = links(members, texts, least)
+    texts = written(own.join(wanted, on).select(own["node"], "text", "n_words").dropDuplicates(["node"]), "near-texts")
+    roots = components(links(members, texts, least))
     named = nodes.select(F.col("fp").alias("node"), "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("first").alias("class_id"))
     label = named.join(best, "root").select(F.col("node").alias("fp"), "class_id")
