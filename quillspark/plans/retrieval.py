@@ -29,11 +29,13 @@ SQL_KNN = """
 qv AS (SELECT vec_id AS q, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
 kn AS (SELECT q, vec_id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], qv.v) AS distance FROM qv, embeddings e),
 sem AS (SELECT * FROM (SELECT q, vec_id, distance, 1 / (1 + greatest(0, distance)) AS semantic_score, row_number() OVER (PARTITION BY q ORDER BY round(1 / (1 + greatest(0, distance)), 8) DESC, vec_id) AS rank FROM kn) WHERE rank <= 10)"""
+SQL_EMBEDDING = "list_transform(range(32), lambda i: ('0x' || substr(sha256({0}), (2 * i + 1)::INT, 2))::INT / 255.0::DOUBLE * 2 - 1)"
 SQL_RRF = f"""
-h AS (SELECT text, abs(('0x' || substr(md5(text), 1, 8))::BIGINT) AS h FROM documents),
-both_lists AS (SELECT request, doc_id, rank, 'lexical' AS source, 1.0 / rank AS source_score FROM lex
-          UNION ALL SELECT request, doc_id, row_number() OVER (PARTITION BY request ORDER BY doc_id) AS rank, 'semantic', 1.0 / (1 + row_number() OVER (PARTITION BY request ORDER BY doc_id)) FROM (SELECT request, doc_id FROM sc WHERE doc_id % 7 = 0)),
-lists AS (SELECT * FROM both_lists WHERE rank <= {K}),
+de AS (SELECT doc_id, {SQL_EMBEDDING.format('text')} AS e FROM documents),
+qe AS (SELECT item_id AS request, {SQL_EMBEDDING.format('text')} AS e FROM benchmark),
+ds AS (SELECT request, doc_id, 1 / (1 + greatest(0, 1 - list_cosine_similarity(de.e, qe.e))) AS score FROM qe, de),
+sl AS (SELECT request, doc_id, score, row_number() OVER (PARTITION BY request ORDER BY round(score, 8) DESC, doc_id) AS rank FROM ds),
+lists AS (SELECT request, doc_id, rank, 'lexical' AS source, 1.0 / rank AS source_score FROM lex UNION ALL SELECT request, doc_id, rank, 'semantic', score FROM sl WHERE rank <= {K}),
 fused AS (SELECT request, doc_id, sum((CASE source WHEN 'lexical' THEN 1.2 ELSE 0.8 END) / (60 + rank)) AS rrf_score, max(CASE WHEN source = 'lexical' THEN source_score END) AS lexical_score, max(CASE WHEN source = 'semantic' THEN source_score END) AS semantic_score FROM lists GROUP BY ALL),
 rf AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY round(rrf_score, 8) DESC, round(coalesce(lexical_score, semantic_score), 8) DESC, doc_id) AS place FROM fused)"""
 SQL_RERANK = f"""
@@ -54,12 +56,15 @@ def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_topk(corpus(spark, sf_dir), asked(spark, sf_dir), "doc_id", "request", "query", K, FIELDS)
 
 
+def semantic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest documents of each passage by hash embedding."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", semantic.hash_embedding(F.col("text")).alias("embedding"))
+    return semantic.knn_cosine(docs, asked(spark, sf_dir).select("request", semantic.hash_embedding(F.col("query")).alias("embedding")), "doc_id", "request", K)
+
+
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical hits and a stand-in for a second list: matching documents of every seventh id, by id."""
-    scores = lexical.bm25_scores(corpus(spark, sf_dir), asked(spark, sf_dir), "doc_id", "request", "query", FIELDS)
-    lex = lexical.ranked(scores, "request", "doc_id", K).select("request", F.col("doc_id").alias("chunk_id"), "rank", F.lit("lexical").alias("source"), (1 / F.col("rank")).alias("source_score"))
-    sem = lexical.ranked(scores.filter("doc_id % 7 = 0").withColumn("score", -F.col("doc_id").cast("double")), "request", "doc_id", K)
-    sem = sem.select("request", F.col("doc_id").alias("chunk_id"), "rank", F.lit("semantic").alias("source"), (1 / (1 + F.col("rank"))).alias("source_score"))
+    lex = lexical_hits(spark, sf_dir).select("request", F.col("doc_id").alias("chunk_id"), "rank", F.lit("lexical").alias("source"), F.col("lexical_score").alias("source_score"))
+    sem = semantic_hits(spark, sf_dir).select("request", F.col("doc_id").alias("chunk_id"), "rank", F.lit("semantic").alias("source"), F.col("semantic_score").alias("source_score"))
     return ranking.rrf(lex.unionByName(sem).withColumn("query_no", F.lit(0)), {"lexical": 1.2, "semantic": 0.8})
 
 
@@ -156,8 +161,8 @@ def constraint_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_BM25}, {SQL_RRF}, {SQL_RERANK}, {SQL_CONSTRAINED},
-ds AS (SELECT *, count(*) FILTER (asked) OVER (PARTITION BY request) AS n, count(DISTINCT CASE WHEN asked THEN source END) OVER (PARTITION BY request) AS docs FROM ck),
-dt AS (SELECT *, n >= 2 AND docs >= 2 AS onn FROM ds),
+dsup AS (SELECT *, count(*) FILTER (asked) OVER (PARTITION BY request) AS n, count(DISTINCT CASE WHEN asked THEN source END) OVER (PARTITION BY request) AS docs FROM ck),
+dt AS (SELECT *, n >= 2 AND docs >= 2 AS onn FROM dsup),
 du AS (SELECT *, count(*) FILTER (asked) OVER (PARTITION BY request, source) AS support, round(max(CASE WHEN asked THEN coalesce(lexical_score, 0) END) OVER (PARTITION BY request, source), 4) AS best FROM dt WHERE NOT onn OR asked)
 SELECT request, doc_id, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN NOT onn THEN cplace END NULLS LAST, coverage DESC, support DESC, best DESC, round(score2, 8) DESC, doc_id) AS place, support FROM du""")
 def doc_support(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1,174 @@
-"""Queries."""
+"""Trace queries. Events become log lines: a request is a user's day, and an event type is a span in it."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions.frames import table
+from quillspark.operators import traces as tr
+from quillspark.streaming import jobs
+
+from .registry import query
+
+SQL_LOG = """ev AS (SELECT event_id, ts, user_id || '-' || strftime(ts, '%Y%m%d') AS request_id, event_type AS kind, value, CASE event_type WHEN 'signup' THEN 'http.request.start' WHEN 'purchase' THEN 'http.request.end' WHEN 'error' THEN 'api.ask.error' ELSE 'api.' || event_type || '.end' END AS event FROM events),
+rq AS (SELECT request_id, min_by(ts, (ts, event_id)) FILTER (kind = 'signup') AS s, max_by(ts, (ts, event_id)) FILTER (kind = 'purchase') AS e, max_by(value, (ts, event_id)) FILTER (kind = 'purchase') AS ed, min(ts) AS first_seen, max(ts) AS last_seen, count(*) FILTER (kind = 'error') AS errors, count(*) AS events,
+        count(*) FILTER (kind NOT IN ('signup', 'purchase')) AS stages, min_by(CASE WHEN kind = 'error' THEN 'ask' ELSE kind END, (ts, event_id)) FILTER (kind NOT IN ('signup', 'purchase')) AS request_type FROM ev GROUP BY request_id),
+rs AS (SELECT *, s IS NULL OR (e IS NULL AND errors = 0) AS partial FROM rq),
+rt AS (SELECT *, CASE WHEN errors > 0 THEN 'failed' WHEN partial THEN 'partial' ELSE 'ok' END AS status, CASE WHEN s IS NOT NULL AND e IS NOT NULL THEN ed ELSE epoch_us(last_seen) / 1000 - epoch_us(first_seen) / 1000 END AS duration FROM rs)"""
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line, line_number (the event's id)."""
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    event = F.when(kind == "signup", "http.request.start").when(kind == "purchase", "http.request.end").when(kind == "error", "api.ask.error").otherwise(F.concat(F.lit("api."), kind, F.lit(".end")))
+    request = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    line = F.to_json(F.struct(at.alias("timestamp"), request.alias("request_id"), event.alias("event"), F.col("value").alias("duration_ms"), F.struct(F.col("props").alias("props"), F.lit("secret").alias("question")).alias("attributes")))
+    return e.select(line.alias("line"), F.col("event_id").alias("line_number"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.parse(log_lines(spark, sf_dir), tr.LogSource("p", "s", "UTC", redact_fields=("question",)))
+
+
+@query(f"WITH {SQL_LOG} SELECT event_id AS line_number, TRUE AS valid, request_id, event, CASE kind WHEN 'signup' THEN 'start' WHEN 'error' THEN 'error' ELSE 'end' END AS event_type, CASE WHEN kind IN ('signup', 'purchase') THEN 'http.request' WHEN kind = 'error' THEN 'api.ask' ELSE 'api.' || kind END AS span_name, CASE kind WHEN 'signup' THEN NULL WHEN 'error' THEN 'error' ELSE 'ok' END AS status, round(value, 6) AS duration_ms, epoch_us(ts) AS us FROM ev")
+def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("line_number", "valid", "request_id", "event", "event_type", "span_name", "status", F.round("duration_ms", 6).alias("duration_ms"), F.unix_micros("timestamp").alias("us"))
+
+
+@query("SELECT count(*) AS n, count(*) AS redacted, 0::BIGINT AS leaked FROM events")
+def log_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(spark, sf_dir)
+    return r.agg(F.count("*").alias("n"), F.count(F.when(F.col("attributes")["question"] == tr.REDACTED, 1)).alias("redacted"), F.count(F.when(F.to_json(F.struct("raw", "attributes")).contains("secret"), 1)).alias("leaked"))
+
+
+STAMPS = ["2026-04-15 11:52:02.389", "1776234722389", "2026-04-15T11:52:02.389", "2026-04-15T11:52:02.389+08:00", "2026-04-15T03:52:02.389Z", "1776234722", "nonsense", ""]
+
+
+@query("""SELECT * FROM (VALUES (1, 1776225122389000, 'local_datetime'), (2, 1776234722389000, 'epoch_ms'), (3, 1776225122389000, 'iso8601_naive'), (4, 1776225122389000, 'rfc3339'), (5, 1776225122389000, 'rfc3339'), (6, 1776234722000000, 'epoch_s'), (7, NULL, NULL), (8, NULL, NULL)) t(n, us, format)""")
+def log_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(STAMPS, 1)), "n int, raw string")
+    time, kind = tr.timestamps(F.col("raw"), "Asia/Shanghai")
+    return rows.select("n", F.unix_micros(time).alias("us"), kind.alias("format"))
+
+
+@query(f"WITH {SQL_LOG} SELECT request_id, request_type, epoch_us(coalesce(s, first_seen)) AS started_us, epoch_us(coalesce(e, last_seen)) AS ended_us, round(duration, 3) AS duration_ms, errors AS error_count, events AS event_count, stages AS stage_count FROM rt")
+def request_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tr.requests(records(spark, sf_dir))
+    return r.select("request_id", "request_type", F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), F.round("duration_ms", 3).alias("duration_ms"), "error_count", "event_count", "stage_count")
+
+
+@query(f"WITH {SQL_LOG} SELECT request_id, status, partial, status = 'failed' AS failed FROM rt")
+def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.requests(records(spark, sf_dir)).select("request_id", "status", "partial", "failed")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS k, sum(l_quantity) AS s FROM lineitem GROUP BY 1) SELECT o_orderkey AS request, round(greatest(0, o_totalprice / 100 - coalesce(s, 0)), 6) AS self_ms, s IS NULL AS is_leaf FROM orders LEFT JOIN c ON k = o_orderkey""")
+def span_self_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are parent spans, their lines are children."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), F.lit("o").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), (F.col("o_totalprice") / 100).alias("duration_ms"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("span_id"), F.lit("o").alias("parent_span_id"), F.col("l_quantity").alias("duration_ms"))
+    return tr.self_times(o.unionByName(li), ["request"]).filter("span_id = 'o'").select("request", F.round("self_ms", 6).alias("self_ms"), "is_leaf")
+
+
+@query("""SELECT l_orderkey AS request, l_linenumber AS line, place FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_shipdate, l_linenumber) AS place FROM lineitem) WHERE place <= 5""")
+def top_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("line_number"), F.col("l_extendedprice").alias("self_ms"), F.col("l_extendedprice").alias("duration_ms"), F.col("l_shipdate").alias("timestamp"))
+    return tr.top_stages(li, ["request"]).select("request", F.col("line_number").alias("line"), F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT event_type AS stage, count(*) AS count, count(*) FILTER (event_type = 'error') AS error_count, round(avg(value), 6) AS avg_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(max(value), 6) AS max_ms, epoch_us(max(ts)) AS last_us FROM events GROUP BY event_type")
+def stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("self_ms"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit(True).alias("is_leaf"))
+    s = tr.stage_stats(e, ["stage"], error=F.col("stage") == "error")
+    return s.select("stage", "count", "error_count", *[F.round(c, 6).alias(c) for c in ("avg_ms", "p95_ms", "max_ms")], F.unix_micros("last_seen_at").alias("last_us"))
+
+
+@query(f"WITH {SQL_LOG} SELECT event_id AS line_number, request_id, event, event AS message FROM ev WHERE kind = 'error'")
+def error_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tr.errors(records(spark, sf_dir))
+    return e.select("line_number", "request_id", "event", "message")
+
+
+BAD = ["not-json", "[1, 2]", "", '{"event": "x", "level": "ERROR", "message": "boom"}', '{"span_name": "a.b", "event": "end", "status_code": "503", "trace_id": "t"}']
+
+
+@query("""SELECT * FROM (VALUES (1, FALSE, 'invalid JSON', NULL, NULL, NULL, NULL), (2, FALSE, 'not a JSON object', NULL, NULL, NULL, NULL), (3, FALSE, 'empty line', NULL, NULL, NULL, NULL), (4, TRUE, NULL, 'x', NULL, NULL, NULL), (5, TRUE, NULL, 'end', 503, 'error', 't')) t(n, valid, parse_error, event, status_code, status, request_id)""")
+def log_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tr.parse(spark.createDataFrame([(i, x) for i, x in enumerate(BAD, 1)], "line_number int, line string"))
+    return r.select(F.col("line_number").alias("n"), "valid", "parse_error", "event", "status_code", "status", "request_id")
+
+
+@query(f"WITH {SQL_LOG} SELECT count(*) AS requests, count(*) FILTER (status = 'failed') AS failed_requests, count(*) FILTER (partial) AS partial_requests, round(quantile_cont(duration, 0.95), 3) AS p95_ms, (SELECT count(*) FROM ev WHERE kind = 'error') AS errors FROM rt")
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(spark, sf_dir)
+    return tr.overview(tr.requests(r), tr.errors(r)).select("requests", "failed_requests", "partial_requests", F.round("p95_ms", 3).alias("p95_ms"), "errors")
+
+
+@query(f"WITH {SQL_LOG} SELECT request_id FROM rt WHERE status = 'failed' AND request_type = 'click'")
+def request_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.filtered(tr.requests(records(spark, sf_dir)), {"status": "failed", "request_type": "click", "method": None}).select("request_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 2 DAY")
+def lookback_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("timestamp", F.col("ts").cast("timestamp"))
+    return tr.within(e, "2d", F.lit("2024-01-20 12:00:00").cast("timestamp")).select("event_id")
+
+
+HEALTH = [("a", "1", True, "2024-01-01 00:00:00", None), ("a", "2", False, None, None), ("b", "1", True, "2023-12-31 23:57:00", None), ("c", "1", True, "2023-12-31 00:00:00", None), ("d", "1", True, None, "boom"), ("e", "1", True, "2024-01-01 00:00:00", None)]
+
+
+@query("SELECT * FROM (VALUES ('a', 'degraded'), ('b', 'idle'), ('c', 'stale'), ('d', 'error'), ('e', 'live')) t(project_id, status)")
+def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.createDataFrame(HEALTH, "project_id string, source_id string, exists boolean, seen string, last_error string").withColumn("last_seen_at", F.to_timestamp("seen"))
+    return tr.health(s, F.lit("2024-01-01 00:00:30").cast("timestamp")).select("project_id", "status")
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 5000")
+def cache_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.capped(table(spark, sf_dir, "events").withColumn("timestamp", F.col("ts").cast("timestamp")), 5000, "event_id").select("event_id")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder of this run, below the shared folder where there is one."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS window_us, event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 6) AS largest FROM events GROUP BY ALL")
+def stream_stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, counted per hour and type until the stream is through."""
+    at = scratch(spark)
+    stream = jobs.from_parquet(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = jobs.stage_counts(stream, "ts", "event_type", "value", late="60 days")
+    sink: list[str] = []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+        sink.append(f"{at}/out/batch={n}")
+
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(sink[-1])  # in complete mode the last batch holds all
+    return out.select(F.unix_micros("window_start").alias("window_us"), "event_type", "n", F.round("total", 4).alias("total"), F.round("largest", 6).alias("largest"))
+
+
+@query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
+def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of a stream by user and type: per batch the last of each key, across batches the last again."""
+    at = scratch(spark)
+    stream = jobs.from_parquet(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    jobs.coalesced(stream, ["user_id", "event_type"], ["ts", "event_id"], lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), f"{at}/checkpoint").awaitTermination()
+    return jobs.latest_by_key(spark.read.parquet(f"{at}/out").drop("batch"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS finished FROM orders GROUP BY ROLLUP (o_orderpriority)")
+def grouping_sets_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the traces: a roll-up."""
+    return table(spark, sf_dir, "orders").rollup("o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("finished"))
