@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import word_count
+from .text import bounded_batches, word_count
 from .tokens import U, mix64, word_hashes
 
 MASKS = ("11111", "111011", "110111")
@@ -131,6 +131,7 @@ def blocks(items: DataFrame, key: str, text: str) -> Iterator[Block]:
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, first_word (of the best window, counted from 0), window, equal_words: one row for each pair that overlaps."""
+    bounded_batches(docs.sparkSession)
     kinds = (docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString())
     out = None
     for block in blocks(items, item_key, item_text):
@@ -149,6 +150,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that overlap with an item; each block of the benchmark filters what the one before it kept."""
+    bounded_batches(docs.sparkSession)
     for block in blocks(items, item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

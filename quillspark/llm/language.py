@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .letters import Table, below, grams, typed
-from .text import written
+from .text import bounded_batches, written
 from .tokens import U
 from .url_automaton import host_and_path
 
@@ -86,6 +86,7 @@ class Letters:
 
 def fit(texts: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Letters:
     """Letter models of the languages of a bounded sample of texts."""
+    bounded_batches(texts.sparkSession)
     rows = texts.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lower(F.col(lang)).alias("lang"), F.xxhash64(text, lang).alias("r"))
     few = written(rows.orderBy("r", "lang").limit(sample).select("text", "lang"), "language-sample")
 
@@ -110,6 +111,7 @@ def fit(texts: DataFrame, text: str = "text", lang: str = "lang", sample: int =
 
 def evidence(pages: DataFrame, model: Letters, key: str = "page_id") -> DataFrame:
     """key, host, domain, suffix, declared, ll (array of scaled log-likelihoods in the order of the model's languages)."""
+    bounded_batches(pages.sparkSession)
     host, _ = host_and_path(F.col("url"))
     labels = F.split(host, r"\.")
     domain = F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(host)

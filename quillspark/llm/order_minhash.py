@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import written
+from .text import bounded_batches, written
 from .tokens import U, mix64, shingles, word_hashes
 
 BANDS, ROWS, WORDS = 24, 3, 5
@@ -266,6 +266,7 @@ def links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """key, fp and class_id for every row of docs, as a written table."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), fingerprint(text).alias("fp"), F.col(f"`{text}`").alias("text"))
     sketched = written(sketches(source, "text"), "near-sketches")
     nodes = sketched.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import bounded_batches
+
 # Given names by gender and script.
 GIVEN = {
     ("female", "latin"): "Alice Amelie Anna Carmen Clara Claire Elena Emily Emma Eva Grace Hannah Helen Ines Isabel Jane Julia Karin Laura Lena Louise Lucia Maria Marie Martha Nora Paula Rosa Sarah Sofia Susan Ursula".split(),
@@ -208,6 +210,7 @@ def entities(text: str) -> Iterator[tuple[str, int, int]]:
 
 def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with surrogates in `text`, and entities: kind, start and end (code points in the old text) and surrogate of each."""
+    bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "entities"]
     at_text = names.index(text)
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))

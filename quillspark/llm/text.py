@@ -30,6 +30,12 @@ def words_array(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
 
+def bounded_batches(spark: SparkSession, limit: str = "4m") -> None:
+    """From now on Arrow batches of this session hold about `limit` bytes at most: Spark's default of 64 MB is held several times over
+    by each Python worker and by the JVM beside its heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share. Where the setting is absent
     (tests on one machine) it is set to a folder of this application."""

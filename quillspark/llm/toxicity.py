@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .letters import ORDER, Table, below, grams, typed
-from .text import written
+from .text import bounded_batches, written
 from .tokens import U
 
 SHARED = 3
@@ -218,6 +218,7 @@ def features(docs: DataFrame, model, text: str, names: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from labels (key, toxic): three quarters of the sample give class counts, one quarter the curve; all of docs
     give the shared counts. Sample and model are bounded, so the model can be broadcast."""
+    bounded_batches(docs.sparkSession)
     one = labels.filter(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     one = one.withColumn("_r", F.xxhash64(F.lit(6), F.col(key)))
     picked = one.filter("toxic = 1").orderBy("_r", key).limit(sample).unionByName(one.filter("toxic = 0").orderBy("_r", key).limit(sample))
@@ -240,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns `keep`) with score."""
+    bounded_batches(docs.sparkSession)
     names = keep or [c for c in docs.columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

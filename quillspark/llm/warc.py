@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import shared_dir, text_of
+from .text import bounded_batches, shared_dir, text_of
 
 #: Records whose ranges are at most GAP bytes apart are read at once, up to SPAN bytes.
 GAP, SPAN = 64 << 10, 8 << 20
@@ -97,6 +97,7 @@ def decided(pages: DataFrame, smallest: int) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, smallest: int = 0) -> DataFrame:
     """Archives in folder/archives, and their index, a table in folder/index, as a DataFrame."""
+    bounded_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
