@@ -14,5 +14,12 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def computed(df: DataFrame, columns: dict) -> DataFrame:
+    """df with columns that are worked out once per row, where they stand. A plain projection would be copied into every filter and
+    expression above it, which grows out of hand when columns build on each other."""
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.text import collapse, glob_pattern, let, newlines, rstrip, rstrip_lines, strip
 
@@ -45,7 +46,7 @@ def front_matter_bounds(text: Column) -> tuple[Column, Column, Column]:
     return block, rest, F.when(found, end + 1).otherwise(0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def yaml_mapping(blocks):
     """A YAML mapping as JSON with text keys; null if it isn't one."""
     import yaml

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.frames import computed
 from quillspark.functions.text import none_if_blank
 
 NO_LINE = 1_000_000_000
@@ -98,25 +99,24 @@ def parse(lines: DataFrame, source: LogSource = LogSource(), line: str = "line")
     zone, warning = known_zone(source.timezone)
     text = F.trim(F.coalesce(F.col(line), F.lit("")))
     clean = redact(text, source.redact_fields)
-    rows = lines.withColumn("_t", clean).withColumn("_v", F.try_parse_json("_t"))
-    error = F.when(F.col("_t") == "", "empty line").when(F.col("_v").isNull(), "invalid JSON").when(~F.col("_t").startswith("{"), "not a JSON object")
-    rows = rows.withColumn("parse_error", error).withColumn("valid", error.isNull())
-    rows = rows.withColumn("_root", F.when(F.col("valid"), F.from_json("_t", "map<string,string>"))).withColumn("_attr", F.from_json(F.col("_root")["attributes"], "map<string,string>"))
-    for name, keys in ALIASES.items():
-        rows = rows.withColumn(name, none_if_blank(lookup(F.col("_root"), F.col("_attr"), keys)))
+    rows = computed(lines, {"_t": clean})
+    error = F.when(F.col("_t") == "", "empty line").when(F.try_parse_json("_t").isNull(), "invalid JSON").when(~F.col("_t").startswith("{"), "not a JSON object")
+    rows = computed(rows, {"parse_error": error})
+    rows = computed(rows, {"valid": F.col("parse_error").isNull(), "_root": F.when(F.col("parse_error").isNull(), F.from_json("_t", "map<string,string>"))})
+    rows = computed(rows, {"_attr": F.from_json(F.col("_root")["attributes"], "map<string,string>")})
+    rows = computed(rows, {name: none_if_blank(lookup(F.col("_root"), F.col("_attr"), keys)) for name, keys in ALIASES.items()})
     time, kind = timestamps(F.col("timestamp_raw"), zone)
     event = F.col("event")
     suffix = F.regexp_extract(event, r"(?:^|\.)(start|end|error)$", 1)
     event_type = F.when(event.isNull(), None).when(suffix != "", suffix).otherwise("event")
     base = F.when(event.isin("start", "end", "error"), None).when(suffix != "", F.regexp_replace(event, r"\.(start|end|error)$", "")).otherwise(event)
     code = F.when(~F.lower("code_text").isin("true", "false"), whole_number(F.col("code_text")))
-    rows = rows.withColumns({"timestamp": time, "timestamp_format": kind, "event_type": event_type, "span_name": F.coalesce("explicit_span", base), "status_code": code,
+    rows = computed(rows, {"timestamp": time, "timestamp_format": kind, "event_type": event_type, "span_name": F.coalesce("explicit_span", base), "status_code": code,
                              "duration_ms": F.col("duration_text").try_cast("double"), "trace_id": F.coalesce("own_trace", "own_request"), "request_id": F.coalesce("own_request", "own_trace"), "schema_version": F.when(F.col("valid"), F.coalesce(whole_number(F.col("version_text")), F.lit(1)))})
     status = F.coalesce("own_status", F.when(F.col("status_code") >= 400, "error").when(F.col("status_code").isNotNull(), "ok").when((F.col("event_type") == "error") | F.col("error_type").isNotNull() | F.col("exception").isNotNull(), "error").when(F.col("event_type") == "end", "ok"))
     warnings = F.array_compact(F.array(F.lit(warning), F.when(F.col("timestamp_raw").isNotNull() & F.col("timestamp").isNull(), F.concat(F.lit("unparsed timestamp value: "), "timestamp_raw"))))
-    rows = rows.withColumns({"status": status, "warnings": warnings, "project_id": F.lit(source.project_id).cast("string"), "source_id": F.lit(source.source_id).cast("string"), "service": F.coalesce("service", F.lit(source.service_hint))})
-    rows = rows.withColumns({"raw": F.col("_root"), "attributes": F.col("_attr")})
-    return rows.drop("_t", "_v", "_root", "_attr", "own_trace", "own_request", "own_status", "code_text", "duration_text", "version_text", "explicit_span", line)
+    rows = computed(rows, {"status": status, "warnings": warnings, "project_id": F.lit(source.project_id).cast("string"), "source_id": F.lit(source.source_id).cast("string"), "service": F.coalesce("service", F.lit(source.service_hint))})
+    return rows.withColumnsRenamed({"_root": "raw", "_attr": "attributes"}).drop("_t", "own_trace", "own_request", "own_status", "code_text", "duration_text", "version_text", "explicit_span", line)
 
 
 def canonical_event() -> Column:
@@ -130,13 +130,13 @@ def marked(records: DataFrame) -> DataFrame:
     request = F.coalesce(F.col("span_name") == "http.request", F.lit(False))
     typed = lambda *t: F.coalesce(F.col("event_type").isin(*t), F.lit(False))
     is_event = lambda *e: F.coalesce(F.col("event").isin(*e), F.lit(False))
-    out = records.withColumn("name", canonical_event())
+    out = computed(records, {"name": canonical_event()})
     of_request = F.coalesce(F.col("name").startswith("http.request."), F.lit(False)) | (request & typed("start", "end", "error"))
     event = F.col("event")
     stage = F.when(F.col("span_name").isNotNull(), F.when(~of_request, F.col("span_name"))).when(event.startswith("http.request."), None).otherwise(F.regexp_replace(event, r"\.(start|end|error)$", ""))
     error = (F.col("level") == "ERROR") | F.col("exception").isNotNull() | F.col("error_type").isNotNull() | typed("error") | ((F.col("status") == "error") & ~F.coalesce(F.col("name").isin("http.request.start", "http.request.end"), F.lit(False)))
     never = F.coalesce(F.col("name") == "http.request.error", F.lit(False)) | (request & typed("error"))
-    return out.withColumns({
+    return computed(out, {
         "stage": stage, "is_start": is_event("http.request.start") | (request & typed("start")), "is_terminal": is_event("http.request.end", "http.request.error") | (request & typed("end", "error")),
         "is_error": ~never & F.coalesce(error, F.lit(False)),
         "ord": F.struct(F.col("timestamp").isNull().alias("late"), F.col("timestamp").alias("t"), F.coalesce("line_number", F.lit(NO_LINE)).cast("long").alias("line"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq") if "seq" in records.columns else F.lit(0).cast("long").alias("seq"))})

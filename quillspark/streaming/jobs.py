@@ -29,7 +29,7 @@ class RequestAssembler(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("request", "first_us long, last_us long, n long, errors long, started boolean, ended boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, last, n, errors, started, ended = self.state.get() if self.state.exists() else (None, None, 0, 0, False, False)
         for pdf in rows:
             us = pdf["ts"].astype("datetime64[us]").astype("int64")
@@ -46,7 +46,7 @@ class RequestAssembler(StatefulProcessor):
         self.handle.registerTimer(last // 1000 + self.idle_ms)
         self.state.update((first, last, n, errors, started, ended))
 
-    def handleExpiredTimer(self, key, timer, info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             row = self.state.get()
             self.state.clear()
