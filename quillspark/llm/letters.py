@@ -64,7 +64,7 @@ def grams(letters: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     kind = np.repeat(np.arange(len(o) - 1), np.diff(o))
     place = np.arange(len(letters)) - o[:-1][kind]
     key = np.zeros(len(letters), U)
-    for m in range(ORDER):
+    for m in range(min(ORDER, len(letters))):
         key[m:] |= letters[: len(letters) - m].astype(U) << U(8 * m)
     inside = np.minimum(place + 1, ORDER)
     key &= (U(1) << (U(8) * inside.astype(U))) - U(1)

@@ -46,23 +46,42 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
     return weighed.select("source", "source_size", F.least(F.col("limit"), F.col("weight") * level).alias("target"))
 
 
+#: Totals that one dynamic programme may cover.
+MAX_TOTAL = 1 << 22
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length (at most counts) to choose for a total nearest to budget; the lower of two.
 
-    lengths: distinct and positive. After the proportional shares, what is left is below the sum of the lengths; rounding single
-    lengths up, the longest first, brings it below about the longest length. The dynamic programme then covers every
-    total up to that rest plus the longest remaining document.
+    lengths: distinct and positive. First every length gives its proportional share, and the programme closes the gap. Where it
+    can't, with few documents, the shares are cut back until the programme chooses among all; that last choice is the nearest there is.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    best, gap = None, 0
+    for share in (1.0, 0.75, 0.5, 0.0):
+        taken = knapsack(lengths, counts, budget, np.array([int(int(c) * budget // total * share) for c in counts.tolist()], np.int64), best is None)
+        if taken is None:
+            break
+        off = abs(int((lengths * taken).sum()) - budget)
+        if best is None or off < gap:
+            best, gap = taken, off
+        if not gap:
+            break
+    return best
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, taken: np.ndarray, always: bool) -> np.ndarray | None:
+    """`taken` and more documents, for a total nearest to budget. None if the gap is above MAX_TOTAL (with always: it is
+    first lowered to about the longest document, by rounding single lengths up, the longest first)."""
+    taken = taken.copy()
     rest = budget - int((lengths * taken).sum())
-    slack = 1 << 12
     order = np.argsort(-lengths)
-    for k in order:
+    slack = 1 << 12
+    for k in order if always else ():
         if taken[k] < counts[k] and rest - int(lengths[k]) >= slack:
             taken[k] += 1
             rest -= int(lengths[k])
@@ -71,6 +90,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if not usable:
         return taken
     top = rest + int(min(lengths[k] for k in usable))  # a total above this is never nearer than one below
+    if top > MAX_TOTAL and not always:
+        return None
     first = np.full(top + 1, -1, np.int64)  # the piece by which a total was first reached
     reached = np.zeros(top + 1, bool)
     reached[0] = True

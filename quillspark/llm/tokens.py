@@ -100,7 +100,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.nda
     odd = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
     with np.errstate(over="ignore"):
         total = np.zeros(len(words), U)
-        for j in range(k):
+        for j in range(min(k, len(words))):
             total[: len(words) - j] += words[j:] * odd[j % 5] ** U(j // 5 + 1)
         whole = np.ones(len(words), bool)
         for row in np.flatnonzero((n > 0) & (n < k)):
