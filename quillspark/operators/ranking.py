@@ -65,6 +65,26 @@ def rerank_overlap(hits: DataFrame, query: str = "query", content: str = "conten
     return placed(out.drop("_q", "_c"), by_score())
 
 
+def rerank_model(hits: DataFrame, factory, query: str = "query", content: str = "content") -> DataFrame:
+    """A rerank by a cross-encoder: all pairs of all requests in one pass. factory() is called once in each worker and gives a function from
+    a list of (query, content) to raw scores, which are clamped to 20 and put through a sigmoid; missing ones repeat the last."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        score = factory()
+        for batch in batches:
+            raw = list(score(list(zip(batch.column("q").to_pylist(), batch.column("c").to_pylist(), strict=True))))
+            raw += raw[-1:] * (batch.num_rows - len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column("request"), batch.column("chunk_id"), pa.array(1 / (1 + np.exp(-np.clip(np.array(raw, float), -20, 20))))], names=["request", "chunk_id", "rerank_score"])
+
+    kind = {c: hits.schema[c].dataType.simpleString() for c in ("request", "chunk_id")}
+    pairs = hits.select("request", "chunk_id", F.coalesce(query, F.lit("")).alias("q"), F.coalesce(content, F.lit("")).alias("c"))
+    scored = pairs.mapInArrow(run, f"request {kind['request']}, chunk_id {kind['chunk_id']}, rerank_score double")
+    out = hits.drop("rerank_score").join(scored, ["request", "chunk_id"]).withColumn("rerank_rank", F.col("place")).withColumn("score", F.col("rerank_score"))
+    return placed(out, by_score())
+
+
 def merge_queries(reranked: DataFrame) -> DataFrame:
     """Hits of several queries (query_no) -> one per chunk: the best score, of equal ones the first query's."""
     best = Window.partitionBy("request", "chunk_id").orderBy(by_score(), F.col("query_no").asc())

@@ -68,3 +68,15 @@ def metadata_sizes(sizes: DataFrame, size: str = "size") -> DataFrame:
 def projected(vectors: DataFrame, keep: list[str]) -> DataFrame:
     """A copy of an index with fewer columns: those of `keep` that exist."""
     return vectors.select(*[c for c in keep if c in vectors.columns])
+
+
+def embedded(rows: DataFrame, text: str, key: str, factory) -> DataFrame:
+    """key, embedding by a model. factory() is called once in each worker and gives a function from a list of texts to a matrix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = factory()
+        for batch in batches:
+            matrix = np.asarray(encode(batch.column("t").to_pylist()), np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(list(matrix), pa.list_(pa.float32()))], names=[key, "embedding"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, f"`{key}` {kind}, embedding array<float>")

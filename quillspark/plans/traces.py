@@ -168,6 +168,22 @@ def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest_by_key(spark.read.parquet(f"{at}/out").drop("batch"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
+SQL_STATE = """e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS request_id, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'end' ELSE event_type END AS kind FROM events),
+g AS (SELECT request_id, min(ts) AS f, max(ts) AS l, count(*) AS event_count, count(*) FILTER (kind = 'error') AS error_count, bool_or(kind = 'start') AS s, bool_or(kind = 'end') AS e FROM e GROUP BY request_id)"""
+
+
+@query(f"WITH {SQL_STATE} SELECT request_id, epoch_us(f) AS first_us, epoch_us(l) AS last_us, event_count, error_count, CASE WHEN error_count > 0 THEN 'failed' WHEN s AND e THEN 'ok' ELSE 'partial' END AS status FROM g WHERE e OR l <= (SELECT max(l) FROM g) - INTERVAL 40 MINUTE")
+def stream_request_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests assembled from a stream: told when they end, or after 30 idle minutes behind a watermark of 10."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = scratch(spark)
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end").otherwise(F.col("event_type"))
+    stream = jobs.from_parquet(spark, sf_dir, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    jobs.run_to_table(jobs.assembled(stream), f"{at}/out", f"{at}/checkpoint")
+    out = spark.read.parquet(f"{at}/out")
+    return out.select("request_id", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "event_count", "error_count", "status")
+
+
 @query("SELECT o_orderpriority, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS finished FROM orders GROUP BY ROLLUP (o_orderpriority)")
 def grouping_sets_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beside the traces: a roll-up."""

@@ -201,3 +201,14 @@ def test_order_and_partitioning_do_not_matter(spark, sf):
     q = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id AS request", "text AS query")
     run = lambda x: sorted((r["request"], r["rank"], r["doc_id"]) for r in bm25_topk(x, q, "doc_id", "request", "query", 5, {"title": 2.5, "content": 1.5}).collect())
     assert run(d) == run(d.repartition(5, "doc_id").orderBy(F.rand(1)))
+
+
+def test_models_are_plug_ins(spark):
+    from quillspark.operators import semantic
+
+    rows = spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string")
+    got = {r["id"]: r["embedding"] for r in semantic.embedded(rows, "t", "id", lambda: lambda texts: [[len(t), 1.0] for t in texts]).collect()}
+    assert got == {1: [2.0, 1.0], 2: [0.0, 1.0]}
+    hits = spark.createDataFrame([(1, "a", 1, "q", "xx", 0.1), (1, "b", 2, "q", "xxxx", 0.2)], "request int, chunk_id string, place int, query string, content string, score double")
+    out = ranking.rerank_model(hits, lambda: lambda pairs: [len(c) for _, c in pairs]).orderBy("place").collect()
+    assert [r["chunk_id"] for r in out] == ["b", "a"] and 0.8 < out[1]["score"] < out[0]["score"] < 1
