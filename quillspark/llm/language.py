@@ -88,7 +88,8 @@ def fit(texts: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     """Letter models of the languages of a bounded sample of texts."""
     bounded_batches(texts.sparkSession)
     rows = texts.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lower(F.col(lang)).alias("lang"), F.xxhash64(text, lang).alias("r"))
-    few = written(rows.orderBy("r", "lang").limit(sample).select("text", "lang"), "language-sample")
+    cut = rows.select("r").orderBy("r").limit(sample).agg(F.max("r")).first()[0]  # hashes move, texts stay
+    few = written(rows.filter(F.col("r") <= F.lit(cut)).select("text", "lang"), "language-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
