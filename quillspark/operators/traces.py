@@ -195,7 +195,7 @@ def self_times(events: DataFrame, request: list[str], span: str = "span_id", par
 
 def stage_events(records: DataFrame) -> DataFrame:
     m = marked(records.filter(F.col("valid") & F.col("request_id").isNotNull())).filter(F.col("stage").isNotNull() & F.col("duration_ms").isNotNull())
-    return self_times(m.filter(F.col("project_id").isNotNull() | F.lit(True)).withColumn("project_id", F.coalesce("project_id", F.lit(""))), KEY)
+    return self_times(m.withColumn("project_id", F.coalesce("project_id", F.lit(""))), KEY)
 
 
 def top_stages(stages: DataFrame, request: list[str], n: int = 5) -> DataFrame:

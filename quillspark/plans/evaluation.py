@@ -27,18 +27,25 @@ round(coalesce(count(*) FILTER (should_abstain AND NOT abstained) / nullif(count
 
 
 def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """case_id, doc_id where the text holds the passage whole: a filter on shared words first, then the text itself.
+    """case_id, doc_id where the text holds the passage whole.
 
-    Each passage is looked for by its first word, so that the join is an equi-join on words of documents, not of all pairs.
+    The longest of a passage's inner words stands between blanks in any text that holds the passage, so it is a word of that text: an
+    equi-join on words, and the passage itself is only looked for where that word occurs. Passages of one or two words have no
+    inner word; the end of their first word ends a word of the text.
     """
     word = r"[^\s]+"
-    first = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"), F.regexp_extract("text", word, 0).alias("word"))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("w"))
-    # a passage may start inside a word of the document: its first word then ends that word
-    heads = small_side(first.withColumn("n", F.length("word")))
-    lengths = [r["n"] for r in heads.select("n").distinct().collect()]  # as many as words have lengths
-    tails = words.select("doc_id", "text", F.explode(F.array_distinct(F.array(*[F.right("w", F.lit(n)) for n in lengths]))).alias("word"))
-    return tails.join(heads, "word").filter(F.col("text").contains(F.col("passage"))).select("case_id", "doc_id").distinct()
+    listed = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"), F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("w"))
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    heads = small_side(listed.filter(F.size("w") > 2).select("case_id", "passage", longest.alias("word")))
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("word"))
+    found = words.join(heads, "word")
+    short = listed.filter((F.size("w") > 0) & (F.size("w") <= 2)).select("case_id", "passage", F.col("w")[0].alias("word"))
+    if short.limit(1).count():
+        ends = [r["n"] for r in short.select(F.length("word").alias("n")).distinct().collect()]  # as many as words have lengths
+        tails = words.select("doc_id", "text", F.explode(F.array_distinct(F.array(*[F.right("word", F.lit(n)) for n in ends]))).alias("word"))
+        found = found.unionByName(tails.join(small_side(short), "word"))
+    return found.filter(F.col("text").contains(F.col("passage"))).select("case_id", "doc_id").distinct()
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
