@@ -16,7 +16,7 @@ class Table:
     """An open-addressing hash table of numbers by 64-bit key, looked up by arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(10, int(len(keys) * 3).bit_length())
+        size = 1 << max(10, int(len(keys) * 1.5).bit_length())
         self.keys, self.values, self.mask = np.zeros(size, U), np.zeros(size, np.float32), U(size - 1)
         keys, values = keys.astype(U), values.astype(np.float32)
         at = mix64(keys) & self.mask

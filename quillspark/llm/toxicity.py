@@ -31,7 +31,7 @@ SHARED = 3
 WINDOW = 5
 
 #: Labelled texts per class that the class counts and the curve are fitted on, the first ones by hash. All texts give shared counts.
-SAMPLE = 20_000
+SAMPLE = 100_000
 
 #: n-grams of one order in a model; beyond, the rarest go (they fall back to lower orders).
 MAX_ENTRIES = 1 << 21
