@@ -1 +1,166 @@
-"""Queries."""
+"""Answering queries: understanding of inline questions, and guardrails, evidence, prompts and citations over the documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions.frames import table
+from quillspark.functions.vocabulary import ALIASES
+from quillspark.operators import answering, guardrail, ranking, understanding
+
+from .registry import query
+from .retrieval import SQL_BM25, SQL_RERANK, SQL_RRF, TOKENS, asked, lexical_hits, reranked
+
+QUESTIONS = [(1, "2PC 和 3PC 有什么区别"), (2, "如何 安装 Redis"), (3, "笔记里有没有 raft"), (4, "哪些参数 对应 gdb"), (5, "HLC"), (6, "")]
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUESTIONS, "request int, question string").withColumn("queries", F.array("question"))
+
+
+@query("SELECT * FROM (VALUES (1, 'comparison', 'comparison-diverse', FALSE, TRUE), (2, 'procedure', 'procedure-semantic', FALSE, FALSE), (3, 'existence', 'existence-precise', TRUE, FALSE), (4, 'lookup', 'lookup-precise', FALSE, FALSE), (5, 'definition', 'balanced', FALSE, FALSE), (6, 'definition', 'balanced', FALSE, FALSE)) t(request, query_type, route_policy, metadata_focus, requires_multi_source)")
+def query_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return understanding.profile(questions(spark)).select("request", "query_type", "route_policy", "metadata_focus", "requires_multi_source")
+
+
+@query("SELECT * FROM (VALUES (1, '2pc|和|3pc|有什么区别'), (2, 'redis'), (3, '笔记里有没有|笔记|记里|里有'), (4, '哪些参数|些参|参数|对应'), (5, 'hlc'), (6, '')) t(request, anchors)")
+def query_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return understanding.profile(questions(spark)).select("request", F.array_join("anchor_terms", "|").alias("anchors"))
+
+
+@query("SELECT * FROM (VALUES (1, '两阶段提交 和 3pc 有什么区别|两阶段提交协议 和 3pc 有什么区别|2pc 和 三阶段提交 有什么区别'), (2, ''), (3, ''), (4, '哪些参数 对应 gnu debugger|哪些参数 对应 调试器'), (5, 'hybrid logical clock|混合逻辑时钟'), (6, '')) t(request, variants)")
+def alias_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark).select("request", F.array_join(understanding.alias_variants(F.col("question"), ALIASES), "|").alias("variants"))
+
+
+@query("SELECT * FROM (VALUES (2, '如何 安装 Redis|redis'), (5, 'HLC|hybrid logical clock|混合逻辑时钟'), (6, '')) t(request, variants)")
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = understanding.variants(understanding.profile(questions(spark).filter("request IN (2, 5, 6)")))
+    return v.select("request", F.array_join("variants", "|").alias("variants"))
+
+
+@query("SELECT * FROM (VALUES (1, 24, 8), (2, 22, 8), (3, 22, 8), (4, 20, 6), (5, 20, 6), (6, 20, 6)) t(request, recall_k, rerank_k)")
+def route_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return understanding.routed(understanding.profile(questions(spark))).select("request", "recall_k", "rerank_k")
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_k(ranking.score_filter(reranked(spark, sf_dir)), 6)
+
+
+SQL_EVIDENCE = f"""{SQL_BM25}, {SQL_RRF}, {SQL_RERANK},
+ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY rplace) AS p FROM rk WHERE score >= 0.1) WHERE p <= 6),
+es AS (SELECT request, least(1, greatest(0, score)) AS s, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS chars, row_number() OVER (PARTITION BY request ORDER BY least(1, greatest(0, score)) DESC, p) AS n FROM ev WHERE trim(text) <> ''),
+sm AS (SELECT b.item_id AS request, coalesce(max(s), 0) AS top1, coalesce(avg(s) FILTER (n <= 3), 0) AS top3, count(*) FILTER (chars >= 8) AS hit_count, coalesce(sum(chars), 0)::BIGINT AS total_chars FROM benchmark b LEFT JOIN es ON request = item_id GROUP BY 1),
+ab AS (SELECT *, CASE WHEN top1 < 0.2 THEN 'top1_score_below_threshold' WHEN top3 < 0.3 THEN 'top3_avg_score_below_threshold' WHEN hit_count < 2 THEN 'recall_hits_below_threshold' WHEN total_chars < 150 THEN 'evidence_chars_below_threshold' END AS reason FROM sm)"""
+
+
+@query(f"WITH {SQL_EVIDENCE} SELECT request, reason IS NOT NULL AS abstained, reason, round(top1, 6) AS top1, round(top3, 6) AS top3, hit_count, total_chars FROM ab")
+def abstain_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = guardrail.abstain(asked(spark, sf_dir), guardrail.evidence_summary(evidence(spark, sf_dir)))
+    return a.select("request", "abstained", "reason", F.round("top1", 6).alias("top1"), F.round("top3", 6).alias("top3"), "hit_count", "total_chars")
+
+
+SQL_TERMS = f"""ed AS (SELECT request, source, list_distinct(flatten(list({TOKENS.format('text')}))) AS terms, count(*) AS hits FROM ev GROUP BY ALL),
+qs AS (SELECT item_id AS request, list_distinct({TOKENS.format('text')}) AS a, list_distinct({TOKENS.format('left(text, 60)')}) AS b FROM benchmark)"""
+
+
+@query(f"WITH {SQL_EVIDENCE}, {SQL_TERMS} SELECT request, round(coalesce(max(len(list_intersect(a, terms)) / len(a)), 0), 6) AS coverage FROM qs LEFT JOIN ed USING (request) GROUP BY request")
+def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages as single queries; a source is a document of several chunks."""
+    docs = guardrail.evidence_terms(evidence(spark, sf_dir), [F.col("content")])
+    c = guardrail.term_coverage(asked(spark, sf_dir).select("request", F.array("query").alias("queries")), docs)
+    return c.select("request", F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"""WITH {SQL_EVIDENCE}, {SQL_TERMS},
+w AS (SELECT request, t, count(*) AS w FROM (SELECT request, unnest(a) AS t FROM qs UNION ALL SELECT request, unnest(b) FROM qs) GROUP BY ALL),
+tw AS (SELECT request, sum(w) AS tot FROM w GROUP BY request),
+we AS (SELECT e.request, e.source, sum(w) FILTER (list_contains(terms, t)) / max(tot) AS c FROM ed e JOIN w USING (request) JOIN tw USING (request) WHERE hits >= 2 GROUP BY ALL),
+pl AS (SELECT request, max(greatest(len(list_intersect(a, terms)) / len(a), len(list_intersect(b, terms)) / len(b))) AS c FROM qs JOIN ed USING (request) GROUP BY request)
+SELECT item_id AS request, round(greatest(coalesce((SELECT c FROM pl WHERE request = item_id), 0), coalesce((SELECT max(c) FROM we WHERE request = item_id), 0)), 6) AS coverage FROM benchmark""")
+def weighted_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two variants of each passage: all of it, and its first letters."""
+    docs = guardrail.evidence_terms(evidence(spark, sf_dir), [F.col("content")])
+    two = asked(spark, sf_dir).select("request", F.array("query", F.left("query", F.lit(60))).alias("queries"))
+    return guardrail.term_coverage(two, docs).select("request", F.round("coverage", 6).alias("coverage"))
+
+
+PROFILES = [(1, "comparison", ["redis", "raft"]), (2, "comparison", ["redis", "raft"]), (3, "comparison", ["redis", "raft"]), (4, "lookup", ["redis", "raft"])]
+FOUND = [(1, "d1", ["redis", "raft"], 1), (2, "d1", ["redis"], 1), (2, "d2", ["raft", "x"], 2), (3, "d1", ["redis"], 1), (3, "d2", ["redis"], 2)]
+
+
+@query("SELECT * FROM (VALUES (1, TRUE), (2, TRUE), (3, FALSE)) t(request, complete)")
+def comparison_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.createDataFrame(PROFILES, "request int, query_type string, comparison_terms array<string>")
+    d = spark.createDataFrame(FOUND, "request int, document string, terms array<string>, first_place int")
+    return guardrail.comparison_complete(p, d)
+
+
+@query("SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, FALSE)) t(request, strong)")
+def existence_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top document may cover three fifths; another one has to cover all."""
+    r = spark.createDataFrame([(i, ["aa bb cc"]) for i in range(1, 5)], "request int, queries array<string>")
+    d = spark.createDataFrame([(1, "t", ["aa", "bb"], 1), (2, "t", ["aa"], 1), (2, "o", ["aa", "bb"], 2), (3, "t", ["x"], 1), (3, "o", ["aa", "bb", "cc"], 2), (4, "t", ["x"], 1)], "request int, document string, terms array<string>, first_place int")
+    return guardrail.strong_existence(r, d)
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text FROM conversations),
+n AS (SELECT a.conv_id, a.turn, b.turn AS t, b.text AS x, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY CASE WHEN b.turn // 2 = a.turn // 2 THEN 0 ELSE 1 END, abs(b.turn - a.turn), b.turn) AS k FROM c a JOIN c b USING (conv_id))
+SELECT conv_id || ':' || turn AS chunk_id, string_agg(t::VARCHAR, ',' ORDER BY t) AS turns, md5(string_agg(trim(x), chr(10) || chr(10) ORDER BY t)) AS h FROM n WHERE k <= 3 GROUP BY conv_id, turn""")
+def parent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns are chunks, two turns a section, a conversation is a document."""
+    c = table(spark, sf_dir, "conversations")
+    chunks = c.select(F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.floor(F.col("turn") / 2).alias("section_index"), F.col("text").alias("content"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"))
+    out = answering.parent_context(chunks.select(F.lit(1).alias("request"), "chunk_id"), chunks)
+    return out.select("chunk_id", F.array_join(F.transform("chunk_ids", lambda x: F.substring_index(x, ":", -1)), ",").alias("turns"), F.md5("content").alias("h"))
+
+
+@query(f"WITH {SQL_EVIDENCE} SELECT request, doc_id, row_number() OVER (PARTITION BY request ORDER BY p) AS ref_index, source || ':' || (doc_id + 1) || '-' || (doc_id + 3) AS location FROM ev WHERE trim(text) <> ''".replace("source || ':'", "doc_id || '.md:'"))
+def evidence_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = answering.sources(evidence(spark, sf_dir))
+    return s.select("request", F.col("chunk_id").alias("doc_id"), F.col("ref_index").cast("long").alias("ref_index"), ranking.location(F.col("file_path"), F.col("chunk_id") + 1, F.col("chunk_id") + 3).alias("location"))
+
+
+def _prompt_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    text = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+    cut = f"CASE WHEN length({text}) > 1200 THEN regexp_replace(left({text}, 1199), '\\s+$', '') || '…' ELSE {text} END"
+    block = f"'[证据 ' || p || ']' || chr(10) || 'ref: [' || p || ']' || chr(10) || 'location: ' || doc_id || '.md:1-2' || chr(10) || 'file_path: ' || source || '/' || doc_id || '.md' || chr(10) || 'doc_id: ' || source || chr(10) || 'title_path: ' || source || chr(10) || 'text:' || chr(10) || {cut}"
+    listed = "'[' || p || '] ' || doc_id || '.md:1-2 | ' || source"
+    gap = "chr(10) || chr(10)"
+    parts = [q(answering.SYSTEM_PROMPT), "'问题：' || regexp_replace(b.text, '^\\s+|\\s+$', '', 'g')", "'证据：'", "coalesce(blocks, '(无证据)')", *[q(x) for x in answering.OUTPUT_RULES], "coalesce(listed, '(无来源)')", q(answering.LAST_RULE)]
+    return f"""WITH {SQL_EVIDENCE}, pb AS (SELECT request, string_agg({block}, {gap} ORDER BY p) AS blocks, string_agg({listed}, chr(10) ORDER BY p) AS listed FROM ev WHERE trim(text) <> '' GROUP BY request)
+SELECT b.item_id AS request, md5(CASE WHEN reason IS NOT NULL THEN '' ELSE {f" || {gap} || ".join(parts)} END) AS h, reason IS NOT NULL AS empty FROM benchmark b JOIN ab ON ab.request = item_id LEFT JOIN pb ON pb.request = item_id"""
+
+
+@query(_prompt_sql())
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = evidence(spark, sf_dir).withColumns({"start_line": F.lit(1), "end_line": F.lit(2)})
+    r = asked(spark, sf_dir).withColumnRenamed("query", "question")
+    p = answering.prompts(r, e, guardrail.abstain(r, guardrail.evidence_summary(e)), scores=False)
+    return p.select("request", F.md5("prompt").alias("h"), (F.col("prompt") == "").alias("empty"))
+
+
+@query("SELECT * FROM (VALUES (1, 'x,y', 'y'), (2, '', ''), (3, 'a b', 'a b')) t(n, cited, allowed)")
+def cited_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "a [x] b [ x ] c [y] []", ["y", "z"]), (2, "none", ["q"]), (3, "[[a b]]", [])], "n int, answer string, used array<string>")
+    c = answering.cited_ids(F.col("answer"))
+    return rows.select("n", F.array_join(c, ",").alias("cited"), F.array_join(answering.allowed_ids(c, F.col("used")), ",").alias("allowed"))
+
+
+@query(f"""WITH {SQL_BM25},
+an AS (SELECT request, q.query AS answer, d.text FROM lex JOIN q USING (request) JOIN d USING (doc_id) WHERE rank = 1),
+se AS (SELECT request, unnest(string_split_regex(answer, '[。！？!?.]+\\s*|\\n+')) AS s FROM an),
+wd AS (SELECT request, list_transform(regexp_extract_all(s, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'), lambda x: lower(x)) AS w FROM se),
+gr AS (SELECT DISTINCT request, regexp_replace(array_to_string(w[i:i + 7], ''), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS g FROM (SELECT request, w, unnest(range(1, greatest(1, len(w) - 6))) AS i FROM wd)),
+tx AS (SELECT request, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS t FROM an),
+cv AS (SELECT request, count(*) AS total, count(*) FILTER (contains(t, g)) AS m FROM gr JOIN tx USING (request) WHERE g <> '' GROUP BY request)
+SELECT request, round(coalesce(m / total, 0), 4) AS coverage, coalesce(m / total, 0) < 0.5 AS unverified FROM an LEFT JOIN cv USING (request)""")
+def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage is an answer that cites the first lexical hit."""
+    top = lexical_hits(spark, sf_dir).filter("rank = 1").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    t = top.select("request", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "text")
+    a = asked(spark, sf_dir).join(t.select("request", "chunk_id"), "request").select("request", F.concat(F.col("query"), F.lit("\n["), "chunk_id", F.lit("]")).alias("answer"), F.array("chunk_id").alias("used"))
+    return answering.verify(a, t)[0].select("request", "coverage", "unverified")

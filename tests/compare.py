@@ -1,6 +1,7 @@
 """Spark results against DuckDB on the same tables."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -14,7 +15,7 @@ def connection(sf):
 
 def rows_of(df):
     df = df[sorted(df.columns)]
-    plain = lambda x: None if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
+    plain = lambda x: None if x is None or x is pd.NA or x is pd.NaT or x != x else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
     out = []
     for r in df.astype(object).itertuples(index=False, name=None):
         out.append(tuple(plain(x.item() if hasattr(x, "item") else x) for x in r))
