@@ -14,6 +14,22 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_side(df: DataFrame, most: int) -> DataFrame:
+    """As small_side, where it is known that df has at most `most` rows: nothing has to be run to count them."""
+    return F.broadcast(df) if most <= BROADCAST_ROWS else df
+
+
+#: Below so many bytes a task, a scan is dealt out anew: a small file may be one row group, and so one task.
+SMALL_TASK = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small enough for that to cost next to nothing; large inputs stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size <= n * SMALL_TASK else df
+
+
 def computed(df: DataFrame, columns: dict) -> DataFrame:
     """df with columns that are worked out once per row, where they stand. A plain projection would be copied into every filter and
     expression above it, which grows out of hand when columns build on each other."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import table
+from quillspark.functions.frames import spread, table
 from quillspark.functions.text import language_guess, preview, rstrip_lines, stable_row_id, token_estimate, tokens
 from quillspark.operators import cleaning, sections, state
 from quillspark.sources import store
@@ -178,7 +178,7 @@ def contextual_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections and chunks of every document; held against the chunker's rules by tests."""
-    s = sections.sections(docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "text"))
+    s = sections.sections(spread(docs(spark, sf_dir)).select(F.col("doc_id").alias("document_id"), "text"))
     return sections.renumbered(sections.chunks(s, compat=False)).select("document_id", "chunk_index", "chunk_id", "token_count", "start_line", "end_line")
 
 

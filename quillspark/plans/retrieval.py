@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import small_side, table
+from quillspark.functions.frames import bounded_side, spread, table
 from quillspark.operators import lexical, ranking, semantic
 
 from .registry import query
@@ -58,7 +58,7 @@ def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest documents of each passage by hash embedding."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", semantic.hash_embedding(F.col("text")).alias("embedding"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", semantic.hash_embedding(F.col("text")).alias("embedding"))
     return semantic.knn_cosine(docs, asked(spark, sf_dir).select("request", semantic.hash_embedding(F.col("query")).alias("embedding")), "doc_id", "request", K)
 
 
@@ -70,7 +70,9 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_texts(hits: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("document"))
-    out = docs.join(small_side(hits), "chunk_id").join(small_side(asked(spark, sf_dir)), "request")
+    requests = asked(spark, sf_dir)
+    n = requests.count()  # a request has two lists of K hits at most
+    out = docs.join(bounded_side(hits, 2 * K * n), "chunk_id").join(bounded_side(requests, n), "request")
     return out.withColumns({"file_path": F.concat("document", F.lit("/"), F.col("chunk_id").cast("string"), F.lit(".md")), "title_path": F.array("document")})
 
 

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import table
+from quillspark.functions.frames import spread, table
 from quillspark.operators import traces as tr
 from quillspark.streaming import jobs
 
@@ -22,7 +22,7 @@ rt AS (SELECT *, CASE WHEN errors > 0 THEN 'failed' WHEN partial THEN 'partial'
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line, line_number (the event's id)."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     kind = F.col("event_type")
     event = F.when(kind == "signup", "http.request.start").when(kind == "purchase", "http.request.end").when(kind == "error", "api.ask.error").otherwise(F.concat(F.lit("api."), kind, F.lit(".end")))
     request = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
