@@ -279,8 +279,3 @@ def health(sources: DataFrame, now: Column, idle: int = 60, stale: int = 300) ->
     trouble = F.col("error") + F.col("offline") > 0
     status = F.when((F.col("live") > 0) & trouble, "degraded").when(F.col("live") > 0, "live").when(F.col("error") > 0, "error").when(F.col("offline") > 0, "offline").when(F.col("stale") > 0, "stale").otherwise("idle")
     return g.withColumn("status", status)
-
-
-def lines_from(events: DataFrame) -> DataFrame:
-    """Log lines in the shape that `parse` reads: event_id, ts, request_id, event, and what else is there. For tests and benchmarks."""
-    return events.select(F.to_json(F.struct(*events.columns)).alias("line"), F.monotonically_increasing_id().alias("line_number"))
