@@ -60,9 +60,10 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("case_id", "kind", F.col("rank").cast("long").alias("rank"), "mrr", "search_hit", F.col("held").isNull().alias("should_abstain"), (F.coalesce("best", F.lit(0.0)) < 60).alias("abstained"))
 
 
-@query(f"WITH {SQL_CASES} SELECT case_id, kind, rank, mrr, search_hit, should_abstain, abstained FROM cr")
+@query(f"WITH {SQL_CASES} SELECT case_id, kind, coalesce(rank, 0) AS rank, mrr, search_hit, should_abstain, abstained FROM cr")
 def eval_case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir)
+    """Rank 0: nothing relevant was found."""
+    return results(spark, sf_dir).withColumn("rank", F.coalesce("rank", F.lit(0).cast("long")))
 
 
 @query(f"WITH {SQL_CASES} SELECT {SQL_BLOCK} FROM cr")

@@ -49,11 +49,11 @@ def log_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAMPS = ["2026-04-15 11:52:02.389", "1776234722389", "2026-04-15T11:52:02.389", "2026-04-15T11:52:02.389+08:00", "2026-04-15T03:52:02.389Z", "1776234722", "nonsense", ""]
 
 
-@query("""SELECT * FROM (VALUES (1, 1776225122389000, 'local_datetime'), (2, 1776234722389000, 'epoch_ms'), (3, 1776225122389000, 'iso8601_naive'), (4, 1776225122389000, 'rfc3339'), (5, 1776225122389000, 'rfc3339'), (6, 1776234722000000, 'epoch_s'), (7, NULL, NULL), (8, NULL, NULL)) t(n, us, format)""")
+@query("""SELECT n, us::VARCHAR AS us, format FROM (VALUES (1, 1776225122389000, 'local_datetime'), (2, 1776234722389000, 'epoch_ms'), (3, 1776225122389000, 'iso8601_naive'), (4, 1776225122389000, 'rfc3339'), (5, 1776225122389000, 'rfc3339'), (6, 1776234722000000, 'epoch_s'), (7, NULL, NULL), (8, NULL, NULL)) t(n, us, format)""")
 def log_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(STAMPS, 1)), "n int, raw string")
     time, kind = tr.timestamps(F.col("raw"), "Asia/Shanghai")
-    return rows.select("n", F.unix_micros(time).alias("us"), kind.alias("format"))
+    return rows.select("n", F.unix_micros(time).cast("string").alias("us"), kind.alias("format"))
 
 
 @query(f"WITH {SQL_LOG} SELECT request_id, request_type, epoch_us(coalesce(s, first_seen)) AS started_us, epoch_us(coalesce(e, last_seen)) AS ended_us, round(duration, 3) AS duration_ms, errors AS error_count, events AS event_count, stages AS stage_count FROM rt")
@@ -97,10 +97,10 @@ def error_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 BAD = ["not-json", "[1, 2]", "", '{"event": "x", "level": "ERROR", "message": "boom"}', '{"span_name": "a.b", "event": "end", "status_code": "503", "trace_id": "t"}']
 
 
-@query("""SELECT * FROM (VALUES (1, FALSE, 'invalid JSON', NULL, NULL, NULL, NULL), (2, FALSE, 'not a JSON object', NULL, NULL, NULL, NULL), (3, FALSE, 'empty line', NULL, NULL, NULL, NULL), (4, TRUE, NULL, 'x', NULL, NULL, NULL), (5, TRUE, NULL, 'end', 503, 'error', 't')) t(n, valid, parse_error, event, status_code, status, request_id)""")
+@query("""SELECT n, valid, parse_error, event, status_code::VARCHAR AS status_code, status, request_id FROM (VALUES (1, FALSE, 'invalid JSON', NULL, NULL, NULL, NULL), (2, FALSE, 'not a JSON object', NULL, NULL, NULL, NULL), (3, FALSE, 'empty line', NULL, NULL, NULL, NULL), (4, TRUE, NULL, 'x', NULL, NULL, NULL), (5, TRUE, NULL, 'end', 503, 'error', 't')) t(n, valid, parse_error, event, status_code, status, request_id)""")
 def log_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tr.parse(spark.createDataFrame([(i, x) for i, x in enumerate(BAD, 1)], "line_number int, line string"))
-    return r.select(F.col("line_number").alias("n"), "valid", "parse_error", "event", "status_code", "status", "request_id")
+    return r.select(F.col("line_number").alias("n"), "valid", "parse_error", "event", F.col("status_code").cast("string").alias("status_code"), "status", "request_id")
 
 
 @query(f"WITH {SQL_LOG} SELECT count(*) AS requests, count(*) FILTER (status = 'failed') AS failed_requests, count(*) FILTER (partial) AS partial_requests, round(quantile_cont(duration, 0.95), 3) AS p95_ms, (SELECT count(*) FROM ev WHERE kind = 'error') AS errors FROM rt")
