@@ -8,8 +8,9 @@ to be remembered or exchanged between tasks, and a new corpus under the same key
 
 `collisions` checks over a whole corpus that no surrogate stands for two entities.
 
-Defined results: a null text stays null; a text without entities stays as it is; of overlapping entities the first, then the longest counts; rows that repeat get
-equal surrogates; an empty table gives an empty result.
+Defined results: a null text stays null; a text without entities stays as it is; of overlapping entities the first, then the longest counts; a match that
+fails its check (card, address) is none, and hides nothing that begins inside it; rows that repeat get equal surrogates; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -43,18 +44,20 @@ _CLASS = {c: (k, i) for k in CLASSES for i, c in enumerate(k)} | {c.upper(): (k.
 _ALL = "abcdefghijklmnopqrstuvwxyz"
 
 _NAME = r"[^\W\d_]+"
+_CARD_END = r"(?![\d-]|\.\d)"
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?[A-Za-z0-9_/+-]{6,}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)",
+    "card": rf"(?<![\d.-])\d(?:[ -]?\d){{12,18}}{_CARD_END}",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "address": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])",
     "person": rf"(?<!\w)(?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?: [A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]*\.?)?(?: [A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)(?!\w)|(?<!\w)(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Señor|Señora)\.? {_NAME}(?!\w)",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
+_EACH, _KINDS, _CARD_ENDS = {k: re.compile(v) for k, v in PATTERNS.items()}, list(PATTERNS), re.compile(_CARD_END)
 _MAYBE = re.compile(r"[0-9@]|[A-ZÀ-ÞА-ЯΑ-Ω]\w+\.? [A-ZÀ-ÞА-ЯΑ-Ω]|[=:]")
 
 
@@ -192,20 +195,35 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
     return value[:keep] + permuted(tail, [mixed or alphabet(c) for c in tail], key, f"{kind}|{value[:keep]}")
 
 
+def _checked(kind: str, text: str, start: int, end: int) -> int:
+    """The end of the longest entity within a match that passes the check of its kind; 0 if there is none."""
+    if kind == "address":
+        return 0 if any(int(x) > 255 for x in text[start:end].split(".")) else end
+    if kind != "card":
+        return end
+    digits, ends = "", []
+    for i in range(start, end):
+        if text[i].isdigit():
+            digits += text[i]
+            ends.append(i + 1)
+    return next((ends[n - 1] for n in range(len(digits), 12, -1) if luhn(digits[:n]) and _CARD_ENDS.match(text, ends[n - 1])), 0)
+
+
 def entities(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) in the order of the text."""
     if not _MAYBE.search(text):
         return
     at = 0
     while m := _FIND.search(text, at):
-        kind, value = m.lastgroup, m[0]
-        if kind == "card" and not luhn("".join(c for c in value if c.isdigit())):
-            kind = "phone" if value.startswith("+") else None
-        if kind == "address" and any(int(x) > 255 for x in value.split(".")):
-            kind = None
-        if kind:
-            yield kind, m.start(), m.end()
-        at = m.end()
+        at = m.start()
+        kind, end = m.lastgroup, _checked(m.lastgroup, text, at, m.end())
+        if not end:  # the patterns before this one don't match here
+            for kind in _KINDS[_KINDS.index(m.lastgroup) + 1 :]:
+                if (other := _EACH[kind].match(text, at)) and (end := _checked(kind, text, at, other.end())):
+                    break
+        if end:
+            yield kind, at, end
+        at = end or at + 1
 
 
 def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:

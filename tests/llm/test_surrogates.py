@@ -65,3 +65,18 @@ def test_collisions_are_found(spark):
 def test_other_columns_stay(spark):
     rows = spark.createDataFrame([("t@mail.example.com", 1, [1, 2])], "text string, doc_id long, entities array<int>")
     assert su.replace(rows, KEY).columns == ["text", "doc_id", "entities"]
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("2024-01-15 555-123-4567", "phone", "555-123-4567"),
+    ("Suite 201 555-123-4567", "phone", "555-123-4567"),
+    ("room 2024 123-45-6789", "social", "123-45-6789"),
+    ("555-123-4567 2025", "phone", "555-123-4567"),
+    ("no 2024 4600 6098 0082 5907", "card", "4600 6098 0082 5907"),
+    ("4600 6098 0082 5907 12", "card", "4600 6098 0082 5907"),
+    ("build 1.300.555.123 4567", "phone", "555.123 4567"),
+])
+def test_a_failed_check_hides_nothing(text, kind, value):
+    assert (kind, value) in [(k, text[a:b]) for k, a, b in su.entities(text)]
+    assert [k for k, _, _ in su.entities("2024-01-15 12345678")] == []
+    assert [(a, b) for _, a, b in su.entities("Suite 200 555-123-4567")] == [(6, 22)]  # a valid sum by chance: replaced as a card
