@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a passage of the benchmark."""
-    return decontaminated(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminated(docs, read_table(spark, sf_dir, "benchmark"), exact_short=True).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

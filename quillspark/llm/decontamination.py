@@ -3,12 +3,13 @@
 A mask says which of a few consecutive words are hashed; a substituted word at an ignored place changes nothing. The seeds
 of the benchmark, under every mask, are joined with those of the documents by hash; around each hit, item and document are
 compared word by word on the hit's diagonal. An overlap counts if in some window of WINDOW words (or the whole item, if shorter) at
-least LEAST of the words agree. The masks together leave no pattern of that many substitutions without a hit.
+least LEAST of the words agree. The masks of an item's length together leave no pattern of that many substitutions without a hit.
 
-Words are compared without case and punctuation. Each document is searched whole, where it lies, without a shuffle; the benchmark
+Words are compared without case and punctuation; in scripts that are written without blanks every character is a word. Each document is searched whole, where it lies, without a shuffle; the benchmark
 goes to the tasks in blocks of at most about BLOCK_WORDS words, one pass over the documents for each block.
 
-Defined results: items of fewer than SHORTEST words are no evidence and match nothing; null texts match nothing; an item and
+Defined results: items of fewer than SHORTEST words match nothing, or with `exact_short` (the query and the pipeline) where a text holds all their
+words in order and unchanged; items without words and null texts match nothing; an item and
 a document give one row, with their best overlap (of equal ones, the first in the document); rows that repeat give a row each;
 an empty table on either side gives an empty result.
 """
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,36 @@ from .tokens import U, mix64, word_hashes
 MASKS = ("11111", "111011", "110111")
 WINDOW, LEAST, SHORTEST = 20, 0.8, 8
 
+#: Besides MASKS, for items of fewer than DENSE words: two words changed out of ten or eleven can leave no longer run.
+FEW, DENSE = "1111", 12
+
+#: Scripts that are written without blanks between words.
+_UNSPACED = ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Javanese", "Balinese")
+
 #: Benchmark words of one pass: about 100 bytes each in a task.
 BLOCK_WORDS = 500_000
 
 _FILTER_BITS = 22
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """texts in lower case with blanks for what is no letter, mark or digit, and around characters of unspaced scripts; ASCII texts as they are."""
+    foreign = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
+    some = pc.utf8_lower(texts.filter(foreign))
+    if not len(some):
+        return texts
+    some = pc.replace_substring_regex(some, r"[^\x00-\x7F\p{L}\p{N}\p{M}]+", " ")
+    some = pc.replace_substring_regex(some, "([" + "".join(rf"\p{{{x}}}" for x in _UNSPACED) + "])", r" \1 ")
+    return pc.replace_with_mask(texts, foreign, some)
+
+
+def masks_of(n: int, exact_short: bool = False) -> tuple[str, ...]:
+    """The masks for an item of n words."""
+    if n < SHORTEST:
+        return ("1" * n,) if exact_short and n else ()
+    return (*MASKS, FEW) if n < DENSE else MASKS
+
+
 def seeds(words: np.ndarray, offsets: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the mask at every place where it lies inside a row, and these places."""
     span = len(mask)
@@ -53,19 +79,21 @@ def seeds(words: np.ndarray, offsets: np.ndarray, mask: str) -> tuple[np.ndarray
 class Block:
     """Part of the benchmark: its words, and its seeds in order of hash."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], exact_short: bool = False):
         self.ids = pa.array(ids)
-        parts = [(w, np.diff(o)) for _, _, w, o in word_hashes(pa.array(texts, pa.string()), plain=True)]
+        parts = [(w, np.diff(o)) for _, _, w, o in word_hashes(spaced(pa.array(texts, pa.string())), plain=True)]
         self.words = np.concatenate([w for w, _ in parts]) if parts else np.zeros(0, U)
         n = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(n)])
         item = np.repeat(np.arange(len(n)), n)
-        keys, places = [], []
-        for mask in MASKS:
+        lengths = {int(x): masks_of(int(x), exact_short) for x in np.unique(n)}
+        self.masks = list(dict.fromkeys(m for own in lengths.values() for m in own))
+        keys, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for mask in self.masks:
             k, p = seeds(self.words, self.offsets, mask)
-            long_enough = n[item[p]] >= SHORTEST
-            keys.append(k[long_enough])
-            places.append(p[long_enough])
+            meant = np.isin(n[item[p]], [x for x, own in lengths.items() if mask in own])
+            keys.append(k[meant])
+            places.append(p[meant])
         key, place = np.concatenate(keys), np.concatenate(places)
         order = np.argsort(key, kind="stable")
         self.keys, self.places, self.item = key[order], place[order], item
@@ -74,9 +102,11 @@ class Block:
 
     def search(self, texts: pa.Array) -> Iterator[tuple]:
         """(row, item, first word, window, equal words) as arrays, for each piece of texts; one entry per row and item."""
-        for at, _, words, offsets in word_hashes(texts, plain=True):
+        if not self.masks:
+            return
+        for at, _, words, offsets in word_hashes(spaced(texts), plain=True):
             found = []
-            for mask in MASKS:
+            for mask in self.masks:
                 k, p = seeds(words, offsets, mask)
                 near = np.flatnonzero(self.filter[k >> U(64 - _FILTER_BITS)])
                 k, p = k[near], p[near]
@@ -114,27 +144,28 @@ class Block:
                 equal = total[:, w:] - total[:, :-w]
                 best = equal.argmax(axis=1)
                 equal = equal[np.arange(len(part)), best]
-                yes = equal >= LEAST * w - 1e-9
+                yes = equal >= (LEAST * w - 1e-9 if w >= SHORTEST else w)
                 out.append(np.stack([row[part], item[part], diagonal[part] + best - offsets[row[part]], np.full(len(part), w), equal])[:, yes])
         return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 5
 
 
-def blocks(items: DataFrame, key: str, text: str) -> Iterator[Block]:
+def blocks(items: DataFrame, key: str, text: str, exact_short: bool) -> Iterator[Block]:
     """The benchmark, a bounded part at a time."""
-    n = items.agg(F.sum(word_count(text))).first()[0] or 0
+    unspaced = F.coalesce(F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{x}}}" for x in _UNSPACED) + "]")), F.lit(0))
+    n = items.agg(F.sum(word_count(text) + unspaced)).first()[0] or 0
     count = n // BLOCK_WORDS + 1
     dealt = items.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
     for k in range(count):
         rows = dealt.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).toPandas() if count > 1 else dealt.toPandas()
-        yield Block(rows["id"].tolist(), rows["text"].tolist())
+        yield Block(rows["id"].tolist(), rows["text"].tolist(), exact_short)
 
 
-def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", exact_short: bool = False) -> DataFrame:
     """doc_id, item_id, first_word (of the best window, counted from 0), window, equal_words: one row for each pair that overlaps."""
     bounded_batches(docs.sparkSession)
     kinds = (docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString())
     out = None
-    for block in blocks(items, item_key, item_text):
+    for block in blocks(items, item_key, item_text, exact_short):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -148,10 +179,10 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", exact_short: bool = False) -> DataFrame:
     """docs without the rows that overlap with an item; each block of the benchmark filters what the one before it kept."""
     bounded_batches(docs.sparkSession)
-    for block in blocks(items, item_key, item_text):
+    for block in blocks(items, item_key, item_text, exact_short):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -168,4 +199,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_k
 def op7_spaced_seeds(spark, sf_dir: str) -> DataFrame:
     from .text import read_table
 
-    return overlaps(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return overlaps(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), exact_short=True)

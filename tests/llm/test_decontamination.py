@@ -74,3 +74,21 @@ def test_blocks_are_the_whole(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_WORDS", 100)
     assert {(r["doc_id"], r["item_id"]) for r in dc.overlaps(docs, items).collect()} == {(i, i) for i in range(30)}
     assert dc.decontaminated(docs, items).count() == 0
+
+
+@pytest.mark.parametrize("n", range(8, dc.WINDOW + 1))
+def test_masks_of_every_length(n):
+    most = n - int(-(-(dc.LEAST * n - 1e-9) // 1))
+    for gone in itertools.combinations(range(n), most):
+        assert any(all(m == "0" or a + j not in gone for j, m in enumerate(mask)) for mask in dc.masks_of(n) for a in range(n - len(mask) + 1)), gone
+
+
+def test_short_items_and_unspaced_scripts(spark, tmp_path):
+    chinese = "机器学习模型在训练数据中看到了考试的题目和答案"
+    items = [(1, "yes"), (2, "two words"), (3, "one two three four five"), (4, "a b c d e f g"), (5, chinese), (6, "!"), (7, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"), (8, "МОСКВА это столица России и самый большой город")]
+    docs = [(1, "Yes!"), (2, "say two, words"), (3, "one two three four 5"), (4, "x A b c d e f G x"), (5, "以前说过：「" + chinese.replace("考", "测") + "」。"), (6, "words two"), (7, "w1 w2 w3 X w5 X w7 w8 w9 w10"), (8, "«москва» это столица россии — и самый большой город"), (9, None), (10, "!")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    i.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {(r["doc_id"], r["item_id"]) for r in dc.op7_spaced_seeds(spark, str(tmp_path)).collect()} == {(k, k) for k in (1, 2, 4, 5, 7, 8)}
+    assert {r["doc_id"] for r in dc.decontaminated(d, i, exact_short=True).collect()} == {3, 6, 9, 10}
