@@ -33,9 +33,6 @@ WINDOW = 5
 #: Labelled texts per class that the class counts and the curve are fitted on, the first ones by hash. All texts give shared counts.
 SAMPLE = 100_000
 
-#: n-grams of one order in a model; beyond, the rarest go (they fall back to lower orders).
-MAX_ENTRIES = 1 << 21
-
 
 @dataclass
 class Model:
@@ -158,8 +155,7 @@ def build(keys: np.ndarray, by_class: tuple[np.ndarray, np.ndarray], shared) ->
         levels.append(level)
     model, lower, union_below = Model(), None, None
     for k in range(SHARED + 1, ORDER + 1):
-        union, at = np.unique(np.concatenate([lv[k][0] for lv in levels]), return_inverse=True)
-        seen = np.bincount(at, np.concatenate([lv[k][1] for lv in levels]))
+        union = np.unique(np.concatenate([lv[k][0] for lv in levels]))
         if k == SHARED + 1:
             wanted = np.unique(below(union, SHARED))
             p = shared(wanted)
@@ -178,10 +174,7 @@ def build(keys: np.ndarray, by_class: tuple[np.ndarray, np.ndarray], shared) ->
             t = _lookup(h, total, union >> U(8))
             now.append(np.maximum(_lookup(level_keys, n, union) - d, 0) / np.maximum(t, 1) + gamma(union >> U(8)) * low)
             back.append(np.log(np.maximum(gamma(contexts), 1e-9)))
-        ratio, common = np.log(np.maximum(now[0], 1e-12)) - np.log(np.maximum(now[1], 1e-12)), np.ones(len(union), bool)
-        if len(union) > MAX_ENTRIES:
-            common[np.argsort(-seen, kind="stable")[MAX_ENTRIES:]] = False
-        model.ngram[k] = Table(union[common], ratio[common])
+        model.ngram[k] = Table(union, np.log(np.maximum(now[0], 1e-12)) - np.log(np.maximum(now[1], 1e-12)))
         model.context[k] = Table(contexts, back[0] - back[1])
         lower, union_below = tuple(now), union
     return model
@@ -217,7 +210,7 @@ def features(docs: DataFrame, model, text: str, names: list[str]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from labels (key, toxic): three quarters of the sample give class counts, one quarter the curve; all of docs
-    give the shared counts. Sample and model are bounded, so the model can be broadcast."""
+    give the shared counts. The model holds every n-gram of the sample, which alone bounds it, and is broadcast."""
     bounded_batches(docs.sparkSession)
     one = labels.filter(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     one = one.withColumn("_r", F.xxhash64(F.lit(6), F.col(key)))

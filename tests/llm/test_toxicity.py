@@ -76,3 +76,14 @@ def test_table():
     assert found.all() and (value == np.arange(len(keys))).all()
     other = np.setdiff1d(rng.integers(1, 1 << 62, 1000).astype(np.uint64), keys)
     assert not t.get(other)[1].any()
+
+
+def test_no_entry_is_dropped():
+    """The rarest n-grams of a large sample stay in the model."""
+    n = 2_200_000
+    keys = np.uint64(1 << 40) + np.arange(n, dtype=np.uint64) * np.uint64(7)
+    toxic = np.where(np.arange(n) < 1000, 1, 0)
+    model = tx.build(keys, (toxic, np.where(toxic, 0, 2)), lambda wanted: {int(x): 1 / 256 for x in wanted.view(np.int64)})
+    value, found = model.ngram[6].get(keys[:1000])
+    assert found.all() and (value > 0).all()
+    assert model.ngram[6].get(keys[1000::100_000])[1].all()
