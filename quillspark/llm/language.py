@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .letters import Table, below, grams, typed
@@ -30,7 +30,7 @@ from .text import bounded_batches, written
 from .tokens import U
 from .url_automaton import host_and_path
 
-#: Labelled texts for the letter models, the first ones by hash.
+#: Distinct labelled texts of each language for the letter models, the first ones by hash.
 SAMPLE = 8_000
 STRENGTH = 4.0
 
@@ -84,12 +84,25 @@ class Letters:
         return out
 
 
+def picked(texts: DataFrame, text: str, lang: str, sample: int) -> DataFrame:
+    """text, lang: the `sample` distinct texts with the lowest hashes of every language, or all it has.
+
+    A language's number of distinct hashes gives the part of their range that holds its sample and little more; only what
+    lies there is grouped with its text and ranked, so that no task sees a language whole.
+    """
+    rows = texts.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lower(F.col(lang)).alias("lang"))
+    rows = rows.withColumn("r", F.xxhash64("text", "lang"))
+    sizes = rows.select("lang", "r").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    part = F.lit(sample + 8 * sample**0.5 + 16) / F.col("n")
+    cuts = written(sizes.select(F.col("lang").alias("_lang"), F.when(part >= 1, F.lit((1 << 63) - 1)).otherwise((part * 2.0**64 - 2.0**63).cast("long")).alias("cut")), "language-cuts")
+    low = rows.join(cuts, (F.col("lang") == F.col("_lang")) & (F.col("r") <= F.col("cut"))).groupBy("lang", "r").agg(F.min("text").alias("text"))
+    return low.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("r"))).filter(F.col("_k") <= sample).select("text", "lang")
+
+
 def fit(texts: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Letters:
-    """Letter models of the languages of a bounded sample of texts."""
+    """Letter models of all labelled languages, each from up to `sample` of its distinct texts."""
     bounded_batches(texts.sparkSession)
-    rows = texts.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lower(F.col(lang)).alias("lang"), F.xxhash64(text, lang).alias("r"))
-    cut = rows.select("r").orderBy("r").limit(sample).agg(F.max("r")).first()[0]  # hashes move, texts stay
-    few = written(rows.filter(F.col("r") <= F.lit(cut)).select("text", "lang"), "language-sample")
+    few = written(picked(texts, text, lang, sample), "language-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

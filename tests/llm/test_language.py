@@ -32,3 +32,14 @@ def test_empty(spark):
     model = lg.fit(labelled(spark))
     assert lg.identify(pages.limit(0), model).count() == 0
     assert lg.identify(pages, lg.fit(labelled(spark).limit(0))).first()["lang"] is None
+
+
+def test_every_language_has_its_share(spark):
+    many = [(f"{WORDS['en']} {i}", "en") for i in range(300)] + [(f"{WORDS['de']} copies", "DE" if i % 2 else "de") for i in range(300)] + [(WORDS["fr"], "fr")]
+    texts = spark.createDataFrame(many, "text string, lang string")
+    got = lg.picked(texts, "text", "lang", 20).collect()
+    assert sorted(r["lang"] for r in got) == ["de", *["en"] * 20, "fr"] and len({r["text"] for r in got}) == 22
+    first = texts.selectExpr("text", "xxhash64(text, lang) AS r").filter("lang = 'en'").orderBy("r").limit(20)
+    assert {r["text"] for r in got if r["lang"] == "en"} == {r["text"] for r in first.collect()}
+    assert lg.fit(texts, sample=3).languages == ["de", "en", "fr"]
+    assert lg.picked(texts, "text", "lang", 3).count() == 5
