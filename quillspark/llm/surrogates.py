@@ -18,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,7 +60,6 @@ PATTERNS = {
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _EACH, _KINDS, _CARD_ENDS = {k: re.compile(v) for k, v in PATTERNS.items()}, list(PATTERNS), re.compile(_CARD_END)
-_MAYBE = re.compile(r"[0-9@]|[A-ZÀ-ÞА-ЯΑ-Ω]\w+\.? [A-ZÀ-ÞА-ЯΑ-Ω]|[=:]")
 
 
 class Permutation:
@@ -121,6 +122,18 @@ def alphabet(c: str, spoken: bool = False) -> str:
     return _CLASS[c][0] if c in _CLASS else ""
 
 
+@lru_cache(maxsize=1)
+def _others() -> dict[str, str]:
+    """For letters outside CLASSES: those of their script, kind and case, with capitals apart that lower case doesn't lead back from."""
+    groups: dict[tuple, list[str]] = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if c.isalnum() and c not in _CLASS and (kind := unicodedata.category(c)) != "Nd":
+            name = tuple(unicodedata.name(c, "").split("-")[0].split()[:2])
+            groups.setdefault((kind, name, ord(c) >> 16, len(c.upper()) == 1 and c.upper().lower() == c), []).append(c)
+    few = "".join(x for g in groups.values() if len(g) == 1 for x in g)
+    return {c: a for g in groups.values() for a in [few if len(g) == 1 else "".join(g)] for c in a}
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -128,11 +141,11 @@ def luhn(digits: str) -> bool:
 
 def _refill(shape: str, digits: str) -> str:
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+    return "".join(chr(ord(c) - int(c) + int(next(it))) if c.isdigit() else c for c in shape)
 
 
 def _digits(kind: str, value: str, key: bytes) -> str:
-    digits = "".join(c for c in value if c.isdigit())
+    digits = "".join(str(int(c)) for c in value if c.isdigit())  # of any script
     if kind == "card":
         inner = permuted(digits[1:-1], ["0123456789"] * (len(digits) - 2), key, f"card|{digits[0]}")
         return _refill(value, next(x for d in "0123456789" if luhn(x := digits[0] + inner + d)))
@@ -157,8 +170,12 @@ def _cased(shape: str, value: str) -> str:
 def _word(word: str, key: bytes, tweak: str) -> str:
     low = word.lower()
     if len(low) != len(word):
-        return permuted(word, [alphabet(c, True) for c in word], key, tweak)
-    return _cased(word, permuted(low, [alphabet(c, True) for c in low], key, tweak))
+        low = word
+    alphabets = [alphabet(c, True) for c in low]
+    if not any(alphabets):  # no letter of CLASSES: those of its own script
+        alphabets = [_others().get(c, "") for c in low]
+    new = permuted(low, alphabets, key, tweak)
+    return new if low is word else _cased(word, new)
 
 
 def _person(value: str, key: bytes) -> str:
@@ -188,7 +205,8 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
     if kind == "secret":
         at = re.match(r"(?s)[A-Za-z_]+\s*[=:]\s*[\"']?", value).end()
         hexadecimal = re.fullmatch(r"[0-9a-f]+", value[at:])
-        return value[:at] + permuted(value[at:], ["0123456789abcdef" if hexadecimal else alphabet(c) for c in value[at:]], key, "secret")
+        alphabets = ["0123456789abcdef" if hexadecimal else alphabet(c) for c in value[at:]]
+        return value[:at] + permuted(value[at:], alphabets if any(alphabets) else ["_/+-"] * len(alphabets), key, "secret")
     keep = 4  # access keys and account numbers keep what names their kind or country
     tail = value[keep:]
     mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" if kind == "access_key" else None
@@ -211,8 +229,6 @@ def _checked(kind: str, text: str, start: int, end: int) -> int:
 
 def entities(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) in the order of the text."""
-    if not _MAYBE.search(text):
-        return
     at = 0
     while m := _FIND.search(text, at):
         at = m.start()

@@ -80,3 +80,15 @@ def test_a_failed_check_hides_nothing(text, kind, value):
     assert (kind, value) in [(k, text[a:b]) for k, a, b in su.entities(text)]
     assert [k for k, _, _ in su.entities("2024-01-15 12345678")] == []
     assert [(a, b) for _, a, b in su.entities("Suite 200 555-123-4567")] == [(6, 22)]  # a valid sum by chance: replaced as a card
+
+
+@pytest.mark.parametrize("text", ["ask Mr. smith today", "Frau müller kam", "Dr Łukasz", "Frau Šimek", "Dr. 王", "Dr 王明", "Dr محمد", "Mr. משה", "Dr Øø", "Ms ああ", "Dr ²", "Dr İ", "secret=------", "call ٥٥٥-١٢٣-٤٥٦٧"])
+def test_found_without_digits_and_never_kept(text):
+    (kind, a, b), = su.entities(text)
+    new = su.surrogate(kind, text[a:b], KEY)
+    assert new != text[a:b] and len(new) == b - a
+
+
+def test_other_scripts_stay_distinct():
+    names = ["".join(p) for p in itertools.product("王明محשø", repeat=2)]
+    assert len({su.surrogate("person", f"Dr {n}", KEY) for n in names}) == len(names)
