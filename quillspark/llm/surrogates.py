@@ -1,16 +1,20 @@
 """Personal data replaced by surrogates.
 
 An entity's surrogate is a keyed permutation of its own form: every letter is replaced by one of its script, case and kind (vowel or
-consonant, so that names can be spoken), every digit by a digit its place allows; separators stay. Given names are permuted
-among those of their gender and script. A permutation gives different entities of one form different surrogates, equal ones the
-same one everywhere (spellings are brought to one form before: case, or the punctuation of a number), and none keeps its value. Nothing has
-to be remembered or exchanged between tasks, and a new corpus under the same key continues the old one.
+consonant, so that names can be spoken), every digit by a digit its place allows; separators, titles and particles of names stay. Given
+names that are listed are permuted among those of their gender and script. A permutation gives different entities of one form different
+surrogates, equal ones the same one everywhere (spellings are brought to one form before: case, or the punctuation of a number), and none
+keeps its value. Nothing has to be remembered or exchanged between tasks, and a new corpus under the same key continues the old one.
 
-`collisions` checks over a whole corpus that no surrogate stands for two entities.
+People are found by title, by a listed given name with a surname, and by title-case words (hyphens, apostrophes, initials, particles) beside
+words that speak of people; names joined to a person found this way are people, too. A name without any of these is not found.
+
+Every entity carries `original`, a keyed digest of its canonical form, so that distinctness and coreference are checked over a whole corpus
+from the entities alone: `check` compares how many originals and surrogates there are, `clashing` lists surrogates that stand for two originals.
 
 Defined results: a null text stays null; a text without entities stays as it is; of overlapping entities the first, then the longest counts; a match that
-fails its check (card, address) is none, and hides nothing that begins inside it; rows that repeat get equal surrogates; an empty table gives an
-empty result.
+fails its check (card, address, common words in a name) is none, and hides nothing that begins inside it; very long texts are read whole; rows that
+repeat get equal surrogates; an empty table gives an empty result. A column named entities is replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +24,17 @@ import hmac
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bounded_batches
+from .text import bounded_batches, written
 
 # Given names by gender and script.
 GIVEN = {
@@ -45,21 +52,64 @@ CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùäöüâêîô
 _CLASS = {c: (k, i) for k in CLASSES for i, c in enumerate(k)} | {c.upper(): (k.upper(), i) for k in CLASSES for i, c in enumerate(k) if len(c.upper()) == 1}
 _ALL = "abcdefghijklmnopqrstuvwxyz"
 
-_NAME = r"[^\W\d_]+"
+# How people are addressed. After the first group a name may be in lower case.
+TITLES = "Mr Mrs Ms Dr Herr Frau Mme Señor Señora".split()
+MORE_TITLES = "Miss Prof Professor Sir Madam Madame Monsieur Mlle Sr Sra Señorita Doktor Sheikh Г-н Г-жа Господин Госпожа Κύριος Κυρία".split()
+PARTICLES = "de del della da di du la le van von der den ten zu bin ibn al el dos das st".split()
+
+# Words beside which title-case words are a person: before one name or more, before two words or more, after two words or more.
+NAMING = "my name is|me llamo|je m'appelle|ich heiße|меня зовут|[Dd]ear|[Cc]her|[Cc]hère|[Ll]iebe|[Ll]ieber"
+BEFORE = "name is|[Nn]ame:|named|called|I am|I'm|met|told|asked|thanked|[Cc]ontact|[Ss]igned:?|[Ss]incerely,?|[Rr]egards,?|[Aa]uthor:?|[Aa]ttn:?|[Pp]atient:?|wife|husband|son|daughter|brother|sister|mother|father|colleague|friend|neighbour|neighbor|teacher|written by|signed by"
+AFTER = "said|says|met|wrote|writes|told|asked|added|replied|lives|lived|works|worked|was born|is married|married|died|joined|called|emailed|phoned|signed|sagte|schrieb|a dit|a écrit|dijo|escribió"
+NO_NAMES = set("The This That These Those A An And But Or If In On At By For From With To Of New Old North South East West United University College School Institute Street Road Avenue Square City County State Bank Company Corporation Inc Ltd Group Press Times Post Journal Church Hospital Court House Museum Park River Lake Mountain Island Ocean January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split())
+
+# Family names before a title that follows in Chinese characters.
+_HAN_FAMILY, _HAN_TITLE = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗", "先生|女士|小姐|教授|さん|様|氏"
+
+_WORD = r"\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*"
+_ONE = rf"(?:{_WORD}|[\p{{Lo}}\p{{M}}]+)"
+_MORE = rf"(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,2}}(?:{_WORD}|\p{{Lu}}\.))"
+_TWO = rf"{_WORD}{_MORE}{{0,3}} (?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_WORD}"
+_ANY = r"[\p{L}\p{M}\p{No}\p{Nl}]+"
+_TITLE = rf"(?:{'|'.join(TITLES + MORE_TITLES)})\.?"
+_GIVEN_RE = "|".join(sorted(_GIVEN, key=len, reverse=True))
+_PERSON = regex.compile("|".join([
+    rf"(?<!\w){_TITLE} {_ONE}{_MORE}{{0,3}}(?!\w)",
+    rf"(?<!\w)(?:{'|'.join(TITLES)})\.? {_ANY}(?:['’-]{_ANY})*(?!\w)",
+    rf"(?<![\w'’-])(?:{_GIVEN_RE}){_MORE}{{0,3}} (?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_WORD}(?!\w)",
+    rf"(?<=(?<!\w)(?:{NAMING}) ){_WORD}{_MORE}{{0,3}}(?!\w)",
+    rf"(?<=(?<!\w)(?:{BEFORE}) ){_TWO}(?!\w)",
+    rf"(?<![\w'’-]){_TWO}(?= (?:{AFTER})(?!\w))",
+    rf"[{_HAN_FAMILY}]\p{{Han}}{{1,2}}(?={_HAN_TITLE})",
+]))
+_JOINED = regex.compile(rf"(?:, and|,| and| und| et| y| и| &) ({_TWO})(?!\w)")
+_HEAD = regex.compile(rf"{_TITLE} ")
+
 _CARD_END = r"(?![\d-]|\.\d)"
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?[A-Za-z0-9_/+-]{6,}",
-    "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": rf"(?<![\d.-])\d(?:[ -]?\d){{12,18}}{_CARD_END}",
-    "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "address": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])",
-    "person": rf"(?<!\w)(?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?: [A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]*\.?)?(?: [A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)(?!\w)|(?<!\w)(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Señor|Señora)\.? {_NAME}(?!\w)",
+    "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    "secret": re.compile(r"(?i:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?[A-Za-z0-9_/+-]{6,}"),
+    "access_key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "card": re.compile(rf"(?<![\d.-])\d(?:[ -]?\d){{12,18}}{_CARD_END}"),
+    "social": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    "address": re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"),
+    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])"),
+    "person": _PERSON,
+}
+#: What a text must hold for a kind's pattern to match anywhere: the patterns without what they require around them. Arrow looks for it.
+NEEDS = {
+    "email": r"@[A-Za-z0-9-]",
+    "secret": r"[=:]",
+    "access_key": r"AKIA|ASIA",
+    "iban": r"[A-Z]{2}\p{Nd}{2}",
+    "card": r"\p{Nd}(?:[ -]?\p{Nd}){12}",
+    "social": r"\p{Nd}-\p{Nd}{2}-\p{Nd}",
+    "address": r"(?:\p{Nd}\.\p{Nd}{1,3}\.)",
+    "phone": r"\p{Nd}[ .-]\p{Nd}{4}|\+\p{Nd}",
+    "person": rf"(?:{'|'.join(TITLES + MORE_TITLES)})\.? |\p{{Lu}}[\p{{L}}\p{{M}}'’-]* (?:(?:{'|'.join(PARTICLES)}) ){{0,2}}\p{{Lu}}|(?:{NAMING}) |{_HAN_TITLE}",
 }
-_FIND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
-_EACH, _KINDS, _CARD_ENDS = {k: re.compile(v) for k, v in PATTERNS.items()}, list(PATTERNS), re.compile(_CARD_END)
+_CARD_ENDS = re.compile(_CARD_END)
 
 
 class Permutation:
@@ -168,6 +218,12 @@ def _cased(shape: str, value: str) -> str:
 
 
 def _word(word: str, key: bytes, tweak: str) -> str:
+    """A word of a name; what hyphens and apostrophes join is replaced part by part, as it would be alone."""
+    parts = re.split("(['’-])", word)
+    return "".join(_part(x, key, tweak) if i % 2 == 0 else x for i, x in enumerate(parts))
+
+
+def _part(word: str, key: bytes, tweak: str) -> str:
     low = word.lower()
     if len(low) != len(word):
         low = word
@@ -179,13 +235,17 @@ def _word(word: str, key: bytes, tweak: str) -> str:
 
 
 def _person(value: str, key: bytes) -> str:
-    words = value.split(" ")
-    head = words[0]
-    if head in _GIVEN:
-        group = GIVEN[_GIVEN[head]]
-        x, _ = _permutation(key, "given|" + "|".join(_GIVEN[head]), len(group), 1)(group.index(head), 0)
-        head = group[x]
-    return " ".join([head, *[_word(w, key, "surname") for w in words[1:]]])
+    title = m[0] if (m := _HEAD.match(value)) else ""
+    words = value[len(title) :].split(" ")
+    out = []
+    for i, w in enumerate(words):
+        if not i and w in _GIVEN and (len(words) > 1 or title):
+            group = GIVEN[_GIVEN[w]]
+            w = group[_permutation(key, "given|" + "|".join(_GIVEN[w]), len(group), 1)(group.index(w), 0)[0]]
+        elif i == len(words) - 1 or w not in PARTICLES:
+            w = _word(w, key, "surname")
+        out.append(w)
+    return title + " ".join(out)
 
 
 def surrogate(kind: str, value: str, key: bytes) -> str:
@@ -203,7 +263,7 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
     if kind in ("card", "phone", "social"):
         return _digits(kind, value, key)
     if kind == "secret":
-        at = re.match(r"(?s)[A-Za-z_]+\s*[=:]\s*[\"']?", value).end()
+        at = re.match(r"[^=:]*[=:]\s*[\"']?", value).end()
         hexadecimal = re.fullmatch(r"[0-9a-f]+", value[at:])
         alphabets = ["0123456789abcdef" if hexadecimal else alphabet(c) for c in value[at:]]
         return value[:at] + permuted(value[at:], alphabets if any(alphabets) else ["_/+-"] * len(alphabets), key, "secret")
@@ -217,6 +277,8 @@ def _checked(kind: str, text: str, start: int, end: int) -> int:
     """The end of the longest entity within a match that passes the check of its kind; 0 if there is none."""
     if kind == "address":
         return 0 if any(int(x) > 255 for x in text[start:end].split(".")) else end
+    if kind == "person":
+        return 0 if not NO_NAMES.isdisjoint(text[start:end].split(" ")) and not _HEAD.match(text, start) else end
     if kind != "card":
         return end
     digits, ends = "", []
@@ -227,45 +289,79 @@ def _checked(kind: str, text: str, start: int, end: int) -> int:
     return next((ends[n - 1] for n in range(len(digits), 12, -1) if luhn(digits[:n]) and _CARD_ENDS.match(text, ends[n - 1])), 0)
 
 
-def entities(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) in the order of the text."""
-    at = 0
-    while m := _FIND.search(text, at):
-        at = m.start()
-        kind, end = m.lastgroup, _checked(m.lastgroup, text, at, m.end())
-        if not end:  # the patterns before this one don't match here
-            for kind in _KINDS[_KINDS.index(m.lastgroup) + 1 :]:
-                if (other := _EACH[kind].match(text, at)) and (end := _checked(kind, text, at, other.end())):
-                    break
-        if end:
-            yield kind, at, end
-        at = end or at + 1
+def _next(kind: str, text: str, at: int) -> tuple[int, int] | None:
+    """The first entity of a kind that begins at `at` or later. A match that fails its check hides nothing that begins inside it."""
+    while m := PATTERNS[kind].search(text, at):
+        if end := _checked(kind, text, m.start(), m.end()):
+            return m.start(), end
+        at = m.start() + 1
+    return None
+
+
+def entities(text: str, kinds: Iterable[str] = tuple(PATTERNS)) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) in the order of the text, of the given kinds."""
+    ahead = {k: found for k in kinds if (found := _next(k, text, 0))}
+    while ahead:
+        kind, (start, end) = min(ahead.items(), key=lambda x: (x[1][0], -x[1][1]))
+        yield kind, start, end
+        for k, (a, _) in list(ahead.items()):
+            if a < end:
+                if found := _next(k, text, end):
+                    ahead[k] = found
+                else:
+                    del ahead[k]
+        if kind == "person" and (m := _JOINED.match(text, end)) and _checked(kind, text, *m.span(1)):
+            ahead[kind] = m.span(1)
+
+
+def digest(kind: str, value: str, key: bytes) -> str:
+    """What spellings of one entity have in common, keyed."""
+    if kind in ("card", "phone", "social"):
+        value = "".join(str(unicodedata.digit(c)) for c in value if c.isdigit())
+        if kind == "phone":
+            value = (value[:3] if len(value) > 11 else "") + value[-10:]
+    elif kind == "email":
+        value = value.lower()
+    return hmac.digest(key, f"original|{kind}|{value}".encode("utf-8", "surrogatepass"), "sha256").hex()[:32]
+
+
+ENTITIES = "array<struct<kind:string,start:int,end:int,surrogate:string,original:string>>"
 
 
 def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """docs with surrogates in `text`, and entities: kind, start and end (code points in the old text) and surrogate of each."""
+    """docs with surrogates in `text`, and entities: kind, start and end (code points in the old text), surrogate and original (a keyed digest) of each.
+
+    Only texts that Arrow finds to hold what a kind needs are searched for that kind in Python.
+    """
     bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "entities"]
     at_text = names.index(text)
-    kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
+    kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string()), ("original", pa.string())]))
+
+    def of(t: str, kinds: list[str]) -> tuple[str, list[dict]]:
+        own = [{"kind": k, "start": a, "end": b, "surrogate": surrogate(k, t[a:b], key), "original": digest(k, t[a:b], key)} for k, a, b in entities(t, kinds)]
+        cut = [0, *[x for e in own for x in (e["start"], e["end"])], len(t)]
+        plain = [t[a:b] for a, b in zip(cut[::2], cut[1::2], strict=True)]
+        return "".join(x for pair in zip(plain, [e["surrogate"] for e in own] + [""], strict=True) for x in pair), own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = [], []
-            for t in batch.column(at_text).to_pylist():
-                own = [{"kind": k, "start": a, "end": b, "surrogate": surrogate(k, t[a:b], key)} for k, a, b in entities(t)] if t else []
-                if own:
-                    cut = [0, *[x for e in own for x in (e["start"], e["end"])], len(t)]
-                    plain = [t[a:b] for a, b in zip(cut[::2], cut[1::2], strict=True)]
-                    t = "".join(x for pair in zip(plain, [e["surrogate"] for e in own] + [""], strict=True) for x in pair)
-                texts.append(t)
-                found.append(own)
+            texts = batch.column(at_text)
+            may = {k: pc.fill_null(pc.match_substring_regex(texts, need), False).to_numpy(zero_copy_only=False) for k, need in NEEDS.items()}
+            some = np.flatnonzero(np.logical_or.reduce(list(may.values())))
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            new = []
+            for row, t in zip(some.tolist(), texts.take(pa.array(some)).to_pylist(), strict=True):
+                t, found[row] = of(t, [k for k in NEEDS if may[k][row]])
+                new.append(t)
+            mask = np.zeros(batch.num_rows, bool)
+            mask[some] = True
             columns = [*batch.columns, pa.array(found, kind_of)]
-            columns[at_text] = pa.array(texts, pa.string())
+            columns[at_text] = pc.replace_with_mask(texts, pa.array(mask), pa.array(new, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "entities"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema + ", entities array<struct<kind:string,start:int,end:int,surrogate:string>>")
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{schema}, entities {ENTITIES}")
 
 
 def canonical(kind: F.Column, value: F.Column) -> F.Column:
@@ -283,13 +379,47 @@ def collisions(docs: DataFrame, replaced: DataFrame, on: str = "doc_id", text: s
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def pairs_of(replaced: DataFrame) -> DataFrame:
+    """kind, surrogate, original, n: every pair of a canonical surrogate and an original, with its mentions. Mentions are added up before they are shuffled."""
+    e = replaced.select(F.explode("entities").alias("e"))
+    return e.groupBy(F.col("e.kind").alias("kind"), canonical(F.col("e.kind"), F.col("e.surrogate")).alias("surrogate"), F.col("e.original").alias("original")).agg(F.count("*").alias("n"))
+
+
+def clashing(replaced: DataFrame) -> DataFrame:
+    """kind, surrogate, originals for every surrogate that stands for several originals; no row, if all is well."""
+    return pairs_of(replaced).groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).filter("originals > 1")
+
+
+def check(replaced: DataFrame) -> DataFrame:
+    """kind, mentions, originals, surrogates, split (originals with several surrogates: broken coreference) and collisions (surrogates of several
+    originals: broken distinctness), over a whole corpus."""
+    pairs = pairs_of(replaced)
+    by = lambda c, name: pairs.groupBy("kind", c).agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("kind").agg(F.sum("n").alias("mentions"), F.count("*").alias(f"{c}s"), F.count(F.when(F.col("k") > 1, 1)).alias(name))
+    return by("original", "split").join(by("surrogate", "collisions").drop("mentions"), "kind").select("kind", "mentions", "originals", "surrogates", "split", "collisions")
+
+
 #: Key of the query; a run of one's own takes its key from a secret store.
 QUERY_KEY = b"surrogates of the test tables"
 
 
 def op8_surrogates(spark, sf_dir: str) -> DataFrame:
-    """Every document with its surrogates, and how many entities it had."""
+    """Every document with its surrogates, how many entities it had, how many different ones, and how many of its surrogates stand for another
+    entity as well, anywhere in the corpus."""
+    from .text import read_table
+
+    out = written(replace(read_table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY), "surrogates")
+    bad = written(clashing(out), "surrogate-clashes")
+    if bad.limit(1).count():  # never under one key; else the documents that are concerned are marked
+        e = out.select("doc_id", F.explode("entities").alias("e")).select("doc_id", F.col("e.kind").alias("kind"), canonical(F.col("e.kind"), F.col("e.surrogate")).alias("surrogate"))
+        out = out.join(e.join(bad, ["kind", "surrogate"]).groupBy("doc_id").agg(F.count("*").alias("collisions")), "doc_id", "left")
+    else:
+        out = out.withColumn("collisions", F.lit(0).cast("long"))
+    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.size(F.array_distinct(F.transform("entities", lambda e: F.struct(e["kind"], e["original"])))).alias("n_distinct"),
+                      F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",").alias("kinds"), F.coalesce("collisions", F.lit(0)).alias("collisions"))
+
+
+def surrogate_check(spark, sf_dir: str) -> DataFrame:
+    """Distinctness and coreference of the surrogates of all documents, by kind."""
     from .text import read_table
 
-    out = replace(read_table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
-    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",").alias("kinds"))
+    return check(replace(read_table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY))

@@ -92,3 +92,68 @@ def test_found_without_digits_and_never_kept(text):
 def test_other_scripts_stay_distinct():
     names = ["".join(p) for p in itertools.product("王明محשø", repeat=2)]
     assert len({su.surrogate("person", f"Dr {n}", KEY) for n in names}) == len(names)
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("Priya Sharma met Wei Zhang and Mohammed Hussein", ["Priya Sharma", "Wei Zhang", "Mohammed Hussein"]),
+    ("my friend José García", ["José García"]),
+    ("Emma O’Brien left", ["Emma O’Brien"]),
+    ("Mr 李明 came", ["Mr 李明"]),
+    ("我见到李明先生", ["李明"]),
+    ("Anna Smith-Jones and others", ["Anna Smith-Jones"]),
+    ("Dr. Maria van der Berg", ["Dr. Maria van der Berg"]),
+    ("signed by Ludwig van Beethoven, and Clara J. Schumann", ["Ludwig van Beethoven", "Clara J. Schumann"]),
+    ("The United States said that New York University works", []),
+    ("In May we went on. The end.", []),
+])
+def test_people(text, names):
+    found = [text[a:b] for k, a, b in su.entities(text) if k == "person"]
+    assert found == names
+    for n in found:
+        new = su.surrogate("person", n, KEY)
+        assert new != n and len(new.split(" ")) == len(n.split(" "))
+
+
+@pytest.mark.parametrize("text", ["no 7: ssn ١٢٣-٤٥-٦٧٨٩", "+٢٠ ١٠ ١٢٣٤ ٥٦٧٨", "paſſwd=hunter22", "toKen: abcdef12", "card 4600٦٠٩٨00825907", "1" * 5000, "1 " * 5000, "A B " * 3000, "Anna " * 3000, "a@" * 3000])
+def test_ordinary_unicode_and_long_runs(text, spark):
+    out = su.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).first()
+    for e in out["entities"]:
+        assert e["surrogate"] != text[e["start"] : e["end"]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("aZé'’.-+@=: 0123456789٣王ſ") + ["Anna ", "Mr ", " said", "token", "AKIA", "DE12 ", "met "]), max_size=40).map("".join))
+def test_needs_hide_nothing(text):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for kind in {k for k, _, _ in su.entities(text)}:
+        assert pc.match_substring_regex(pa.array([text]), su.NEEDS[kind])[0].as_py()
+
+
+def test_parts_of_names_refer():
+    s = lambda v: su.surrogate("person", v, KEY)
+    assert s("Dr. Smith-Jones").split()[1].split("-")[0] == s("Mr Smith").split()[1]
+    assert s("Maria van der Berg").split()[1:3] == ["van", "der"]
+
+
+def test_check_over_a_corpus(spark, sf):
+    rows = su.surrogate_check(spark, sf).collect()
+    assert {"email", "phone", "card"} <= {r["kind"] for r in rows}
+    assert all(r["split"] == 0 and r["collisions"] == 0 and r["originals"] == r["surrogates"] for r in rows)
+    bad = spark.createDataFrame([([("secret", 0, 2, "zz", "a")],), ([("secret", 0, 2, "zz", "b")],), ([("secret", 0, 2, "yy", "b")],)], f"entities {su.ENTITIES}")
+    got = su.check(bad).first()
+    assert (got["mentions"], got["originals"], got["surrogates"], got["split"], got["collisions"]) == (3, 2, 2, 1, 1)
+    assert su.clashing(bad).collect() == [("secret", "zz", 2)]
+
+
+def test_brute_force(spark, sf):
+    """Every document's text again, entity by entity, from the old text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    old = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in su.replace(docs, KEY).collect():
+        text, at, out = old[r["doc_id"]], 0, ""
+        for k, a, b in su.entities(text):
+            out += text[at:a] + su.surrogate(k, text[a:b], KEY)
+            at = b
+        assert r["text"] == out + text[at:]
