@@ -6,23 +6,25 @@ probability that falls with their edit distance, not only with their sets. Texts
 banded alignment decides: similarity is c / (a + b - c), with a and b the texts' numbers of shingles and c those that
 an alignment matches in order. At 0.8 a pair is missed with a chance of (1 - 0.8^(2*ROWS))^BANDS, below 0.1 %.
 
-Exact copies are one node from the start. The nodes of a large bucket are compared in blocks inside tasks, by matrix products that
-count common shingles; no pair of a bucket becomes a row unless it is a link that connects what was not connected. That work still
-grows with the square of a bucket's distinct texts (about 10 ns for two texts), and is dealt out in blocks of bounded size.
+Exact copies are one node from the start. Of a large bucket, every node that is not yet connected to a leader is compared with it, STARS times
+over with other leaders; a bucket whose nodes are all connected is done. What is left (many texts that share much, but not enough) is dealt
+by each text's rarest shingles: of n shingles, two similar texts share one of the n - ceil(0.8 n) + 1 rarest of either. So no bucket is
+ever compared all with all, and no candidate is left out; only texts that share a bucket, one of their rarest shingles, and aren't connected meet.
 
 Defined results: a null text is in a class of its own; texts without words are copies of each other only if they are
-equal; a text of 1 to 4 words has one shingle; a class is named by its smallest doc_id (null ids only: null); rows that repeat share
-their class; an empty table gives an empty result.
+equal; a text of 1 to 4 words has one shingle; very long texts are compared whole, in memory that grows with their length; a class is named by its
+smallest doc_id (null ids only: null), whatever the order of rows; rows that repeat share their class; an empty table gives an empty result.
+Only the key and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -32,10 +34,16 @@ from .tokens import U, mix64, shingles, word_hashes
 BANDS, ROWS, WORDS = 24, 3, 5
 SIMILARITY = 0.8
 
-#: Buckets of up to so many nodes are compared pair by pair; larger ones in blocks of about so many nodes, or words.
-SMALL_BUCKET, BLOCK_NODES, BLOCK_WORDS = 6, 512, 300_000
+#: Buckets of up to so many nodes are compared pair by pair; larger ones by so many rounds of leaders, then in blocks of about so many nodes, or words.
+SMALL_BUCKET, STARS, BLOCK_NODES, BLOCK_WORDS = 6, 3, 512, 300_000
 COLUMNS = 4096
 
+#: Pairs of one leader in a task: its text is sent to as many tasks as it has such portions.
+PORTION = 1000
+
+#: Up to so many texts (24 bytes each) that share a bucket are broadcast to fetch them; beyond that, all texts are shuffled once.
+BROADCAST_NODES = 500_000
+
 
 def occurrence_labelled(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Shingle hashes in which the second, third, ... occurrence within a row differ from the first."""
@@ -85,59 +93,60 @@ def sketch(s: np.ndarray, offsets: np.ndarray, bands: int = BANDS, rows: int = R
     return out
 
 
-def matched(a: np.ndarray, b: np.ndarray, most: int, span: int) -> int:
-    """Windows of `span` symbols inside the matched runs of a shortest edit script with at most `most` insertions
-    and deletions; -1 if there is none. Diagonals outside the band of width 2 * most + 1 are never visited."""
-    n, m = len(a), len(b)
-    breaks: dict[int, list[int]] = {}
-
-    def slide(i: int, k: int) -> int:
-        """The first place from i on where diagonal k (j = i - k) breaks."""
-        if k not in breaks:
-            lo, hi = max(0, k), min(n, m + k)
-            breaks[k] = ((np.flatnonzero(a[lo:hi] != b[lo - k : hi - k]) + lo).tolist() if hi > lo else []) + [max(hi, lo)]
-        at = breaks[k]
-        return max(i, at[min(bisect_left(at, i), len(at) - 1)])
-
-    reach, history = {1: 0}, []
-    for d in range(most + 1):
-        now = {}
-        for k in range(-d, d + 1, 2):
-            if k < -m or k > n:
-                continue
-            down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            i = reach.get(k + 1, -1) if down else reach.get(k - 1, -1) + 1
-            if i < 0 or i > n or i - k > m:
-                now[k] = -1
-                continue
-            now[k] = slide(i, k)
-            if now[k] >= n and now[k] - k >= m:
-                history.append(now)
-                return _runs(history, k, n, span)
-        history.append(now)
-        reach = now
-    return -1
-
-
-def _runs(history: list[dict[int, int]], k: int, i: int, span: int) -> int:
-    """Walks the edit script back and adds up the windows of its matched runs."""
-    total = 0
-    for d in range(len(history) - 1, -1, -1):
-        if d == 0:
-            start = 0
+def aligned(a: list[int], b: list[int], most: int) -> int:
+    """How many symbols of b an alignment matches in order with a, none more than `most` places off its own.
+
+    Bit-parallel: bit p of `row` is 0 where one more symbol is matched at place p of a. Only the 2 * most + 1 bits of the band are kept and
+    updated, so memory grows with the length of the texts and not with their edits.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    n, done = len(a), head + tail
+    if not n or not b:
+        return done
+    where, wanted = defaultdict(list), set(b)
+    for p, x in enumerate(a):
+        if x in wanted:
+            where[x].append(p)
+    often = max(64, n // 4096)
+    masks = {}
+    for x, at in where.items():
+        if len(at) > often:
+            bits = np.zeros(n, np.uint8)
+            bits[at] = 1
+            masks[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << (2 * most + 1)) - 1
+    row, low = full >> most, 0  # bits of the places low .. low + 2 * most; at first 0 .. most
+    for j, x in enumerate(b):
+        if j > most:  # the band moves on: its lowest place is settled
+            if low < n:
+                done += ~row & 1
+            row >>= 1
+            low += 1
+        top = j + most - low
+        row |= 1 << top
+        if x in masks:
+            hit = (masks[x] >> low) & ((2 << top) - 1)
+        elif x in where:
+            hit = 0
+            for p in where[x]:
+                if low <= p <= j + most:
+                    hit |= 1 << (p - low)
         else:
-            before = history[d - 1]
-            down = k == -d or (k != d and before.get(k - 1, -1) < before.get(k + 1, -1))
-            start = before[k + 1] if down else before[k - 1] + 1
-        total += max(0, i - start - span + 1)
-        if d:
-            k = k + 1 if down else k - 1
-            i = before[k]
-    return total
-
-
-def similarity(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned shingle similarity of two word sequences with shingles sa and sb, or 0.0 where it is certainly below `least`."""
+            continue
+        both = row & hit
+        row = ((row + both) | (row - both)) & ((2 << top) - 1)
+    width = min(n - low, len(b) - 1 + most - low + 1)
+    return done + (width - (row & ((1 << width) - 1)).bit_count() if width > 0 else 0)
+
+
+def similarity(sa: np.ndarray, sb: np.ndarray, least: float = SIMILARITY) -> float:
+    """Aligned similarity of two sequences of shingles, or 0.0 where it is certainly below `least`."""
     n, m = len(sa), len(sb)
     if not n or not m or min(n, m) < least * max(n, m):
         return 0.0
@@ -148,11 +157,8 @@ def similarity(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, lea
     common = int(np.minimum(ca[ia], cb[ib]).sum())
     if ratio(common) < least:
         return 0.0  # no alignment matches more than what is common
-    most = n + m - 2 * int(np.ceil(least * (n + m) / (1 + least) - 1e-9))
-    if len(a) >= WORDS and len(b) >= WORDS and (c := matched(a, b, most, WORDS)) >= 0 and ratio(c) >= least:
-        return ratio(c)
-    c = matched(sa, sb, most, 1)  # the alignment of shingles itself: the largest c there is
-    return ratio(c) if c >= 0 else 0.0
+    most = n + m - 2 * int(np.ceil(least * (n + m) / (1 + least) - 1e-9))  # insertions and deletions at most, so the width of the band
+    return ratio(aligned(sa.tolist(), sb.tolist(), most))
 
 
 def fingerprint(text: str) -> F.Column:
@@ -173,33 +179,38 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary, n_words long, bands array<bigint>")
 
 
+def shingles_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingles of each text, plain and labelled by occurrence."""
+    for _, _, words, offsets in word_hashes(texts):
+        s, o = shingles(words, offsets, WORDS)
+        labelled = occurrence_labelled(s, o)
+        for r in range(len(offsets) - 1):
+            yield s[o[r] : o[r + 1]], labelled[o[r] : o[r + 1]]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """pairs (x, y) whose texts (node, text) are similar enough."""
+    """pairs (x, y) whose texts (node, text) are similar enough. An x of many pairs is dealt out in portions of its pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sides = []
-                for name in ("tx", "ty"):
-                    own = []
-                    for _, _, words, offsets in word_hashes(part.column(name)):
-                        s, o = shingles(words, offsets, WORDS)
-                        own += [(words[offsets[r] : offsets[r + 1]], s[o[r] : o[r + 1]]) for r in range(len(offsets) - 1)]
-                    sides.append(own)
-                good = [similarity(a, b, sa, sb, least) >= least for (a, sa), (b, sb) in zip(*sides, strict=True)]
+                sides = [[s for s, _ in shingles_of(part.column(name))] for name in ("tx", "ty")]
+                good = [similarity(a, b, least) >= least for a, b in zip(*sides, strict=True)]
                 yield part.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    x = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
+    portions = pairs.groupBy("x").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
+    x = portions.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").select("x", "tx", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
     y = texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x binary, y binary")
+    dealt = pairs.join(portions, "x").withColumn("portion", F.pmod(F.xxhash64("y"), F.col("portions")).cast("int"))
+    return dealt.join(x, ["x", "portion"]).join(y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x binary, y binary")
 
 
 def block_links(rows: list[tuple], least: float) -> Iterator[tuple]:
-    """rows: (node, words, labelled shingles, shingles, side) -> a spanning set of the similar pairs of two different sides
-    (of any two rows, if all sides are alike).
+    """rows: (node, shingles, labelled shingles, side, component) -> links that connect all components that a similar pair of two different sides
+    (of any two rows, if all sides are alike) connects.
 
     Counts what each two rows have in common by matrix products over the shingles that occur twice, so that only pairs that can be
-    similar are aligned, and of these only pairs that earlier links haven't connected.
+    similar are aligned, and of these only pairs that nothing has connected yet.
     """
     n = np.array([len(r[2]) for r in rows])
     _, which = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
@@ -214,54 +225,98 @@ def block_links(rows: list[tuple], least: float) -> Iterator[tuple]:
         part = np.zeros((len(rows), COLUMNS), np.float32)
         part[row[lo:hi], which[lo:hi] - at] = 1
         common += part @ part.T
-    side = np.array([r[4] for r in rows])
-    cross = np.triu(np.ones_like(common, bool), 1) if (side == side[0]).all() else np.triu(side[:, None] != side[None, :], 1)
+    side = np.array([r[3] for r in rows])
+    root = np.unique(np.array([r[4] for r in rows]), return_inverse=True)[1]
+    cross = np.triu(root[:, None] != root[None, :], 1)
+    if not (side == side[0]).all():
+        cross &= side[:, None] != side[None, :]
     share = np.where(cross, common / np.maximum(n[:, None] + n[None, :] - common, 1), 0)
     x, y = np.nonzero(share >= least - 1e-6)
     near = np.argsort(-share[x, y], kind="stable")
-    root = np.arange(len(rows))
     for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
-        if root[i] != root[j] and similarity(rows[i][1], rows[j][1], rows[i][3], rows[j][3], least) >= least:
+        if root[i] != root[j] and similarity(rows[i][1], rows[j][1], least) >= least:
             root[root == root[i]] = root[j]
             yield rows[i][0], rows[j][0]
 
 
-def links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members (key, node) of buckets with two nodes or more, texts (node, text, n_words) -> similar pairs (x, y) that connect all that
-    the buckets' similar pairs connect.
+def of_component(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members (key, node) of the buckets that hold several components, with comp."""
+    state = members.join(roots.withColumnRenamed("root", "comp"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    several = state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
+    return state.join(several, "key", "left_semi")
 
-    The nodes of a small bucket are compared pair by pair, a pair of several buckets once. A larger bucket is dealt into blocks of about
-    BLOCK_NODES nodes or BLOCK_WORDS words, and each two blocks meet in one task.
-    """
-    sized = members.join(texts.select("node", "n_words"), "node")
-    sums = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
-    sized = written(sized.join(sums, "key").select("key", "node", "n", "w"), "near-members")
-    small = sized.filter(F.col("n") <= SMALL_BUCKET)
-    a, b = small.select("key", F.col("node").alias("x")), small.select("key", F.col("node").alias("y"))
-    pairs = a.join(b, "key").filter("x < y").select("x", "y").distinct()
-    few = verified(pairs, texts, least)
 
+def led(state: DataFrame, turn: int) -> DataFrame:
+    """state (key, node, comp) -> pairs (x: a leader, y): each node with the leader of one of its buckets, another in every turn."""
+    first = state.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("r"), F.col("node").alias("x"), F.col("comp").alias("of"))).alias("leader"))
+    met = state.join(first, "key").filter(F.col("comp") != F.col("leader.of"))
+    one = met.groupBy("node").agg(F.max(F.struct("n", F.xxhash64(F.lit(turn), "key").alias("r"), F.col("leader.x").alias("x"))).alias("m"))
+    return one.select(F.col("m.x").alias("x"), F.col("node").alias("y"))
+
+
+def by_rarest(state: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """state (key, node, comp) with the bucket dealt anew: by each of the node's rarest labelled shingles, so many that two similar texts share one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, (_, labelled) in zip(batch.column("node").to_pylist(), shingles_of(batch.column("text")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(labelled), pa.binary()), pa.array(labelled.view(np.int64)), pa.array(np.full(len(labelled), len(labelled)))], names=["node", "s", "n"])
+
+    nodes = state.select("node").distinct()
+    rows = written(texts.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(run, "node binary, s long, n long"), "near-shingles")
+    often = rows.groupBy("s").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
+    rare = rows.join(often.filter("often > 1"), "s", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("place", place)
+    rare = rare.filter((F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1) & (F.col("often") > 1)).select("node", "s")
+    return state.join(rare, "node").select(F.xxhash64("key", "s").alias("key"), "node", "comp")
+
+
+def met_in_blocks(state: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """state (key, node, comp) of buckets -> links that connect all components that similar pairs of a bucket connect.
+
+    A bucket is dealt into blocks of about BLOCK_NODES nodes or BLOCK_WORDS words, and each two blocks meet in one task.
+    """
+    sized = state.join(texts.select("node", "n_words"), "node")
+    sums = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
-    dealt = sized.filter(F.col("n") > SMALL_BUCKET).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    placed = dealt.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = placed.select("key", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = sized.join(sums.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = dealt.select("key", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    placed = placed.select("key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
-        rows, texts_of = [], table.column("text").combine_chunks()
-        nodes, sides = table.column("node").to_pylist(), table.column("own").to_pylist()
-        for at, _, words, offsets in word_hashes(texts_of):
-            s, o = shingles(words, offsets, WORDS)
-            labelled = occurrence_labelled(s, o)
-            for r in range(len(offsets) - 1):
-                rows.append((nodes[at + r], words[offsets[r] : offsets[r + 1]], labelled[o[r] : o[r + 1]], s[o[r] : o[r + 1]], sides[at + r]))
-        if table.column("i")[0] != table.column("j")[0] and len(set(sides)) == 1:
-            found = []  # the other block is empty
-        else:
-            found = list(block_links(rows, least))
+        sides, found = table.column("own").to_pylist(), []
+        if table.column("i")[0] == table.column("j")[0] or len(set(sides)) > 1:  # else the other block is empty
+            each = zip(table.column("node").to_pylist(), shingles_of(table.column("text").combine_chunks()), sides, table.column("comp").to_pylist(), strict=True)
+            found = list(block_links([(node, s, labelled, side, comp) for node, (s, labelled), side, comp in each], least))
         return pa.table({"x": pa.array([f[0] for f in found], pa.binary()), "y": pa.array([f[1] for f in found], pa.binary())})
 
-    many = placed.join(texts.select("node", "text"), "node").select("key", "i", "j", "own", "node", "text").groupBy("key", "i", "j").applyInArrow(run, "x binary, y binary")
-    return few.unionByName(many)
+    return placed.join(texts.select("node", "text"), "node").select("key", "i", "j", "own", "node", "comp", "text").groupBy("key", "i", "j").applyInArrow(run, "x binary, y binary")
+
+
+def connected(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """members (key, node) of buckets with two nodes or more, texts (node, text, n_words) -> node, root for every node that similar pairs of
+    buckets connect with another.
+
+    The nodes of a small bucket are compared pair by pair, a pair of several buckets once; those of larger ones as said above.
+    """
+    sums = members.groupBy("key").agg(F.count("*").alias("n"))
+    sized = members.join(sums, "key")
+    small = written(sized.filter(F.col("n") <= SMALL_BUCKET).select("key", "node"), "near-small")
+    large = written(sized.filter(F.col("n") > SMALL_BUCKET).select("key", "node"), "near-large")
+    a, b = small.select("key", F.col("node").alias("x")), small.select("key", F.col("node").alias("y"))
+    pairs = written(a.join(b, "key").filter("x < y").select("x", "y").distinct(), "near-pairs")
+    roots = components(verified(pairs, texts, least))
+    for turn in range(STARS):
+        state = written(of_component(large, roots), "near-mixed")
+        if not state.limit(1).count():
+            return roots
+        large = state.select("key", "node")
+        new = verified(written(led(state, turn), "near-led"), texts, least)
+        roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(new))
+    state = written(of_component(large, roots), "near-mixed")
+    if not state.limit(1).count():
+        return roots
+    new = met_in_blocks(written(by_rarest(state, texts, least).distinct(), "near-rarest"), texts, least)
+    return components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(new))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
@@ -274,11 +329,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: flo
     rows = nodes.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("fp").alias("node"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = written(rows.join(shared, "key", "left_semi"), "near-buckets")
-    wanted = members.select("node").distinct().join(nodes.select(F.col("fp").alias("node"), "first", "n_words"), "node")
+    wanted = written(members.select("node").distinct().join(nodes.select(F.col("fp").alias("node"), "first", "n_words"), "node"), "near-wanted")
     own = source.select(F.col("fp").alias("node"), F.col("doc_id").alias("first"), "text")
     on = (own["node"] == wanted["node"]) & own["first"].eqNullSafe(wanted["first"])
-    texts = written(own.join(wanted, on).select(own["node"], "text", "n_words").dropDuplicates(["node"]), "near-texts")
-    roots = components(links(members, texts, least))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+    texts = written(own.join(few, on).select(own["node"], "text", "n_words").dropDuplicates(["node"]), "near-texts")
+    roots = connected(members, texts, least)
     named = nodes.select(F.col("fp").alias("node"), "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("first").alias("class_id"))
     label = named.join(best, "root").select(F.col("node").alias("fp"), "class_id")

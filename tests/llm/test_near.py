@@ -42,12 +42,10 @@ def test_similarity_is_the_alignment(seed):
     for _ in range(rng.randint(0, 3)):
         k = rng.randrange(len(b) + 1)
         b[k : k + rng.randint(0, 2)] = [f"x{rng.random()}"] * rng.randint(0, 2)
-    table = {}
-    wa, wb = (np.array([table.setdefault(x, len(table) + 1) for x in t], np.uint64) for t in (a, b))
     shingle_table = {}
     sa, sb = (np.array([shingle_table.setdefault(x, len(shingle_table) + 1) for x in shingled(t)], np.uint64) for t in (a, b))
     want = brute(a, b)
-    got = om.similarity(wa, wb, sa, sb)
+    got = om.similarity(sa, sb)
     assert (got >= 0.8) == (want >= 0.8 - 1e-9)
 
 
@@ -91,8 +89,9 @@ def brute_classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
-def test_classes_against_all_pairs(spark):
-    texts = corpus(5, 60)
+@pytest.mark.parametrize("seed", [5, 6])
+def test_classes_against_all_pairs(spark, seed):
+    texts = corpus(seed, 60)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in om.classes(rows).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
@@ -113,6 +112,65 @@ def test_large_buckets_go_by_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+@pytest.mark.parametrize("seed", range(100))
+def test_aligned_in_a_band(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.randint(1, rng.choice([2, 5, 40])) for _ in range(rng.randint(0, 60))] for _ in range(2))
+    if seed % 2:
+        b = a[rng.randint(0, 5) :] + b[:5]
+    most = rng.randint(0, 70)
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y and abs(i - j) <= most else max(row[j + 1], new[j]))
+        row = new
+    head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert om.aligned(a, b, most) >= row[-1] >= 0 and om.aligned(a, b, most) <= lcs(a, b)
+    if most >= max(len(a), len(b)):
+        assert om.aligned(a, b, most) == lcs(a, b) and head <= lcs(a, b)
+    else:  # whatever alignment has few enough insertions and deletions lies in the band
+        best = lcs(a, b)
+        assert len(a) + len(b) - 2 * best > most or om.aligned(a, b, most) == best
+
+
+def test_long_near_copies_in_bounded_memory():
+    import resource
+
+    rng = np.random.default_rng(1)
+    words = rng.integers(1, 1 << 60, 100_000).astype(np.uint64)
+    other = words.copy()
+    other[rng.integers(0, len(words), 1000)] = 7
+    (sa, _), (sb, _) = (om.shingles(w, np.array([0, len(w)])) for w in (words, other))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert om.similarity(sa, sb) > 0.9
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # KB
+    ones = np.ones(50_000, np.uint64)
+    assert om.similarity(ones, ones[:45_000]) == pytest.approx(0.9)
+
+
+@pytest.mark.parametrize(("stars", "seed"), [(0, 1), (1, 2)])
+def test_large_buckets_in_every_way(spark, monkeypatch, stars, seed):
+    """Near copies, chains, and texts with a long passage in common that are not similar enough."""
+    rng = random.Random(seed)
+    shared, base = [f"s{i}" for i in range(75)], [f"w{i}" for i in range(100)]
+    texts = [" ".join(shared + [f"u{seed}-{i}-{k}" for k in range(22)]) for i in range(30)]
+    for i in range(40):
+        t = list(base)
+        for k in range(i % 4):
+            t[(i * 7 + k * 31) % 100] = f"x{rng.random()}"
+        texts.append(" ".join(t))
+    texts += [t + " end" for t in texts[:5]]
+    monkeypatch.setattr(om, "STARS", stars)
+    monkeypatch.setattr(om, "BLOCK_NODES", 16)
+    monkeypatch.setattr(om, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(om, "PORTION", 5)
+    monkeypatch.setattr(om, "BROADCAST_NODES", 10 if seed == 2 else 1000)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in om.classes(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 EDGES = [(1, None), (2, None), (3, ""), (4, ""), (5, " \n"), (6, "a b"), (7, "a b"), (7, "a b"), (8, "a c"), (None, "a b"), (9, "one " * 400), (10, "one " * 399), (11, "b a")]
 
 
