@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import written
+from .text import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,6 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         # a fixed point: every node hangs on one root, and no root hangs on another
         a = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         b = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(large)
+        discard(edges)
         edges = small
         if a == b:
             break

@@ -5,13 +5,15 @@ of the benchmark, under every mask, are joined with those of the documents by ha
 compared word by word on the hit's diagonal. An overlap counts if in some window of WINDOW words (or the whole item, if shorter) at
 least LEAST of the words agree. The masks of an item's length together leave no pattern of that many substitutions without a hit.
 
-Words are compared without case and punctuation; in scripts that are written without blanks every character is a word. Each document is searched whole, where it lies, without a shuffle; the benchmark
-goes to the tasks in blocks of at most about BLOCK_WORDS words, one pass over the documents for each block.
+Words are compared without case and punctuation; in scripts that are written without blanks every character is a word. A benchmark of
+at most BLOCK_BYTES goes to the tasks as one block, and each document is searched whole, where it lies, without a shuffle. A larger one is
+joined: its seeds are a table, the documents' seeds that a bit filter of bounded size lets through are another, both with the words around
+them, so that a joined row is verified by itself; it takes one pass over the documents whatever the benchmark's size. Results are the same.
 
 Defined results: items of fewer than SHORTEST words match nothing, or with `exact_short` (the query and the pipeline) where a text holds all their
 words in order and unchanged; items without words and null texts match nothing; an item and
-a document give one row, with their best overlap (of equal ones, the first in the document); rows that repeat give a row each;
-an empty table on either side gives an empty result.
+a document give one row, with their best overlap (of equal ones, the first in the document); rows that repeat give a row each; very long texts are
+searched whole; an empty table on either side gives an empty result. Of both tables only key and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bounded_batches, word_count
+from .text import bounded_batches, written
 from .tokens import U, mix64, word_hashes
 
 MASKS = ("11111", "111011", "110111")
@@ -36,10 +38,19 @@ FEW, DENSE = "1111", 12
 #: Scripts that are written without blanks between words.
 _UNSPACED = ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Javanese", "Balinese")
 
-#: Benchmark words of one pass: about 100 bytes each in a task.
-BLOCK_WORDS = 500_000
+#: Benchmark texts of up to so many bytes are broadcast (a task holds about 50 times as much); larger ones are joined.
+BLOCK_BYTES = 4 << 20
 
-_FILTER_BITS = 22
+#: Texts found by the join that are broadcast to leave them out; beyond that, documents are shuffled once.
+BROADCAST_ROWS = 500_000
+
+#: Words around a seed that its row carries: all windows that hold the seed's first word.
+_BEFORE, _AROUND = WINDOW - 1, 2 * WINDOW + 4
+
+#: Rows of one seed in a task of the join; a more frequent seed is dealt out, and meets its items in every part.
+PORTION = 50_000
+
+_FILTER_BITS, _MOST_BITS = 22, 28
 
 
 def spaced(texts: pa.Array) -> pa.Array:
@@ -149,51 +160,139 @@ class Block:
         return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 5
 
 
-def blocks(items: DataFrame, key: str, text: str, exact_short: bool) -> Iterator[Block]:
-    """The benchmark, a bounded part at a time."""
-    unspaced = F.coalesce(F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{x}}}" for x in _UNSPACED) + "]")), F.lit(0))
-    n = items.agg(F.sum(word_count(text) + unspaced)).first()[0] or 0
-    count = n // BLOCK_WORDS + 1
-    dealt = items.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
-    for k in range(count):
-        rows = dealt.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).toPandas() if count > 1 else dealt.toPandas()
-        yield Block(rows["id"].tolist(), rows["text"].tolist(), exact_short)
+def fits_block(items: DataFrame, text: str) -> bool:
+    return (items.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0) <= BLOCK_BYTES
+
+
+def block_of(items: DataFrame, key: str, text: str, exact_short: bool) -> Block:
+    """The whole benchmark, of at most BLOCK_BYTES."""
+    rows = items.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL").toPandas()
+    return Block(rows["id"].tolist(), rows["text"].tolist(), exact_short)
+
+
+def fingerprint(text: str) -> F.Column:
+    return F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
+
+
+def around(words: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray, none: int) -> pa.Array:
+    """The _AROUND words of which the one at `at` has number _BEFORE; `none` where the row has no word."""
+    there = at[:, None] + np.arange(-_BEFORE, _AROUND - _BEFORE)
+    ok = (there >= offsets[row][:, None]) & (there < offsets[row + 1][:, None])
+    context = np.ascontiguousarray(np.where(ok, words[np.where(ok, there, 0)], U(none)))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(_AROUND * 8), len(at), [None, pa.py_buffer(context)]).cast(pa.binary())
+
+
+def item_seeds(items: DataFrame, text: str, exact_short: bool) -> DataFrame:
+    """item (fingerprint), n (its words), mask, h, at (word), context: the seeds of all items, one row each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = Block(list(range(batch.num_rows)), batch.column("text").to_pylist(), exact_short)
+            n = np.diff(b.offsets)
+            for lo in range(0, len(b.keys), 10_000):
+                at = b.places[lo : lo + 10_000]
+                item = b.item[at]
+                yield pa.RecordBatch.from_arrays([batch.column("fp").take(pa.array(item)), pa.array(n[item]), pa.array(b.keys[lo : lo + 10_000].view(np.int64)), pa.array(at - b.offsets[item]), around(b.words, b.offsets, item, at, 0)], names=["item", "n", "h", "item_at", "item_context"])
+
+    texts = items.select(fingerprint(text).alias("fp"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL").dropDuplicates(["fp"])
+    return texts.mapInArrow(run, "item binary, n long, h long, item_at long, item_context binary")
+
+
+def seed_filter(seeds_of_items: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words): bit i is set if some seed begins with the bits of i. Of bounded size: 2^_MOST_BITS bits, made by a grouped aggregation."""
+    bits = min(_MOST_BITS, max(_FILTER_BITS, seeds_of_items.count().bit_length() + 4))
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    got = seeds_of_items.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 AS int))")).alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), U)
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(U)
+    return bits, out
+
+
+def joined_overlaps(docs: DataFrame, items: DataFrame, text: str, item_text: str, exact_short: bool) -> DataFrame:
+    """doc, item (fingerprints of texts), first_word, window, equal_words of all that overlap: seed tables joined by hash, one pass over docs."""
+    wanted = written(item_seeds(items, item_text, exact_short), "seeds-items")
+    filter_of = docs.sparkSession.sparkContext.broadcast(seed_filter(wanted))
+    masks = list(dict.fromkeys((*MASKS, FEW, *("1" * n for n in range(1, SHORTEST) if exact_short))))
+    used = docs.sparkSession.sparkContext.broadcast(masks)
+
+    def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, table = filter_of.value
+        for batch in batches:
+            for row0, _, words, offsets in word_hashes(spaced(batch.column("text")), plain=True):
+                for mask in used.value:
+                    k, p = seeds(words, offsets, mask)
+                    slot = k >> U(64 - bits)
+                    near = np.flatnonzero(table[slot >> U(6)] >> (slot & U(63)) & U(1))
+                    for lo in range(0, len(near), 10_000):
+                        at = p[near[lo : lo + 10_000]]
+                        row = np.searchsorted(offsets, at, side="right") - 1
+                        yield pa.RecordBatch.from_arrays([batch.column("fp").take(pa.array(row0 + row)), pa.array(k[near[lo : lo + 10_000]].view(np.int64)), pa.array(at - offsets[row]), around(words, offsets, row, at, 1)], names=["doc", "h", "doc_at", "doc_context"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 10_000):
+                part = batch.slice(lo, 10_000)
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), U).reshape(-1, _AROUND) for c in ("doc_context", "item_context"))
+                n, item_at, doc_at = (np.asarray(part.column(c)) for c in ("n", "item_at", "doc_at"))
+                total = np.concatenate([np.zeros((len(n), 1), np.int64), np.cumsum(a == b, axis=1)], axis=1)
+                window = np.minimum(n, WINDOW)
+                for w in np.unique(window):
+                    rows = np.flatnonzero(window == w)
+                    equal = total[rows, w:] - total[rows, :-w]
+                    first = item_at[rows][:, None] - _BEFORE + np.arange(equal.shape[1])  # of the window, in the item
+                    equal = np.where((first >= 0) & (first + w <= n[rows][:, None]), equal, -1)
+                    best = equal.argmax(axis=1)
+                    equal = equal[np.arange(len(rows)), best]
+                    yes = equal >= (LEAST * w - 1e-9 if w >= SHORTEST else w)
+                    at = pa.array(rows[yes])
+                    yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("item").take(at), pa.array((doc_at[rows] - _BEFORE + best)[yes]), pa.array(np.full(int(yes.sum()), w)), pa.array(equal[yes])], names=["doc", "item", "first_word", "window", "equal_words"])
+
+    texts = docs.select(fingerprint(text).alias("fp"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
+    met = written(texts.mapInArrow(seeds_of, "doc binary, h long, doc_at long, doc_context binary"), "seeds-docs").dropDuplicates(["doc", "h", "doc_at"])
+    portions = wanted.select("h").distinct().join(met.groupBy("h").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions")), "h")
+    dealt = met.join(portions, "h").withColumn("portion", F.pmod(F.xxhash64("doc"), F.col("portions")).cast("int"))
+    spread_out = wanted.join(portions, "h").withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
+    hits = dealt.join(spread_out, ["h", "portion"]).select("doc", "item", "n", "item_at", "doc_at", "item_context", "doc_context").mapInArrow(judged, "doc binary, item binary, first_word long, window long, equal_words long")
+    best = hits.groupBy("doc", "item").agg(F.max(F.struct("equal_words", (-F.col("first_word")).alias("f"), "window")).alias("b"))
+    return written(best.select("doc", "item", (-F.col("b.f")).alias("first_word"), "b.window", "b.equal_words"), "seeds-overlaps")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", exact_short: bool = False) -> DataFrame:
     """doc_id, item_id, first_word (of the best window, counted from 0), window, equal_words: one row for each pair that overlaps."""
     bounded_batches(docs.sparkSession)
+    if not fits_block(items, item_text):
+        found = joined_overlaps(docs, items, text, item_text, exact_short)
+        named = found.join(items.select(F.col(f"`{item_key}`").alias("item_id"), fingerprint(item_text).alias("item")), "item")
+        rows = docs.select(F.col(f"`{key}`").alias("doc_id"), fingerprint(text).alias("doc"))
+        return rows.join(named, "doc").select("doc_id", "item_id", "first_word", "window", "equal_words")
     kinds = (docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString())
-    out = None
-    for block in blocks(items, item_key, item_text, exact_short):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = docs.sparkSession.sparkContext.broadcast(block_of(items, item_key, item_text, exact_short))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            for batch in batches:
-                for row, item, first, window, equal in b.search(batch.column("text")):
-                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), b.ids.take(pa.array(item)), pa.array(first), pa.array(window), pa.array(equal)], names=["doc_id", "item_id", "first_word", "window", "equal_words"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = shared.value
+        for batch in batches:
+            for row, item, first, window, equal in b.search(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), b.ids.take(pa.array(item)), pa.array(first), pa.array(window), pa.array(equal)], names=["doc_id", "item_id", "first_word", "window", "equal_words"])
 
-        hits = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, first_word long, window long, equal_words long")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, first_word long, window long, equal_words long")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", exact_short: bool = False) -> DataFrame:
-    """docs without the rows that overlap with an item; each block of the benchmark filters what the one before it kept."""
+    """docs without the rows that overlap with an item."""
     bounded_batches(docs.sparkSession)
-    for block in blocks(items, item_key, item_text, exact_short):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for row, *_ in shared.value.search(batch.column(text)):
-                    clean[row] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    if not fits_block(items, item_text):
+        gone = written(joined_overlaps(docs, items, text, item_text, exact_short).select(F.col("doc").alias("_seed_fp")).distinct(), "seeds-gone")
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+        return docs.join(gone, fingerprint(text) == F.col("_seed_fp"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(block_of(items, item_key, item_text, exact_short))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for row, *_ in shared.value.search(batch.column(text)):
+                clean[row] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_spaced_seeds(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ judges it.
 The languages are those of the labelled texts that the letter models are fitted on.
 
 Defined results: a page without text is judged by its other evidence; without any evidence at all, by the corpus prior; a null html declares
-nothing; a null url has an empty host, domain and suffix, which count as values of their own; rows that repeat are judged alike; without
-labelled texts lang is null; an empty table gives an empty result.
+nothing; a null url has an empty host, domain and suffix, which count as values of their own; rows that repeat are judged alike; of equally
+probable languages the first by name wins; very long and malformed pages are read whole, in one pass; without labelled texts lang is null; an empty
+table gives an empty result. Of a page only the key, url and html are read, whatever its other columns are called.
 """
 
 from __future__ import annotations
@@ -37,17 +38,40 @@ STRENGTH = 4.0
 #: Letters whose evidence counts in full; neighbours are not independent, so that of longer texts is scaled down to so many.
 MOST_LETTERS = 150
 
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?\s*([a-z]{2,3})\b""")
+_OPEN = re.compile(r"(?ia)<(?:(script|style|noscript|template)\b|(!--))?")
+_CLOSE = {name: re.compile(rf"(?ia)</{name}\s*>") for name in ("script", "style", "noscript", "template")} | {"!--": re.compile("-->"), "": re.compile(">")}
+_HTML = re.compile(r"(?ia)<html\b")
+_LANG = re.compile(r"""(?ia)\slang\s*=\s*(?:["']\s*)?([a-z]{2,3})\b""")
 
 
 def visible(page: str | None) -> str:
-    return markup.unescape(_HIDDEN.sub(" ", page)) if page else ""
+    """The text of a page without tags, comments and what isn't shown. One pass: what has no end is looked for once."""
+    if not page:
+        return ""
+    out, start, at, endless = [], 0, 0, set()
+    while "" not in endless and (m := _OPEN.search(page, at)):
+        for name in (*([(m[1] or m[2]).lower()] if m[1] or m[2] else []), ""):
+            if name not in endless:
+                end = _CLOSE[name].search(page, m.end() if name else m.start())
+                if end:
+                    out.append(page[start : m.start()])
+                    start = at = end.end()
+                    break
+                endless.add(name)
+        else:
+            at = m.end()
+    return markup.unescape(" ".join([*out, page[start:]]))
 
 
 def declared(page: str | None) -> str:
-    m = _DECLARED.search(page) if page else None
-    return m[1].lower() if m else ""
+    """The language that the first html tag with a lang attribute names; each tag is read once."""
+    at = 0
+    while page and (m := _HTML.search(page, at)):
+        at = page.find(">", m.end())
+        at = len(page) if at < 0 else at
+        if found := _LANG.search(page, m.end(), at):
+            return found[1].lower()
+    return ""
 
 
 class Letters:

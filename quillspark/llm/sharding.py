@@ -6,8 +6,8 @@ a grouped aggregation over (hash, bytes), and rolled up bit by bit, so that dept
 directory is itself above the limit, its rows alone are counted with more bits.
 
 Defined results: a null text has 0 bytes; a row larger than the limit gets a shard that holds no other row, if its hash is its own;
-equal rows, which no bit separates, overflow into numbered parts that fit (`part`); an empty table gives an empty result. Columns of
-the input that clash with a result column are replaced.
+equal rows, which no bit separates, overflow into numbered parts that fit (`part`), it doesn't matter which is in which; very long texts
+count by their bytes; an empty table gives an empty result. Columns of the input that clash with a result column are replaced.
 """
 
 from __future__ import annotations
@@ -89,12 +89,13 @@ def shard(docs: DataFrame, limit: int = LIMIT, key: tuple[str, ...] = ("doc_id",
 
 def overflow(out: DataFrame, limit: int) -> DataFrame:
     """Rows of equal hash that exceed the limit together, in parts that fit. They are dealt to 64 salts by their input partition,
-    so that no task numbers all of them; equal rows are interchangeable."""
+    so that no task numbers all of them; equal rows are interchangeable. They are written with their salts, so that each row's part is settled
+    before sums are taken."""
     over = F.col("shard_bytes").isNull()
-    stuck = out.filter(over).withColumn("_salt", F.spark_partition_id() % 64)
+    stuck = written(out.filter(over).withColumn("_salt", F.spark_partition_id() % 64), "shard-stuck")
     n = F.row_number().over(Window.partitionBy("_h", "_salt").orderBy("bytes")) - 1
     per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("bytes")))).cast("long")
-    stuck = stuck.withColumn("part", 1 + F.col("_salt") + 64 * F.floor(n / per).cast("long"))
+    stuck = written(stuck.withColumn("part", 1 + F.col("_salt") + 64 * F.floor(n / per).cast("long")), "shard-stuck")
     sums = written(stuck.groupBy("_h", "part").agg(F.sum("bytes").alias("_sb"), F.count("*").alias("_sn")), "shard-parts")
     stuck = stuck.drop("shard_bytes", "shard_rows", "_salt").join(sums, ["_h", "part"]).withColumnsRenamed({"_sb": "shard_bytes", "_sn": "shard_rows"})
     return out.filter(~over).unionByName(stuck.select(*out.columns))

@@ -4,12 +4,17 @@ Both classes have an interpolated Kneser-Ney model of the letters of words (n-gr
 its two borders, so that inflected or rare forms of an expression share its stem). Orders above SHARED are counted
 per class, on labelled texts; orders up to SHARED are backoff counts that the classes share, gathered from all texts. A rare form
 that neither class has seen therefore falls back to the same probability in both, and says nothing. A text's log-likelihoods,
-toxic less ordinary, are normalised by its length, over the whole text and over its most toxic window; a logistic curve fitted on
-labelled texts that the counts have not seen turns them into a score.
+toxic less ordinary, are normalised by its length: `difference` is that comparison unaided, per word. A logistic curve fitted on labelled
+texts that the counts have not seen turns it, and the same comparison of the most toxic window and word, into a score. The models know letters
+inside words; of an expression of several words they know its words, and the window that holds them together.
+
+Bounds: SAMPLE labelled texts of each class give class counts, which reach the driver and every task as a table of their distinct n-grams;
+a word counts once in a text, so the table grows with the vocabulary of the sample, not with the length of its texts.
 
 Defined results: a null or empty text scores as a text without evidence; labels that contradict each other for one doc_id count as toxic,
-null labels or ids are not used; without labels of both classes every score is the share of toxic labels (0 without any); rows
-that repeat are scored alike; an empty table gives an empty result. Columns named as a result column are replaced.
+null labels or ids are not used; of several texts with one labelled doc_id the least is learned from; without labels of both classes every
+score is the share of toxic labels (0 without any) and every difference 0; rows that repeat are scored alike, equal scores stay equal; very long texts
+are scored whole; an empty table gives an empty result. Columns named as a result column are replaced.
 """
 
 from __future__ import annotations
@@ -217,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     picked = one.filter("toxic = 1").orderBy("_r", key).limit(sample).unionByName(one.filter("toxic = 0").orderBy("_r", key).limit(sample))
     picked = written(picked.withColumn("curve", F.pmod("_r", F.lit(4)) == 0).drop("_r"), "toxic-sample")
     there = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")).join(F.broadcast(picked), key)
-    there = written(there, "toxic-texts")
+    there = written(there.groupBy(key, "toxic", "curve").agg(F.min("_text").alias("_text")), "toxic-texts")
     n = {bool(r["toxic"]): r["count"] for r in there.groupBy("toxic").count().collect()}
     prior = n.get(True, 0) / max(1, sum(n.values()))
     if len(n) < 2:
@@ -233,18 +238,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with score."""
+    """docs (or its columns `keep`) with score and difference (log-likelihoods per word, toxic less ordinary)."""
     bounded_batches(docs.sparkSession)
-    names = keep or [c for c in docs.columns if c != "score"]
+    names = keep or [c for c in docs.columns if c not in ("score", "difference")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = shared.value.scores(shared.value.features(batch.column("_text")))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(s)], names=[*names, "score"])
+            x = shared.value.features(batch.column("_text"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(shared.value.scores(x)), pa.array(x[:, 0])], names=[*names, "score", "difference"])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"))
-    return kept.mapInArrow(run, ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names], "score double"]))
+    return kept.mapInArrow(run, ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names], "score double, difference double"]))
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -257,4 +262,4 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").filter(~held_out())
     out = score(docs, fit(docs, labels), keep=["doc_id"])
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")

@@ -1,14 +1,15 @@
 """URL filters by a bit-parallel wildcard automaton.
 
 All glob rules are packed into multiword Shift-And masks; one pass over a canonical URL advances every rule at once.
-A batch of URLs is advanced together, position by position, as NumPy words.
+Many URLs are advanced together, position by position, as NumPy words; long lists of rules go in parts of PASS_WORDS words, the first to win
+first, and as many URLs at a time as STATE_BYTES holds, so that memory is bounded by parameters.
 
 The canonical URL is ".host" + SEPARATOR + path, the host's A-Z lower-cased. In a glob `*` stands for any run of symbols but the
 separator, `**` for any run at all, `?` for any one symbol but the separator, and SEPARATOR for itself.
 
 Defined results: a null URL, or one without "://", has an empty host and path, which no host rule fits; repeated
-rows are judged each on its own; an empty table gives an empty result. Of the rules that fit, the longest wins, then the
-first in the list.
+rows are judged each on its own; very long URLs are read whole; an empty table gives an empty result. Of the rules that fit, the longest wins,
+then the first in the list. Only the key and the URL are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import bounded_batches
+
 SEPARATOR = "\x00"
 ANY, ANY_BUT_SEPARATOR, ONE = -1, -2, -3
 
-#: The masks go to every task as part of the function; beyond this many symbols, rules belong into several passes.
-MAX_SYMBOLS = 1 << 20
+#: The masks are broadcast: at most so many bytes (some 300,000 rules over 100 different characters).
+MAX_BYTES = 256 << 20
+
+#: Words of 64 symbols that are advanced together, and bytes of their state for one lot of URLs.
+PASS_WORDS, STATE_BYTES = 1 << 12, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -66,41 +72,47 @@ def symbols(glob: str) -> list[int]:
     return out
 
 
+def bits_of(parsed: list[int]) -> int:
+    return 1 + sum(s not in (ANY, ANY_BUT_SEPARATOR) for s in parsed)
+
+
 class Automaton:
     """Bit s of a rule is set when its first s symbols have been read; a wildcard keeps the bit below it alive."""
 
     def __init__(self, rules: list[GlobRule]):
         self.rules = rules
         parsed = [symbols(r.glob) for r in rules]
-        if sum(map(len, parsed)) > MAX_SYMBOLS:
-            raise ValueError(f"more than {MAX_SYMBOLS} symbols: judge in several passes")
         literal = sorted({s for p in parsed for s in p if s >= 0})
         self.code = {s: i + 1 for i, s in enumerate(literal)}  # 0: any other symbol
-        self.separator = self.code.get(ord(SEPARATOR), -1)
+        separator = self.code.get(ord(SEPARATOR), -1)
         self.literals = np.array(literal, np.uint32)
-        bits = sum(1 + sum(s not in (ANY, ANY_BUT_SEPARATOR) for s in p) for p in parsed)
-        self.words = max(1, -(-bits // 64))
+        self.words = max(1, sum(map(bits_of, parsed)) // 64 + 1)
         shape = (len(literal) + 1, self.words)
         self.step, self.stay = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
-        self.start, self.final = np.zeros(self.words, np.uint64), np.zeros(len(rules), np.int64)
+        start, final, one, wild, stay = [], [], [], [], {ANY: [], ANY_BUT_SEPARATOR: []}
         at = 0
-        for k, p in enumerate(parsed):
-            self._set(self.start, at)
+        for p in parsed:
+            start.append(at)
             for s in p:
-                codes = [c for c in range(shape[0]) if s == ANY or c != self.separator] if s < 0 else [self.code[s]]
-                if s in (ANY, ANY_BUT_SEPARATOR):
-                    for c in codes:
-                        self._set(self.stay[c], at)
+                if s in stay:
+                    stay[s].append(at)
                 else:
                     at += 1
-                    for c in codes:
-                        self._set(self.step[c], at)
-            self.final[k] = at
+                    (wild if s == ONE else one).append((self.code.get(s, 0), at))
+            final.append(at)
             at += 1
-
-    @staticmethod
-    def _set(words: np.ndarray, bit: int) -> None:
-        words[bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
+        self.start, self.final = self._bits(start), np.array(final, np.int64)
+        codes, places = (np.array(x, np.int64) for x in zip(*one, strict=True)) if one else (np.zeros(0, np.int64),) * 2
+        np.bitwise_or.at(self.step, (codes, places // 64), np.uint64(1) << (places % 64).astype(np.uint64))
+        self.stay |= self._bits(stay[ANY])
+        but = np.arange(shape[0]) != separator
+        self.stay[but] |= self._bits(stay[ANY_BUT_SEPARATOR])
+        self.step[but] |= self._bits([at for _, at in wild])
+
+    def _bits(self, places: list[int]) -> np.ndarray:
+        out, at = np.zeros(self.words, np.uint64), np.array(places, np.int64)
+        np.bitwise_or.at(out, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+        return out
 
     def run(self, urls: list[str]) -> np.ndarray:
         """A row of booleans, one per rule, for each canonical URL."""
@@ -127,6 +139,36 @@ class Automaton:
         return out
 
 
+def automata(rules: list[GlobRule]) -> list[Automaton]:
+    """The rules in parts of about PASS_WORDS words, in their order."""
+    parts, words = [[]], 0.0
+    for r in rules:
+        words += bits_of(symbols(r.glob)) / 64
+        if words > PASS_WORDS and parts[-1]:
+            parts.append([])
+            words = bits_of(symbols(r.glob)) / 64
+        parts[-1].append(r)
+    out = [Automaton(p) for p in parts if p]
+    if sum(a.step.nbytes + a.stay.nbytes for a in out) > MAX_BYTES:
+        raise ValueError(f"the masks of {len(rules)} rules exceed {MAX_BYTES} bytes")
+    return out
+
+
+def first_fit(machines: list[Automaton], urls: list[str]) -> np.ndarray:
+    """For each canonical URL the number of the first rule that fits, or the number of all rules."""
+    best = np.full(len(urls), sum(len(m.rules) for m in machines), np.int64)
+    left, before = np.arange(len(urls)), 0
+    for m in machines:
+        lot = max(1, STATE_BYTES // (8 * m.words))
+        for at in range(0, len(left), lot):
+            rows = left[at : at + lot]
+            hit = m.run([urls[k] for k in rows])
+            best[rows] = np.where(hit.any(axis=1), before + hit.argmax(axis=1), best[rows])
+        before += len(m.rules)
+        left = left[best[left] >= before]
+    return best
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.locate("://", url)
     rest = F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise(F.lit(""))
@@ -142,17 +184,17 @@ def judge(pages: DataFrame, rules: list[GlobRule], default: str = "allow", key:
     """
     host, path = host_and_path(F.col(f"`{url}`"))
     parts = pages.select(F.col(f"`{key}`").alias(key), host.alias("host"), path.alias("path"))
-    machine = Automaton(rules)
-    rank = np.array([(r.label is not None) * 1e9 + len(r.label or r.glob) for r in rules])
-    order = np.argsort(-rank, kind="stable")
-    labels, verdicts = [rules[k].label for k in order] + [None], [rules[k].verdict for k in order] + [default]
+    ordered = sorted(rules, key=lambda r: (r.label is None, -len(r.label or r.glob)))
+    labels, verdicts = [r.label for r in ordered] + [None], [r.verdict for r in ordered] + [default]
+    bounded_batches(pages.sparkSession)
+    shared = pages.sparkSession.sparkContext.broadcast((automata(ordered), pa.array(labels, pa.string()), pa.array(verdicts, pa.string())))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines, label, verdict = shared.value
         for b in batches:
             hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
-            hit = machine.run([f".{h}{SEPARATOR}{p}" for h, p in zip(hosts, paths, strict=True)])[:, order]
-            best = np.where(hit.any(axis=1), hit.argmax(axis=1), len(rules)) if len(rules) else np.zeros(len(hosts), int)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([labels[k] for k in best], pa.string()), pa.array([verdicts[k] for k in best], pa.string())], names=[*b.schema.names, "rule", "verdict"])
+            best = pa.array(first_fit(machines, [f".{h}{SEPARATOR}{p}" for h, p in zip(hosts, paths, strict=True)]))
+            yield pa.RecordBatch.from_arrays([*b.columns, label.take(best), verdict.take(best)], names=[*b.schema.names, "rule", "verdict"])
 
     kind = parts.schema[key].dataType.simpleString()
     return parts.mapInArrow(judged, f"`{key}` {kind}, host string, path string, rule string, verdict string")

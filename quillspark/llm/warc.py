@@ -11,7 +11,9 @@ A file's name is unique to the attempt that wrote it and never written again, so
 lost tasks leave files that no index row names (`sweep` removes them).
 
 Defined results: a null html is an empty payload; a null url is written as an empty URI; of rows with equal payload and equal smallest
-page_id one is the response (null page_ids come last, and are found by digest alone); an empty table gives no archive and an empty index.
+page_id one is the response (null page_ids come last, and are found by digest alone); very long payloads are one record, held in memory one at a
+time; an empty table gives no archive and an empty index. page_id is an integer of any width or a string, anything else is refused; other
+columns than page_id, url and html are not kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bounded_batches, shared_dir, text_of
+from .text import bounded_batches, shared_dir, text_of, written
 
 #: Records whose ranges are at most GAP bytes apart are read at once, up to SPAN bytes.
 GAP, SPAN = 64 << 10, 8 << 20
@@ -38,6 +40,15 @@ DATE = "1970-01-01T00:00:00Z"  # archives of equal tables are equal
 INDEX = "page_id {kind}, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
 
 
+IDS = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
+
+def id_type(kind: str) -> pa.DataType:
+    if kind not in IDS:
+        raise TypeError(f"page_id is {kind}: cast it to one of {', '.join(IDS)}")
+    return IDS[kind]
+
+
 def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
 
@@ -90,8 +101,10 @@ def decided(pages: DataFrame, smallest: int) -> DataFrame:
     if tied.limit(1).count():
         out = out.join(tied.withColumn("tied", F.lit(True)), "sha", "left")
         of_tie = F.col("tied").isNotNull() & F.col("big") & leader
-        split = out.filter(of_tie).withColumn("k", F.row_number().over(Window.partitionBy("sha").orderBy("url")))
-        out = out.filter(~F.coalesce(of_tie, F.lit(False))).unionByName(split.withColumn("original", F.when(F.col("k") > 1, F.struct(F.col("first").alias("page_id")))).drop("k"))
+        split = written(out.filter(of_tie).withColumn("k", F.monotonically_increasing_id()), "warc-ties")
+        one = split.groupBy("sha").agg(F.min(F.struct("url", "k")).alias("one")).select("sha", F.col("one.k").alias("one"))
+        split = split.join(one, "sha").withColumn("original", F.when(F.col("k") != F.col("one"), F.struct(F.col("first").alias("page_id")))).drop("k", "one")
+        out = out.filter(~F.coalesce(of_tie, F.lit(False))).unionByName(split)
     return out.select("page_id", "url", "html", "original")
 
 
@@ -99,6 +112,7 @@ def write(pages: DataFrame, folder: str, smallest: int = 0) -> DataFrame:
     """Archives in folder/archives, and their index, a table in folder/index, as a DataFrame."""
     bounded_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
+    own_type = id_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = opened(f"{folder}/archives")
@@ -120,9 +134,8 @@ def write(pages: DataFrame, folder: str, smallest: int = 0) -> DataFrame:
         if out is not None:
             out.close()
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     names = ["page_id", "url", "file", "offset", "length", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    types = [id_type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), id_type]
+    types = [own_type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), own_type]
     schema = INDEX.format(kind=kind)
     decided(pages, smallest).mapInArrow(run, schema).write.parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(schema).parquet(f"{folder}/index")
@@ -145,7 +158,7 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
     as the archives have them. Fails if a record's payload doesn't have its digest."""
     kind = selected.schema["page_id"].dataType.simpleString()
     number = (lambda x: int(x) if x else None) if kind != "string" else (lambda x: x or None)
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    own_type = id_type(kind)
 
     def id_of(urn: str):
         return number(urn.removeprefix("<urn:page:").removesuffix(">"))
@@ -171,7 +184,7 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    types = [id_type, pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), id_type]
+    types = [own_type, pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), own_type]
     placed = selected.select("file", "offset", "length")
     n = max(1, -(-int(placed.agg(F.sum("length")).first()[0] or 0) // SPAN))
     dealt = placed.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")

@@ -186,11 +186,15 @@ def clean(docs: DataFrame, how: Cleaning, text: str = "text", key: str = "docume
 
 
 def exact_dedupe(chunks: DataFrame, within: str, order: list[str], text: str = "text") -> DataFrame:
-    """chunks without repetitions (white space apart) inside a document; the first stays, with group_size. Blank ones always stay."""
-    k = chunks.withColumn("_k", collapse(F.col(text)))
-    w = Window.partitionBy(within, "_k")
-    out = k.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("group_size", F.when(F.col("_k") != "", F.count("*").over(w)).otherwise(F.lit(1)))
-    return out.filter((F.col("_n") == 1) | (F.coalesce("_k", F.lit("")) == "")).drop("_k", "_n")
+    """chunks without repetitions (white space apart) inside a document; the first stays, with group_size. Blank ones always stay.
+
+    `order` tells a document's chunks apart. The first of each text is found by aggregating digests, so that no text is grouped and a text that
+    many chunks share is added up before it is shuffled.
+    """
+    k = chunks.withColumn("_k", F.md5(F.nullif(collapse(F.col(text)), F.lit("")).cast("binary")))
+    first = k.filter("_k IS NOT NULL").groupBy(F.col(within).alias("_w"), F.col("_k").alias("_d")).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_size"))
+    met = k.join(first, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_k") == F.col("_d")) & F.struct(*order).eqNullSafe(F.col("_first")), "left")
+    return met.withColumn("group_size", F.coalesce("_size", F.lit(1))).filter(F.col("_k").isNull() | F.col("_size").isNotNull()).drop("_k", "_w", "_d", "_first", "_size")
 
 
 def audit(docs: DataFrame, root: str, marks: dict[str, list[str]], text: str = "text") -> DataFrame:

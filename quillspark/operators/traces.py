@@ -3,13 +3,16 @@ same functions serve a batch and a micro-batch."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import computed
+from quillspark.functions.frames import computed, quantile
 from quillspark.functions.text import none_if_blank
 
 NO_LINE = 1_000_000_000
@@ -36,21 +39,79 @@ class LogSource:
     redact_fields: tuple[str, ...] = ()
 
 
-def lookup(root: Column, attributes: Column, keys: list[str]) -> Column:
+class Number(float):
+    """A number that remembers how it was written."""
+
+    def __new__(cls, text: str):
+        self = super().__new__(cls, text)
+        self.text = text
+        return self
+
+
+def redacted(value, fields: frozenset[str]):
+    """A JSON value in which whatever stands under one of these keys, at any depth, in objects and lists, is replaced whole."""
+    left = [value]
+    while left:
+        node = left.pop()
+        for k, v in list(node.items() if isinstance(node, dict) else enumerate(node)):
+            if isinstance(node, dict) and k in fields:
+                node[k] = REDACTED
+            elif isinstance(v, (dict, list)):
+                left.append(v)
+    return value
+
+
+def as_text(value) -> str | None:
+    """A JSON value as text: strings and numbers as they are, what holds others as compact JSON."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, Number):
+        return value.text
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def decoded(line: str | None, fields: frozenset[str]) -> tuple[str | None, dict, dict | None]:
+    """(error, values by key as text, attributes by key as text)."""
+    text = (line or "").strip()
+    if not text:
+        return "empty line", {}, None
+    try:
+        value = json.loads(text, parse_float=Number)
+        if not isinstance(value, dict):
+            return "not a JSON object", {}, None
+        if fields:
+            redacted(value, fields)
+        inner = value.get("attributes")
+        return None, {k: as_text(v) for k, v in value.items()}, {k: as_text(v) for k, v in inner.items()} if isinstance(inner, dict) else None
+    except (ValueError, RecursionError):
+        return "invalid JSON", {}, None
+
+
+def found_under(keys: list[str], root: dict, attributes: dict) -> str | None:
     """The value under the first key that is there, at the root or else among the attributes; a null that is there ends the search."""
-    def found(k: str) -> Column:
-        return F.when(F.map_contains_key(root, k), F.struct(root[k].alias("v"))).when(F.coalesce(F.map_contains_key(attributes, k), F.lit(False)), F.struct(attributes[k].alias("v")))
+    for k in keys:
+        if k in root or k in attributes:
+            value = root[k] if k in root else attributes[k]
+            return (value or "").strip() or None
+    return None
+
 
-    return F.coalesce(*[found(k) for k in keys])["v"]
+def read_lines(lines: DataFrame, line: str, fields: tuple[str, ...]) -> DataFrame:
+    """lines without `line`, with parse_error, raw and attributes (maps of texts) and a column for each of ALIASES. Every line is decoded once."""
+    made = ["parse_error", "raw", "attributes", *ALIASES]
+    keep = [c for c in lines.columns if c not in made and c != line]
+    hidden, pairs = frozenset(fields), pa.map_(pa.string(), pa.string())
+    clean = lambda d: None if d is None else list(d.items())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [decoded(x, hidden) for x in batch.column("_line").to_pylist()]
+            named = [pa.array([found_under(keys, root, attr or {}) for _, root, attr in rows], pa.string()) for keys in ALIASES.values()]
+            maps = [pa.array([clean(root) if e is None else None for e, root, _ in rows], pairs), pa.array([clean(attr) for *_, attr in rows], pairs)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array([e for e, *_ in rows], pa.string()), *maps, *named], names=[*keep, *made])
 
-def redact(line: Column, fields: tuple[str, ...]) -> Column:
-    """A JSON text with the scalar values of these keys replaced, at any depth. Values that are objects or lists are replaced where they
-    hold no further bracket."""
-    for f in fields:
-        quoted = "".join(c if c.isalnum() or c == "_" else "\\" + c for c in f)
-        line = F.regexp_replace(line, rf'("{quoted}"\s*:\s*)("(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|\{{[^{{}}]*\}}|[^\s,\]\}}\[\{{"]+)', rf'$1"\{REDACTED[:-1]}\]"'.replace("\\[", "[").replace("\\]", "]"))
-    return line
+    schema = ", ".join([*[f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in keep], "parse_error string", "raw map<string,string>", "attributes map<string,string>", *[f"{c} string" for c in ALIASES]])
+    return lines.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{line}`").alias("_line")).mapInArrow(run, schema)
 
 
 def timestamps(raw: Column, zone: str) -> tuple[Column, Column]:
@@ -97,14 +158,7 @@ def parse(lines: DataFrame, source: LogSource = LogSource(), line: str = "line")
     """lines (line, line_number, ...) -> records. A line that is empty, no JSON or no object stays as a row: valid is false,
     parse_error says why. The original line isn't kept, so that redacted values are gone."""
     zone, warning = known_zone(source.timezone)
-    text = F.trim(F.coalesce(F.col(line), F.lit("")))
-    clean = redact(text, source.redact_fields)
-    rows = computed(lines, {"_t": clean})
-    error = F.when(F.col("_t") == "", "empty line").when(F.try_parse_json("_t").isNull(), "invalid JSON").when(~F.col("_t").startswith("{"), "not a JSON object")
-    rows = computed(rows, {"parse_error": error})
-    rows = computed(rows, {"valid": F.col("parse_error").isNull(), "_root": F.when(F.col("parse_error").isNull(), F.from_json("_t", "map<string,string>"))})
-    rows = computed(rows, {"_attr": F.from_json(F.col("_root")["attributes"], "map<string,string>")})
-    rows = computed(rows, {name: none_if_blank(lookup(F.col("_root"), F.col("_attr"), keys)) for name, keys in ALIASES.items()})
+    rows = read_lines(lines, line, source.redact_fields).withColumn("valid", F.col("parse_error").isNull())
     time, kind = timestamps(F.col("timestamp_raw"), zone)
     event = F.col("event")
     suffix = F.regexp_extract(event, r"(?:^|\.)(start|end|error)$", 1)
@@ -116,7 +170,7 @@ def parse(lines: DataFrame, source: LogSource = LogSource(), line: str = "line")
     status = F.coalesce("own_status", F.when(F.col("status_code") >= 400, "error").when(F.col("status_code").isNotNull(), "ok").when((F.col("event_type") == "error") | F.col("error_type").isNotNull() | F.col("exception").isNotNull(), "error").when(F.col("event_type") == "end", "ok"))
     warnings = F.array_compact(F.array(F.lit(warning), F.when(F.col("timestamp_raw").isNotNull() & F.col("timestamp").isNull(), F.concat(F.lit("unparsed timestamp value: "), "timestamp_raw"))))
     rows = computed(rows, {"status": status, "warnings": warnings, "project_id": F.lit(source.project_id).cast("string"), "source_id": F.lit(source.source_id).cast("string"), "service": F.coalesce("service", F.lit(source.service_hint))})
-    return rows.withColumnsRenamed({"_root": "raw", "_attr": "attributes"}).drop("_t", "own_trace", "own_request", "own_status", "code_text", "duration_text", "version_text", "explicit_span", line)
+    return rows.drop("own_trace", "own_request", "own_status", "code_text", "duration_text", "version_text", "explicit_span")
 
 
 def canonical_event() -> Column:
@@ -208,18 +262,19 @@ def top_stages(stages: DataFrame, request: list[str], n: int = 5) -> DataFrame:
 def stage_stats(stages: DataFrame, by: list[str], value: str = "self_ms", error: Column | None = None) -> DataFrame:
     """Per stage: count, errors, average, exact interpolated p95 and maximum of self time, last seen, leaves."""
     failed = error if error is not None else F.col("is_error")
-    return stages.groupBy(*by).agg(F.count("*").alias("count"), F.count(F.when(failed, 1)).alias("error_count"), F.avg(value).alias("avg_ms"), F.percentile(value, 0.95).alias("p95_ms"), F.max(value).alias("max_ms"), F.max("timestamp").alias("last_seen_at"), F.count(F.when(F.col("is_leaf"), 1)).alias("leaf_count"))
+    sums = stages.groupBy(*by).agg(F.count("*").alias("count"), F.count(F.when(failed, 1)).alias("error_count"), F.avg(value).alias("avg_ms"), F.max(value).alias("max_ms"), F.max("timestamp").alias("last_seen_at"), F.count(F.when(F.col("is_leaf"), 1)).alias("leaf_count"))
+    p95 = quantile(stages, by, value, 0.95, "p95_ms")
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by])
+    return sums.alias("s").join(p95.alias("q"), same, "left").select(*[F.col(f"s.{c}") for c in by], "count", "error_count", "avg_ms", "p95_ms", "max_ms", "last_seen_at", "leaf_count")
 
 
 def errors(records: DataFrame) -> DataFrame:
     """Error records: of requests, without a request, and lines that couldn't be read; with message and detail."""
-    good = marked(records.filter("valid")).filter("is_error")
-    message = F.coalesce(*[field_text(f) for f in MESSAGE_FIELDS], "name")
-    detail = F.coalesce(*[field_text(f) for f in DETAIL_FIELDS], "name")
-    own = ["project_id", "source_id", "request_id", "timestamp", "line_number"]
-    a = good.select(*own, F.col("name").alias("event"), message.alias("message"), detail.alias("detail"), "error_type", "level", "status", "status_code", "path", "method")
-    b = records.filter("NOT valid").select(*own, F.lit("parse_error").alias("event"), F.col("parse_error").alias("message"), F.col("parse_error").alias("detail"), F.lit("ParseError").alias("error_type"), F.lit("ERROR").alias("level"), F.lit("error").alias("status"), F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("method"))
-    return a.unionByName(b)
+    rows = marked(records).filter(~F.col("valid") | F.col("is_error"))
+    good = lambda c, other=None: F.when(F.col("valid"), c).otherwise(other)
+    text = lambda fields: F.coalesce(*[field_text(f) for f in fields], "name")
+    return rows.select("project_id", "source_id", "request_id", "timestamp", "line_number", good(F.col("name"), F.lit("parse_error")).alias("event"), good(text(MESSAGE_FIELDS), F.col("parse_error")).alias("message"), good(text(DETAIL_FIELDS), F.col("parse_error")).alias("detail"),
+                       good(F.col("error_type"), F.lit("ParseError")).alias("error_type"), good(F.col("level"), F.lit("ERROR")).alias("level"), good(F.col("status"), F.lit("error")).alias("status"), "status_code", "path", "method")
 
 
 def newest(rows: DataFrame, n: int, time: str = "timestamp", *ties: str) -> DataFrame:
@@ -229,9 +284,11 @@ def newest(rows: DataFrame, n: int, time: str = "timestamp", *ties: str) -> Data
 
 def overview(request_rows: DataFrame, error_rows: DataFrame) -> DataFrame:
     """One row: requests, failed and partial ones, errors, first and last event, p95 of durations."""
-    r = request_rows.agg(F.count("*").alias("requests"), F.count(F.when(F.col("failed"), 1)).alias("failed_requests"), F.count(F.when(F.col("partial"), 1)).alias("partial_requests"), F.min("started_at").alias("first_event_at"), F.max("last_event_at").alias("last_event_at"), F.percentile("duration_ms", 0.95).alias("p95_ms"))
+    r = request_rows.agg(F.count("*").alias("requests"), F.count(F.when(F.col("failed"), 1)).alias("failed_requests"), F.count(F.when(F.col("partial"), 1)).alias("partial_requests"), F.min("started_at").alias("first_event_at"), F.max("last_event_at").alias("last_event_at"))
     e = error_rows.agg(F.count("*").alias("errors"))
-    return r.withColumn("_one", F.lit(1)).join(e.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    p = quantile(request_rows, [], "duration_ms", 0.95, "p95_ms")
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    return one(r).join(one(e), "_one").join(one(p), "_one", "left").drop("_one")
 
 
 def filtered(rows: DataFrame, equal: dict[str, object]) -> DataFrame:

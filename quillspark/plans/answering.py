@@ -123,23 +123,21 @@ def evidence_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("request", F.col("chunk_id").alias("doc_id"), F.col("ref_index").cast("long").alias("ref_index"), ranking.location(F.col("file_path"), F.col("chunk_id") + 1, F.col("chunk_id") + 3).alias("location"))
 
 
-def _prompt_sql() -> str:
-    q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    text = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
-    cut = f"CASE WHEN length({text}) > 1200 THEN regexp_replace(left({text}, 1199), '\\s+$', '') || '…' ELSE {text} END"
-    block = f"'[证据 ' || p || ']' || chr(10) || 'ref: [' || p || ']' || chr(10) || 'location: ' || doc_id || '.md:1-2' || chr(10) || 'file_path: ' || source || '/' || doc_id || '.md' || chr(10) || 'doc_id: ' || source || chr(10) || 'title_path: ' || source || chr(10) || 'text:' || chr(10) || {cut}"
-    listed = "'[' || p || '] ' || doc_id || '.md:1-2 | ' || source"
-    gap = "chr(10) || chr(10)"
-    parts = [q(answering.SYSTEM_PROMPT), "'问题：' || regexp_replace(b.text, '^\\s+|\\s+$', '', 'g')", "'证据：'", "coalesce(blocks, '(无证据)')", *[q(x) for x in answering.OUTPUT_RULES], "coalesce(listed, '(无来源)')", q(answering.LAST_RULE)]
-    return f"""WITH {SQL_EVIDENCE}, pb AS (SELECT request, string_agg({block}, {gap} ORDER BY p) AS blocks, string_agg({listed}, chr(10) ORDER BY p) AS listed FROM ev WHERE trim(text) <> '' GROUP BY request)
-SELECT b.item_id AS request, md5(CASE WHEN reason IS NOT NULL THEN '' ELSE {f" || {gap} || ".join(parts)} END) AS h, reason IS NOT NULL AS empty FROM benchmark b JOIN ab ON ab.request = item_id LEFT JOIN pb ON pb.request = item_id"""
-
-
-@query(_prompt_sql())
+SQL_PROMPT = f"""WITH {SQL_EVIDENCE}, t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM ev WHERE trim(text) <> ''),
+c AS (SELECT *, CASE WHEN length(t) > 1200 THEN regexp_replace(left(t, 1199), '\\s+$', '') || '…' ELSE t END AS cut, row_number() OVER (PARTITION BY request ORDER BY p) AS n FROM t),
+pb AS (SELECT request, string_agg('P [' || n || ']' || chr(10) || 'place: ' || doc_id || '.md:1-2' || chr(10) || 'file: ' || source || '/' || doc_id || '.md' || chr(10) || 'document: ' || source || chr(10) || 'heading: ' || source || chr(10) || 'score: ' || printf('%.4f', score) || chr(10) || cut, chr(10) || chr(10) ORDER BY n) AS blocks,
+              string_agg('[' || n || '] ' || doc_id || '.md:1-2 | ' || source, chr(10) ORDER BY n) AS listed FROM c WHERE n <= 6 GROUP BY request)
+SELECT b.item_id AS request, md5(CASE WHEN reason IS NOT NULL THEN '' ELSE concat_ws(chr(10) || chr(10), 'Only what is below counts.', 'Q ' || regexp_replace(b.text, '^\\s+|\\s+$', '', 'g'), 'E', coalesce(blocks, 'no E'), 'R1', 'R2', coalesce(listed, 'no S'), 'Z') END) AS h, reason IS NOT NULL AS empty
+FROM benchmark b JOIN ab ON ab.request = item_id LEFT JOIN pb ON pb.request = item_id"""
+
+
+@query(SQL_PROMPT)
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts in a wording of their own, with scores."""
     e = evidence(spark, sf_dir).withColumns({"start_line": F.lit(1), "end_line": F.lit(2)})
     r = asked(spark, sf_dir).withColumnRenamed("query", "question")
-    p = answering.prompts(r, e, guardrail.abstain(r, guardrail.evidence_summary(e)), scores=False)
+    own = answering.Wording("Only what is below counts.", "Q ", "E", "no E", ("R1", "R2"), "no S", "Z", "P")
+    p = answering.prompts(r, e, guardrail.abstain(r, guardrail.evidence_summary(e)), wording=own)
     return p.select("request", F.md5("prompt").alias("h"), (F.col("prompt") == "").alias("empty"))
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import spread, table
+from quillspark.functions.frames import scratch, spread, table
 from quillspark.operators import traces as tr
 from quillspark.streaming import jobs
 
@@ -40,10 +38,24 @@ def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("line_number", "valid", "request_id", "event", "event_type", "span_name", "status", F.round("duration_ms", 6).alias("duration_ms"), F.unix_micros("timestamp").alias("us"))
 
 
-@query("SELECT count(*) AS n, count(*) AS redacted, 0::BIGINT AS leaked FROM events")
+SECRETS = [
+    ("one word", '"question": "secret", "k": 1'), ("long", '"question": "' + "secret " * 300 + '"'), ("escaped", r'"question": "a \"secret\" \\"'), ("number", '"question": 4711'), ("null", '"question": null'), ("object", '"question": {"a": {"b": "secret"}}'),
+    ("list", '"question": [["secret"], "x]"]'), ("bracket in a string", '"question": ["a ] secret", "}"]'), ("deep", '"k": {"l": [{"question": "secret", "m": 1}, 2]}'), ("other key", '"questions": "public"'), ("in a list of lists", '"k": [[{"question": "secret"}]]'), ("as a value", '"k": "question"'),
+]
+
+
+@query("""WITH k AS (SELECT event_id, event_id % 12 AS kind FROM events)
+SELECT event_id AS line_number, TRUE AS valid, CASE WHEN kind < 8 THEN '[REDACTED]' END AS question, FALSE AS leaked,
+       CASE kind WHEN 0 THEN '1' WHEN 8 THEN '{"l":[{"question":"[REDACTED]","m":1},2]}' WHEN 10 THEN '[[{"question":"[REDACTED]"}]]' WHEN 11 THEN 'question' END AS k, CASE WHEN kind = 9 THEN 'public' END AS questions FROM k""")
 def log_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
-    return r.agg(F.count("*").alias("n"), F.count(F.when(F.col("attributes")["question"] == tr.REDACTED, 1)).alias("redacted"), F.count(F.when(F.to_json(F.struct("raw", "attributes")).contains("secret"), 1)).alias("leaked"))
+    """Every event as a line that hides something another way: long and escaped strings, numbers, objects, lists, brackets in strings, at any depth."""
+    forms = F.array(*[F.lit(form) for _, form in SECRETS])
+    e = spread(table(spark, sf_dir, "events"))
+    inner = F.get(forms, (F.col("event_id") % len(SECRETS)).cast("int"))
+    lines = e.select(F.col("event_id").alias("line_number"), F.concat(F.lit('{"event": "api.x.end", "attributes": {'), inner, F.lit("}, "), inner, F.lit("}")).alias("line"))
+    r = tr.parse(lines, tr.LogSource(redact_fields=("question",)))
+    leaked = F.to_json(F.struct("raw", "attributes")).contains("secret") | F.coalesce(F.col("raw")["k"] != F.col("attributes")["k"], F.lit(False))
+    return r.select("line_number", "valid", F.col("attributes")["question"].alias("question"), leaked.alias("leaked"), F.col("attributes")["k"].alias("k"), F.col("attributes")["questions"].alias("questions"))
 
 
 STAMPS = ["2026-04-15 11:52:02.389", "1776234722389", "2026-04-15T11:52:02.389", "2026-04-15T11:52:02.389+08:00", "2026-04-15T03:52:02.389Z", "1776234722", "nonsense", ""]
@@ -134,18 +146,10 @@ def cache_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.capped(table(spark, sf_dir, "events").withColumn("timestamp", F.col("ts").cast("timestamp")), 5000, "event_id").select("event_id")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder of this run, below the shared folder where there is one."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT epoch_us(date_trunc('hour', ts)) AS window_us, event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 6) AS largest FROM events GROUP BY ALL")
 def stream_stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, counted per hour and type until the stream is through."""
-    at = scratch(spark)
+    at = scratch(spark, "stream")
     stream = jobs.from_parquet(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = jobs.stage_counts(stream, "ts", "event_type", "value", late="60 days")
     sink: list[str] = []
@@ -162,7 +166,7 @@ def stream_stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates of a stream by user and type: per batch the last of each key, across batches the last again."""
-    at = scratch(spark)
+    at = scratch(spark, "stream")
     stream = jobs.from_parquet(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     jobs.coalesced(stream, ["user_id", "event_type"], ["ts", "event_id"], lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), f"{at}/checkpoint").awaitTermination()
     return jobs.latest_by_key(spark.read.parquet(f"{at}/out").drop("batch"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
@@ -176,7 +180,7 @@ g AS (SELECT request_id, min(ts) AS f, max(ts) AS l, count(*) AS event_count, co
 def stream_request_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests assembled from a stream: told when they end, or after 30 idle minutes behind a watermark of 10."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    at = scratch(spark)
+    at = scratch(spark, "stream")
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end").otherwise(F.col("event_type"))
     stream = jobs.from_parquet(spark, sf_dir, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
     jobs.run_to_table(jobs.assembled(stream), f"{at}/out", f"{at}/checkpoint")

@@ -1,17 +1,25 @@
-"""JSON-lines readers with byte places, and small writers."""
+"""JSON-lines readers with line numbers, and small writers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.frames import kept
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """log_path, line_number (from 1), line of each non-blank line. Whole files are read, as line numbers need them; bytes that are no
-    UTF-8 become U+FFFD."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select(F.col("path").alias("log_path"), F.posexplode(F.split(text, r"\r?\n", -1)).alias("n", "line")).filter(F.trim("line") != "").select("log_path", (F.col("n") + 1).alias("line_number"), "line")
+    """log_path, line_number (from 1), line of each non-blank line; bytes that are no UTF-8 become U+FFFD.
+
+    Files of any size are read in blocks; lines are counted per block, and one row for each block says with which number it begins.
+    """
+    block = [F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = kept(spark.read.text(path, lineSep="\n").select(*block, F.monotonically_increasing_id().alias("_at"), F.make_valid_utf8("value").alias("line")), "lines")
+    sizes = rows.groupBy("log_path", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    begin = F.coalesce(F.sum("_n").over(Window.partitionBy("log_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(sizes.select("log_path", "_start", "_first", begin.alias("_begin")), ["log_path", "_start"])
+    line = F.regexp_replace("line", r"\r$", "")
+    return numbered.select("log_path", (F.col("_begin") + F.col("_at") - F.col("_first") + 1).cast("int").alias("line_number"), line.alias("line")).filter(F.trim("line") != "")
 
 
 def objects(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,12 +1,15 @@
-"""A versioned store of Parquet tables: a version is a folder; a small pointer file names the current one and changes last.
+"""A versioned store of Parquet tables: a version is a folder, and a small file NEXT-<version> names the one that follows it.
 
-Readers see whole versions only. Upserts and deletes are joins against the current version.
+That file is moved to its name in one step, which fails if another writer has been there: of several writers that start from one version
+only one gets through. CURRENT says where to begin to look; it is replaced in one step and may lag, which costs a look at NEXT files and
+nothing else. Readers see whole versions only, at any time. Upserts and deletes are joins against the current version.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,21 +62,55 @@ def row_ids(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 class Store:
-    """Tables below a folder that Spark can read and write; one writer at a time."""
+    """Tables below a folder that Spark can read and write. Writers don't have to know of each other: the second one fails."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _file(self):
+    def _at(self, name: str):
+        """(file context, path) of a file in the store's folder."""
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return p.getFileSystem(conf), p
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.getFileSystem(conf).getUri(), conf), p
 
-    def version(self) -> str | None:
-        fs, p = self._file()
-        if not fs.exists(p):
+    def _text(self, name: str) -> str | None:
+        context, p = self._at(name)
+        if not context.util().exists(p):
             return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        stream = context.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _put(self, name: str, text: str, over: bool) -> bool:
+        """A small file, whole or not at all; False if it is there already and must not be replaced."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        fs, rename = jvm.org.apache.hadoop.fs, getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        context, p = self._at(name)
+        _, temporary = self._at(f".{name}-{uuid.uuid4().hex}")
+        flags = jvm.java.util.EnumSet.of(fs.CreateFlag.CREATE)
+        options = gateway.new_array(getattr(fs, "Options$CreateOpts"), 1)
+        options[0] = getattr(fs, "Options$CreateOpts").createParent()
+        out = context.create(temporary, flags, options)
+        out.write(bytearray(text.encode()))
+        out.close()
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if over else rename.NONE
+        try:
+            context.rename(temporary, p, how)
+        except Py4JJavaError as e:
+            context.delete(temporary, False)
+            if over or "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            return False
+        return True
+
+    def version(self) -> str | None:
+        now, after = self._text("CURRENT"), None
+        while after := self._text(f"NEXT-{now or 'none'}"):
+            now = after
+        return now
 
     def read(self, name: str, version: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{version or self.version()}/{name}")
@@ -83,15 +120,9 @@ class Store:
         new = f"v-{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{new}/{name}")
-        if self.version() != expect:
+        if self.version() != expect or not self._put(f"NEXT-{expect or 'none'}", new, over=False):
             raise RuntimeError("another writer has come first")
-        fs, p = self._file()
-        temporary = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.CURRENT-{new}")
-        out = fs.create(temporary, True)
-        out.write(bytearray(new.encode()))
-        out.close()
-        fs.delete(p, False)
-        fs.rename(temporary, p)
+        self._put("CURRENT", new, over=True)
         return new
 
     def log(self, run: DataFrame) -> None:

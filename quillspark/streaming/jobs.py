@@ -20,37 +20,39 @@ REQUEST_SCHEMA = "request_id string, first_seen timestamp, last_seen timestamp,
 
 
 class RequestAssembler(StatefulProcessor):
-    """Keeps first and last time, counts and whether start and end were seen; a request is told when it ends or has been idle."""
+    """Keeps first and last time, counts and whether start and end were seen; a request is told once, when it ends or has been idle.
+
+    That it was told at its end is kept until it has been idle, so that late rows don't begin a second request of the same id.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("request", "first_us long, last_us long, n long, errors long, started boolean, ended boolean")
+        self.state = handle.getValueState("request", "first_us long, last_us long, n long, errors long, started boolean, ended boolean, told boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, last, n, errors, started, ended = self.state.get() if self.state.exists() else (None, None, 0, 0, False, False)
+        first, last, n, errors, started, ended, told = self.state.get() if self.state.exists() else (None, None, 0, 0, False, False, False)
         for pdf in rows:
             us = pdf["ts"].astype("datetime64[us]").astype("int64")
             first = int(us.min()) if first is None else min(first, int(us.min()))
             last = int(us.max()) if last is None else max(last, int(us.max()))
             n, errors = n + len(pdf), errors + int((pdf["kind"] == "error").sum())
             started, ended = started or bool((pdf["kind"] == "start").any()), ended or bool((pdf["kind"] == "end").any())
-        if ended:
-            self.state.clear()
+        if ended and not told:
             yield self.told(key, first, last, n, errors, started, ended)
-            return
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(last // 1000 + self.idle_ms)
-        self.state.update((first, last, n, errors, started, ended))
+        self.state.update((first, last, n, errors, started, ended, ended))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            row = self.state.get()
+            *row, told = self.state.get()
             self.state.clear()
-            yield self.told(key, *row)
+            if not told:
+                yield self.told(key, *row)
 
     @staticmethod
     def told(key, first, last, n, errors, started, ended) -> pd.DataFrame:
@@ -81,9 +83,15 @@ def coalesced(stream: DataFrame, keys: list[str], order: list[str], sink: Callab
 
 
 def enveloped(rows: DataFrame, topic: str, keys: list[str]) -> DataFrame:
-    """Rows as envelopes: topic and a JSON payload; several of one batch under stream.batch."""
-    one = rows.select(*keys, F.to_json(F.struct(*rows.columns)).alias("payload"))
-    return one.groupBy().agg(F.sort_array(F.collect_list("payload")).alias("items")).select(F.when(F.size("items") == 1, topic).otherwise("stream.batch").alias("topic"), "items").filter(F.size("items") > 0)
+    """Rows as envelopes: topic and JSON payloads, at most ENVELOPE of them; several together under stream.batch. Rows are grouped where they
+    lie, so that a batch of any size stays dealt out."""
+    at = F.monotonically_increasing_id()
+    one = rows.select(*keys, F.to_json(F.struct(*rows.columns)).alias("payload"), F.shiftright(at, 33).alias("_part"), F.floor(at.bitwiseAND((1 << 33) - 1) / ENVELOPE).alias("_group"))
+    return one.groupBy("_part", "_group").agg(F.sort_array(F.collect_list("payload")).alias("items")).select(F.when(F.size("items") == 1, topic).otherwise("stream.batch").alias("topic"), "items")
+
+
+#: Items of one envelope at most.
+ENVELOPE = 16
 
 
 def unwrapped(envelopes: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def test_edges(spark):
 def test_blocks_are_the_whole(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(30)], "item_id long, text string")
     docs = items.selectExpr("item_id AS doc_id", "text")
-    monkeypatch.setattr(dc, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 100)
     assert {(r["doc_id"], r["item_id"]) for r in dc.overlaps(docs, items).collect()} == {(i, i) for i in range(30)}
     assert dc.decontaminated(docs, items).count() == 0
 
@@ -92,3 +92,48 @@ def test_short_items_and_unspaced_scripts(spark, tmp_path):
     i.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {(r["doc_id"], r["item_id"]) for r in dc.op7_spaced_seeds(spark, str(tmp_path)).collect()} == {(k, k) for k in (1, 2, 4, 5, 7, 8)}
     assert {r["doc_id"] for r in dc.decontaminated(d, i, exact_short=True).collect()} == {3, 6, 9, 10}
+
+
+@pytest.mark.parametrize("n", range(8, 21))
+def test_lengths_against_all_windows(n):
+    """Every item length, with as many words substituted as count, at all places: one block finds each."""
+    import pyarrow as pa
+
+    item = [f"w{i}" for i in range(n)]
+    most = n - int(-(-(dc.LEAST * n - 1e-9) // 1))
+    texts = []
+    for gone in itertools.combinations(range(n), most):
+        texts.append(" ".join(["left"] * 3 + ["other" if i in gone else w for i, w in enumerate(item)] + ["right"]))
+    found = {int(r) for row, *_ in dc.Block([1], [" ".join(item)]).search(pa.array(texts)) for r in row}
+    assert found == set(range(len(texts)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_join_is_the_block(spark, monkeypatch, seed):
+    """The same rows, with the same best windows, by seed tables as by one block; hot seeds, repeated and long texts and odd columns included."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 7, 8, 9, 10, 11, 12, 15, 20, 21, 40, 200])))) for i in range(25)]
+    items += [(99, None), (98, ""), (97, items[0][1]), (96, "机器学习模型在训练数据中看到了考试的题目")]
+    docs = []
+    for d in range(80):
+        t = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        if d % 2:
+            p = words(rng.choice(items)[1])
+            for _ in range(rng.randint(0, max(1, len(p) // 4))):
+                if p:
+                    p[rng.randrange(len(p))] = rng.choice(vocabulary)
+            k = rng.randrange(len(t) + 1)
+            t[k:k] = p
+        docs.append((d, " ".join(t)))
+    docs += [docs[1], docs[1], (500, None), (501, "x " * 30_000 + items[3][1]), (None, items[5][1]), (502, "说机器学习模型在训练数据中看到了考试的题目。")]
+    d = spark.createDataFrame([(*x, "mine", 1) for x in docs], "doc_id long, text string, item string, h long")
+    i = spark.createDataFrame([(*x, "mine", 1) for x in items], "item_id long, text string, doc string, n long")
+    by_block = dc.overlaps(d, i, exact_short=True).collect()
+    kept = dc.decontaminated(d, i, exact_short=True).collect()
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 10)
+    monkeypatch.setattr(dc, "PORTION", 3)
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0 if seed == 2 else 1000)
+    assert sorted(dc.overlaps(d, i, exact_short=True).collect(), key=repr) == sorted(by_block, key=repr) and by_block
+    assert sorted(dc.decontaminated(d, i, exact_short=True).collect(), key=repr) == sorted(kept, key=repr)
+    assert dc.overlaps(d.limit(0), i).count() == 0

@@ -1,3 +1,12 @@
+import html
+import re
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 from quillspark.llm import language as lg
 
 WORDS = {"en": "the of and that with water house thing which", "de": "der die und nicht wasser haus schule über straße", "fr": "le la et que dans maison école être où"}
@@ -43,3 +52,39 @@ def test_every_language_has_its_share(spark):
     assert {r["text"] for r in got if r["lang"] == "en"} == {r["text"] for r in first.collect()}
     assert lg.fit(texts, sample=3).languages == ["de", "en", "fr"]
     assert lg.picked(texts, "text", "lang", 3).count() == 5
+
+
+OLD_HIDDEN = re.compile(r"(?ias)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+OLD_DECLARED = re.compile(r"""(?ias)<html\b[^>]*?\slang\s*=\s*["']?\s*([a-z]{2,3})\b""")
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "<!--", "-->", "<script", "</script", "</SCRIPT >", "<style>", "</style>", "<html", " lang", "=", '"', "'", "de", "fr", " ", "x", "<p>", "&amp;", "é", "!", "--", "<template ", "</template>"]), max_size=25).map("".join))
+def test_scanners_are_the_regular_expressions(page):
+    assert lg.visible(page) == html.unescape(OLD_HIDDEN.sub(" ", page))
+    m = OLD_DECLARED.search(page)
+    assert lg.declared(page) == (m[1].lower() if m else "")
+
+
+@pytest.mark.parametrize("part", ["<script ", "<html ", "<", "<!--", "<html lang=", " lang = ", "<template>", "</script ", "<html lang=    ", "<html\tlang "])
+def test_scanners_are_linear(part):
+    page, began = part * 200_000, time.process_time()
+    lg.visible(page), lg.declared(page), lg.declared("<html lang=" + " " * 1_000_000)
+    assert time.process_time() - began < 10
+
+
+def test_held_out_accuracy(spark, sf):
+    """Labelled documents that the letter models haven't seen, as pages of unknown hosts."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "lang").filter("length(text) > 0 AND lang IS NOT NULL")
+    model = lg.fit(docs.filter("doc_id % 5 <> 0"))
+    held = docs.filter("doc_id % 5 = 0")
+    got = lg.identify(held.select("doc_id", F.lit(None).cast("string").alias("url"), F.col("text").alias("html")), model, key="doc_id").join(held, "doc_id")
+    right, n = got.agg(F.count(F.when(got["lang"] == held["lang"], 1)), F.count("*")).first()
+    assert right / n > 0.97, right / n
+
+
+def test_clashing_columns_and_long_pages(spark):
+    long = page("fr", (WORDS["fr"] + " ") * 50_000)
+    rows = spark.createDataFrame([(1, "https://a.fr/", long, "mine", 0.5, "mine")], "page_id long, url string, html string, lang string, probability double, host string")
+    got = lg.identify(rows, lg.fit(labelled(spark))).first()
+    assert got["lang"] == "fr" and got["text_lang"] == "fr"

@@ -77,3 +77,31 @@ def test_mixed_repeats(spark):
     out = mixed(docs(spark)).groupBy("doc_id").count().collect()
     n = {r["doc_id"]: r["count"] for r in out}
     assert n[4] == 1 and n[5] == 1 and n[7] <= 3
+
+
+def test_repeated_rows_and_one_hot_length(spark):
+    """A third of all rows are one row; another third has one length: the same totals as without hashes, and no row is lost."""
+    rows = spark.createDataFrame([(i, "a", "one two three") for i in range(300)] + [(7, "a", "four five six")] * 300 + [(i, "b", "x " * (i % 9)) for i in range(300)] + [(1, "c", "long " * 200_000)], "doc_id long, source string, text string")
+    for d in (rows, rows.repartition(13)):
+        out = mix(d)
+        assert out.count() == 901
+        by = {r["source"]: r for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.greatest("size", F.lit(1))).alias("most")).collect()}
+        assert all(abs(by[s]["taken"] - by[s]["target"]) <= 3 for s in "ab") and all(r["most"] <= 3 for r in by.values())
+    a, b = ([(r["doc_id"], r["taken"]) for r in mix(d).filter("doc_id <> 7 OR source <> 'a'").collect()] for d in (rows, rows.repartition(13)))
+    assert sorted(a) == sorted(b)
+
+
+def test_against_a_plain_choice(spark, sf, monkeypatch):
+    """The chosen documents are the first by bucket and hash of every source and length, as many as the plan says; both joins agree."""
+    from quillspark.llm import mixing as mx
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.substring("text", 1, 120).alias("text"))
+    rows = mix(d).withColumn("hash", F.xxhash64(F.lit(20), F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["source"], r["size"]), []).append((r["hash"] % mx.BUCKETS, r["hash"], r["copies"]))
+    for g in groups.values():
+        copies = [c for *_, c in sorted(g)]
+        assert copies == sorted(copies, reverse=True) and copies[0] - copies[-1] <= 1
+    monkeypatch.setattr(mx, "BROADCAST_ROWS", 0)
+    assert {(r["doc_id"], r["copies"]) for r in mix(d).collect()} == {(r["doc_id"], r["copies"]) for r in rows}

@@ -68,3 +68,17 @@ def test_empty_clashing_and_one_shard(spark):
 def test_native(spark):
     plan = sh.shard(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_overflow_under_another_layout(spark):
+    """Equal rows in many partitions, after a shuffle, keep their parts and are all there."""
+    rows = spark.range(0, 5000, 1, 50).selectExpr("1L AS doc_id", "repeat('x', 100) AS text").repartition(23)
+    out = sh.shard(rows, limit=1000)
+    got = out.groupBy("shard").agg(F.sum("bytes").alias("b"), F.count("*").alias("n"), F.max("shard_bytes").alias("sb"), F.max("shard_rows").alias("sn")).collect()
+    assert sum(r["n"] for r in got) == 5000 and all(r["b"] == r["sb"] <= 1000 and r["n"] == r["sn"] for r in got)
+
+
+def test_one_very_long_text(spark):
+    rows = spark.createDataFrame([(1, "x" * 3_000_000), (2, "y"), (3, "z")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["bytes"], r["shard_rows"]) for r in sh.shard(rows, limit=1000).collect()}
+    assert got[1] == (3_000_000, 1)

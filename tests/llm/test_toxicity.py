@@ -51,8 +51,7 @@ def test_without_labels(spark):
     assert {r["score"] for r in tx.score(d, tx.fit(d, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))).collect()} == {1.0}
 
 
-def test_probabilities_add_up():
-    """For a context that both classes have seen, each class's interpolated model is a distribution over the next byte."""
+def test_equal_classes_say_nothing():
     texts = ["banana bandana cabana", "band banner bandit banana"]
     counts = []
     for t in texts:
@@ -87,3 +86,62 @@ def test_no_entry_is_dropped():
     value, found = model.ngram[6].get(keys[:1000])
     assert found.all() and (value > 0).all()
     assert model.ngram[6].get(keys[1000::100_000])[1].all()
+
+
+class Plain:
+    """Interpolated Kneser-Ney of one class, n-gram by n-gram, over dictionaries of byte strings."""
+
+    def __init__(self, top, lowest):
+        self.lowest, self.levels, upper = lowest, {}, {}
+        for k in range(tx.ORDER, tx.SHARED, -1):
+            level = {g: n for g, n in top.items() if len(g) == k}
+            for g in upper:
+                level[g[1:]] = level.get(g[1:], 0) + 1
+            ones, twos = (sum(n == x for n in level.values()) for x in (1, 2))
+            self.levels[k] = level, ones / (ones + 2 * twos) if ones and twos else 0.75
+            upper = level
+
+    def p(self, gram):
+        if len(gram) == tx.SHARED:
+            return self.lowest(gram)
+        level, d = self.levels[len(gram)]
+        same = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+        low = self.p(gram[1:])
+        return low if not same else max(level.get(gram, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * low
+
+
+def test_against_plain_kneser_ney():
+    texts = ["banana bandana cabana nab", "band banner bandit banana ban"]
+    tops = []
+    for t in texts:
+        top = {}
+        for w in set(t.split()):
+            b = f" {w} ".encode()
+            for i in range(1, len(b)):
+                g = b[max(0, i + 1 - tx.ORDER) : i + 1]
+                top[g] = top.get(g, 0) + 1
+        tops.append(top)
+    lowest = lambda g: 1 / 256
+    toxic, plain = (Plain(t, lowest) for t in tops)
+    grams_ = sorted(set(tops[0]) | set(tops[1]))
+    keys = np.array([int.from_bytes(g, "big") for g in grams_], np.uint64)
+    order = np.argsort(keys)
+    model = tx.build(keys[order], tuple(np.array([t.get(grams_[i], 0) for i in order]) for t in tops), lambda wanted: {int(x): 1 / 256 for x in wanted.view(np.int64)})
+    for k in range(tx.SHARED + 1, tx.ORDER + 1):
+        union = {g[-k:] for g in grams_ if len(g) >= k and (len(g) == k or len(g[-k:]) == k)}
+        for g in union:
+            value, found = model.ngram[k].get(np.array([int.from_bytes(g, "big")], np.uint64))
+            assert found[0] and np.isclose(value[0], np.log(toxic.p(g)) - np.log(plain.p(g)), atol=1e-4), (g, value)
+            for m in (toxic, plain):  # a distribution over the next byte
+                assert np.isclose(sum(m.p(g[:-1] + bytes([c])) for c in range(256)), 1)
+
+
+def test_difference_is_the_mean_of_the_words(spark):
+    docs, labels = corpus(400, 3)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = tx.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    text = docs[0][1]
+    rows = spark.createDataFrame([(1, text), (2, text + " " + text), *[(10 + k, w) for k, w in enumerate(text.split())]], "doc_id long, text string")
+    got = {r["doc_id"]: r["difference"] for r in tx.score(rows, model).collect()}
+    each = [v for k, v in got.items() if k >= 10]
+    assert np.isclose(got[1], np.mean(each), atol=1e-4) and np.isclose(got[1], got[2], atol=1e-4)

@@ -44,3 +44,32 @@ def test_empty_repeated_and_extra_columns(spark):
     assert judge(rows, RULES).count() == 3
     assert judge(rows.limit(0), RULES).count() == 0
     assert judge(rows, []).filter("verdict = 'allow'").count() == 3
+
+
+def test_many_rules_in_parts(spark, monkeypatch):
+    """50,000 rules in several parts, and in lots of few URLs: as a set of hosts says."""
+    from quillspark.llm import url_automaton as ua
+
+    rules = [ua.host_rule(f"h{i}.example{i % 7}.com/p{i}", "block" if i % 2 else "allow") for i in range(50_000)]
+    assert len(ua.automata(rules)) > 3
+    monkeypatch.setattr(ua, "STATE_BYTES", 1 << 20)
+    urls = [f"https://x.h{i}.example{i % 7}.com/p{i}/q" for i in range(0, 50_000, 2500)] + ["https://h1.example2.com/p1", "https://other.org/", None, "https://" + "a" * 3000 + ".com/"]
+    got = [(r["rule"], r["verdict"]) for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()]
+    assert got[:20] == [(f"h{i}.example{i % 7}.com/p{i}", "allow") for i in range(0, 50_000, 2500)] and got[20:] == [(None, "allow")] * 4
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab*?" + SEPARATOR, min_size=1, max_size=30), min_size=1, max_size=9), st.lists(st.text(alphabet="abc" + SEPARATOR, max_size=12), min_size=1, max_size=12))
+def test_parts_are_the_whole(globs, urls):
+    from quillspark.llm import url_automaton as ua
+
+    old = ua.PASS_WORDS, ua.STATE_BYTES
+    rules = [GlobRule(g, "block") for g in globs]
+    whole = ua.first_fit(ua.automata(rules), urls)
+    try:
+        ua.PASS_WORDS, ua.STATE_BYTES = 0.5, 16
+        assert (ua.first_fit(ua.automata(rules), urls) == whole).all()
+    finally:
+        ua.PASS_WORDS, ua.STATE_BYTES = old
+    hit = Automaton(rules).run(urls)
+    assert whole.tolist() == [next((k for k, h in enumerate(row) if h), len(rules)) for row in hit]

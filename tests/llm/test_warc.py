@@ -68,3 +68,14 @@ def test_empty(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     index = warc.write(pages(spark).limit(0), folder)
     assert index.count() == 0 and warc.read(index, folder).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "string"])
+def test_ids_long_payloads_and_other_columns(spark, tmp_path, kind):
+    folder = f"file://{tmp_path}/w"
+    rows = spark.createDataFrame([(1, "http://a/", "x" * 6_000_000, "mine", 1), (2, "http://b/", "x" * 6_000_000, "mine", 1), (3, "http://c/", "y", None, None)], "page_id int, url string, html string, payload_digest string, offset long")
+    back = warc.read(warc.write(rows.withColumn("page_id", F.col("page_id").cast(kind)), folder), folder)
+    got = {str(r["page_id"]): (r["record_type"], r["payload_bytes"]) for r in back.select("page_id", "record_type", "payload_bytes").collect()}
+    assert got == {"1": ("response", 6_000_000), "2": ("revisit", 6_000_000), "3": ("response", 1)} and dict(back.dtypes)["page_id"] == kind
+    with pytest.raises(TypeError):
+        warc.write(rows.withColumn("page_id", F.col("page_id").cast("double")), folder)
