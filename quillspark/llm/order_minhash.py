@@ -6,10 +6,11 @@ probability that falls with their edit distance, not only with their sets. Texts
 banded alignment decides: similarity is c / (a + b - c), with a and b the texts' numbers of shingles and c those that
 an alignment matches in order. At 0.8 a pair is missed with a chance of (1 - 0.8^(2*ROWS))^BANDS, below 0.1 %.
 
-Exact copies are one node from the start. Of a large bucket, every node that is not yet connected to a leader is compared with it, STARS times
-over with other leaders; a bucket whose nodes are all connected is done. What is left (many texts that share much, but not enough) is dealt
-by each text's rarest shingles: of n shingles, two similar texts share one of the n - ceil(0.8 n) + 1 rarest of either. So no bucket is
-ever compared all with all, and no candidate is left out; only texts that share a bucket, one of their rarest shingles, and aren't connected meet.
+Exact copies are one node from the start, and of buckets with equal nodes one is looked at. A bucket that a block holds is compared in one task, in
+bounded memory. In a larger one, every node that is not yet connected to a leader is compared with it, round by round with other leaders, as long as that
+connects many; a bucket whose nodes are all connected is done. What is left (many texts that share much, but not enough) is dealt
+by each text's rarest shingles: of n shingles, two similar texts share one of the n - ceil(0.8 n) + 1 rarest of either. So no large bucket is
+ever compared all with all, and no candidate is left out.
 
 Defined results: a null text is in a class of its own; texts without words are copies of each other only if they are
 equal; a text of 1 to 4 words has one shingle; very long texts are compared whole, in memory that grows with their length; a class is named by its
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,13 @@ from .tokens import U, mix64, shingles, word_hashes
 BANDS, ROWS, WORDS = 24, 3, 5
 SIMILARITY = 0.8
 
-#: Buckets of up to so many nodes are compared pair by pair; larger ones by so many rounds of leaders, then in blocks of about so many nodes, or words.
-SMALL_BUCKET, STARS, BLOCK_NODES, BLOCK_WORDS = 6, 3, 512, 300_000
+#: Buckets of up to so many nodes are compared pair by pair; those of up to so many nodes, and words, in one block.
+SMALL_BUCKET, BLOCK_NODES, BLOCK_WORDS = 6, 2048, 1_500_000
+
+#: In larger buckets leaders take turns until a round leaves more than this share of what it found.
+STALLED = 0.8
+
+#: Columns of a product of matrices.
 COLUMNS = 4096
 
 #: Pairs of one leader in a task: its text is sent to as many tasks as it has such portions.
@@ -239,15 +246,19 @@ def block_links(rows: list[tuple], least: float) -> Iterator[tuple]:
             yield rows[i][0], rows[j][0]
 
 
+def several(state: DataFrame) -> DataFrame:
+    """state (key, node, comp) of the buckets that hold several components."""
+    mixed = state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
+    return state.join(mixed, "key", "left_semi").select("key", "node", "n_words", "comp")
+
+
 def of_component(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members (key, node) of the buckets that hold several components, with comp."""
-    state = members.join(roots.withColumnRenamed("root", "comp"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    several = state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-    return state.join(several, "key", "left_semi")
+    """members (key, node, n_words) of the buckets that hold several components, with comp."""
+    return several(members.join(roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
 
 
 def led(state: DataFrame, turn: int) -> DataFrame:
-    """state (key, node, comp) -> pairs (x: a leader, y): each node with the leader of one of its buckets, another in every turn."""
+    """state (key, node, n_words, comp) -> pairs (x: a leader, y): each node with the leader of one of its buckets, another in every turn."""
     first = state.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("r"), F.col("node").alias("x"), F.col("comp").alias("of"))).alias("leader"))
     met = state.join(first, "key").filter(F.col("comp") != F.col("leader.of"))
     one = met.groupBy("node").agg(F.max(F.struct("n", F.xxhash64(F.lit(turn), "key").alias("r"), F.col("leader.x").alias("x"))).alias("m"))
@@ -255,30 +266,42 @@ def led(state: DataFrame, turn: int) -> DataFrame:
 
 
 def by_rarest(state: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """state (key, node, comp) with the bucket dealt anew: by each of the node's rarest labelled shingles, so many that two similar texts share one."""
+    """state (key, node, n_words, comp) dealt anew, whatever the bucket: by each of the node's rarest labelled shingles, so many that two similar
+    texts share one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, (_, labelled) in zip(batch.column("node").to_pylist(), shingles_of(batch.column("text")), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([node] * len(labelled), pa.binary()), pa.array(labelled.view(np.int64)), pa.array(np.full(len(labelled), len(labelled)))], names=["node", "s", "n"])
 
-    nodes = state.select("node").distinct()
+    nodes = state.select("node", "n_words", "comp").distinct()
     rows = written(texts.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(run, "node binary, s long, n long"), "near-shingles")
     often = rows.groupBy("s").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
     rare = rows.join(often.filter("often > 1"), "s", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("place", place)
-    rare = rare.filter((F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1) & (F.col("often") > 1)).select("node", "s")
-    return state.join(rare, "node").select(F.xxhash64("key", "s").alias("key"), "node", "comp")
+    rare = rare.filter((F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1) & (F.col("often") > 1))
+    return several(rare.select(F.col("s").alias("key"), "node").join(nodes, "node"))
+
 
+def buckets(members: DataFrame) -> DataFrame:
+    """members (key, node, n_words, ...) of the buckets of two nodes or more, and of buckets with equal nodes only of one; with the bucket's
+    nodes n and words w."""
+    own = lambda seed: F.xxhash64(F.lit(seed), "node")
+    sums = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"), F.bit_xor(own(1)).alias("a"), F.bit_xor(own(2)).alias("b")).filter("n > 1")
+    return members.join(sums.groupBy("n", "a", "b").agg(F.min("key").alias("key"), F.first("w").alias("w")).select("key", "n", "w"), "key")
 
-def met_in_blocks(state: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """state (key, node, comp) of buckets -> links that connect all components that similar pairs of a bucket connect.
 
-    A bucket is dealt into blocks of about BLOCK_NODES nodes or BLOCK_WORDS words, and each two blocks meet in one task.
+def links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """members (key, node, n_words, n, w, comp) of buckets -> links that connect all components that similar pairs of a bucket connect.
+
+    The nodes of a small bucket are compared pair by pair, a pair of several buckets once. A larger bucket is dealt into blocks of about BLOCK_NODES
+    nodes or BLOCK_WORDS words, and each two blocks meet in one task.
     """
-    sized = state.join(texts.select("node", "n_words"), "node")
-    sums = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
+    small = members.filter(F.col("n") <= SMALL_BUCKET).select("key", "node", "comp")
+    a, b = (small.select("key", F.col("node").alias(name), F.col("comp").alias(f"of_{name}")) for name in "xy")
+    pairs = written(a.join(b, "key").filter("x < y AND of_x <> of_y").select("x", "y").distinct(), "near-pairs")
+
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
-    dealt = sized.join(sums.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = members.filter(F.col("n") > SMALL_BUCKET).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     placed = dealt.select("key", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     placed = placed.select("key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -289,33 +312,26 @@ def met_in_blocks(state: DataFrame, texts: DataFrame, least: float) -> DataFrame
             found = list(block_links([(node, s, labelled, side, comp) for node, (s, labelled), side, comp in each], least))
         return pa.table({"x": pa.array([f[0] for f in found], pa.binary()), "y": pa.array([f[1] for f in found], pa.binary())})
 
-    return placed.join(texts.select("node", "text"), "node").select("key", "i", "j", "own", "node", "comp", "text").groupBy("key", "i", "j").applyInArrow(run, "x binary, y binary")
+    met = placed.join(texts.select("node", "text"), "node").select("key", "i", "j", "own", "node", "comp", "text").groupBy("key", "i", "j").applyInArrow(run, "x binary, y binary")
+    return verified(pairs, texts, least).unionByName(met)
 
 
 def connected(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members (key, node) of buckets with two nodes or more, texts (node, text, n_words) -> node, root for every node that similar pairs of
-    buckets connect with another.
-
-    The nodes of a small bucket are compared pair by pair, a pair of several buckets once; those of larger ones as said above.
-    """
-    sums = members.groupBy("key").agg(F.count("*").alias("n"))
-    sized = members.join(sums, "key")
-    small = written(sized.filter(F.col("n") <= SMALL_BUCKET).select("key", "node"), "near-small")
-    large = written(sized.filter(F.col("n") > SMALL_BUCKET).select("key", "node"), "near-large")
-    a, b = small.select("key", F.col("node").alias("x")), small.select("key", F.col("node").alias("y"))
-    pairs = written(a.join(b, "key").filter("x < y").select("x", "y").distinct(), "near-pairs")
-    roots = components(verified(pairs, texts, least))
-    for turn in range(STARS):
-        state = written(of_component(large, roots), "near-mixed")
-        if not state.limit(1).count():
+    """members (key, node, n_words, n, w) of buckets, texts (node, text) -> node, root for every node that similar pairs of buckets connect with
+    another."""
+    fits = (F.col("n") <= BLOCK_NODES) & (F.col("w") <= BLOCK_WORDS)
+    roots = components(links(members.filter(fits).withColumn("comp", F.col("node")), texts, least))
+    over, before = members.filter(~fits), None
+    while True:
+        state = written(of_component(over, roots), "near-mixed")
+        left = state.count()
+        if not left:
             return roots
-        large = state.select("key", "node")
-        new = verified(written(led(state, turn), "near-led"), texts, least)
-        roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(new))
-    state = written(of_component(large, roots), "near-mixed")
-    if not state.limit(1).count():
-        return roots
-    new = met_in_blocks(written(by_rarest(state, texts, least).distinct(), "near-rarest"), texts, least)
+        if before is not None and left > STALLED * before:
+            break
+        new = verified(written(led(state, left), "near-led"), texts, least)
+        roots, before = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(new)), left
+    new = links(written(buckets(by_rarest(state, texts, least)), "near-rarest"), texts, least)
     return components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(new))
 
 
@@ -326,14 +342,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: flo
     sketched = written(sketches(source, "text"), "near-sketches")
     nodes = sketched.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     nodes = written(nodes, "near-nodes")
-    rows = nodes.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("fp").alias("node"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = written(rows.join(shared, "key", "left_semi"), "near-buckets")
-    wanted = written(members.select("node").distinct().join(nodes.select(F.col("fp").alias("node"), "first", "n_words"), "node"), "near-wanted")
+    rows = nodes.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("fp").alias("node"), "n_words")
+    members = written(buckets(rows), "near-buckets")
+    wanted = written(members.select("node").distinct().join(nodes.select(F.col("fp").alias("node"), "first"), "node"), "near-wanted")
     own = source.select(F.col("fp").alias("node"), F.col("doc_id").alias("first"), "text")
     on = (own["node"] == wanted["node"]) & own["first"].eqNullSafe(wanted["first"])
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    texts = written(own.join(few, on).select(own["node"], "text", "n_words").dropDuplicates(["node"]), "near-texts")
+    texts = written(own.join(few, on).select(own["node"], "text").dropDuplicates(["node"]), "near-texts")
     roots = connected(members, texts, least)
     named = nodes.select(F.col("fp").alias("node"), "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("first").alias("class_id"))

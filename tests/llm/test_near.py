@@ -149,8 +149,8 @@ def test_long_near_copies_in_bounded_memory():
     assert om.similarity(ones, ones[:45_000]) == pytest.approx(0.9)
 
 
-@pytest.mark.parametrize(("stars", "seed"), [(0, 1), (1, 2)])
-def test_large_buckets_in_every_way(spark, monkeypatch, stars, seed):
+@pytest.mark.parametrize(("stalled", "seed"), [(-1, 1), (0.9, 2)])
+def test_large_buckets_in_every_way(spark, monkeypatch, stalled, seed):
     """Near copies, chains, and texts with a long passage in common that are not similar enough."""
     rng = random.Random(seed)
     shared, base = [f"s{i}" for i in range(75)], [f"w{i}" for i in range(100)]
@@ -161,7 +161,7 @@ def test_large_buckets_in_every_way(spark, monkeypatch, stars, seed):
             t[(i * 7 + k * 31) % 100] = f"x{rng.random()}"
         texts.append(" ".join(t))
     texts += [t + " end" for t in texts[:5]]
-    monkeypatch.setattr(om, "STARS", stars)
+    monkeypatch.setattr(om, "STALLED", stalled)
     monkeypatch.setattr(om, "BLOCK_NODES", 16)
     monkeypatch.setattr(om, "SMALL_BUCKET", 2)
     monkeypatch.setattr(om, "PORTION", 5)
