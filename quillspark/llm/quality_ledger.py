@@ -138,3 +138,16 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
         + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM b
 """
+
+
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects over all documents, alone and with the others, from the ledger's bits."""
+    from .text import read_table
+
+    return ablation(ledger(read_table(spark, sf_dir, "documents")), "v1")
+
+
+ABLATION_SQL = f"""
+WITH l AS ({OP3_SQL}), r AS (SELECT unnest(['few_words', 'repeated_trigrams', 'many_symbols', 'duplicate_lines', 'short_words', 'long_words']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+SELECT rule, (count(*) FILTER (fail_bits & bit <> 0))::BIGINT AS n_failed, (count(*) FILTER (fail_bits = bit))::BIGINT AS n_failed_alone, (count(*) FILTER (fail_bits & (63 - bit) = 0))::BIGINT AS n_kept_without FROM r LEFT JOIN l ON true GROUP BY rule
+"""

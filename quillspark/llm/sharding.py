@@ -112,10 +112,26 @@ def op9_sharding(spark, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "part")
 
 
-OP9_SQL = f"""
+#: A limit at which small tables split, too.
+SMALL_LIMIT = 32 << 10
+
+
+def small_shards(spark, sf_dir: str) -> DataFrame:
+    """All documents under a limit of SMALL_LIMIT bytes: directories of several depths, single rows above the limit."""
+    from .text import read_table
+
+    return shard(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SMALL_LIMIT).drop("text", "part")
+
+
+def sql(limit: int) -> str:
+    """What `shard` gives, where no two rows are equal."""
+    return f"""
 WITH h AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h, row_number() OVER () AS r FROM documents),
 p AS (SELECT r, doc_id, bytes, h, d, h >> ({HASH_BITS} - d) AS p FROM h, (SELECT unnest(range(0, {HASH_BITS + 1})) AS d)),
 s AS (SELECT *, (sum(bytes) OVER w)::BIGINT AS shard_bytes, count(*) OVER w AS shard_rows FROM p WINDOW w AS (PARTITION BY d, p)),
-k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d) AS k FROM s WHERE shard_bytes <= {LIMIT} OR shard_rows = 1)
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d) AS k FROM s WHERE shard_bytes <= {limit} OR shard_rows = 1)
 SELECT doc_id, bytes, CASE WHEN d = 0 THEN '' ELSE right(bin(p + (1::BIGINT << d)), d) END AS shard, d::INTEGER AS depth, shard_bytes, shard_rows FROM k WHERE k = 1
 """
+
+
+OP9_SQL, SMALL_SHARDS_SQL = sql(LIMIT), sql(SMALL_LIMIT)
