@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,34 @@ def test_components_of_chains(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "x string, y string")).collect()}
     assert all(got[f"{i:03d}"] == "000" for i in range(41)) and got["zz"] == got["zy"] == "zy" and "a" not in got
     assert components(spark.createDataFrame([], "x string, y string")).count() == 0
+
+
+def test_recall_on_documents(spark, sf):
+    """Pairs of different texts at 0.8 or more, found by an index of all shingles, against the classes; and no class holds texts that no chain of such pairs connects."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text").filter("text IS NOT NULL")
+    got = {r["doc_id"]: r["class_id"] for r in om.classes(docs).collect()}
+    rows = docs.collect()
+    labelled = [x[1] for x in om.shingles_of(pa.array([r["text"] for r in rows]))]
+    plain = [x[0] for x in om.shingles_of(pa.array([r["text"] for r in rows]))]
+    size = [len(x) for x in labelled]
+    row, which = np.repeat(np.arange(len(rows)), size), np.unique(np.concatenate(labelled), return_inverse=True)[1]
+    order = np.argsort(which, kind="stable")
+    common = defaultdict(int)
+    for group in np.split(row[order], np.flatnonzero(np.diff(which[order])) + 1):
+        for i, x in enumerate(group.tolist() if len(group) > 1 else ()):
+            for y in group[i + 1 :].tolist():
+                common[x, y] += 1
+    pairs = [(x, y) for (x, y), c in common.items() if c >= 0.8 * (size[x] + size[y] - c) - 1e-9 and om.similarity(plain[x], plain[y]) >= 0.8]
+    found = sum(got[rows[x]["doc_id"]] == got[rows[y]["doc_id"]] for x, y in pairs)
+    print(f"recall: {found} of {len(pairs)} pairs")
+    assert pairs and found >= 0.99 * len(pairs)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(x)] = find(y)
+    assert len({got[r["doc_id"]] for r in rows if r["text"].split()}) >= len({find(i) for i, r in enumerate(rows) if r["text"].split()})
