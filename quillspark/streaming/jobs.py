@@ -83,10 +83,10 @@ def coalesced(stream: DataFrame, keys: list[str], order: list[str], sink: Callab
 
 
 def enveloped(rows: DataFrame, topic: str, keys: list[str]) -> DataFrame:
-    """Rows as envelopes: topic and JSON payloads, at most ENVELOPE of them; several together under stream.batch. Rows are grouped where they
-    lie, so that a batch of any size stays dealt out."""
+    """Rows as envelopes: topic and JSON payloads, at most ENVELOPE of them; several together under stream.batch. Rows are dealt out by key, and
+    grouped where they then lie: a small batch in one task (adaptive execution joins small parts), a large one in many."""
     at = F.monotonically_increasing_id()
-    one = rows.select(*keys, F.to_json(F.struct(*rows.columns)).alias("payload"), F.shiftright(at, 33).alias("_part"), F.floor(at.bitwiseAND((1 << 33) - 1) / ENVELOPE).alias("_group"))
+    one = rows.repartition(*keys).select(*keys, F.to_json(F.struct(*rows.columns)).alias("payload"), F.shiftright(at, 33).alias("_part"), F.floor(at.bitwiseAND((1 << 33) - 1) / ENVELOPE).alias("_group"))
     return one.groupBy("_part", "_group").agg(F.sort_array(F.collect_list("payload")).alias("items")).select(F.when(F.size("items") == 1, topic).otherwise("stream.batch").alias("topic"), "items")
 
 

@@ -99,7 +99,7 @@ def test_prompt(spark):
     e = spark.createDataFrame([(1, 1, "c", "d", "body", 0.5, "notes/a.md", 3, 7, ["T"])], "request int, place int, chunk_id string, document string, content string, score double, file_path string, start_line int, end_line int, title_path array<string>")
     d = spark.createDataFrame([(1, False), (2, True)], "request int, abstained boolean")
     got = {x["request"]: x["prompt"] for x in answering.prompts(r, e, d).collect()}
-    assert got[2] == "" and "location: a.md:3-7" in got[1] and "score: 0.5000" in got[1] and "[1] a.md:3-7 | T" in got[1] and "问题：什么?" in got[1]
+    assert got[2] == "" and "place: a.md:3-7" in got[1] and "score: 0.5000" in got[1] and "[1] a.md:3-7 | T" in got[1] and "Question: 什么?" in got[1]
 
 
 def test_citations(spark):

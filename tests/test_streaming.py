@@ -46,5 +46,7 @@ def test_envelopes(spark):
     many = jobs.enveloped(rows, "overview", ["project"])
     assert many.first()["topic"] == "stream.batch" and jobs.unwrapped(many).count() == 2
     assert jobs.enveloped(rows.limit(1), "overview", ["project"]).first()["topic"] == "overview"
+    sizes = [len(r["items"]) for r in jobs.enveloped(spark.range(40).selectExpr("cast(id AS string) AS project", "id AS n"), "overview", ["project"]).collect()]
+    assert sum(sizes) == 40 and max(sizes) == 16
     bad = spark.createDataFrame([("x", ["{"]), ("x", None)], "topic string, items array<string>")
     assert jobs.unwrapped(bad).count() == 0
