@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import bounded_side, spread, table
+from quillspark.functions.frames import bounded_side, kept, spread, table
 from quillspark.operators import lexical, ranking, semantic
 
 from .registry import query
@@ -216,7 +216,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = {
         "rerank_candidate_limit": ranking.limit_candidates,
         "metadata_constraint_prefilter": lambda h: ranking.constraint_filter(h.withColumn("_t", F.array().cast("array<string>")), empty, {"category": "_t"}).drop("constraint_coverage", "constraint_passed"),
-        "rerank": lambda h: ranking.rerank_overlap(with_texts(h, spark, sf_dir)),
+        "rerank": lambda h: kept(ranking.rerank_overlap(with_texts(h, spark, sf_dir)), "reranked"),
         "metadata_constraint_postfilter": lambda h: ranking.constraint_filter(h, empty, {"category": "_t"}),
         "lookup_prioritization": lambda h: ranking.lookup_priority(h, none),
         "metadata_document_support": ranking.document_support,
@@ -225,7 +225,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score_filter": ranking.score_filter,
         "top_k_limit": lambda h: ranking.top_k(h, 6),
     }
-    return ranking.run_steps(fused(spark, sf_dir), steps).select("request", F.col("chunk_id").alias("doc_id"), F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
+    return ranking.run_steps(kept(fused(spark, sf_dir), "fused"), steps).select("request", F.col("chunk_id").alias("doc_id"), F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT item_id AS request, item_id % 5 AS kind, CASE item_id % 5 WHEN 0 THEN 1.5 WHEN 1 THEN 0.5 ELSE 1.0 END AS lexical_weight, CASE item_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS semantic_weight FROM benchmark")
