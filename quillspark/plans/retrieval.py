@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.frames import bounded_side, kept, spread, table
+from quillspark.functions.text import tokens
 from quillspark.operators import lexical, ranking, semantic
 
 from .registry import query
@@ -196,8 +197,6 @@ v AS (SELECT *, round(m / len(terms), 4) AS cov FROM c)
 SELECT request, doc_id, cov AS coverage, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN m IS NULL THEN rplace END NULLS LAST, cov DESC, m DESC, round(score, 8) DESC, doc_id) AS place FROM v""")
 def lookup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even requests look up their own words."""
-    from quillspark.functions.text import tokens
-
     i = asked(spark, sf_dir).select("request", F.when(F.col("request") % 2 == 0, F.array_distinct(tokens(F.col("query")))).alias("lookup_terms"))
     return ranking.lookup_priority(reranked(spark, sf_dir), i).select("request", F.col("chunk_id").alias("doc_id"), F.col("lookup_coverage").alias("coverage"), F.col("place").cast("long").alias("place"))
 
@@ -228,6 +227,38 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.run_steps(kept(fused(spark, sf_dir), "fused"), steps).select("request", F.col("chunk_id").alias("doc_id"), F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {SQL_BM25}, {SQL_RRF}, {SQL_RERANK}, {SQL_CONSTRAINED},
+g1 AS (SELECT ck.*, request % 3 = 1 AS looks, list_distinct({TOKENS.format('query')}) AS terms, list_distinct(list_concat(d.ct, {TOKENS.format('ck.source')}, [doc_id::VARCHAR, 'md'])) AS own FROM ck JOIN d USING (doc_id)),
+g2 AS (SELECT *, CASE WHEN looks THEN len(list_intersect(terms, own)) END AS words, CASE WHEN looks THEN round(len(list_intersect(terms, own)) / len(terms), 4) END AS cov FROM g1),
+g3 AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN NOT looks THEN cplace END NULLS LAST, cov DESC, words DESC, round(score2, 8) DESC, doc_id) AS p3, count(*) FILTER (asked) OVER (PARTITION BY request) AS n, count(DISTINCT CASE WHEN asked THEN source END) OVER (PARTITION BY request) AS docs FROM g2),
+g4 AS (SELECT *, n >= 2 AND docs >= 2 AS onn FROM g3),
+g5 AS (SELECT *, count(*) FILTER (asked) OVER (PARTITION BY request, source) AS support, round(max(CASE WHEN asked THEN coalesce(lexical_score, 0) END) OVER (PARTITION BY request, source), 4) AS best FROM g4 WHERE NOT onn OR asked),
+g6 AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN NOT onn THEN p3 END NULLS LAST, coverage DESC, support DESC, best DESC, round(score2, 8) DESC, doc_id) AS p4, CASE WHEN request % 3 <> 0 THEN 0 WHEN lower(source) = 'src' || (request % 20) THEN 3 WHEN contains(lower(source), 'src' || (request % 20)) THEN 1 ELSE 0 END AS affinity FROM g5),
+g7 AS (SELECT *, max(affinity) OVER (PARTITION BY request, source) AS da, count(*) OVER (PARTITION BY request, source) AS dc, max(affinity) OVER (PARTITION BY request) AS anyone FROM g6),
+g8 AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN anyone = 0 THEN p4 END NULLS LAST, da DESC, affinity DESC, dc DESC, round(score2, 8) DESC, doc_id) AS p5 FROM g7),
+g9 AS (SELECT *, row_number() OVER (PARTITION BY request, source ORDER BY p5) AS turn, min(p5) OVER (PARTITION BY request, source) AS first, first_value(source) OVER (PARTITION BY request ORDER BY p5) AS leader FROM g8),
+g10 AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN NOT looks THEN p5 END NULLS LAST, CASE WHEN p5 = 1 THEN 0 WHEN source = leader THEN turn - 1 ELSE turn END, first, doc_id) AS p6 FROM g9)
+SELECT * FROM (SELECT request, doc_id, row_number() OVER (PARTITION BY request ORDER BY p6) AS place, round(score2, 6) AS score, support FROM g10 WHERE score2 >= 0.1) WHERE place <= 6""")
+def guided_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten steps with something to do: even requests ask for two sources, of three one looks its words up, and another defines a source."""
+    requests = asked(spark, sf_dir)
+    category = requests.filter("request % 2 = 0").select("request", F.lit("category").alias("kind"), F.array(F.concat(F.lit("src"), (F.col("request") % 20).cast("string")), F.lit("src0")).alias("tokens"))
+    looks = requests.select("request", F.when(F.col("request") % 3 == 1, F.array_distinct(tokens(F.col("query")))).alias("lookup_terms"))
+    subjects = requests.select("request", F.when(F.col("request") % 3 == 0, "definition").otherwise("lookup").alias("query_type"), F.array(F.concat(F.lit("src"), (F.col("request") % 20).cast("string"))).alias("subject_terms"))
+    steps = {
+        "rerank_candidate_limit": ranking.limit_candidates,
+        "rerank": lambda h: kept(ranking.rerank_overlap(with_texts(h, spark, sf_dir)), "reranked"),
+        "metadata_constraint_postfilter": lambda h: ranking.constraint_filter(h.withColumn("_terms", F.array(F.lower("document"))), category, {"category": "_terms"}),
+        "lookup_prioritization": lambda h: ranking.lookup_priority(h, looks),
+        "metadata_document_support": ranking.document_support,
+        "definition_subject_prioritization": lambda h: ranking.definition_subject(h, subjects),
+        "lookup_diversification": lambda h: ranking.diversify(h, F.col("lookup_terms").isNotNull()),
+        "score_filter": ranking.score_filter,
+        "top_k_limit": lambda h: ranking.top_k(h, 6),
+    }
+    return ranking.run_steps(kept(fused(spark, sf_dir), "fused"), steps).select("request", F.col("chunk_id").alias("doc_id"), F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"), F.col("support_count").alias("support"))
+
+
 @query("SELECT item_id AS request, item_id % 5 AS kind, CASE item_id % 5 WHEN 0 THEN 1.5 WHEN 1 THEN 0.5 ELSE 1.0 END AS lexical_weight, CASE item_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS semantic_weight FROM benchmark")
 def fusion_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request"), (F.col("item_id") % 5).alias("kind")).withColumn("query_type", F.col("kind").cast("string"))

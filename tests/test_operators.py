@@ -215,3 +215,26 @@ def test_models_are_plug_ins(spark):
     hits = spark.createDataFrame([(1, "a", 1, "q", "xx", 0.1), (1, "b", 2, "q", "xxxx", 0.2)], "request int, chunk_id string, place int, query string, content string, score double")
     out = ranking.rerank_model(hits, lambda: lambda pairs: [len(c) for _, c in pairs]).orderBy("place").collect()
     assert [r["chunk_id"] for r in out] == ["b", "a"] and 0.8 < out[1]["score"] < out[0]["score"] < 1
+
+
+def test_metadata_relaxes_the_cascade(spark):
+    """Little text that matches the constraints by both searches: one chunk, a cluster in one document, several documents; each against a case that just misses it."""
+    both, lexical = ["lexical:0", "semantic:0"], ["lexical:0"]
+    long, short = "x" * 60, "y" * 20
+    cases = {
+        1: [("d1", long, 0.5, True, 1.0, both, ["p" * 100])],  # one strong chunk with what its metadata says
+        2: [("d1", long, 0.5, True, 1.0, lexical, ["p" * 100])],  # found by one search only
+        3: [("d1", long, 0.5, True, 0.5, both, ["p" * 100])],  # constraints half covered
+        4: [("d1", short, 0.5, True, 1.0, both, ["p" * 60])] * 3,  # a cluster: 60 letters and 60 of metadata, counted once
+        5: [(f"d{i}", short, 0.5, True, 1.0, both, ["p" * 60]) for i in range(3)],  # the same in several documents needs 150
+        6: [(f"d{i}", short, 0.5, True, 1.0, lexical, ["p" * 95]) for i in range(3)],
+        7: [("d1", "tiny", 0.5, True, 1.0, both, ["p" * 150])] * 2,  # short chunks count where their document has two
+        8: [("d1", "tiny", 0.5, False, None, both, ["p" * 150])] * 2,
+        9: [],
+    }
+    rows = [(r, i + 1, f"{r}-{i}", *x) for r, xs in cases.items() for i, x in enumerate(xs)]
+    e = spark.createDataFrame(rows, "request int, place int, chunk_id string, document string, content string, score double, constraint_passed boolean, constraint_coverage double, source_hits array<string>, support_values array<string>")
+    requests = spark.createDataFrame([(r,) for r in cases], "request int")
+    got = {r["request"]: (r["reason"], r["hit_count"]) for r in guardrail.abstain(requests, guardrail.evidence_summary(e)).collect()}
+    few, chars = "recall_hits_below_threshold", "evidence_chars_below_threshold"
+    assert got == {1: (None, 2), 2: (few, 1), 3: (few, 1), 4: (None, 3), 5: (chars, 3), 6: (None, 3), 7: (None, 2), 8: (few, 0), 9: ("top1_score_below_threshold", 0)}
