@@ -1,5 +1,7 @@
 """Operators on inline rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +240,49 @@ def test_metadata_relaxes_the_cascade(spark):
     got = {r["request"]: (r["reason"], r["hit_count"]) for r in guardrail.abstain(requests, guardrail.evidence_summary(e)).collect()}
     few, chars = "recall_hits_below_threshold", "evidence_chars_below_threshold"
     assert got == {1: (None, 2), 2: (few, 1), 3: (few, 1), 4: (None, 3), 5: (chars, 3), 6: (None, 3), 7: (None, 2), 8: (few, 0), 9: ("top1_score_below_threshold", 0)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chunks_against_brute_force(spark, seed):
+    """Sections of random paragraphs, fences with blank lines in them, and words longer than a chunk."""
+    rng, size, overlap = random.Random(seed), 60, 10
+
+    def paragraph():
+        kind = rng.random()
+        if kind < 0.15:
+            return ["```", "code", "", "more code", "```"]
+        if kind < 0.3:
+            return ["z" * rng.randint(55, 200)]
+        return [" ".join(rng.choice(["ab", "cde", "f", "ghij", "混合"]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 2))]
+
+    def brute(paragraphs, first):
+        """(text, start, end) of every chunk. paragraphs: (lines, blank lines after them)."""
+        placed, line = [], first
+        for lines, gap in paragraphs:
+            placed.append(("\n".join(lines), line, line + len(lines) - 1))
+            line += len(lines) + gap
+        out, held = [], []
+        flush = lambda: out.append(("\n\n".join(x[0] for x in held), held[0][1], held[-1][2])) if held else None
+        for text, a, b in placed:
+            if len(text) > size:
+                flush()
+                held = []
+                step = size - overlap
+                starts = [k for k in range(0, len(text), step) if k == 0 or k - step + size < len(text)]
+                out += [(text[k : k + size], a, b) for k in starts]
+            else:
+                if held and len("\n\n".join([x[0] for x in held] + [text])) > size:
+                    flush()
+                    held = []
+                held = [*held, (text, a, b)]
+        flush()
+        return out
+
+    made = [[(paragraph(), rng.randint(1, 3)) for _ in range(rng.randint(1, 12))] for _ in range(40)]
+    rows = [(i, 0, ["t"], 5, "\n".join(line for lines, gap in ps for line in [*lines, *[""] * gap])) for i, ps in enumerate(made)]
+    secs = spark.createDataFrame(rows, "document_id int, section_index int, title_path array<string>, start_line int, text string")
+    got = {}
+    for r in sections.chunks(secs, size=size, overlap=overlap).orderBy("document_id", "chunk_index").collect():
+        got.setdefault(r["document_id"], []).append((r["text"], r["start_line"], r["end_line"]))
+        assert r["chunk_index"] == len(got[r["document_id"]]) - 1
+    assert got == {i: brute(ps, 5) for i, ps in enumerate(made)}
