@@ -6,7 +6,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm.token_counts import MODEL, PRE_TOKEN, Tokenizer, op11_token_counts, token_counts
+from quillspark.llm.token_counts import MODEL, Tokenizer, op11_token_counts, piece_counts, pre_tokens, token_counts
 
 PATH = public_tokenizers.path(MODEL)
 SP = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -23,11 +23,12 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("hot", [0, 200, 4 << 20])
-def test_odd_texts(spark, tokenizer, hot):
+@pytest.mark.parametrize("sizes", [{"buffer": 1, "keep": 3, "few": 1}, {"buffer": 2_000, "keep": 50, "few": 2}, {}])
+def test_odd_texts(spark, tokenizer, sizes):
+    """Also with many small buffers, little in mind, and common pre-tokens spread."""
     docs = [(i, t, "x") for i, t in enumerate(ODD)] + [(None, None, None), (None, "null id", "x"), (5, "again a", ""), (6, "twice the same", ""), (6, "twice the same", "")]
     df = spark.createDataFrame(docs, "doc_id long, text string, n_tokens string")  # a column of the input with the name of a result
-    got = rows(token_counts(df, tokenizer, hot_bytes=hot))
+    got = rows(token_counts(df, tokenizer, **sizes))
     assert got == sorted(((i, len((t or "").encode()), len(SP.encode(t or ""))) for i, t, _ in docs), key=repr)
 
 
@@ -46,10 +47,14 @@ def test_whole_table(spark, sf):
 @settings(max_examples=500, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" ▁\n\tab.é文"), st.characters(codec="utf-8")), max_size=60))
 def test_pieces_stay_inside_pre_tokens(text):
-    import re
+    assert sum(piece_counts(SP, pre_tokens(text))) == len(SP.encode(text))
 
-    parts = re.findall(PRE_TOKEN, f" {text}") if text else []
-    assert sum(len(SP.encode("\n" + p)) - 2 for p in parts) == len(SP.encode(text))
+
+def test_many_documents_of_string_ids(spark, tokenizer):
+    """More documents in one task than numbers of one buffer, every one with the same words and one of its own."""
+    docs = spark.range(0, 150_000, 1, 2).selectExpr("concat('d', id) AS name", "concat('the very same ', id) AS body")
+    got = {r["name"]: r["n_tokens"] for r in token_counts(docs, tokenizer, "name", "body").collect()}
+    assert len(got) == 150_000 and all(got[f"d{i}"] == len(SP.encode(f"the very same {i}")) for i in range(0, 150_000, 997))
 
 
 def test_a_model_that_changes_texts_is_refused(tokenizer):
