@@ -15,6 +15,7 @@ length only its distinct terms stay. Equal values rank by the item's UTF-8 bytes
 
 from __future__ import annotations
 
+import gc
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -57,7 +58,7 @@ class Leaf:
     __slots__ = ("counts", "texts")
 
     def __init__(self) -> None:
-        self.texts, self.counts = 0, defaultdict(int)
+        self.texts, self.counts = 0, {}
 
 
 class Trie:
@@ -93,7 +94,7 @@ class Trie:
             own = self.leaf(term)
             own.texts += leaf.texts
             for source, n in leaf.counts.items():
-                own.counts[source] += n
+                own.counts[source] = own.counts.get(source, 0) + n
 
     def walk(self) -> Iterator[tuple[bytes, Leaf]]:
         """Terms and leaves by the terms' bytes."""
@@ -124,17 +125,20 @@ def batch_of(langs: list[str], words: list[bytes], texts: list[int], sizes: list
 
 def planted(counts: dict[tuple[str, str], Counter], texts: dict[str, Counter]) -> dict[str, Trie]:
     """A trie for each language, of what was counted; the counters are empty afterwards."""
-    tries: dict[str, Trie] = defaultdict(Trie)
-    for (lang, source), own in counts.items():
-        leaf = tries[lang].leaf
-        for term, n in own.items():
-            leaf(term).counts[source] += n
-        own.clear()
+    tries: dict[str, Trie] = {}
+    gc.disable()  # nothing here is garbage, and the collector would look at every new node again and again
     for lang, own in texts.items():
-        leaf = tries[lang].leaf
+        trie = tries[lang] = Trie()
+        leaves = {term: trie.leaf(term) for term in own}
         for term, n in own.items():
-            leaf(term).texts += n
+            leaves[term].texts += n
         own.clear()
+        for (other, source), many in counts.items():
+            if other == lang:
+                for term, n in many.items():
+                    leaves[term].counts[source] = n
+                many.clear()
+    gc.enable()
     return tries
 
 

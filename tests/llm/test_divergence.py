@@ -88,7 +88,7 @@ def test_tries(parts):
         for term, source in part:
             leaf = own.leaf(term.encode())
             leaf.texts += 1
-            leaf.counts[source] += 1
+            leaf.counts[source] = leaf.counts.get(source, 0) + 1
             want[term.encode(), source] += 1
         whole.merge(own)
     walked = list(whole.walk())
