@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bounded_batches, written
+from .text import bounded_batches, set_aside, written
 from .tokens import U, mix64, word_hashes
 
 MASKS = ("11111", "111011", "110111")
@@ -47,6 +47,9 @@ BROADCAST_ROWS = 500_000
 #: Words around a seed that its row carries: all windows that hold the seed's first word.
 _BEFORE, _AROUND = WINDOW - 1, 2 * WINDOW + 4
 
+#: Hits that are verified at once.
+LOT = 20_000
+
 #: Rows of one seed in a task of the join; a more frequent seed is dealt out, and meets its items in every part.
 PORTION = 50_000
 
@@ -87,6 +90,45 @@ def seeds(words: np.ndarray, offsets: np.ndarray, mask: str) -> tuple[np.ndarray
     return mix64(total[inside]), inside
 
 
+def context_of(words: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """The _AROUND words of which the one at `at` has number _BEFORE; `none` where the row has no word."""
+    there = at[:, None] + np.arange(-_BEFORE, _AROUND - _BEFORE)
+    ok = (there >= offsets[row][:, None]) & (there < offsets[row + 1][:, None])
+    return np.ascontiguousarray(np.where(ok, words[np.where(ok, there, 0)], U(none)))
+
+
+def distinct_places(words: np.ndarray, offsets: np.ndarray, row: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places of seeds to keep: of those with one seed, in one row, with the same words around them, the first. A word that
+    repeats a thousand times is then looked at as often as its surroundings differ, not a thousand times."""
+    lot = 1 << 16
+    odd = mix64(np.arange(1, _AROUND + 1).astype(U))
+    with np.errstate(over="ignore"):
+        around_it = [(context_of(words, offsets, row[k : k + lot], at[k : k + lot], 1) * odd).sum(axis=1, dtype=U) for k in range(0, len(at), lot)]
+        same = mix64(np.concatenate(around_it) if around_it else np.zeros(0, U)) ^ mix64(key + row.astype(U) * U(0x9E3779B97F4A7C15))
+    order = np.lexsort((at, same))
+    first = np.ones(len(order), bool)
+    first[1:] = same[order[1:]] != same[order[:-1]]
+    return np.sort(order[first])
+
+
+def judge(a: np.ndarray, b: np.ndarray, n: np.ndarray, item_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which overlap, start of the best window in the context, window, equal words) of hits with the contexts a of documents and b of items;
+    n: the items' words, item_at: the hit's place in the item."""
+    total = np.concatenate([np.zeros((len(n), 1), np.int64), np.cumsum(a == b, axis=1)], axis=1)
+    window = np.minimum(n, WINDOW)
+    out = []
+    for w in np.unique(window):
+        rows = np.flatnonzero(window == w)
+        equal = total[rows, w:] - total[rows, :-w]
+        first = item_at[rows][:, None] - _BEFORE + np.arange(equal.shape[1])  # of the window, in the item
+        equal = np.where((first >= 0) & (first + w <= n[rows][:, None]), equal, -1)
+        best = equal.argmax(axis=1)
+        equal = equal[np.arange(len(rows)), best]
+        yes = equal >= (LEAST * w - 1e-9 if w >= SHORTEST else w)
+        out.append(np.stack([rows, best, np.full(len(rows), w), equal])[:, yes])
+    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 4
+
+
 class Block:
     """Part of the benchmark: its words, and its seeds in order of hash."""
 
@@ -106,6 +148,8 @@ class Block:
             keys.append(k[meant])
             places.append(p[meant])
         key, place = np.concatenate(keys), np.concatenate(places)
+        some = distinct_places(self.words, self.offsets, item[place], key, place)
+        key, place = key[some], place[some]
         order = np.argsort(key, kind="stable")
         self.keys, self.places, self.item = key[order], place[order], item
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
@@ -115,49 +159,55 @@ class Block:
         """(row, item, first word, window, equal words) as arrays, for each piece of texts; one entry per row and item."""
         if not self.masks:
             return
+        n_words = np.diff(self.offsets)
         for at, _, words, offsets in word_hashes(spaced(texts), plain=True):
-            found = []
+            found = [np.zeros((5, 0), np.int64)]
             for mask in self.masks:
                 k, p = seeds(words, offsets, mask)
                 near = np.flatnonzero(self.filter[k >> U(64 - _FILTER_BITS)])
                 k, p = k[near], p[near]
                 lo, hi = np.searchsorted(self.keys, k), np.searchsorted(self.keys, k, side="right")
-                n = hi - lo
-                own = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
-                place = self.places[own]
-                found.append(np.stack([np.repeat(p, n) - place + self.offsets[self.item[place]], self.item[place], np.searchsorted(offsets, np.repeat(p, n), side="right") - 1]))
-            diagonal, item, row = np.unique(np.concatenate(found, axis=1), axis=1)  # the item's first word would be at `diagonal`
-            good = self._verified(words, offsets, diagonal, item, row)
-            if len(good[0]):
-                row, item, first, window, equal = good
-                order = np.lexsort((first, -equal / window, item, row))
-                row, item = row[order], item[order]
-                one = np.ones(len(row), bool)
-                one[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-                yield at + row[one], item[one], first[order][one], window[order][one], equal[order][one]
-
-    def _verified(self, words, offsets, diagonal, item, row) -> tuple:
-        length = np.diff(self.offsets)[item]
-        window = np.minimum(length, WINDOW)
-        out = []
-        for w in np.unique(window):
-            rows = np.flatnonzero(window == w)
-            rows = rows[np.argsort(length[rows], kind="stable")]
-            for part in np.array_split(rows, max(1, int(length[rows].sum()) // 2_000_000 + 1)):
-                if not len(part):
-                    continue
-                most = int(length[part].max())
-                i = np.arange(most)
-                there = diagonal[part][:, None] + i
-                ok = (i < length[part][:, None]) & (there >= offsets[row[part]][:, None]) & (there < offsets[row[part] + 1][:, None])
-                same = ok & (words[np.where(ok, there, 0)] == self.words[np.where(ok, self.offsets[item[part]][:, None] + i, 0)])
-                total = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
-                equal = total[:, w:] - total[:, :-w]
-                best = equal.argmax(axis=1)
-                equal = equal[np.arange(len(part)), best]
-                yes = equal >= (LEAST * w - 1e-9 if w >= SHORTEST else w)
-                out.append(np.stack([row[part], item[part], diagonal[part] + best - offsets[row[part]], np.full(len(part), w), equal])[:, yes])
-        return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 5
+                some = np.flatnonzero(hi > lo)
+                row = np.searchsorted(offsets, p[some], side="right") - 1
+                kept = distinct_places(words, offsets, row, k[some], p[some])
+                row, some = row[kept], some[kept]
+                n = hi[some] - lo[some]
+                ends = np.cumsum(n)
+                begin = 0
+                while begin < len(some):  # as many hits at once as LOT, one place's at least
+                    end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + LOT, side="right")))
+                    found.append(self._overlapping(words, offsets, row[begin:end], p[some[begin:end]], lo[some[begin:end]], n[begin:end], n_words))
+                    if len(found) > 64:
+                        found = [best_of(np.concatenate(found, axis=1))]
+                    begin = end
+            row, item, first, window, equal = best_of(np.concatenate(found, axis=1))
+            if len(row):
+                yield at + row, item, first, window, equal
+
+    def _overlapping(self, words, offsets, row, place, lo, n, n_words) -> np.ndarray:
+        """row, item, first word, window, equal words: of the hits of places with the n seeds from lo on the best of each row and item."""
+        out = [np.zeros((5, 0), np.int64)]
+        total = int(n.sum())
+        which = np.repeat(np.arange(len(n)), n)
+        own = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
+        for a in range(0, total, LOT):  # one place may have more seeds than a lot
+            d, there = which[a : a + LOT], self.places[own[a : a + LOT]]
+            item = self.item[there]
+            left = context_of(words, offsets, row[d], place[d], 1)
+            right = context_of(self.words, self.offsets, item, there, 0)
+            hit, best, window, equal = judge(left, right, n_words[item], there - self.offsets[item])
+            d = d[hit]
+            out.append(best_of(np.stack([row[d], item[hit], place[d] - _BEFORE + best - offsets[row[d]], window, equal])))
+        return np.concatenate(out, axis=1)
+
+
+def best_of(rows: np.ndarray) -> np.ndarray:
+    """Of (row, item, first word, window, equal words) the best of each row and item, of equal ones the first in the row."""
+    row, item, first, _, equal = rows
+    order = np.lexsort((first, -equal, item, row))  # a row's windows with one item are of one length
+    one = np.ones(len(order), bool)
+    one[1:] = (row[order][1:] != row[order][:-1]) | (item[order][1:] != item[order][:-1])
+    return rows[:, order[one]]
 
 
 def fits_block(items: DataFrame, text: str) -> bool:
@@ -175,10 +225,8 @@ def fingerprint(text: str) -> F.Column:
 
 
 def around(words: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray, none: int) -> pa.Array:
-    """The _AROUND words of which the one at `at` has number _BEFORE; `none` where the row has no word."""
-    there = at[:, None] + np.arange(-_BEFORE, _AROUND - _BEFORE)
-    ok = (there >= offsets[row][:, None]) & (there < offsets[row + 1][:, None])
-    context = np.ascontiguousarray(np.where(ok, words[np.where(ok, there, 0)], U(none)))
+    """context_of as a column."""
+    context = context_of(words, offsets, row, at, none)
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(_AROUND * 8), len(at), [None, pa.py_buffer(context)]).cast(pa.binary())
 
 
@@ -222,6 +270,7 @@ def joined_overlaps(docs: DataFrame, items: DataFrame, text: str, item_text: str
                     k, p = seeds(words, offsets, mask)
                     slot = k >> U(64 - bits)
                     near = np.flatnonzero(table[slot >> U(6)] >> (slot & U(63)) & U(1))
+                    near = near[distinct_places(words, offsets, np.searchsorted(offsets, p[near], side="right") - 1, k[near], p[near])]
                     for lo in range(0, len(near), 10_000):
                         at = p[near[lo : lo + 10_000]]
                         row = np.searchsorted(offsets, at, side="right") - 1
@@ -233,18 +282,9 @@ def joined_overlaps(docs: DataFrame, items: DataFrame, text: str, item_text: str
                 part = batch.slice(lo, 10_000)
                 a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), U).reshape(-1, _AROUND) for c in ("doc_context", "item_context"))
                 n, item_at, doc_at = (np.asarray(part.column(c)) for c in ("n", "item_at", "doc_at"))
-                total = np.concatenate([np.zeros((len(n), 1), np.int64), np.cumsum(a == b, axis=1)], axis=1)
-                window = np.minimum(n, WINDOW)
-                for w in np.unique(window):
-                    rows = np.flatnonzero(window == w)
-                    equal = total[rows, w:] - total[rows, :-w]
-                    first = item_at[rows][:, None] - _BEFORE + np.arange(equal.shape[1])  # of the window, in the item
-                    equal = np.where((first >= 0) & (first + w <= n[rows][:, None]), equal, -1)
-                    best = equal.argmax(axis=1)
-                    equal = equal[np.arange(len(rows)), best]
-                    yes = equal >= (LEAST * w - 1e-9 if w >= SHORTEST else w)
-                    at = pa.array(rows[yes])
-                    yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("item").take(at), pa.array((doc_at[rows] - _BEFORE + best)[yes]), pa.array(np.full(int(yes.sum()), w)), pa.array(equal[yes])], names=["doc", "item", "first_word", "window", "equal_words"])
+                hit, best, window, equal = judge(a, b, n, item_at)
+                at = pa.array(hit)
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("item").take(at), pa.array(doc_at[hit] - _BEFORE + best), pa.array(window), pa.array(equal)], names=["doc", "item", "first_word", "window", "equal_words"])
 
     texts = docs.select(fingerprint(text).alias("fp"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
     met = written(texts.mapInArrow(seeds_of, "doc binary, h long, doc_at long, doc_context binary"), "seeds-docs").dropDuplicates(["doc", "h", "doc_at"])
@@ -279,10 +319,11 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", exact_short: bool = False) -> DataFrame:
     """docs without the rows that overlap with an item."""
     bounded_batches(docs.sparkSession)
+    plain, back = set_aside(docs, text)
     if not fits_block(items, item_text):
         gone = written(joined_overlaps(docs, items, text, item_text, exact_short).select(F.col("doc").alias("_seed_fp")).distinct(), "seeds-gone")
         gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-        return docs.join(gone, fingerprint(text) == F.col("_seed_fp"), "left_anti")
+        return back(plain.join(gone, fingerprint(text) == F.col("_seed_fp"), "left_anti"))
     shared = docs.sparkSession.sparkContext.broadcast(block_of(items, item_key, item_text, exact_short))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +333,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_k
                 clean[row] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return back(plain.mapInArrow(run, plain.schema))
 
 
 def op7_spaced_seeds(spark, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ PRIOR, SCALE = 5, 10**9
 TOP = 50
 #: Counters (term and source) of a task at which its trie is sent off and a new one begun.
 BUFFER = 400_000
+#: Parts in which a group's candidates are cut down.
+SALTS = 64
 #: Rows of a batch that leaves Python.
 ROWS = 20_000
 #: Sources whose distances to all others one task adds up; shares (terms times sources) held at once.
@@ -349,9 +351,13 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     total = kept.select("lang", F.explode("leaves").alias("leaf")).groupBy("lang", F.col("leaf.source").alias("source")).agg(F.sum("leaf.n").alias("total"))
     groups = rows.select("lang", "source").distinct().join(total, ["lang", "source"], "left").join(size, "lang", "left")
     groups = written(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")), "trie-groups")
-    whole = traversed(kept, groups, top, strip, shares).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    best = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    return whole.withColumn("rank", F.row_number().over(best)).filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    found = written(traversed(kept, groups, top, strip, shares), "trie-parts")
+    pairs = found.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # a term stands in one range; the candidates of all ranges are cut down in parts first, so that no task gets those of a group from every range
+    of = lambda *more: Window.partitionBy("lang", "source", "part", *more).orderBy(F.desc("value"), "item")
+    some = found.filter("part = 'term'").withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+    some = some.withColumn("rank", F.row_number().over(of("salt"))).filter(F.col("rank") <= top).drop("salt", "rank")
+    return pairs.unionByName(some).withColumn("rank", F.row_number().over(of())).filter((F.col("part") == "pair") | (F.col("rank") <= top))
 
 
 def op13_divergence(spark, sf_dir: str) -> DataFrame:

@@ -19,10 +19,10 @@ from __future__ import annotations
 import html as markup
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +148,7 @@ def fit(texts: DataFrame, text: str = "text", lang: str = "lang", sample: int =
 
 
 def evidence(pages: DataFrame, model: Letters, key: str = "page_id") -> DataFrame:
-    """key, host, domain, suffix, declared, ll (array of scaled log-likelihoods in the order of the model's languages)."""
+    """key, host, domain, suffix, declared, ll (scaled log-likelihoods in the order of the model's languages), t (what the text alone makes of them)."""
     bounded_batches(pages.sparkSession)
     host, _ = host_and_path(F.col("url"))
     labels = F.split(host, r"\.")
@@ -160,49 +160,63 @@ def evidence(pages: DataFrame, model: Letters, key: str = "page_id") -> DataFram
             source = batch.column("html").to_pylist()
             ll = shared.value.likelihoods(pa.array(map(visible, source), pa.string()))
             k = ll.shape[1]
-            lists = pa.ListArray.from_arrays(np.arange(0, ll.size + 1, k, dtype=np.int32), pa.array(ll.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "host", "domain", "suffix")], pa.array(map(declared, source), pa.string()), lists], names=["key", "host", "domain", "suffix", "declared", "ll"])
+            lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, k, dtype=np.int32), pa.array(x.ravel())) for x in (ll, softmax(ll))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "host", "domain", "suffix")], pa.array(map(declared, source), pa.string()), *lists], names=["key", "host", "domain", "suffix", "declared", "ll", "t"])
 
     rows = pages.select(F.col(f"`{key}`").alias("key"), host.alias("host"), domain.alias("domain"), F.element_at(labels, -1).alias("suffix"), "html")
-    return rows.mapInArrow(run, f"key {pages.schema[key].dataType.simpleString()}, host string, domain string, suffix string, declared string, ll array<double>")
+    return rows.mapInArrow(run, f"key {pages.schema[key].dataType.simpleString()}, host string, domain string, suffix string, declared string, ll array<double>, t array<double>")
 
 
-def softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    each = [F.exp(x - top) for x in logs]
-    total = reduce(lambda a, b: a + b, each)
-    return [x / total for x in each]
+def softmax(logs: np.ndarray) -> np.ndarray:
+    """Rows of logarithms as shares of 1."""
+    each = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return each / each.sum(axis=1, keepdims=True)
+
+
+def fused(ll: np.ndarray, t: np.ndarray, by: dict[str, np.ndarray], spoken: np.ndarray, everything: dict, strength: float) -> np.ndarray:
+    """The posterior of each page: its text, the priors of its host within its domain within all pages, its suffix and its declared language.
+    by: sums of t over the pages of its host h, domain d, suffix s and declaration a, of which its own share is taken off."""
+    own = {tag: np.maximum(x - t, 0) for tag, x in {**by, "g": np.array(everything["g"])[None]}.items()}
+    k = ll.shape[1]
+    prior = (own["g"] + 1) / (own["g"].sum(axis=1, keepdims=True) + k)
+    for tag in ("d", "h"):
+        prior = (own[tag] + strength * prior) / (own[tag].sum(axis=1, keepdims=True) + strength)
+    given = lambda tag, kinds: np.log((own[tag] + 0.5) / (own["g"] + 0.5 * (kinds + 1)))
+    return softmax(ll + np.log(prior) + given("s", everything["suffixes"]) + np.where(spoken[:, None], given("a", everything["declarations"]), 0.0))
 
 
 def identify(pages: DataFrame, model: Letters, key: str = "page_id", strength: float = STRENGTH) -> DataFrame:
-    """key, lang (the most probable, of equal ones the first by name), probability, text_lang (by text alone), declared, posterior (map)."""
+    """key, lang (the most probable, of equal ones the first by name), probability, text_lang (by text alone), declared, posterior (map).
+
+    Sums by host, domain, suffix and declaration are grouped aggregations of one array of columns each; what a page makes of them is worked
+    out on arrays, so that plans grow with the number of languages and no faster."""
     languages, k = model.languages, len(model.languages)
+    kind = pages.schema[key].dataType.simpleString()
     if not k:
         return pages.select(F.col(f"`{key}`").alias(key), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("declared"), F.lit(None).cast("map<string,double>").alias("posterior"))
-    found = evidence(pages, model, key)
-    flat = written(found.select("key", "host", "domain", "suffix", "declared", "ll", *[c.alias(f"t{i}") for i, c in enumerate(softmax([F.col("ll")[i] for i in range(k)]))]), "language-evidence")
-    sums = lambda by, tag: flat.groupBy(*by).agg(*[F.sum(f"t{i}").alias(f"{tag}{i}") for i in range(k)])
+    flat = written(evidence(pages, model, key), "language-evidence")
+    total = lambda column: F.array(*[F.sum(F.col(column)[i]) for i in range(k)])
     # the smallest table for every level: each level is summed from the one below
-    cells = written(sums(("host", "domain", "suffix", "declared"), "c"), "language-cells")
-    up = lambda by, tag: cells.groupBy(by).agg(*[F.sum(f"c{i}").alias(f"{tag}{i}") for i in range(k)])
-    everything = cells.agg(*[F.sum(f"c{i}").alias(f"g{i}") for i in range(k)], F.count_distinct("suffix").alias("suffixes"), F.count_distinct("declared").alias("declarations")).first().asDict()
+    cells = written(flat.groupBy("host", "domain", "suffix", "declared").agg(total("t").alias("c")), "language-cells")
+    up = lambda by, tag: cells.groupBy(by).agg(total("c").alias(tag))
+    everything = cells.agg(total("c").alias("g"), F.count_distinct("suffix").alias("suffixes"), F.count_distinct("declared").alias("declarations")).first().asDict()
+    everything["g"] = [x or 0.0 for x in everything["g"]]
     level = flat.join(up("host", "h"), "host").join(up("domain", "d"), "domain").join(up("suffix", "s"), "suffix").join(up("declared", "a"), "declared")
-    level = level.withColumns({name: F.lit(value or 0) for name, value in everything.items()})
-    own = lambda tag, i: F.greatest(F.col(f"{tag}{i}") - F.col(f"t{i}"), F.lit(0.0))
-    size = lambda tag: reduce(lambda a, b: a + b, [own(tag, i) for i in range(k)])
-    prior = [(own("g", i) + 1) / (size("g") + k) for i in range(k)]
-    for tag in ("d", "h"):
-        prior = [(own(tag, i) + strength * p) / (size(tag) + strength) for i, p in enumerate(prior)]
-    given = lambda tag, kinds, i: (own(tag, i) + 0.5) / (own("g", i) + 0.5 * (F.col(kinds) + 1))
-    logs = [F.col("ll")[i] + F.log(prior[i]) + F.log(given("s", "suffixes", i)) + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(F.log(given("a", "declarations", i))) for i in range(k)]
-    post = softmax(logs)
-    scored = level.select("key", "declared", *[F.col(f"t{i}") for i in range(k)], *[p.alias(f"p{i}") for i, p in enumerate(post)])
-    best = lambda tag: F.array_max(F.array(*[F.struct(F.col(f"{tag}{i}").alias("p"), F.lit(-i).alias("i")) for i in range(k)]))
-    names = F.array(*[F.lit(x) for x in languages])
-    chosen = scored.withColumn("_b", best("p")).withColumn("_t", best("t"))
-    return chosen.select(
-        F.col("key").alias(key), F.get(names, -F.col("_b.i")).alias("lang"), F.col("_b.p").alias("probability"), F.get(names, -F.col("_t.i")).alias("text_lang"),
-        F.when(F.col("declared") != "", F.col("declared")).alias("declared"), F.map_from_arrays(names, F.array(*[F.col(f"p{i}") for i in range(k)])).alias("posterior"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {c: np.asarray(batch.column(c).flatten(), np.float64).reshape(-1, k) for c in ("ll", "t", "h", "d", "s", "a")}
+            spoken = pc.not_equal(batch.column("declared"), "").to_numpy(zero_copy_only=False)
+            post = fused(x["ll"], x["t"], {c: x[c] for c in "hdsa"}, spoken, everything, strength)
+            best, by_text = post.argmax(axis=1), x["t"].argmax(axis=1)
+            name = pa.array(languages, pa.string())
+            maps = pa.MapArray.from_arrays(np.arange(0, post.size + 1, k, dtype=np.int32), name.take(pa.array(np.tile(np.arange(k), len(post)))), pa.array(post.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), name.take(pa.array(best)), pa.array(post[np.arange(len(post)), best]), name.take(pa.array(by_text)), batch.column("declared"), maps], names=["key", "lang", "probability", "text_lang", "declared", "posterior"])
+
+    scored = level.select("key", "declared", "ll", "t", "h", "d", "s", "a").mapInArrow(run, f"key {kind}, lang string, probability double, text_lang string, declared string, posterior map<string,double>")
+    return scored.select(F.col("key").alias(key), "lang", "probability", "text_lang", F.when(F.col("declared") != "", F.col("declared")).alias("declared"), "posterior")
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:

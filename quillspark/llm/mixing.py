@@ -12,7 +12,7 @@ covers is at most MAX_TOTAL words, above which a source comes as near as the pro
 
 Defined results: a null text has no words and is never repeated (taken is 0); a null source is a source of its own, sorted last; repeated
 rows count one by one, and equal rows are interchangeable; a very long text is a length of its own; an empty table gives an empty mix. Columns of
-the input that clash with a result column are replaced.
+the input that clash with a result column are replaced by `mix`, and handed through by `mixed`.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import numbered, word_count, written
+from .text import numbered, set_aside, word_count, written
 
 #: Parts of (source, length) groups by hash: of a group of n documents about n / BUCKETS are looked at one by one.
 BUCKETS = 1024
@@ -166,7 +166,7 @@ def thresholds(narrow: DataFrame, cells: DataFrame, planned: DataFrame) -> DataF
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, most: int = 3, seed: int = 20, source: str = "source", text: str = "text") -> DataFrame:
     """docs with size, source_size, target, copies (times the mix takes the row, 0 and more) and taken (words it takes)."""
-    names = [c for c in docs.columns if c.lower() not in OWN and not c.startswith("_mix_")]
+    names = [c for c in docs.columns if c.lower() not in OWN]
     content = [F.col(f"`{c}`") if kind.startswith(("array", "struct", "binary")) else F.col(f"`{c}`").cast("string") for c, kind in docs.dtypes if c in names and "map<" not in kind and "variant" not in kind]
     tagged = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").alias("_mix_source"), word_count(f"`{text}`").alias("size"), F.xxhash64(F.lit(seed), *content).alias("_mix_hash"))
     narrow = written(tagged.select(F.col("_mix_source").alias("source"), "size", F.pmod("_mix_hash", F.lit(BUCKETS)).cast("int").alias("bucket"), F.col("_mix_hash").alias("hash")), "mix-sizes")
@@ -193,7 +193,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         first = sums.select(F.col("_mix_source").alias("_mix_s2"), F.col("size").alias("_mix_size2"), F.col("_mix_range").alias("_mix_r2"), F.coalesce(F.sum("_mix_n2").over(Window.partitionBy("_mix_source", "size").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mix_before"))
         place = F.row_number().over(Window.partitionBy("_mix_source", "size", "_mix_range").orderBy("_mix_at")) + F.col("_mix_before")
         few = few.join(first, F.col("_mix_source").eqNullSafe(F.col("_mix_s2")) & (F.col("size") == F.col("_mix_size2")) & (F.col("_mix_range") == F.col("_mix_r2")))
-        few = few.withColumn("_mix_place", place).withColumn("copies", copies(F.col("_mix_place") <= F.col("_mix_some"))).select(*joined.columns, "copies")
+        few = few.withColumn("_mix_place", place).withColumn("copies", copies(F.col("_mix_place") <= F.col("_mix_some"))).select(*[F.col(f"`{c}`") for c in joined.columns], "copies")
         joined = joined.filter(~torn).withColumn("copies", copies(more)).unionByName(few)
     else:
         joined = joined.withColumn("copies", copies(more))
@@ -201,12 +201,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, in the columns of docs. A document without words counts
+    """The mix itself: each document as many times as it is taken, in the columns of docs, whatever these are called. A document without words counts
     nothing towards any budget and comes once."""
-    out = mix(docs, **options)
+    plain, back = set_aside(docs, options.get("source", "source"), options.get("text", "text"))
+    out = mix(plain, **options)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("int")
-    names = [c for c in docs.columns if c.lower() not in OWN]
-    return out.select(*[F.col(f"`{c}`") for c in names], F.explode(F.array_repeat(F.lit(0), times)).alias("_mix_copy")).drop("_mix_copy")
+    return back(out.select(*plain.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_mix_copy")))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import bounded_batches, written
+from .text import bounded_batches, set_aside, written
 from .tokens import U, mix64, shingles, word_hashes
 
 BANDS, ROWS, WORDS = 24, 3, 5
@@ -361,6 +361,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     """docs without all but one row of each class: that with the smallest key, of rows that repeat one."""
     label = written(classes(docs, text, key, least), "near-classes")
     gone = label.filter("NOT doc_id <=> class_id").select("doc_id", "fp").distinct()
+    docs, back = set_aside(docs, key, text)
     tagged = docs.withColumn("_fp", fingerprint(text))
     on = (tagged["_fp"] == gone["fp"]) & tagged[key].eqNullSafe(gone["doc_id"])
     out = tagged.join(gone, on, "left_anti")
@@ -368,7 +369,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     if twice.limit(1).count():  # rows that repeat whole, or one id with several texts of a class
         label_fp = label.filter("fp IS NOT NULL AND doc_id <=> class_id").groupBy("class_id").agg(F.min("fp").alias("fp"))
         out = out.join(label_fp, (out["_fp"] == label_fp["fp"]) & out[key].eqNullSafe(label_fp["class_id"]), "left_semi").dropDuplicates(["_fp"]).unionByName(out.filter("_fp IS NULL"))
-    return out.drop("_fp")
+    return back(out)
 
 
 def op10_order_minhash(spark, sf_dir: str) -> DataFrame:

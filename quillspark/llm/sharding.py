@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import text_of, written
+from .text import set_aside, text_of, written
 
 HASH_BITS = 60
 LIMIT = 64 << 20
@@ -59,7 +59,8 @@ def shard(docs: DataFrame, limit: int = LIMIT, key: tuple[str, ...] = ("doc_id",
     Reads docs twice for (hash, bytes) and once for the result; their texts are shuffled only if the directory exceeds
     BROADCAST_ENTRIES.
     """
-    names = [c for c in docs.columns if c.lower() not in OWN and not c.startswith("_")]
+    docs, back = set_aside(docs, *key, text)
+    names = docs.columns
     tagged = docs.select(*[F.col(f"`{c}`") for c in names], place(*[F.col(f"`{c}`") for c in key]).alias("_h"), F.octet_length(text_of(f"`{text}`")).cast("long").alias("_b"))
     rows = tagged.select("_h", "_b")
     total = docs.agg(F.sum(F.octet_length(text_of(f"`{text}`")).cast("long"))).first()[0] or 0
@@ -84,7 +85,7 @@ def shard(docs: DataFrame, limit: int = LIMIT, key: tuple[str, ...] = ("doc_id",
     if levels[-1][0] == HASH_BITS and levels[-1][1].filter("depth IS NULL").limit(1).count():
         out = overflow(out, limit)
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.substring(F.lpad(F.conv(F.col("_h").cast("string"), 10, 2), HASH_BITS, "0"), F.lit(1), F.col("depth")))
-    return out.withColumn("shard", F.when(F.col("part") > 0, F.concat(name, F.lit("."), F.col("part").cast("string"))).otherwise(name)).select(*[F.col(f"`{c}`") for c in names], "bytes", "shard", "depth", "part", "shard_bytes", "shard_rows")
+    return out.withColumn("shard", F.when(F.col("part") > 0, F.concat(name, F.lit("."), F.col("part").cast("string"))).otherwise(name)).transform(back, OWN, ("bytes", "shard", "depth", "part", "shard_bytes", "shard_rows"))
 
 
 def overflow(out: DataFrame, limit: int) -> DataFrame:

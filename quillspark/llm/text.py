@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def words_array(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
 
+def set_aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(docs with every column but those in `own` under a name that no operator uses, a function that gives a frame with these columns its old names
+    back, without those called like one of `replaced`, whatever their case, and with the columns `more`)."""
+    names = {c: c if c in own else f"aside_{i}" for i, c in enumerate(docs.columns)}
+
+    def back(df: DataFrame, replaced: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+        return df.select(*[F.col(f"`{new}`").alias(old) for old, new in names.items() if old.lower() not in replaced], *more)
+
+    return docs.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()]), back
+
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .letters import ORDER, Table, below, grams, typed
-from .text import bounded_batches, written
+from .text import bounded_batches, set_aside, written
 from .tokens import U
 
 SHARED = 3
@@ -252,6 +252,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     return kept.mapInArrow(run, ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names], "score double, difference double"]))
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs with a score below the threshold, in the columns of docs, whatever these are called."""
+    plain, back = set_aside(docs, text)
+    return back(score(plain, model, text).filter(F.col("score") < threshold))
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

@@ -24,6 +24,7 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -58,7 +59,8 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def record_id(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    """An id as part of a header: any character that could end or change a line is percent-encoded; null has no last part."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='-')}>"
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, original) -> bytes:
@@ -157,11 +159,11 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
     """The records of index rows: page_id, url, payload (null for a revisit), payload_bytes, payload_digest, record_type, refers_to, all
     as the archives have them. Fails if a record's payload doesn't have its digest."""
     kind = selected.schema["page_id"].dataType.simpleString()
-    number = (lambda x: int(x) if x else None) if kind != "string" else (lambda x: x or None)
+    value = unquote if kind == "string" else int
     own_type = id_type(kind)
 
     def id_of(urn: str):
-        return number(urn.removeprefix("<urn:page:").removesuffix(">"))
+        return None if urn == "<urn:page>" else value(urn.removeprefix("<urn:page:").removesuffix(">"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = opened(f"{folder}/archives")

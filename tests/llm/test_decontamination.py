@@ -137,3 +137,38 @@ def test_the_join_is_the_block(spark, monkeypatch, seed):
     assert sorted(dc.overlaps(d, i, exact_short=True).collect(), key=repr) == sorted(by_block, key=repr) and by_block
     assert sorted(dc.decontaminated(d, i, exact_short=True).collect(), key=repr) == sorted(kept, key=repr)
     assert dc.overlaps(d.limit(0), i).count() == 0
+
+
+MEMORY = """
+import resource, sys
+import pyarrow as pa
+from quillspark.llm import decontamination as dc
+{code}
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+@pytest.mark.parametrize("code", [
+    "found = [x for r in dc.Block([1], ['the ' * 1000]).search(pa.array(['the ' * 20_000])) for x in zip(*r)]; assert [tuple(map(int, x)) for x in found] == [(0, 0, 0, 20, 20)], found",
+    "found = [x for r in dc.Block([1], ['a b c d ' * 3000]).search(pa.array(['b c d a ' * 30_000])) for x in zip(*r)]; assert [tuple(map(int, x)) for x in found] == [(0, 0, 0, 20, 20)], found",
+    "items = [' '.join(f'i{i}w{k}' for k in range(25)) for i in range(400)] + [' '.join(f'x{k}' for k in range(50_000))]; found = sorted(int(i) for r in dc.Block(list(range(401)), items).search(pa.array([' '.join(items[3:6]), items[400]])) for i in r[1]); assert found == [3, 4, 5, 400], found",
+])
+def test_repeated_words_and_long_items_need_little_memory(code):
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", MEMORY.format(code=code)], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 500, out.stdout
+
+
+def test_repeated_words_by_the_join(spark, monkeypatch):
+    """Few words over and over: rows and windows as the block has them, and few rows meet."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice("ab") for _ in range(rng.choice([8, 12, 20, 60])))) for i in range(6)] + [(90, "the " * 300), (91, "a b " * 50)]
+    docs = [(d, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 80)))) for d in range(30)] + [(90, "the " * 2000), (91, "b a " * 900), (92, "the " * 7)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    by_block = dc.overlaps(d, i).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in by_block} == brute(docs, items)
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 10)
+    assert sorted(dc.overlaps(d, i).collect(), key=repr) == sorted(by_block, key=repr)
