@@ -12,7 +12,7 @@ covers is at most MAX_TOTAL words, above which a source comes as near as the pro
 
 Defined results: a null text has no words and is never repeated (taken is 0); a null source is a source of its own, sorted last; repeated
 rows count one by one, and equal rows are interchangeable; a very long text is a length of its own; an empty table gives an empty mix. Columns of
-the input that clash with a result column are replaced by `mix`, and handed through by `mixed`.
+the input that clash with a result column are replaced by `mix`, which also leaves out those that begin with _mix_; `mixed` hands all through.
 """
 
 from __future__ import annotations
@@ -166,7 +166,7 @@ def thresholds(narrow: DataFrame, cells: DataFrame, planned: DataFrame) -> DataF
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, most: int = 3, seed: int = 20, source: str = "source", text: str = "text") -> DataFrame:
     """docs with size, source_size, target, copies (times the mix takes the row, 0 and more) and taken (words it takes)."""
-    names = [c for c in docs.columns if c.lower() not in OWN]
+    names = [c for c in docs.columns if c.lower() not in OWN and not c.startswith("_mix_")]
     content = [F.col(f"`{c}`") if kind.startswith(("array", "struct", "binary")) else F.col(f"`{c}`").cast("string") for c, kind in docs.dtypes if c in names and "map<" not in kind and "variant" not in kind]
     tagged = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").alias("_mix_source"), word_count(f"`{text}`").alias("size"), F.xxhash64(F.lit(seed), *content).alias("_mix_hash"))
     narrow = written(tagged.select(F.col("_mix_source").alias("source"), "size", F.pmod("_mix_hash", F.lit(BUCKETS)).cast("int").alias("bucket"), F.col("_mix_hash").alias("hash")), "mix-sizes")
