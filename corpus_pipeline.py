@@ -1,41 +1,47 @@
-"""Documents to training shards: the stages in order, each over all that the one before it kept."""
+"""Documents to training shards: the stages in order, each over all that the one before it kept.
+
+Every stage but the last returns the columns it got, whatever they are called, with their values; repeated rows are rows of their own, except where a stage
+says otherwise; an empty table stays empty; texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspark.llm.decontamination import decontaminated
 from quillspark.llm.mixing import mixed
 from quillspark.llm.order_minhash import deduplicated
 from quillspark.llm.sharding import shard
 from quillspark.llm.text import read_table, written
-from quillspark.llm.toxicity import fit, held_out, score
+from quillspark.llm.toxicity import accepted, fit, held_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity models reject."""
+    """Without the documents that the toxicity models reject. A null or empty text has the score of the labels' prior; equal texts have equal scores."""
     labels = read_table(spark, sf_dir, "labels").filter(~held_out())
-    return score(docs, fit(docs, labels)).filter(F.col("score") < 0.5).select(*docs.columns)
+    return accepted(docs, fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return deduplicated(docs).select(*docs.columns)
+    """One document of each class of near-duplicates: that of the smallest id, of rows that repeat it one. Null and empty texts are no copies of each other
+    and stay."""
+    return deduplicated(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a passage of the benchmark."""
-    return decontaminated(docs, read_table(spark, sf_dir, "benchmark"), exact_short=True).select(*docs.columns)
+    """Without the documents that hold a passage of the benchmark. Null and empty texts hold none; with an empty benchmark all stay."""
+    return decontaminated(docs, read_table(spark, sf_dir, "benchmark"), exact_short=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source close to its target share of words; documents taken twice come twice."""
-    return mixed(docs).select(*docs.columns)
+    """Every source close to its target share of words; documents taken twice come twice. A null source is a source, the last; documents without words
+    count for nothing and come once. Of rows that are equal in every column as many are taken as the budget asks for."""
+    return mixed(docs)
 
 
 def shard_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With the shard of every document."""
+    """With the shard of every document, in columns that replace those of the same names. A null text has 0 bytes; equal rows that no hash bit parts go to
+    numbered parts."""
     return shard(docs)
 
 

@@ -217,19 +217,33 @@ def project_mapping(mappings: dict[str, dict[str, str]], project: str | None) ->
 KEY = ["project_id", "request_id"]
 
 
-def requests(records: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """One row per project and request: type, start, end, method, path, status code and status, duration, summary, counts, partial."""
+#: Of a request's records in their order, the first that isn't null.
+FIRSTS = ["status_code", "method", "path", "api", "summary"]
+#: What the first start and the last end tell.
+EDGE = ["timestamp", "duration_ms", "event_type", "status"]
+
+
+def contributions(records: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Of each record of a request what counts: KEY, ord, is_start, is_terminal, is_error, is_stage, EDGE, FIRSTS, source_id."""
     m = marked(records.filter(F.col("valid") & F.col("request_id").isNotNull()))
-    first = lambda value, cond=None: F.min_by(value, F.when(cond if cond is not None else value.isNotNull(), F.col("ord")))
     named = F.coalesce("stage", "name")
     api = F.when(named.startswith("api."), F.get(F.split(named, r"\."), F.lit(1)))
-    told = summary_text(mapping)
-    ev = F.struct("timestamp", "duration_ms", "event_type", "status")
-    g = m.groupBy(*KEY).agg(
-        F.min_by(ev, F.when(F.col("is_start"), F.col("ord"))).alias("s"), F.max_by(ev, F.when(F.col("is_terminal"), F.col("ord"))).alias("e"),
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), first(F.col("status_code")).alias("status_code"), first(F.col("method")).alias("method"), first(F.col("path")).alias("path"),
-        first(api).alias("api"), first(told).alias("summary"), F.count(F.when(F.col("is_error"), 1)).alias("error_count"), F.count("*").alias("event_count"),
-        F.count(F.when(F.col("stage").isNotNull() & F.col("duration_ms").isNotNull(), 1)).alias("stage_count"), F.array_sort(F.collect_set("source_id")).alias("source_ids"))
+    stage = F.col("stage").isNotNull() & F.col("duration_ms").isNotNull()
+    return m.select(*KEY, "ord", "is_start", "is_terminal", "is_error", stage.alias("is_stage"), *EDGE, "status_code", "method", "path", api.alias("api"), summary_text(mapping).alias("summary"), "source_id")
+
+
+def requests(records: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """One row per project and request: type, start, end, method, path, status code and status, duration, summary, counts, partial."""
+    m = contributions(records, mapping)
+    edge, count = F.struct(*EDGE), lambda c: F.count(F.when(F.col(c), 1))
+    return finished(m.groupBy(*KEY).agg(
+        F.min_by(edge, F.when(F.col("is_start"), F.col("ord"))).alias("s"), F.max_by(edge, F.when(F.col("is_terminal"), F.col("ord"))).alias("e"),
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in FIRSTS],
+        count("is_error").alias("error_count"), F.count("*").alias("event_count"), count("is_stage").alias("stage_count"), F.array_sort(F.collect_set("source_id")).alias("source_ids")))
+
+
+def finished(g: DataFrame, *more: str) -> DataFrame:
+    """The summary of each request, from the aggregates of its records, and more columns of g."""
     started, ended, errors = F.col("s").isNotNull(), F.col("e").isNotNull(), F.col("error_count") > 0
     partial = ~started | (~ended & ~errors)
     status = F.when(ended & (F.col("e.event_type") == "error"), "failed").when(F.col("status_code") >= 400, "failed").when(errors, "failed").when(partial, "partial").when(ended & (F.col("e.status") == "error"), "failed").otherwise("ok")
@@ -237,7 +251,7 @@ def requests(records: DataFrame, mapping: dict[str, str] | None = None) -> DataF
     both = started & ended
     duration = F.coalesce(F.when(both, F.coalesce("e.duration_ms", ms(F.col("s.timestamp"), F.col("e.timestamp")))), ms(F.col("first_seen"), F.col("last_seen")))
     tail = F.filter(F.split(F.regexp_replace("path", r"^[a-z]+://[^/]*|[?#].*$", ""), "/"), lambda p: p != "")
-    return g.select(*KEY, F.coalesce("api", F.get(tail, F.size(tail) - 1)).alias("request_type"), F.coalesce("s.timestamp", "first_seen").alias("started_at"), F.coalesce("e.timestamp", "last_seen").alias("ended_at"), "method", "path", "status_code", status.alias("status"), duration.alias("duration_ms"), "summary", "error_count", (status == "failed").alias("failed"), F.col("last_seen").alias("last_event_at"), partial.alias("partial"), "event_count", "stage_count", "source_ids")
+    return g.select(*KEY, F.coalesce("api", F.get(tail, F.size(tail) - 1)).alias("request_type"), F.coalesce("s.timestamp", "first_seen").alias("started_at"), F.coalesce("e.timestamp", "last_seen").alias("ended_at"), "method", "path", "status_code", status.alias("status"), duration.alias("duration_ms"), "summary", "error_count", (status == "failed").alias("failed"), F.col("last_seen").alias("last_event_at"), partial.alias("partial"), "event_count", "stage_count", "source_ids", *more)
 
 
 def self_times(events: DataFrame, request: list[str], span: str = "span_id", parent: str = "parent_span_id", duration: str = "duration_ms") -> DataFrame:

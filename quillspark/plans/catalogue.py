@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answering, evaluation, ingest, rendered, retrieval, traces  # noqa: F401  each registers its queries
+from . import aliases, answering, evaluation, ingest, rendered, retrieval, stored, traces  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import small_side, table
+from quillspark.functions.frames import table
 from quillspark.operators import evaluation as ev
+from quillspark.operators.containment import containment
 from quillspark.operators.lexical import bm25_topk
 
 from .registry import query
@@ -26,32 +27,10 @@ round(coalesce(count(*) FILTER (should_abstain AND abstained) / nullif(count(*)
 round(coalesce(count(*) FILTER (should_abstain AND NOT abstained) / nullif(count(*) FILTER (should_abstain), 0), 0), 4) AS false_answer_rate"""
 
 
-def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """case_id, doc_id where the text holds the passage whole.
-
-    The longest of a passage's inner words stands between blanks in any text that holds the passage, so it is a word of that text: an
-    equi-join on words, and the passage itself is only looked for where that word occurs. Passages of one or two words have no
-    inner word; the end of their first word ends a word of the text.
-    """
-    word = r"[^\s]+"
-    listed = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"), F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("w"))
-    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    heads = small_side(listed.filter(F.size("w") > 2).select("case_id", "passage", longest.alias("word")))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("word"))
-    found = words.join(heads, "word")
-    short = listed.filter((F.size("w") > 0) & (F.size("w") <= 2)).select("case_id", "passage", F.col("w")[0].alias("word"))
-    if short.limit(1).count():
-        ends = [r["n"] for r in short.select(F.length("word").alias("n")).distinct().collect()]  # as many as words have lengths
-        tails = words.select("doc_id", "text", F.explode(F.array_distinct(F.array(*[F.right("word", F.lit(n)) for n in ends]))).alias("word"))
-        found = found.unionByName(tails.join(small_side(short), "word"))
-    return found.filter(F.col("text").contains(F.col("passage"))).select("case_id", "doc_id").distinct()
-
-
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     hits = bm25_topk(corpus(spark, sf_dir), asked(spark, sf_dir), "doc_id", "request", "query", 5, FIELDS).withColumnRenamed("request", "case_id")
-    relevant = containment(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    relevant = containment(table(spark, sf_dir, "documents"), items.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage")), "doc_id", "text", "case_id", "passage")
     cases = items.select(F.col("item_id").alias("case_id"), (F.col("item_id") % 3).alias("kind"))
     ranks = ev.case_ranks(cases, hits, relevant)
     best = hits.groupBy("case_id").agg(F.max("score").alias("best"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillspark.functions.frames import scratch, spread, table
 from quillspark.operators import traces as tr
 from quillspark.streaming import jobs
+from quillspark.streaming import requests as request_stream
+from quillspark.streaming.tail import LogReplay
 
-from .registry import query
+from .registry import ORACLES, query
 
 SQL_LOG = """ev AS (SELECT event_id, ts, user_id || '-' || strftime(ts, '%Y%m%d') AS request_id, event_type AS kind, value, CASE event_type WHEN 'signup' THEN 'http.request.start' WHEN 'purchase' THEN 'http.request.end' WHEN 'error' THEN 'api.ask.error' ELSE 'api.' || event_type || '.end' END AS event FROM events),
 rq AS (SELECT request_id, min_by(ts, (ts, event_id)) FILTER (kind = 'signup') AS s, max_by(ts, (ts, event_id)) FILTER (kind = 'purchase') AS e, max_by(value, (ts, event_id)) FILTER (kind = 'purchase') AS ed, min(ts) AS first_seen, max(ts) AS last_seen, count(*) FILTER (kind = 'error') AS errors, count(*) AS events,
@@ -74,6 +76,33 @@ def request_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("request_id", "request_type", F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), F.round("duration_ms", 3).alias("duration_ms"), "error_count", "event_count", "stage_count")
 
 
+@query(ORACLES["request_summary"])
+def stream_request_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all events as a stream of several batches, out of order: the last summary told of each request."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = scratch(spark, "stream")
+    for part in range(3):  # three batches, each with lines from everywhere
+        log_lines(spark, sf_dir).filter(F.pmod(F.xxhash64("line_number"), F.lit(3)) == part).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema("line string, line_number long").option("maxFilesPerTrigger", max(1, -(-len(spark.read.parquet(f"{at}/in").inputFiles()) // 3))).parquet(f"{at}/in")
+    told = request_stream.summarised(tr.parse(stream, tr.LogSource("p", "s", "UTC", redact_fields=("question",))))
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+    told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    r = request_stream.latest(spark.read.parquet(f"{at}/out").drop("batch"))
+    return r.select("request_id", "request_type", F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), F.round("duration_ms", 3).alias("duration_ms"), "error_count", "event_count", "stage_count")
+
+
+@query("SELECT user_id, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id DESC) AS k FROM events) WHERE k <= 50 GROUP BY user_id")
+def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events rendered to sixteen log files; of each the last fifty lines, read from its end."""
+    spark.dataSource.register(LogReplay)
+    at = scratch(spark, "logs")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("log"), "event_id", F.to_json(F.struct("user_id", "event_id", "props")).alias("value"))
+    e.repartition(16, "log").sortWithinPartitions("log", "event_id").select("log", "value").write.partitionBy("log").text(f"{at}/text")
+    last = spark.read.format("log_replay").options(path=f"{at}/text", lines="50").load().filter(F.col("log_path").endswith(".txt"))
+    own = last.select(F.from_json("line", "user_id long, event_id long").alias("e")).select("e.*")
+    return own.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
 @query(f"WITH {SQL_LOG} SELECT request_id, status, partial, status = 'failed' AS failed FROM rt")
 def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.requests(records(spark, sf_dir)).select("request_id", "status", "partial", "failed")

@@ -50,3 +50,102 @@ def test_envelopes(spark):
     assert sum(sizes) == 40 and max(sizes) == 16
     bad = spark.createDataFrame([("x", ["{"]), ("x", None)], "topic string, items array<string>")
     assert jobs.unwrapped(bad).count() == 0
+
+
+def test_a_range_in_blocks(spark, tmp_path):
+    """Every size of a block gives every line once, wherever blocks cut lines."""
+    from quillspark.streaming.tail import blocks, read_range
+
+    data = b"one\r\n\n  \ntwo \xc3\xa9\n" + b"x" * 50 + b"\nlast\nrest without end"
+    path = tmp_path / "a.log"
+    path.write_bytes(data)
+    whole = [("one", 0), ("two é", 9), ("x" * 50, 16), ("last", 67)]
+    for start, lines in ((0, whole), (9, whole[1:])):
+        for size in range(1, 90):
+            got = [r for p in blocks(str(path), start, 72, size) for r in read_range(p)]
+            assert [(text, at) for _, at, text in got] == lines, size
+
+
+def test_replay_reads_the_end_alone(spark, tmp_path):
+    from quillspark.streaming.tail import LogReplay
+
+    spark.dataSource.register(LogReplay)
+    texts = [f"line {i} " + "y" * (i % 37) for i in range(500)]
+    (tmp_path / "a.log").write_text("\n".join(texts) + "\n")
+    (tmp_path / "b.log").write_text("short\nunfinished")
+    (tmp_path / "c.log").write_text("")
+
+    def read(**options):
+        rows = spark.read.format("log_replay").options(path=str(tmp_path), **{k: str(v) for k, v in options.items()}).load().collect()
+        return [[r["line"] for r in sorted(rows, key=lambda r: r["byte_offset"]) if r["log_path"].endswith(f)] for f in ("a.log", "b.log")]
+
+    for block in (7, 64, 1 << 20):
+        assert read(lines=3, block=block) == [texts[-3:], ["short", "unfinished"]]
+        assert read(lines=1, block=block) == [texts[-1:], ["unfinished"]]
+        assert read(lines=10_000, block=block) == [texts, ["short", "unfinished"]]
+        tail = len(texts[-1]) + len(texts[-2]) + 2
+        assert read(bytes=tail, block=block) == [texts[-2:], ["short", "unfinished"]]
+        assert read(bytes=tail - 1, block=block) == [texts[-1:], ["short", "unfinished"]]
+        assert read(bytes=5, lines=9, block=block)[0] == []
+    assert read(block=50)[0] == texts
+
+
+def test_replay_looks_no_further_than_asked(tmp_path):
+    from quillspark.streaming.tail import last_start
+
+    class Counted:
+        def __init__(self, data):
+            self.data, self.at, self.read_bytes = data, 0, 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            self.read_bytes += n
+            return self.data[self.at : self.at + n]
+
+    source = Counted(b"0123456789\n" * 100_000)
+    assert last_start(source, 1_100_000, 5, 1024) == 1_100_000 - 55 and source.read_bytes == 1024
+
+
+def test_request_summaries_of_a_stream(spark, tmp_path):
+    """Lines in many small files, late and out of order: the last telling of each request is what a batch over all of them gives."""
+    import json
+
+    from quillspark.operators import traces as tr
+    from quillspark.streaming import requests as rq
+
+    lines = []
+    for i in range(240):
+        request, k = f"r{i % 17}", i // 17
+        event = ["http.request.start", "api.ask.end", "retrieve.end", "http.request.end", "api.ask.error", "note"][(i * 7 + k) % 6]
+        value = {"timestamp": f"2024-01-0{1 + (i * 5) % 3} 10:00:{(i * 11) % 60:02d}.{i:03d}", "request_id": request, "event": event, "duration_ms": i % 50}
+        if i % 9 == 0:
+            value |= {"method": "GET", "path": f"/v1/x{i}", "status_code": 200 if i % 2 else 500, "summary": f"s{i}"}
+        if i % 31 == 0:
+            del value["timestamp"]
+        lines.append((json.dumps(value), i))
+    df = spark.createDataFrame(lines, "line string, line_number int")
+    for part in (0, 2, 1):
+        df.filter(f"line_number % 3 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    parse = lambda rows: tr.parse(rows, tr.LogSource("p", "s", "UTC"))
+    stream = spark.readStream.schema("line string, line_number int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    told = rq.summarised(parse(stream))
+
+    def keep(batch, n):
+        batch.write.mode("append").parquet(f"{tmp_path}/out")
+
+    told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.agg({"told": "max"}).first()[0] > 1
+    want = tr.requests(parse(df))
+    assert sorted(map(tuple, rq.latest(out).select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_order_texts_sort_like_orders(spark):
+    from quillspark.streaming.requests import order_text
+
+    rows = spark.sql("""SELECT struct(t IS NULL AS late, t, line, seq) AS o FROM (SELECT explode(array(timestamp'1600-01-01 00:00:00', timestamp'1969-12-31 23:59:59.999999', timestamp'2024-01-01 00:00:00', null)) AS t),
+        (SELECT explode(array(0L, 9L, 10L, 9223372036854775807L)) AS line), (SELECT explode(array(0L, 2L)) AS seq)""")
+    by = lambda *c: [r["o"] for r in rows.select("o", order_text(F.col("o")).alias("x")).orderBy(*c).collect()]
+    assert by("o.late", "o.t", "o.line", "o.seq") == by("x")
