@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most so many rows, counted first.
@@ -82,3 +82,8 @@ def quantile(df: DataFrame, by: list[str], value: str, q: float, name: str) -> D
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def form_of(key: str, values: list[str]) -> Column:
+    """One of the values for each row, by its key in turn."""
+    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(F.col(key), F.lit(len(values))).cast("int"))

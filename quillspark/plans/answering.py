@@ -2,46 +2,55 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import table
+from quillspark.functions.frames import form_of, spread, table
 from quillspark.functions.vocabulary import ALIASES
 from quillspark.operators import answering, guardrail, ranking, understanding
 
 from .registry import query
 from .retrieval import SQL_BM25, SQL_RERANK, SQL_RRF, TOKENS, asked, lexical_hits, reranked
 
-QUESTIONS = [(1, "2PC 和 3PC 有什么区别"), (2, "如何 安装 Redis"), (3, "笔记里有没有 raft"), (4, "哪些参数 对应 gdb"), (5, "HLC"), (6, "")]
+QUESTIONS = ["2PC 和 3PC 有什么区别", "如何 安装 Redis", "笔记里有没有 raft", "哪些参数 对应 gdb", "HLC", ""]
+#: The form of a turn's question, and a word of its own.
+SQL_TURNS = "q AS (SELECT conv_id || ':' || turn AS request, (conv_id + turn) % 6 + 1 AS form, 'w' || conv_id || 'x' || turn AS w FROM conversations)"
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "request int, question string").withColumn("queries", F.array("question"))
+def questions(spark: SparkSession, sf_dir: str, own: bool = False) -> DataFrame:
+    """Every turn as a question of one of six forms; own: with a word of its own at the end."""
+    word = F.concat(F.lit("w"), F.col("conv_id").cast("string"), F.lit("x"), F.col("turn").cast("string"))
+    form = form_of("_k", QUESTIONS)
+    q = spread(table(spark, sf_dir, "conversations")).withColumn("_k", F.col("conv_id") + F.col("turn"))
+    q = q.select(F.concat_ws(":", "conv_id", "turn").alias("request"), (F.concat_ws(" ", form, word) if own else form).alias("question"))
+    return q.withColumn("queries", F.array("question"))
 
 
-@query("SELECT * FROM (VALUES (1, 'comparison', 'comparison-diverse', FALSE, TRUE), (2, 'procedure', 'procedure-semantic', FALSE, FALSE), (3, 'existence', 'existence-precise', TRUE, FALSE), (4, 'lookup', 'lookup-precise', FALSE, FALSE), (5, 'definition', 'balanced', FALSE, FALSE), (6, 'definition', 'balanced', FALSE, FALSE)) t(request, query_type, route_policy, metadata_focus, requires_multi_source)")
+@query(f"""WITH {SQL_TURNS}, e AS (SELECT * FROM (VALUES (1, 'comparison', 'comparison-diverse', FALSE, TRUE), (2, 'procedure', 'procedure-semantic', FALSE, FALSE), (3, 'existence', 'existence-precise', TRUE, FALSE), (4, 'lookup', 'lookup-precise', FALSE, FALSE), (5, 'definition', 'balanced', FALSE, FALSE), (6, 'definition', 'balanced', FALSE, FALSE)) t(form, query_type, route_policy, metadata_focus, requires_multi_source)) SELECT request, query_type, route_policy, metadata_focus, requires_multi_source FROM q JOIN e USING (form)""")
 def query_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return understanding.profile(questions(spark)).select("request", "query_type", "route_policy", "metadata_focus", "requires_multi_source")
+    return understanding.profile(questions(spark, sf_dir, True)).select("request", "query_type", "route_policy", "metadata_focus", "requires_multi_source")
 
 
-@query("SELECT * FROM (VALUES (1, '2pc|和|3pc|有什么区别'), (2, 'redis'), (3, '笔记里有没有|笔记|记里|里有'), (4, '哪些参数|些参|参数|对应'), (5, 'hlc'), (6, '')) t(request, anchors)")
+@query(f"""WITH {SQL_TURNS}, e AS (SELECT * FROM (VALUES (1, '2pc|和|3pc|有什么区别'), (2, 'redis'), (3, '笔记里有没有|笔记|记里|里有'), (4, '哪些参数|些参|参数|对应'), (5, 'hlc'), (6, '')) t(form, anchors)) SELECT request, CASE WHEN form IN (2, 5) THEN anchors || '|' || w WHEN form = 6 THEN w ELSE anchors END AS anchors FROM q JOIN e USING (form)""")
 def query_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return understanding.profile(questions(spark)).select("request", F.array_join("anchor_terms", "|").alias("anchors"))
+    return understanding.profile(questions(spark, sf_dir, True)).select("request", F.array_join("anchor_terms", "|").alias("anchors"))
 
 
-@query("SELECT * FROM (VALUES (1, '两阶段提交 和 3pc 有什么区别|两阶段提交协议 和 3pc 有什么区别|2pc 和 三阶段提交 有什么区别'), (2, ''), (3, ''), (4, '哪些参数 对应 gnu debugger|哪些参数 对应 调试器'), (5, 'hybrid logical clock|混合逻辑时钟'), (6, '')) t(request, variants)")
+@query(f"""WITH {SQL_TURNS}, e AS (SELECT * FROM (VALUES (1, '两阶段提交 和 3pc 有什么区别|两阶段提交协议 和 3pc 有什么区别|2pc 和 三阶段提交 有什么区别'), (2, ''), (3, ''), (4, '哪些参数 对应 gnu debugger|哪些参数 对应 调试器'), (5, 'hybrid logical clock|混合逻辑时钟'), (6, '')) t(form, variants)) SELECT request, CASE WHEN variants = '' THEN '' ELSE replace(variants, '|', ' ' || w || '|') || ' ' || w END AS variants FROM q JOIN e USING (form)""")
 def alias_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark).select("request", F.array_join(understanding.alias_variants(F.col("question"), ALIASES), "|").alias("variants"))
+    return questions(spark, sf_dir, True).select("request", F.array_join(understanding.alias_variants(F.col("question"), ALIASES), "|").alias("variants"))
 
 
-@query("SELECT * FROM (VALUES (1, '2PC 和 3PC 有什么区别|2pc 和 3pc 有什么区别 有什 么区|两阶段提交 和 3pc 有什么区别|两阶段提交协议 和 3pc 有什么区别|2pc 和 三阶段提交 有什么区别|2pc|和'), (2, '如何 安装 Redis|redis'), (3, '笔记里有没有 raft|笔记里有没有 笔记 记里 里有 有没 没有|笔记里有没有 笔记 记里 里有'), (4, '哪些参数 对应 gdb|哪些参数 些参 参数 对应 gdb|哪些参数 对应 gnu debugger|哪些参数 对应 调试器'), (5, 'HLC|hybrid logical clock|混合逻辑时钟'), (6, '')) t(request, variants)")
+@query(f"""WITH {SQL_TURNS}, e AS (SELECT * FROM (VALUES (1, '2PC 和 3PC 有什么区别|2pc 和 3pc 有什么区别 有什 么区|两阶段提交 和 3pc 有什么区别|两阶段提交协议 和 3pc 有什么区别|2pc 和 三阶段提交 有什么区别|2pc|和'), (2, '如何 安装 Redis|redis'), (3, '笔记里有没有 raft|笔记里有没有 笔记 记里 里有 有没 没有|笔记里有没有 笔记 记里 里有'), (4, '哪些参数 对应 gdb|哪些参数 些参 参数 对应 gdb|哪些参数 对应 gnu debugger|哪些参数 对应 调试器'), (5, 'HLC|hybrid logical clock|混合逻辑时钟'), (6, '')) t(form, variants)) SELECT request, variants FROM q JOIN e USING (form)""")
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return understanding.variants(understanding.profile(questions(spark))).select("request", F.array_join("variants", "|").alias("variants"))
+    return understanding.variants(understanding.profile(questions(spark, sf_dir))).select("request", F.array_join("variants", "|").alias("variants"))
 
 
-@query("SELECT * FROM (VALUES (1, 24, 8), (2, 22, 8), (3, 22, 8), (4, 20, 6), (5, 20, 6), (6, 20, 6)) t(request, recall_k, rerank_k)")
+@query(f"""WITH {SQL_TURNS}, e AS (SELECT * FROM (VALUES (1, 24, 8), (2, 22, 8), (3, 22, 8), (4, 20, 6), (5, 20, 6), (6, 20, 6)) t(form, recall_k, rerank_k)) SELECT request, recall_k, rerank_k FROM q JOIN e USING (form)""")
 def route_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return understanding.routed(understanding.profile(questions(spark))).select("request", "recall_k", "rerank_k")
+    return understanding.routed(understanding.profile(questions(spark, sf_dir, True))).select("request", "recall_k", "rerank_k")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,22 +95,31 @@ def weighted_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guardrail.term_coverage(two, docs).select("request", F.round("coverage", 6).alias("coverage"))
 
 
+def of_conversations(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """The rows for each conversation, its id in front of their request."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    made = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in schema.split(', '))}>>")
+    each = table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.inline(made))
+    return each.withColumn("request", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("request").cast("string"))).drop("conv_id")
+
+
 PROFILES = [(1, "comparison", ["redis", "raft"]), (2, "comparison", ["redis", "raft"]), (3, "comparison", ["redis", "raft"]), (4, "lookup", ["redis", "raft"])]
 FOUND = [(1, "d1", ["redis", "raft"], 1), (2, "d1", ["redis"], 1), (2, "d2", ["raft", "x"], 2), (3, "d1", ["redis"], 1), (3, "d2", ["redis"], 2)]
 
 
-@query("SELECT * FROM (VALUES (1, TRUE), (2, TRUE), (3, FALSE)) t(request, complete)")
+@query("SELECT DISTINCT conv_id || ':' || request AS request, complete FROM conversations, (VALUES (1, TRUE), (2, TRUE), (3, FALSE)) t(request, complete)")
 def comparison_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame(PROFILES, "request int, query_type string, comparison_terms array<string>")
-    d = spark.createDataFrame(FOUND, "request int, document string, terms array<string>, first_place int")
+    """Every conversation asks four times; what is found differs."""
+    p = of_conversations(spark, sf_dir, PROFILES, "request int, query_type string, comparison_terms array<string>")
+    d = of_conversations(spark, sf_dir, FOUND, "request int, document string, terms array<string>, first_place int")
     return guardrail.comparison_complete(p, d)
 
 
-@query("SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, FALSE)) t(request, strong)")
+@query("SELECT DISTINCT conv_id || ':' || request AS request, strong FROM conversations, (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, FALSE)) t(request, strong)")
 def existence_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top document may cover three fifths; another one has to cover all."""
-    r = spark.createDataFrame([(i, ["aa bb cc"]) for i in range(1, 5)], "request int, queries array<string>")
-    d = spark.createDataFrame([(1, "t", ["aa", "bb"], 1), (2, "t", ["aa"], 1), (2, "o", ["aa", "bb"], 2), (3, "t", ["x"], 1), (3, "o", ["aa", "bb", "cc"], 2), (4, "t", ["x"], 1)], "request int, document string, terms array<string>, first_place int")
+    """Every conversation asks four times. The top document may cover three fifths; another one has to cover all."""
+    r = of_conversations(spark, sf_dir, [(i, ["aa bb cc"]) for i in range(1, 5)], "request int, queries array<string>")
+    d = of_conversations(spark, sf_dir, [(1, "t", ["aa", "bb"], 1), (2, "t", ["aa"], 1), (2, "o", ["aa", "bb"], 2), (3, "t", ["x"], 1), (3, "o", ["aa", "bb", "cc"], 2), (4, "t", ["x"], 1)], "request int, document string, terms array<string>, first_place int")
     return guardrail.strong_existence(r, d)
 
 
@@ -140,11 +158,16 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("request", F.md5("prompt").alias("h"), (F.col("prompt") == "").alias("empty"))
 
 
-@query("SELECT * FROM (VALUES (1, 'x,y', 'y'), (2, '', ''), (3, 'a b', 'a b')) t(n, cited, allowed)")
+@query("""WITH e AS (SELECT * FROM (VALUES (0, 'x,y', 'y'), (1, '', ''), (2, 'a b', 'a b')) t(form, cited, allowed))
+SELECT doc_id, concat_ws(',', nullif(cited, ''), 'd' || doc_id) AS cited, CASE WHEN form = 2 THEN 'a b,d' || doc_id ELSE concat_ws(',', nullif(allowed, ''), 'd' || doc_id) END AS allowed FROM documents JOIN e ON form = doc_id % 3""")
 def cited_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "a [x] b [ x ] c [y] []", ["y", "z"]), (2, "none", ["q"]), (3, "[[a b]]", [])], "n int, answer string, used array<string>")
-    c = answering.cited_ids(F.col("answer"))
-    return rows.select("n", F.array_join(c, ",").alias("cited"), F.array_join(answering.allowed_ids(c, F.col("used")), ",").alias("allowed"))
+    """Every document as an answer of one of three forms that also cites the document itself; offered are some ids and it, or nothing."""
+    d = table(spark, sf_dir, "documents")
+    own = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    answer = F.concat(form_of("doc_id", ["a [x] b [ x ] c [y] []", "none", "[[a b]]"]), F.lit(" ["), own, F.lit("]"))
+    used = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("y"), F.lit("z"), own)).when(F.col("doc_id") % 3 == 1, F.array(F.lit("q"), own)).otherwise(F.array().cast("array<string>"))
+    c = answering.cited_ids(answer)
+    return d.select("doc_id", F.array_join(c, ",").alias("cited"), F.array_join(answering.allowed_ids(c, used), ",").alias("allowed"))
 
 
 @query(f"""WITH {SQL_BM25},

@@ -131,14 +131,16 @@ def failure_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.failures(results(spark, sf_dir)).select("case_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-RECORDS = [(1, "s", "What is  RAG?", "lookup", ["I1"]), (2, "s", "what is rag?", "Lookup", []), (3, "s", "Other", None, ["i2"]), (4, "t", "Third", "ask", [])]
-CASES = [("c1", "what is RAG?", []), ("c2", "unrelated", ["I2"]), ("c3", "again", ["I1"])]
-
-
-@query("SELECT * FROM (VALUES (1, TRUE, 'c1,c3', NULL), (3, TRUE, 'c2', NULL), (4, FALSE, NULL, 'draft-' || substr(sha1('t|ask|Third'), 1, 12))) t(record_no, covered, cases, draft_id)")
+@query("SELECT item_id * 10 + k AS record_no, k < 4 AS covered, CASE k WHEN 1 THEN 'c1-' || item_id || ',c3-' || item_id WHEN 3 THEN 'c2-' || item_id END AS cases, CASE WHEN k = 4 THEN 'draft-' || substr(sha1('t|ask|Third ' || item_id), 1, 12) END AS draft_id FROM benchmark, (VALUES (1), (3), (4)) t(k)")
 def failure_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spark.createDataFrame(RECORDS, "record_no int, suite_name string, question string, case_type string, issues array<string>")
-    c = spark.createDataFrame(CASES, "case_id string, question string, issues array<string>")
+    """Four records and three cases for every item of the benchmark: one record repeats a question, others are covered by question or issue, the last isn't."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("i"), "item_id")
+    t = lambda text: F.concat(F.lit(text), F.col("i"))
+    none = F.array().cast("array<string>")
+    row = lambda k, suite, question, kind, issues: F.struct((F.col("item_id") * 10 + k).alias("record_no"), F.lit(suite).alias("suite_name"), question.alias("question"), F.lit(kind).cast("string").alias("case_type"), issues.alias("issues"))
+    r = items.select(F.inline(F.array(row(1, "s", t("What is  RAG "), "lookup", F.array(t("I1-"))), row(2, "s", t("what is rag "), "Lookup", none), row(3, "s", t("Other "), None, F.array(t("i2-"))), row(4, "t", t("Third "), "ask", none))))
+    case = lambda c, question, issues: F.struct(t(c).alias("case_id"), question.alias("question"), issues.alias("issues"))
+    c = items.select(F.inline(F.array(case("c1-", t("what is RAG "), none), case("c2-", t("unrelated "), F.array(t("I2-"))), case("c3-", t("again "), F.array(t("I1-"))))))
     return ev.backlog(r, c).select("record_no", "covered", F.array_join("matching_case_ids", ",").alias("cases"), "draft_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import spread, table
+from quillspark.functions.frames import form_of, spread, table
 from quillspark.functions.text import language_guess, preview, rstrip_lines, stable_row_id, token_estimate, tokens
 from quillspark.operators import cleaning, sections, state
 from quillspark.sources import store
@@ -66,10 +66,12 @@ def tokenise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("kinds"))
 
 
-@query("SELECT * FROM (VALUES ('Few-Shot 是 什么', 'few shot 是 什么'), ('混合检索ABC', '混合检索 混合 合检 检索 abc'), ('', '')) t(text, tokens)")
+@query(f"""WITH f AS (SELECT * FROM (VALUES (0, 'few shot 是 什么'), (1, '混合检索 混合 合检 检索 abc'), (2, '')) t(form, tokens))
+SELECT doc_id, md5(trim(tokens || ' ' || array_to_string({TOKENS.format("' ' || coalesce(text, '')")}, ' '))) AS h FROM documents JOIN f ON form = doc_id % 3""")
 def cjk_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("Few-Shot 是 什么",), ("混合检索ABC",), ("",)], "text string")
-    return rows.select("text", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
+    """Tokens of every document after a text of two scripts, of Han characters and letters in one, or of none."""
+    text = F.concat_ws(" ", form_of("doc_id", ["Few-Shot 是 什么", "混合检索ABC", ""]), "text")
+    return docs(spark, sf_dir).select("doc_id", F.md5(F.trim(F.array_join(tokens(text), " "))).alias("h"))
 
 
 @query("SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS preview, CASE WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS guess FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
@@ -78,54 +80,63 @@ def doc_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MARKDOWN = [
-    (1, "# 标题\n\n第一段内容。\n\n## 小节\n\n第二段内容。\n\n# 另一节\ntext"),
-    (2, "intro\n\nTitle\n=====\nbody\n\nSub\n---\nmore\n```\n# no heading\n```\nend"),
-    (3, "### deep\na\n# top ##\nb\n## mid\nc\n### low\nd\n## next\ne"),
-    (4, "\n\n"),
-    (5, "no heading at all"),
+    "# 标题\n\n第一段内容。\n\n## 小节\n\n第二段内容。\n\n# 另一节\ntext",
+    "intro\n\nTitle\n=====\nbody\n\nSub\n---\nmore\n```\n# no heading\n```\nend",
+    "### deep\na\n# top ##\nb\n## mid\nc\n### low\nd\n## next\ne",
+    "## 一\n# 二\n\n### 三\nx",
+    "no heading at all",
+    "\n\n",
 ]
 SQL_SECTIONS = """(VALUES (1, 0, '标题', '标题', 1, 1, 4, '# 标题~~第一段内容。'), (1, 1, '标题 / 小节', '小节', 2, 5, 8, '## 小节~~第二段内容。'), (1, 2, '另一节', '另一节', 1, 9, 10, '# 另一节~text'),
 (2, 0, '', '', 0, 1, 2, 'intro'), (2, 1, 'Title', 'Title', 1, 3, 6, 'Title~body'), (2, 2, 'Title / Sub', 'Sub', 2, 7, 13, 'Sub~more~```~# no heading~```~end'),
 (3, 0, 'deep', 'deep', 3, 1, 2, '### deep~a'), (3, 1, 'top', 'top', 1, 3, 4, '# top ##~b'), (3, 2, 'top / mid', 'mid', 2, 5, 6, '## mid~c'), (3, 3, 'top / mid / low', 'low', 3, 7, 8, '### low~d'), (3, 4, 'top / next', 'next', 2, 9, 10, '## next~e'),
-(5, 0, '', '', 0, 1, 1, 'no heading at all')) t(document_id, section_index, title_path, heading, heading_level, start_line, end_line, text)"""
+(4, 0, '一', '一', 2, 1, 1, '## 一'), (4, 1, '二', '二', 1, 2, 3, '# 二'), (4, 2, '二 / 三', '三', 3, 4, 5, '### 三~x'), (0, 0, '', '', 0, 1, 3, '~~'), (5, 0, '', '', 0, 1, 1, 'no heading at all')) t(document_id, section_index, title_path, heading, heading_level, start_line, end_line, text)"""
 
 
-def markdown(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MARKDOWN, "document_id int, text string")
-
-
-@query(f"SELECT * FROM {SQL_SECTIONS}")
+@query(f"""WITH e AS (SELECT *, max(section_index) OVER (PARTITION BY document_id) = section_index AS last FROM {SQL_SECTIONS})
+SELECT doc_id, section_index, title_path, heading, heading_level, start_line, end_line + last::INT AS end_line, md5(e.text || CASE WHEN last THEN '~doc ' || doc_id ELSE '' END) AS h FROM documents JOIN e ON document_id = doc_id % 6""")
 def md_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sections.sections(markdown(spark))
-    return s.select("document_id", F.col("section_index").cast("int").alias("section_index"), F.array_join("title_path", " / ").alias("title_path"), "heading", "heading_level", "start_line", "end_line", F.replace("text", F.lit("\n"), F.lit("~")).alias("text"))
+    """Every document as Markdown of one of six forms (the sixth is blank but for its last line), with its id in the last line."""
+    text = F.concat(form_of("doc_id", [MARKDOWN[5], *MARKDOWN[:5]]), F.lit("\ndoc "), F.col("doc_id").cast("string"))
+    s = sections.sections(docs(spark, sf_dir).select("doc_id", text.alias("text")), "doc_id")
+    return s.select("doc_id", F.col("section_index").cast("int").alias("section_index"), F.array_join("title_path", " / ").alias("title_path"), "heading", "heading_level", "start_line", "end_line", F.md5(F.replace("text", F.lit("\n"), F.lit("~"))).alias("h"))
 
 
-TABLES = [(1, "before\n| 文件类型 | 类型参数 |\n|---|:---:|\n| 普通文件 | f |\n| 目录 | |\n|  |  |\nafter"), (2, "| a | b |\n| --- | --- |\nno rows"), (3, "| not | a table |\nx")]
+TABLES = ["before\n| 文件类型 | 类型参数 |\n|---|:---:|\n| 普通文件 | f |\n| 目录 | |\n|  |  |\nafter", "| a | b |\n| --- | --- |\nno rows", "| not | a table |\nx"]
 
 
-@query("""SELECT * FROM (VALUES (1, 'before~表格列: 文件类型 | 类型参数~表格行: 文件类型是 普通文件；类型参数是 f~表格行: 文件类型是 目录~表格行:~after', 1, 3), (2, '| a | b |~| --- | --- |~no rows', 0, 0), (3, '| not | a table |~x', 0, 0)) t(document_id, text, tables, n_rows)""")
+@query("""WITH e AS (SELECT * FROM (VALUES (0, 'before~表格列: 文件类型 | 类型参数~表格行: 文件类型是 普通文件；类型参数是 f~表格行: 文件类型是 目录~表格行:~after', 1, 3), (1, '| a | b |~| --- | --- |~no rows', 0, 0), (2, '| not | a table |~x', 0, 0)) t(form, text, tables, n_rows))
+SELECT doc_id, md5('doc ' || doc_id || '~' || e.text) AS h, tables, n_rows FROM documents JOIN e ON form = doc_id % 3""")
 def md_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = cleaning.normalise_tables(spark.createDataFrame(TABLES, "document_id int, text string"))
-    return t.select("document_id", F.replace("text", F.lit("\n"), F.lit("~")).alias("text"), F.col("tables_normalized").cast("int").alias("tables"), F.col("normalized_table_rows").cast("int").alias("n_rows"))
+    """Every document with its id above a table, a table without rows, or none."""
+    text = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("\n"), form_of("doc_id", TABLES))
+    t = cleaning.normalise_tables(docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), text.alias("text")))
+    return t.select(F.col("document_id").alias("doc_id"), F.md5(F.replace("text", F.lit("\n"), F.lit("~"))).alias("h"), F.col("tables_normalized").cast("int").alias("tables"), F.col("normalized_table_rows").cast("int").alias("n_rows"))
 
 
-FRONT = [(1, "---\ntitle: A\naliases: [x, y]\n---\nbody  \n[TOC]\nTODO\nend"), (2, "---\nnot closed\nbody"), (3, "---\n- a\n- list\n---\nkept"), (4, "---\n---\nempty block"), (5, "﻿plain\r\nlines\r")]
+FRONT = ["---\ntitle: A\naliases: [x, y]\n---\nbody  \n[TOC]\nTODO\nend", "---\nnot closed\nbody", "---\n- a\n- list\n---\nkept", "---\n---\nempty block", "\ufeffplain\r\nlines\r"]
 
 
-@query("""SELECT * FROM (VALUES (1, '{"title": "A", "aliases": ["x", "y"]}', 'body~end', 1, 1), (2, NULL, '---~not closed~body', 0, 0), (3, NULL, '---~- a~- list~---~kept', 0, 0), (4, NULL, '---~---~empty block', 0, 0), (5, NULL, 'plain~lines~', 0, 0)) t(document_id, front_matter, text, toc, placeholders)""")
+@query("""WITH e AS (SELECT * FROM (VALUES (0, '{"title": "A", "aliases": ["x", "y"]}', 'body~end', 1, 1), (1, NULL, '---~not closed~body', 0, 0), (2, NULL, '---~- a~- list~---~kept', 0, 0), (3, NULL, '---~---~empty block', 0, 0), (4, NULL, 'plain~lines', 0, 0)) t(form, front_matter, text, toc, placeholders))
+SELECT doc_id, front_matter, md5(e.text || '~doc ' || doc_id) AS h, toc, placeholders FROM documents JOIN e ON form = doc_id % 5""")
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cleaning.clean(spark.createDataFrame(FRONT, "document_id int, text string"), cleaning.Cleaning(enabled=True))
-    return c.select("document_id", "front_matter", F.replace("text", F.lit("\n"), F.lit("~")).alias("text"), F.col("toc_markers_removed").cast("int").alias("toc"), F.col("placeholders_removed").cast("int").alias("placeholders"))
-
-
-RULED = [(1, "/notes", "a/b.md", "/notes/a/b.md", "keep\n[编辑于 2017-09-20](x)\nmore\n## 参考链接\nlink"), (2, "/other", "a/b.md", "/other/a/b.md", "[编辑于 2017-09-20](x)"), (3, "/notes", "c.md", "/notes/c.md", "## 参考链接\nlink\n# after\nx")]
+    """Every document's id below one of five beginnings: front matter, none that is closed, a list, an empty block, other line ends."""
+    text = F.concat(form_of("doc_id", FRONT), F.lit("\ndoc "), F.col("doc_id").cast("string"))
+    c = cleaning.clean(docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), text.alias("text")), cleaning.Cleaning(enabled=True))
+    return c.select(F.col("document_id").alias("doc_id"), "front_matter", F.md5(F.replace("text", F.lit("\n"), F.lit("~"))).alias("h"), F.col("toc_markers_removed").cast("int").alias("toc"), F.col("placeholders_removed").cast("int").alias("placeholders"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'keep~more', 1, 1, 'edited'), (2, '[编辑于 2017-09-20](x)', 0, 0, ''), (3, '## 参考链接~link~# after~x', 0, 0, '')) t(document_id, text, dropped_lines, dropped_sections, applied)""")
+@query("""WITH e AS (SELECT * FROM (VALUES (0, 'keep~more', 1, 1, 'edited'), (1, '[编辑于 2017-09-20](x)', 0, 0, ''), (2, '## 参考链接~link~# after~x', 0, 0, '')) t(form, text, dropped_lines, dropped_sections, applied))
+SELECT doc_id, md5('doc ' || doc_id || '~' || e.text) AS h, dropped_lines, dropped_sections, applied FROM documents JOIN e ON form = doc_id % 3""")
 def source_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's id above a text that a rule changes, one under another root, or one in which the named section is not the last."""
     rule = cleaning.SourceRule("edited", ("*.md",), ("/notes*",), (r"^\[编辑于 \d{4}-\d{2}-\d{2}\]",), ("参考链接",))
-    r = cleaning.apply_rules(spark.createDataFrame(RULED, "document_id int, source_root string, relative_path string, file_path string, text string"), [rule])
-    return r.select("document_id", F.replace("text", F.lit("\n"), F.lit("~")).alias("text"), "dropped_lines", "dropped_sections", F.array_join("source_rules_applied", ",").alias("applied"))
+    form = lambda values: form_of("doc_id", values)
+    text = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("\n"), form(["keep\n[编辑于 2017-09-20](x)\nmore\n## 参考链接\nlink", "[编辑于 2017-09-20](x)", "## 参考链接\nlink\n# after\nx"]))
+    path = F.concat(form(["a/", "a/", ""]), F.col("doc_id").cast("string"), F.lit(".md"))
+    root = form(["/notes", "/other", "/notes"])
+    r = cleaning.apply_rules(docs(spark, sf_dir).select("doc_id", root.alias("source_root"), path.alias("relative_path"), F.concat(root, F.lit("/"), path).alias("file_path"), text.alias("text")), [rule])
+    return r.select("doc_id", F.md5(F.replace("text", F.lit("\n"), F.lit("~"))).alias("h"), "dropped_lines", "dropped_sections", F.array_join("source_rules_applied", ",").alias("applied"))
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
@@ -228,9 +239,12 @@ def latest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(table(spark, sf_dir, "events"), "click", 25, "event_id", "event_type").select("event_type", "event_id")
 
 
-@query("SELECT * FROM (VALUES ('t', 4::BIGINT, 1::BIGINT, 2::BIGINT, 1::BIGINT)) t(\"column\", scanned, updated, skipped_null, unchanged)")
+@query("""SELECT 't' AS "column", count(*) AS scanned, count(*) FILTER (event_id % 4 = 0) AS updated, count(*) FILTER (event_id % 4 >= 2) AS skipped_null, count(*) FILTER (event_id % 4 = 1) AS unchanged FROM events""")
 def timestamp_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("2024-01-02T03:04:05.678",), ("2024-01-02 03:04:05.678",), (None,), ("never",)], "t string")
+    """The times of all events as texts: with a T, in the form that is wanted, null, and unreadable."""
+    at = lambda form: F.date_format(F.col("ts").cast("timestamp"), form)
+    k = F.col("event_id") % 4
+    rows = table(spark, sf_dir, "events").select(F.when(k == 0, at("yyyy-MM-dd'T'HH:mm:ss.SSS")).when(k == 1, at("yyyy-MM-dd HH:mm:ss.SSS")).when(k == 3, "never").alias("t"))
     return store.rewritten_timestamps(rows, ["t"])[1]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.frames import kept, scratch, table
 from quillspark.operators import semantic, vector_index
 from quillspark.sources.segments import SegmentIndex
+from quillspark.sources.store import Store
 
 from .registry import query
 from .retrieval import FIELDS, SQL_BM25, SQL_KNN, TOKENS, K, asked, corpus
@@ -81,3 +82,20 @@ def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = semantic.knn_cosine(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "query_id", NEAR)
     r = vector_index.recall(vector_hits(spark, sf_dir, PROBES), exact, "query_id", "vec_id", NEAR)
     return r.agg(F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("hit") >= 0.9 * F.sum("wanted")).alias("nine_in_ten"))
+
+
+DOCUMENTS = "doc_id bigint, lang string, source string, n_chars bigint"
+TOTALS = "source string, n_documents bigint, n_chars bigint"
+
+
+@query("SELECT source, count(*) AS n_documents, sum(n_chars)::BIGINT AS n_chars, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
+def drift_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all documents whose tables lack columns by now: both are rebuilt together, then read by the new schema."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
+    store = Store(spark, scratch(spark, "store"))
+    old = {"documents": docs.select("doc_id", "source"), "totals": docs.groupBy("source").agg(F.count("*").alias("n_documents"))}
+    store.write(old)
+    totals = docs.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+    store.ensured({"documents": DOCUMENTS, "totals": TOTALS}, lambda: {"documents": docs, "totals": totals})
+    langs = store.read("documents").groupBy("source").agg(F.count_distinct("lang").alias("langs"))
+    return store.read("totals").join(langs, "source")

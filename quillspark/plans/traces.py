@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import scratch, spread, table
+from quillspark.functions.frames import form_of, scratch, spread, table
 from quillspark.operators import traces as tr
-from quillspark.streaming import jobs
+from quillspark.streaming import health, jobs
 from quillspark.streaming import requests as request_stream
 from quillspark.streaming.tail import LogReplay
 
@@ -60,14 +62,16 @@ def log_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("line_number", "valid", F.col("attributes")["question"].alias("question"), leaked.alias("leaked"), F.col("attributes")["k"].alias("k"), F.col("attributes")["questions"].alias("questions"))
 
 
-STAMPS = ["2026-04-15 11:52:02.389", "1776234722389", "2026-04-15T11:52:02.389", "2026-04-15T11:52:02.389+08:00", "2026-04-15T03:52:02.389Z", "1776234722", "nonsense", ""]
-
-
-@query("""SELECT n, us::VARCHAR AS us, format FROM (VALUES (1, 1776225122389000, 'local_datetime'), (2, 1776234722389000, 'epoch_ms'), (3, 1776225122389000, 'iso8601_naive'), (4, 1776225122389000, 'rfc3339'), (5, 1776225122389000, 'rfc3339'), (6, 1776234722000000, 'epoch_s'), (7, NULL, NULL), (8, NULL, NULL)) t(n, us, format)""")
+@query("""WITH e AS (SELECT event_id, event_id % 8 AS k, epoch_us(ts) // 1000 AS ms FROM events)
+SELECT event_id, CASE WHEN k IN (0, 2, 3) THEN (ms - 28800000) * 1000 WHEN k IN (1, 4) THEN ms * 1000 WHEN k = 5 THEN ms // 1000 * 1000000 END AS us, ['local_datetime', 'epoch_ms', 'iso8601_naive', 'rfc3339', 'rfc3339', 'epoch_s', NULL, NULL][k + 1] AS format FROM e""")
 def log_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(STAMPS, 1)), "n int, raw string")
+    """The time of every event, written in one of eight ways; a source's zone is eight hours ahead."""
+    ts, ms, k = F.col("ts").cast("timestamp"), F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id") % 8
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    ways = [F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"), ms.cast("string"), iso, F.concat(iso, F.lit("+08:00")), F.concat(iso, F.lit("Z")), F.floor(ms / 1000).cast("string"), F.lit("nonsense"), F.lit("")]
+    rows = table(spark, sf_dir, "events").select("event_id", F.get(F.array(*ways), k.cast("int")).alias("raw"))
     time, kind = tr.timestamps(F.col("raw"), "Asia/Shanghai")
-    return rows.select("n", F.unix_micros(time).cast("string").alias("us"), kind.alias("format"))
+    return rows.select("event_id", F.unix_micros(time).alias("us"), kind.alias("format"))
 
 
 @query(f"WITH {SQL_LOG} SELECT request_id, request_type, epoch_us(coalesce(s, first_seen)) AS started_us, epoch_us(coalesce(e, last_seen)) AS ended_us, round(duration, 3) AS duration_ms, errors AS error_count, events AS event_count, stages AS stage_count FROM rt")
@@ -135,12 +139,15 @@ def error_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("line_number", "request_id", "event", "message")
 
 
-BAD = ["not-json", "[1, 2]", "", '{"event": "x", "level": "ERROR", "message": "boom"}', '{"span_name": "a.b", "event": "end", "status_code": "503", "trace_id": "t"}']
+BAD = ["not-json #", "[1, #]", "", '{"event": "x", "level": "ERROR", "message": "boom"}', '{"span_name": "a.b", "event": "end", "status_code": "503", "trace_id": "t#"}']
 
 
-@query("""SELECT n, valid, parse_error, event, status_code::VARCHAR AS status_code, status, request_id FROM (VALUES (1, FALSE, 'invalid JSON', NULL, NULL, NULL, NULL), (2, FALSE, 'not a JSON object', NULL, NULL, NULL, NULL), (3, FALSE, 'empty line', NULL, NULL, NULL, NULL), (4, TRUE, NULL, 'x', NULL, NULL, NULL), (5, TRUE, NULL, 'end', 503, 'error', 't')) t(n, valid, parse_error, event, status_code, status, request_id)""")
+@query("""WITH e AS (SELECT * FROM (VALUES (0, FALSE, 'invalid JSON', NULL, NULL, NULL), (1, FALSE, 'not a JSON object', NULL, NULL, NULL), (2, FALSE, 'empty line', NULL, NULL, NULL), (3, TRUE, NULL, 'x', NULL, NULL), (4, TRUE, NULL, 'end', '503', 'error')) t(form, valid, parse_error, event, status_code, status))
+SELECT event_id AS n, valid, parse_error, event, status_code, status, CASE WHEN form = 4 THEN 't' || event_id END AS request_id FROM events JOIN e ON form = event_id % 5""")
 def log_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = tr.parse(spark.createDataFrame([(i, x) for i, x in enumerate(BAD, 1)], "line_number int, line string"))
+    """A line for every event: no JSON, no object, nothing, a record without a request, and one whose request is its trace."""
+    line = F.replace(form_of("event_id", BAD), F.lit("#"), F.col("event_id").cast("string"))
+    r = tr.parse(table(spark, sf_dir, "events").select(F.col("event_id").alias("line_number"), line.alias("line")))
     return r.select(F.col("line_number").alias("n"), "valid", "parse_error", "event", F.col("status_code").cast("string").alias("status_code"), "status", "request_id")
 
 
@@ -161,13 +168,14 @@ def lookback_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.within(e, "2d", F.lit("2024-01-20 12:00:00").cast("timestamp")).select("event_id")
 
 
-HEALTH = [("a", "1", True, "2024-01-01 00:00:00", None), ("a", "2", False, None, None), ("b", "1", True, "2023-12-31 23:57:00", None), ("c", "1", True, "2023-12-31 00:00:00", None), ("d", "1", True, None, "boom"), ("e", "1", True, "2024-01-01 00:00:00", None)]
-
-
-@query("SELECT * FROM (VALUES ('a', 'degraded'), ('b', 'idle'), ('c', 'stale'), ('d', 'error'), ('e', 'live')) t(project_id, status)")
+@query("SELECT DISTINCT user_id || ':' || project AS project_id, status FROM events, (VALUES ('a', 'degraded'), ('b', 'idle'), ('c', 'stale'), ('d', 'error'), ('e', 'live'), ('f', 'offline')) t(project, status)")
 def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.createDataFrame(HEALTH, "project_id string, source_id string, exists boolean, seen string, last_error string").withColumn("last_seen_at", F.to_timestamp("seen"))
-    return tr.health(s, F.lit("2024-01-01 00:00:30").cast("timestamp")).select("project_id", "status")
+    """Six projects for every user, with sources seen so many seconds before the user's last event: lately, a while ago, long ago, never, missing, in error."""
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("last"))
+    source = lambda project, no, exists, ago, error: F.struct(F.lit(project).alias("project"), F.lit(no).alias("source_id"), F.lit(exists).alias("exists"), F.lit(ago).cast("long").alias("ago"), F.lit(error).cast("string").alias("last_error"))
+    kinds = F.array(source("a", "1", True, 30, None), source("a", "2", False, None, None), source("b", "1", True, 210, None), source("c", "1", True, 86_430, None), source("d", "1", True, None, "boom"), source("e", "1", True, 30, None), source("f", "1", False, 5, None))
+    s = last.select("user_id", "last", F.inline(kinds)).withColumns({"project_id": F.concat_ws(":", F.col("user_id").cast("string"), "project"), "last_seen_at": F.timestamp_micros(F.unix_micros("last") - F.col("ago") * 1_000_000)})
+    return tr.health(s, F.col("last")).select("project_id", "status")
 
 
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 5000")
@@ -217,6 +225,24 @@ def stream_request_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "event_count", "error_count", "status")
 
 
+@query("""WITH l AS (SELECT user_id, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY user_id), c AS (SELECT epoch_us(max(ts)) // 1000 AS now FROM events)
+SELECT user_id, CASE WHEN now - last_ms <= 6 * 3600000 THEN 'live' WHEN now - last_ms <= 30 * 3600000 THEN 'idle' ELSE 'stale' END AS state, last_ms FROM l, c""")
+def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user is a source whose lines are its events, as a stream in the order of time; who has none for six hours is idle, for thirty stale. The
+    clock is that of the events: at its end, the last one."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = scratch(spark, "stream")
+    e = table(spark, sf_dir, "events").select(F.lit("p").alias("project_id"), F.col("user_id").cast("string").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    for part in range(4):  # files whose times follow one another, each a batch
+        span = (last - first) // 4 + 1
+        e.filter((F.unix_micros("ts") >= first + part * span) & (F.unix_micros("ts") < first + (part + 1) * span)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    told = health.watched(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), "ts", timedelta(hours=6), timedelta(hours=30))
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+    told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return health.current(spark.read.parquet(f"{at}/out").drop("batch")).select(F.col("source_id").cast("long").alias("user_id"), "state", "last_ms")
+
+
 @query("SELECT o_orderpriority, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS finished FROM orders GROUP BY ROLLUP (o_orderpriority)")
 def grouping_sets_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beside the traces: a roll-up."""

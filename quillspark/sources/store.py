@@ -3,15 +3,21 @@
 That file is moved to its name in one step, which fails if another writer has been there: of several writers that start from one version
 only one gets through. CURRENT says where to begin to look; it is replaced in one step and may lag, which costs a look at NEXT files and
 nothing else. Readers see whole versions only, at any time. Upserts and deletes are joins against the current version.
+
+Every version has the schemas of its tables beside them, in a file SCHEMAS. `ensured` compares them with what a program expects, and has all tables of
+a version built anew, together, where they differ: readers see the old version until the new one is complete, and never a part of each.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.functions.text import stable_row_id
 
@@ -61,6 +67,15 @@ def row_ids(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return chunks.withColumn("row_id", stable_row_id(F.col(key)))
 
 
+def as_struct(schema: str | StructType) -> StructType:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def fields_of(schema: StructType) -> dict[str, str]:
+    """column -> type, in order. Whether a column may be null is not part of it: files that were read back don't say."""
+    return {f.name: f.dataType.simpleString() for f in schema.fields}
+
+
 class Store:
     """Tables below a folder that Spark can read and write. Writers don't have to know of each other: the second one fails."""
 
@@ -88,7 +103,8 @@ class Store:
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
         fs, rename = jvm.org.apache.hadoop.fs, getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
         context, p = self._at(name)
-        _, temporary = self._at(f".{name}-{uuid.uuid4().hex}")
+        folder, _, file = name.rpartition("/")
+        _, temporary = self._at(f"{folder}{'/' if folder else ''}.{file}-{uuid.uuid4().hex}")
         flags = jvm.java.util.EnumSet.of(fs.CreateFlag.CREATE)
         options = gateway.new_array(getattr(fs, "Options$CreateOpts"), 1)
         options[0] = getattr(fs, "Options$CreateOpts").createParent()
@@ -120,11 +136,38 @@ class Store:
         new = f"v-{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{new}/{name}")
+        self._put(f"{new}/SCHEMAS", json.dumps({name: fields_of(df.schema) for name, df in tables.items()}), over=False)
         if self.version() != expect or not self._put(f"NEXT-{expect or 'none'}", new, over=False):
             raise RuntimeError("another writer has come first")
         self._put("CURRENT", new, over=True)
         return new
 
+    def schemas(self, version: str | None = None) -> dict[str, dict[str, str]]:
+        """table -> column -> type of a version (the current one); empty without a version, or for one that was written without SCHEMAS."""
+        version = version or self.version()
+        text = self._text(f"{version}/SCHEMAS") if version else None
+        return json.loads(text) if text else {}
+
+    def drift(self, expected: dict[str, str | StructType], version: str | None = None) -> dict[str, tuple[dict | None, dict]]:
+        """table -> (columns as stored, or None without the table; columns as expected) for every expected table that is not as it should be. Order and
+        names of columns, their case and their types count."""
+        found = self.schemas(version)
+        wanted = {name: fields_of(as_struct(schema)) for name, schema in expected.items()}
+        return {name: (found.get(name), columns) for name, columns in wanted.items() if list(found.get(name, {"": ""}).items()) != list(columns.items())}
+
+    def ensured(self, expected: dict[str, str | StructType], build: Callable[[], dict[str, DataFrame]]) -> tuple[str, bool]:
+        """(version, whether it was built): the current version if its tables have the expected schemas, else one with all tables that build() gives.
+        What is built has to be as expected, too; if it isn't, or building fails, the current version stays. Of several that rebuild one gets through."""
+        now = self.version()
+        if now and not self.drift(expected, now):
+            return now, False
+        tables = build()
+        for name, schema in expected.items():
+            columns = fields_of(as_struct(schema))
+            if name not in tables or list(fields_of(tables[name].schema).items()) != list(columns.items()):
+                raise ValueError(f"what was built for {name} is not as expected: {fields_of(tables[name].schema) if name in tables else None}")
+        return self.write(tables, expect=now), True
+
     def log(self, run: DataFrame) -> None:
         """Appends one run to the ingest log, which versions share."""
         run.write.mode("append").parquet(f"{self.path}/ingest_log")

@@ -149,3 +149,32 @@ def test_order_texts_sort_like_orders(spark):
         (SELECT explode(array(0L, 9L, 10L, 9223372036854775807L)) AS line), (SELECT explode(array(0L, 2L)) AS seq)""")
     by = lambda *c: [r["o"] for r in rows.select("o", order_text(F.col("o")).alias("x")).orderBy(*c).collect()]
     assert by("o.late", "o.t", "o.line", "o.seq") == by("x")
+
+
+def test_sources_go_quiet_by_the_machines_clock(spark, tmp_path):
+    """No line after the first ones: idle, then stale, by timers alone; a line makes one live again."""
+    import time
+    from datetime import timedelta
+
+    from quillspark.streaming import health
+
+    rows = spark.createDataFrame([("p", "a"), ("p", "b"), (None, None)], "project_id string, source_id string").withColumn("ts", F.current_timestamp())
+    rows.write.parquet(f"{tmp_path}/in")
+    told = health.watched(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "ts", timedelta(seconds=3), timedelta(seconds=8), late=None)
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+    q = told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/check").trigger(processingTime="1 second").start()
+    try:
+        out = lambda: spark.read.parquet(f"{tmp_path}/out").drop("batch")
+        until = time.time() + 90
+        while time.time() < until and (not q.recentProgress or out().filter("state = 'stale'").count() < 3):
+            time.sleep(2)
+        for who in out().select("source_id").distinct().collect():
+            assert [r["state"] for r in out().filter(F.col("source_id") == who["source_id"]).orderBy("told").collect()] == ["live", "idle", "stale"]
+        rows.limit(1).write.mode("append").parquet(f"{tmp_path}/in")
+        until = time.time() + 60
+        while time.time() < until and out().filter("told = 4").count() < 1:
+            time.sleep(2)
+        again = out().filter("told = 4").first()
+        assert again["state"] == "live" and health.current(out()).count() == 3
+    finally:
+        q.stop()
