@@ -7,9 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import form_of, spread, table
+from quillspark.functions.frames import form_of, kept, spread, table
 from quillspark.functions.vocabulary import ALIASES
-from quillspark.operators import answering, guardrail, ranking, understanding
+from quillspark.operators import answering, asking, guardrail, ranking, semantic, understanding
 
 from .registry import query
 from .retrieval import SQL_BM25, SQL_RERANK, SQL_RRF, TOKENS, asked, lexical_hits, reranked
@@ -184,3 +184,27 @@ def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = top.select("request", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "text")
     a = asked(spark, sf_dir).join(t.select("request", "chunk_id"), "request").select("request", F.concat(F.col("query"), F.lit("\n["), "chunk_id", F.lit("]")).alias("answer"), F.array("chunk_id").alias("used"))
     return answering.verify(a, t)[0].select("request", "coverage", "unverified")
+
+
+def documents_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every four lines of a document are a chunk, two chunks a section; the source is the title."""
+    lines = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("none")).alias("document"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    at = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 4))
+    c = lines.select("doc_id", "document", "lines", F.explode(at).cast("int").alias("chunk_index"))
+    part = F.slice("lines", 4 * F.col("chunk_index") + 1, F.lit(4))
+    c = c.select(F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "document", F.col("doc_id").alias("document_id"), F.concat("document", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), F.array("document").alias("title_path"),
+                 F.floor(F.col("chunk_index") / 2).cast("int").alias("section_index"), "chunk_index", F.array_join(part, "\n").alias("content"), (4 * F.col("chunk_index") + 1).alias("start_line"), (4 * F.col("chunk_index") + F.size(part)).alias("end_line"))
+    return c.withColumn("embedding", semantic.hash_embedding(F.col("content")))
+
+
+@query()
+def ask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of the benchmark asked over all documents, in two queries: how many spellings, hits and passages shown, the decision, the prompt's length, and
+    how far an answer that is the passage, citing the first hit, is borne out by what was shown."""
+    r = asked(spark, sf_dir).select(F.col("request").cast("string").alias("request"), F.col("query").alias("question"), F.array("query", F.substring("query", 1, 60)).alias("queries"))
+    a = asking.ask(r, kept(documents_in_chunks(spark, sf_dir), "chunks"))
+    first = a.hits.filter("place = 1").select("request", F.concat(F.lit(" ["), "chunk_id", F.lit("]")).alias("cite"))
+    answers = r.join(first, "request", "left").select("request", F.concat("question", F.coalesce("cite", F.lit(""))).alias("answer"))
+    n = lambda df, name: df.groupBy("request").agg(F.count("*").alias(name))
+    out = r.select("request").join(n(a.queries, "queries"), "request", "left").join(n(a.hits, "hits"), "request", "left").join(a.decisions.select("request", "abstained", "reason"), "request").join(a.prompts, "request").join(a.checked(answers), "request", "left")
+    return out.select("request", F.coalesce("queries", F.lit(0)).alias("queries"), F.coalesce("hits", F.lit(0)).alias("hits"), "abstained", "reason", F.length("prompt").alias("prompt_chars"), "coverage", "unverified")
