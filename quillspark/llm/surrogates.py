@@ -239,11 +239,13 @@ def _person(value: str, key: bytes) -> str:
     words = value[len(title) :].split(" ")
     out = []
     for i, w in enumerate(words):
-        if not i and w in _GIVEN and (len(words) > 1 or title):
+        if w in _GIVEN:  # wherever it stands: alone, first, second or last, a listed name has one surrogate
             group = GIVEN[_GIVEN[w]]
             w = group[_permutation(key, "given|" + "|".join(_GIVEN[w]), len(group), 1)(group.index(w), 0)[0]]
         elif i == len(words) - 1 or w not in PARTICLES:
             w = _word(w, key, "surname")
+            while w in _GIVEN:  # walks on through the permutation, which stays one of all words that aren't listed
+                w = _word(w, key, "surname")
         out.append(w)
     return title + " ".join(out)
 

@@ -157,3 +157,29 @@ def test_brute_force(spark, sf):
             out += text[at:a] + su.surrogate(k, text[a:b], KEY)
             at = b
         assert r["text"] == out + text[at:]
+
+
+def test_a_listed_name_has_one_surrogate_wherever_it_stands():
+    from quillspark.llm import surrogates as su
+
+    key = b"k"
+    for name in [n for g in su.GIVEN.values() for n in g]:
+        alone = su.surrogate("person", name, key)
+        assert alone != name and alone in su._GIVEN
+        for whole in (f"{name} Smith", f"{name} Maria Smith", f"Maria {name} Smith", f"Smith {name}", f"Dr. {name}"):
+            parts = su.surrogate("person", whole, key).split(" ")
+            assert parts[whole.split(" ").index(name)] == alone, whole
+    assert su.surrogate("person", "Anna Smith", key).split(" ")[1] == su.surrogate("person", "Anna Maria Smith", key).split(" ")[2] == su.surrogate("person", "Smith", key)
+
+
+def test_words_that_are_not_listed_never_become_listed_ones():
+    """Every word of three and four letters, under one key: still one surrogate each, and none from the list."""
+    import itertools
+    import string
+
+    from quillspark.llm import surrogates as su
+
+    short = {n for n in su._GIVEN if len(n) <= 3}
+    words = ["".join(x).capitalize() for x in itertools.product(string.ascii_lowercase, repeat=3)]
+    got = [su.surrogate("person", w, b"k") for w in words if w not in short]
+    assert not set(got) & set(su._GIVEN) and len(set(got)) == len(got)
