@@ -240,7 +240,7 @@ g9 AS (SELECT *, row_number() OVER (PARTITION BY request, source ORDER BY p5) AS
 g10 AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN NOT looks THEN p5 END NULLS LAST, CASE WHEN p5 = 1 THEN 0 WHEN source = leader THEN turn - 1 ELSE turn END, first, doc_id) AS p6 FROM g9)
 SELECT * FROM (SELECT request, doc_id, row_number() OVER (PARTITION BY request ORDER BY p6) AS place, round(score2, 6) AS score, support FROM g10 WHERE score2 >= 0.1) WHERE place <= 6""")
 def guided_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ten steps with something to do: even requests ask for two sources, of three one looks its words up, and another defines a source."""
+    """Nine steps with something to do (the constraints' pre-filter is in `ask_documents`): even requests ask for two sources, of three one looks its words up, and another defines a source."""
     requests = asked(spark, sf_dir)
     category = requests.filter("request % 2 = 0").select("request", F.lit("category").alias("kind"), F.array(F.concat(F.lit("src"), (F.col("request") % 20).cast("string")), F.lit("src0")).alias("tokens"))
     looks = requests.select("request", F.when(F.col("request") % 3 == 1, F.array_distinct(tokens(F.col("query")))).alias("lookup_terms"))
