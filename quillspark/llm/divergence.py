@@ -34,9 +34,11 @@ PRIOR, SCALE = 5, 10**9
 #: Terms listed for each group.
 TOP = 50
 #: Counters (term and source) of a task at which its trie is sent off and a new one begun.
-BUFFER = 400_000
+BUFFER = 1_500_000
 #: Parts in which a group's candidates are cut down.
 SALTS = 64
+#: Bytes of a text that are cut into terms at once.
+CUT = 1 << 20
 #: Rows of a batch that leaves Python.
 ROWS = 20_000
 #: Sources whose distances to all others one task adds up; shares (terms times sources) held at once.
@@ -50,115 +52,136 @@ class Node:
     __slots__ = ("edges", "leaf")
 
     def __init__(self) -> None:
-        self.edges: dict[int, tuple[bytes, Node]] = {}
-        self.leaf: Leaf | None = None
+        self.edges: dict[int, tuple[bytes, Node]] | None = None
+        self.leaf = -1
 
 
-class Leaf:
-    """Of one term: the texts that have it, and its occurrences by source."""
-
-    __slots__ = ("counts", "texts")
-
-    def __init__(self) -> None:
-        self.texts, self.counts = 0, {}
+def shared(a: bytes, b: bytes) -> int:
+    """How many bytes a and b have in common at the start."""
+    n = min(len(a), len(b))
+    return n - (((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) >> 3)
 
 
 class Trie:
-    """A radix trie over bytes: an edge holds the bytes that all terms below share."""
+    """A radix trie over bytes: an edge holds the bytes that all terms below share, and a leaf the number of its term, in the order in which they came."""
 
     def __init__(self) -> None:
-        self.root = Node()
-
-    def leaf(self, term: bytes) -> Leaf:
-        """The leaf of a term, made if it isn't there."""
-        node, at = self.root, 0
-        while at < len(term):
-            edge = node.edges.get(term[at])
-            if edge is None:
+        self.root, self.size = Node(), 0
+
+    def number(self, term: bytes) -> int:
+        """The number of a term; a new one is added."""
+        node, at, length = self.root, 0, len(term)
+        while at < length:
+            edges, first = node.edges, term[at]
+            if edges is None or first not in edges:
                 end = Node()
-                node.edges[term[at]] = (term[at:], end)
+                if edges is None:
+                    node.edges = {first: (term[at:], end)}
+                else:
+                    edges[first] = (term[at:], end)
                 node = end
                 break
-            label, below = edge
+            label, below = edges[first]
             if not term.startswith(label, at):
-                k = next((i for i, (a, b) in enumerate(zip(label, term[at : at + len(label)])) if a != b), len(term) - at)
+                k = shared(label, term[at : at + len(label)])
                 fork = Node()
-                fork.edges[label[k]] = (label[k:], below)
-                node.edges[term[at]] = (label[:k], fork)
-                label, below = label[:k], fork
+                fork.edges = {label[k]: (label[k:], below)}
+                label = label[:k]
+                edges[first] = (label, fork)
+                below = fork
             node, at = below, at + len(label)
-        if node.leaf is None:
-            node.leaf = Leaf()
+        if node.leaf < 0:
+            node.leaf = self.size
+            self.size += 1
         return node.leaf
 
-    def merge(self, other: Trie) -> None:
-        for term, leaf in other.walk():
-            own = self.leaf(term)
-            own.texts += leaf.texts
-            for source, n in leaf.counts.items():
-                own.counts[source] = own.counts.get(source, 0) + n
-
-    def walk(self) -> Iterator[tuple[bytes, Leaf]]:
-        """Terms and leaves by the terms' bytes."""
+    def walk(self) -> Iterator[tuple[bytes, int]]:
+        """Terms and numbers by the terms' bytes."""
         todo = [(b"", self.root)]
         while todo:
             term, node = todo.pop()
-            if node.leaf:
+            if node.leaf >= 0:
                 yield term, node.leaf
-            for first in sorted(node.edges, reverse=True):
-                label, below = node.edges[first]
-                todo.append((term + label, below))
-
-
-def terms(text: bytes) -> list[bytes]:
-    """Runs of letters and of characters outside of ASCII, capitals of ASCII in lower case."""
-    return text.translate(_TERM).split()
+            if node.edges:
+                for first in sorted(node.edges, reverse=True):
+                    label, below = node.edges[first]
+                    todo.append((term + label, below))
+
+
+class Counts:
+    """The counters of a language's trie, by leaf: texts that have the term, and its occurrences by source, as cells (leaf, source, n)."""
+
+    def __init__(self, texts: dict[bytes, int] | None = None, by_source: dict[str, dict[bytes, int]] | None = None) -> None:
+        """texts: of each term; by_source: of each source, occurrences of terms that are in texts."""
+        self.trie, self.sources = Trie(), list(by_source or {})
+        leaves = {term: self.trie.number(term) for term in texts or ()}  # a term descends once, for all sources
+        self.texts = np.fromiter((texts or {}).values(), np.int64, len(leaves))
+        parts = [np.zeros((3, 0), np.int64)]
+        for k, own in enumerate((by_source or {}).values()):
+            parts.append(np.stack([np.fromiter(map(leaves.__getitem__, own), np.int64, len(own)), np.full(len(own), k), np.fromiter(own.values(), np.int64, len(own))]))
+        self.cells = np.concatenate(parts, axis=1)
+
+    def merge(self, other: Counts) -> None:
+        """Adds the counters of another trie to the leaves of the same terms."""
+        leaf = np.zeros(other.trie.size, np.int64)
+        for term, k in other.trie.walk():
+            leaf[k] = self.trie.number(term)
+        texts = np.zeros(self.trie.size, np.int64)
+        texts[: len(self.texts)] = self.texts
+        np.add.at(texts, leaf, other.texts)
+        self.texts = texts
+        names = {s: i for i, s in enumerate(self.sources)}
+        source = np.array([names.setdefault(s, len(names)) for s in other.sources], np.int64)
+        self.sources = list(names)
+        cells = np.concatenate([self.cells, np.stack([leaf[other.cells[0]], source[other.cells[1]] if len(source) else other.cells[1], other.cells[2]])], axis=1)
+        where, inverse = np.unique(cells[0] * max(1, len(names)) + cells[1], return_inverse=True)
+        n = np.zeros(len(where), np.int64)
+        np.add.at(n, inverse, cells[2])
+        self.cells = np.stack([where // max(1, len(names)), where % max(1, len(names)), n])
+
+    def serial(self, lang: str, most: int) -> Iterator[pa.RecordBatch]:
+        """The traversal, leaves with their counters, in batches of `most` terms."""
+        walked = list(self.trie.walk())
+        words, leaf = [t for t, _ in walked], np.fromiter((k for _, k in walked), np.int64, len(walked))
+        place = np.zeros(len(leaf), np.int64)
+        place[leaf] = np.arange(len(leaf))
+        at = place[self.cells[0]]
+        order = np.argsort(at, kind="stable")
+        source, n = self.cells[1][order], self.cells[2][order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(leaf)))])
+        names = pa.array(self.sources, pa.string())
+        for a in range(0, len(words), most):
+            b = min(len(words), a + most)
+            cut = slice(int(ends[a]), int(ends[b]))
+            yield batch_of([lang] * (b - a), words[a:b], self.texts[leaf[a:b]], np.diff(ends[a : b + 1]), names.take(pa.array(source[cut])), n[cut])
+
+
+def terms(text: bytes) -> Iterator[list[bytes]]:
+    """Runs of letters and of characters outside of ASCII, capitals of ASCII in lower case; those of a long text in lots."""
+    text, at = text.translate(_TERM), 0
+    while at < len(text):
+        end = text.find(b" ", at + CUT)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
 
 
 LEAVES = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
 MERGED = "lang string, term string, texts long, leaves array<struct<source: string, n: long>>"
 
 
-def batch_of(langs: list[str], words: list[bytes], texts: list[int], sizes: list[int], sources: list[str], counts: list[int]) -> pa.RecordBatch:
+def batch_of(langs: list[str], words: list[bytes], texts, sizes, sources, counts) -> pa.RecordBatch:
     leaves = pa.StructArray.from_arrays([pa.array(sources, pa.string()), pa.array(counts, pa.int64())], ["source", "n"])
     ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(texts, pa.int64()), pa.ListArray.from_arrays(ends, leaves)], names=["lang", "term", "texts", "leaves"])
 
 
-def planted(counts: dict[tuple[str, str], Counter], texts: dict[str, Counter]) -> dict[str, Trie]:
-    """A trie for each language, of what was counted; the counters are empty afterwards."""
-    tries: dict[str, Trie] = {}
+def sent(counts: dict[str, dict[str, Counter]], texts: dict[str, Counter], most: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """What was counted, by language and source, as traversals of tries; the counters are empty afterwards."""
     gc.disable()  # nothing here is garbage, and the collector would look at every new node again and again
-    for lang, own in texts.items():
-        trie = tries[lang] = Trie()
-        leaves = {term: trie.leaf(term) for term in own}
-        for term, n in own.items():
-            leaves[term].texts += n
-        own.clear()
-        for (other, source), many in counts.items():
-            if other == lang:
-                for term, n in many.items():
-                    leaves[term].counts[source] = n
-                many.clear()
+    for lang in sorted(texts):
+        yield from Counts(texts.pop(lang), counts.pop(lang)).serial(lang, most)
     gc.enable()
-    return tries
-
-
-def serial(tries: dict[str, Trie], most: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The traversals of a task's tries."""
-    for lang in sorted(tries):
-        words, texts, sizes, sources, counts = [], [], [], [], []
-        for term, leaf in tries[lang].walk():
-            words.append(term)
-            texts.append(leaf.texts)
-            sizes.append(len(leaf.counts))
-            sources += leaf.counts.keys()
-            counts += leaf.counts.values()
-            if len(words) >= most or len(counts) >= 8 * most:
-                yield batch_of([lang] * len(words), words, texts, sizes, sources, counts)
-                words, texts, sizes, sources, counts = [], [], [], [], []
-        if words:
-            yield batch_of([lang] * len(words), words, texts, sizes, sources, counts)
 
 
 def counted(docs: DataFrame, buffer: int = BUFFER) -> DataFrame:
@@ -166,17 +189,19 @@ def counted(docs: DataFrame, buffer: int = BUFFER) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         texts: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, source, text in zip(langs, sources, batch.column(2).cast(pa.binary()), strict=True):
-                own = terms(text.as_py())
-                counts[lang, source].update(own)
-                texts[lang].update(set(own))
-            if sum(map(len, counts.values())) >= buffer:
-                yield from serial(planted(counts, texts))
-        yield from serial(planted(counts, texts))
+                seen, of_source = set(), counts[lang][source]
+                for own in terms(text.as_py()):
+                    of_source.update(own)
+                    seen.update(own)
+                texts[lang].update(seen)
+            if sum(len(own) for by in counts.values() for own in by.values()) >= buffer:
+                yield from sent(counts, texts)
+        yield from sent(counts, texts)
 
     return docs.select("lang", "source", "text").mapInArrow(run, MERGED)
 

@@ -39,6 +39,8 @@ BLANK = "▁"
 STOP = "\n"
 #: Blanks and what follows them, or blanks that nothing follows. Line ends are counted one by one.
 PRE_TOKEN = re.compile(f"[ {BLANK}]*[^ {BLANK}{STOP}]+|[ {BLANK}]+")
+#: A blank after something else: where a text may be cut. Characters of a text that are cut into pre-tokens at once, about.
+_BORDER, CUT = re.compile(f"(?<=[^ {BLANK}])[ {BLANK}]"), 1 << 20
 #: A task sends off what it has at so many pre-tokens; documents are numbered in 16 bits.
 BUFFER, NUMBERS = 6_000_000, 1 << 16
 #: Buckets for each partition of a shuffle, and the pre-tokens whose pieces a task keeps in mind.
@@ -76,9 +78,19 @@ class Tokenizer:
             raise ValueError("the model changes blanks, line ends or other characters before it encodes")
 
 
-def pre_tokens(text: str) -> list[str]:
-    """The pre-tokens of a text, with the blank which the library puts in front of a text that isn't empty. A line end is an empty string."""
-    return PRE_TOKEN.findall(f" {text}") + [""] * text.count(STOP) if text else []
+def slices(text: str, cut: int = CUT) -> Iterator[str]:
+    """A text that isn't empty, with the blank which the library puts in front of it, in parts that begin with a pre-token each."""
+    text, at = f" {text}", 0
+    while at < len(text):
+        border = _BORDER.search(text, at + cut)
+        end = border.start() if border else len(text)
+        yield text[at:end]
+        at = end
+
+
+def pre_tokens(part: str) -> list[str]:
+    """The pre-tokens of a part of a text. A line end is an empty string."""
+    return PRE_TOKEN.findall(part) + [""] * part.count(STOP)
 
 
 def piece_counts(sp, words: list[str]) -> list[int]:
@@ -109,11 +121,12 @@ class Buffer:
         self.ids.append(ids)
         self.sizes.append(pc.cast(pc.binary_length(texts), pa.int64()))
         for text in texts.to_pylist():
-            words = pre_tokens(text)
-            numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            self.parts.append(numbers << 16 | self.docs)
+            for part in slices(text) if text else ():
+                words = pre_tokens(part)
+                numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+                self.parts.append(numbers << 16 | self.docs)
+                self.n += len(words)
             self.docs += 1
-            self.n += len(words)
 
     def buckets(self, own: int, count: int, few: int) -> Iterator[tuple[int, bytes, bytes]]:
         """(bucket, packed words, packed numbers and frequencies) of each bucket."""

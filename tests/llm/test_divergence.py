@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm.divergence import OP13_SQL, Trie, divergence, op13_divergence, share, terms
+from quillspark.llm.divergence import CUT, OP13_SQL, Counts, divergence, op13_divergence, share, terms
 
 from ..compare import assert_same, connection
 
@@ -82,19 +82,21 @@ def test_registered_query(spark, sf):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.text("abé文", min_size=1, max_size=6), st.sampled_from("xyz")), max_size=40), max_size=4))
 def test_tries(parts):
-    whole, want = Trie(), Counter()
+    """Merged tries hold what was counted, and are walked in the order of bytes."""
+    whole, want, texts = Counts(), Counter(), Counter()
     for part in parts:
-        own = Trie()
-        for term, source in part:
-            leaf = own.leaf(term.encode())
-            leaf.texts += 1
-            leaf.counts[source] = leaf.counts.get(source, 0) + 1
-            want[term.encode(), source] += 1
-        whole.merge(own)
-    walked = list(whole.walk())
-    assert [t for t, _ in walked] == sorted({t for t, _ in want})
-    assert {(t, s): n for t, leaf in walked for s, n in leaf.counts.items()} == want
-    assert all(leaf.texts == sum(leaf.counts.values()) for _, leaf in walked)
+        by_source = {s: Counter(t.encode() for t, x in part if x == s) for s in sorted({x for _, x in part})}
+        own = Counter(t.encode() for t, _ in part)
+        whole.merge(Counts(own, by_source))
+        want.update((t.encode(), s) for t, s in part)
+        texts.update(own)
+    walked = list(whole.trie.walk())
+    assert [t for t, _ in walked] == sorted(texts)
+    term = {k: t for t, k in walked}
+    assert {(term[k], whole.sources[s]): n for k, s, n in whole.cells.T.tolist()} == want
+    assert {term[k]: n for k, n in enumerate(whole.texts.tolist())} == texts
+    rows = [r for b in whole.serial("en", 3) for r in b.to_pylist()]
+    assert [(r["term"].encode(), r["texts"], {x["source"]: x["n"] for x in r["leaves"]}) for r in rows] == [(t, texts[t], {s: n for (u, s), n in want.items() if u == t}) for t in sorted(texts)]
 
 
 @settings(max_examples=300, deadline=None)
@@ -107,4 +109,9 @@ def test_shares_are_exact(count, whole):
 @settings(max_examples=300, deadline=None)
 @given(st.text())
 def test_terms(text):
-    assert [t.decode() for t in terms(text.encode())] == [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text)]
+    assert [t.decode() for own in terms(text.encode()) for t in own] == [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text)]
+
+
+def test_terms_of_long_texts_are_cut_between_terms():
+    text = "Abc " * (CUT // 2) + "é" * CUT + " end"
+    assert [t.decode() for own in terms(text.encode()) for t in own] == ["abc"] * (CUT // 2) + ["é" * CUT, "end"] and sum(1 for _ in terms(text.encode())) >= 3
