@@ -189,8 +189,8 @@ def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every four lines of a document are a chunk, two chunks a section; the source is the title."""
     lines = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("none")).alias("document"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    at = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 4))
-    c = lines.select("doc_id", "document", "lines", F.explode(at).cast("int").alias("chunk_index"))
+    at = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 4).cast("int"))
+    c = lines.select("doc_id", "document", "lines", F.explode(at).alias("chunk_index"))
     part = F.slice("lines", 4 * F.col("chunk_index") + 1, F.lit(4))
     c = c.select(F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "document", F.col("doc_id").alias("document_id"), F.concat("document", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), F.array("document").alias("title_path"),
                  F.floor(F.col("chunk_index") / 2).cast("int").alias("section_index"), "chunk_index", F.array_join(part, "\n").alias("content"), (4 * F.col("chunk_index") + 1).alias("start_line"), (4 * F.col("chunk_index") + F.size(part)).alias("end_line"))
