@@ -32,6 +32,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if size <= n * SMALL_TASK else df
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, limit: str = "4m") -> None:
+    """From now on Arrow batches of this session hold about `limit` bytes at most, for Spark's default is held several times over by each
+    Python worker. A limit that the session has set itself stays."""
+    if spark.conf.get(_BATCH) in ("64MB", "67108864", "67108864b", "64m"):
+        spark.conf.set(_BATCH, limit)
+
+
 def computed(df: DataFrame, columns: dict) -> DataFrame:
     """df with columns that are worked out once per row, where they stand. A plain projection would be copied into every filter and
     expression above it, which grows out of hand when columns build on each other."""

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import ranked
+from quillspark.functions.frames import bounded_batches
 
-#: Query vectors of one pass: they are held by every task.
-QUERY_BLOCK = 4096
+from .best import CELLS, Best
+from .lexical import QUERY_BLOCK, ranked
 
 
 def hash_embedding(text: Column) -> Column:
@@ -21,12 +21,18 @@ def hash_embedding(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0)
 
 
+def nearest_of(k: int, n: int) -> Best:
+    """The k best cosines of n queries, by semantic score; its slope is a ninth at least."""
+    return Best(k, n, lambda c: 1 / (1 + np.maximum(0.0, 1 - c)), 1e-7)
+
+
 def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, query_id: str, k: int, vector: str = "embedding") -> DataFrame:
     """query_id, key, rank, distance (1 - cosine), semantic_score: the k nearest rows of each query, exactly.
 
-    Each task keeps its k best per query by one matrix product; only those are shuffled. Queries go out in blocks of
+    Each task keeps its k best per query by matrix products of CELLS cells; only those are shuffled. Queries go out in blocks of
     QUERY_BLOCK. Vectors of length 0 are at distance 1 from all.
     """
+    bounded_batches(vectors.sparkSession)
     kinds = (vectors.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString())
     asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL")
     blocks = -(-asked.count() // QUERY_BLOCK)
@@ -39,16 +45,14 @@ def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, query_id: str,
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, unit = shared.value
+            best = nearest_of(k, len(ids))
+            lot = max(1, CELLS // max(1, len(ids)))
             for batch in batches:
-                column = batch.column("v")
-                if not len(column) or not len(ids):
-                    continue
-                own = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
-                cosine = unit @ (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)).T
-                m = min(k, cosine.shape[1])
-                edge = np.partition(cosine, -m, axis=1)[:, -m][:, None]
-                q, at = np.nonzero(cosine >= edge - 1e-9)  # ties at the edge stay in
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column("k").take(pa.array(at)), pa.array(1 - cosine[q, at])], names=["q", "k", "distance"])
+                for at in range(0, batch.num_rows if ids else 0, lot):
+                    some = batch.slice(at, lot)
+                    own = np.asarray(some.column("v").flatten(), np.float64).reshape(some.num_rows, -1)
+                    best.add(unit @ (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)).T, some.column("k"))
+            yield from best.batches(ids, "distance", lambda c: 1 - c)
 
         part = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(run, f"q {kinds[1]}, k {kinds[0]}, distance double")
         best = part if best is None else best.unionByName(part)
