@@ -27,7 +27,12 @@ def nearest_of(k: int, n: int) -> Best:
 
 
 def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, query_id: str, k: int, vector: str = "embedding") -> DataFrame:
-    """query_id, key, rank, distance (1 - cosine), semantic_score: the k nearest rows of each query, exactly.
+    """query_id, key, rank, distance (1 - cosine), semantic_score: the k nearest rows of each query, exactly."""
+    return ranked(nearest_rows(vectors, queries, key, query_id, k, vector), query_id, key, k, "semantic_score")
+
+
+def nearest_rows(vectors: DataFrame, queries: DataFrame, key: str, query_id: str, k: int, vector: str = "embedding") -> DataFrame:
+    """query_id, key, distance, semantic_score: of each task's rows the k nearest of each query.
 
     Each task keeps its k best per query by matrix products of CELLS cells; only those are shuffled. Queries go out in blocks of
     QUERY_BLOCK. Vectors of length 0 are at distance 1 from all.
@@ -56,8 +61,7 @@ def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, query_id: str,
 
         part = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(run, f"q {kinds[1]}, k {kinds[0]}, distance double")
         best = part if best is None else best.unionByName(part)
-    out = best.select(F.col("q").alias(query_id), F.col("k").alias(key), "distance", (1 / (1 + F.greatest(F.lit(0.0), F.col("distance")))).alias("semantic_score"))
-    return ranked(out, query_id, key, k, "semantic_score")
+    return best.select(F.col("q").alias(query_id), F.col("k").alias(key), "distance", (1 / (1 + F.greatest(F.lit(0.0), F.col("distance")))).alias("semantic_score"))
 
 
 def metadata_sizes(sizes: DataFrame, size: str = "size") -> DataFrame:

@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import ranked
-from .semantic import QUERY_BLOCK
+from quillspark.functions.frames import bounded_batches
+
+from .best import CELLS
+from .lexical import QUERY_BLOCK, ranked
+from .semantic import nearest_of
 
 #: Vectors that centroids are fitted to, at most, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 12
-#: Rows of an Arrow batch that are multiplied at once.
-ROWS = 8192
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -40,7 +41,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(rows: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
     """The n nearest centroids of each row, the nearest first; of equally near ones the first."""
-    return np.argsort(-(rows @ centroids.T), axis=1, kind="stable")[:, :n]
+    near = rows @ centroids.T
+    return near.argmax(1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
 
 
 def fitted(rows: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -77,13 +79,14 @@ def centroids_of(vectors: DataFrame, key: str, lists: int, vector: str = "embedd
 
 def assigned(vectors: DataFrame, centroids: np.ndarray, key: str, vector: str = "embedding") -> DataFrame:
     """key, vector, list: every vector that isn't null with its list. Rows that come later are assigned with the same centroids and appended."""
-    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
+    bounded_batches(vectors.sparkSession)
+    shared, lot = vectors.sparkSession.sparkContext.broadcast(centroids), max(1, CELLS // max(1, len(centroids)))
     kinds = [f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in (key, vector)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = np.concatenate([nearest(matrix(batch.column(1).slice(a, ROWS)), shared.value)[:, 0] for a in range(0, batch.num_rows, ROWS)])
+                own = np.concatenate([nearest(matrix(batch.column(1).slice(a, lot)), shared.value)[:, 0] for a in range(0, batch.num_rows, lot)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], names=[key, vector, "list"])
 
     return vectors.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{', '.join(kinds)}, list int")
@@ -97,6 +100,12 @@ def laid_out(index: DataFrame, key: str) -> DataFrame:
 
 def search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, query_id: str, k: int, probes: int, vector: str = "embedding") -> DataFrame:
     """query_id, key, rank, distance, semantic_score: the k nearest rows among the `probes` nearest lists of each query."""
+    return ranked(nearest_rows(index, centroids, queries, key, query_id, k, probes, vector), query_id, key, k, "semantic_score")
+
+
+def nearest_rows(index: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, query_id: str, k: int, probes: int, vector: str = "embedding") -> DataFrame:
+    """query_id, key, distance, semantic_score: of each task's rows in those lists the k nearest of each query, by matrices of CELLS cells."""
+    bounded_batches(index.sparkSession)
     kinds = (index.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString())
     asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -110,25 +119,23 @@ def search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, own, of_list = shared.value
+            best = nearest_of(k, len(ids))
             for batch in batches:
                 lists = batch.column("list").to_numpy()
                 order = np.argsort(lists, kind="stable")
                 cuts = np.flatnonzero(np.diff(lists[order])) + 1
                 for at in np.split(order, cuts) if len(order) else []:
                     asking = of_list.get(int(lists[at[0]]))
-                    for a in range(0, len(at) if asking is not None else 0, ROWS):
-                        some = at[a : a + ROWS]
-                        cosine = own[asking] @ matrix(batch.column("v").take(pa.array(some))).T
-                        m = min(k, cosine.shape[1])
-                        edge = np.partition(cosine, -m, axis=1)[:, -m][:, None]
-                        q, r = np.nonzero(cosine >= edge - 1e-9)  # ties at the edge stay in
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in asking[q]]), batch.column("k").take(pa.array(some[r])), pa.array(1 - cosine[q, r])], names=["q", "k", "distance"])
+                    lot = max(1, CELLS // max(1, len(asking))) if asking is not None else 1
+                    for a in range(0, len(at) if asking is not None else 0, lot):
+                        some = pa.array(at[a : a + lot])
+                        best.add(own[asking] @ matrix(batch.column("v").take(some)).T, batch.column("k").take(some), asking)
+            yield from best.batches(ids, "distance", lambda c: 1 - c)
 
         lists = index.filter(F.col("list").isin([int(c) for c in of_list])) if len(of_list) < len(centroids) else index
         part = lists.select(F.col(key).alias("k"), F.col(vector).alias("v"), "list").mapInArrow(run, f"q {kinds[1]}, k {kinds[0]}, distance double")
         best = part if best is None else best.unionByName(part)
-    out = best.select(F.col("q").alias(query_id), F.col("k").alias(key), "distance", (1 / (1 + F.greatest(F.lit(0.0), F.col("distance")))).alias("semantic_score"))
-    return ranked(out, query_id, key, k, "semantic_score")
+    return best.select(F.col("q").alias(query_id), F.col("k").alias(key), "distance", (1 / (1 + F.greatest(F.lit(0.0), F.col("distance")))).alias("semantic_score"))
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str, key: str, k: int, margin: float = 1e-6) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import best, lexical
+from quillspark.operators import best, lexical, semantic, vector_index
 
 
 @pytest.mark.parametrize("kind", ["int", "text"])
@@ -50,3 +50,16 @@ def test_bm25_sends_on_the_best_of_each_task(spark):
         want = sorted((-round(s, 8), i) for i, s in enumerate(sum(map(part, terms))) if s > 0)[:5]
         assert [(-round(r["score"], 8), r["doc_id"]) for r in got if r["q"] == q] == want
     assert {r["q"] for r in got} == {"a", "b"}
+
+
+def test_equal_vectors_stay_in_their_task(spark):
+    """Three thousand copies of a vector: of each task the five with the least keys, by the exact search and by lists."""
+    rows = [(i, [1.0, 2.0] if i < 3000 else [-1.0, float(i % 7)]) for i in range(3500)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [2.0, 4.0])], "q string, embedding array<double>")
+    lists = vector_index.centroids_of(v, "vec_id", 2)
+    index = vector_index.assigned(v, lists, "vec_id")
+    for near in (semantic.nearest_rows(v, q, "vec_id", "q", 5), vector_index.nearest_rows(index, lists, q, "vec_id", "q", 5, 2)):
+        assert near.count() <= 2 * 5 * 3
+    for hits in (semantic.knn_cosine(v, q, "vec_id", "q", 5), vector_index.search(index, lists, q, "vec_id", "q", 5, 1)):
+        assert sorted((r["q"], r["rank"], r["vec_id"]) for r in hits.collect()) == [(x, i + 1, i) for x in "ab" for i in range(5)]
