@@ -105,6 +105,23 @@ def dedupe_fold(values: Column) -> Column:
     return let(F.arrays_zip(cleaned.alias("v"), low.alias("k")), lambda z: F.transform(F.filter(z, lambda e, i: F.array_position(F.transform(z, lambda x: x["k"]), e["k"]) == i + 1), lambda e: e["v"]))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many digits after the point, rounded by what the double is exactly, halves to even, as C and SQL engines print it
+    (format_string rounds the shortest decimal that stands for the double). For numbers of up to 2**53 / 10**digits."""
+    by, split = float(10**digits), float((1 << 27) + 1)
+
+    def of(x: Column) -> Column:
+        high = let(x * split, lambda c: c - (c - x))
+        whole = F.floor(x * by)
+        rest = x * by - whole - 0.5  # the product is off by `error`, which counts where it is a half as it stands
+        error = (high * by - x * by) + (x - high) * by
+        up = (rest > 0) | ((rest == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        n = F.when(up, whole + 1).otherwise(whole).cast("long")
+        return F.concat(F.floor(n / 10**digits).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+
+    return F.concat(F.when(value < 0, "-").otherwise(""), let(F.abs(value.cast("double")), of))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
