@@ -194,7 +194,8 @@ def documents_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.slice("lines", 4 * F.col("chunk_index") + 1, F.lit(4))
     c = c.select(F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "document", F.col("doc_id").alias("document_id"), F.concat("document", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), F.array("document").alias("title_path"),
                  F.floor(F.col("chunk_index") / 2).cast("int").alias("section_index"), "chunk_index", F.array_join(part, "\n").alias("content"), (4 * F.col("chunk_index") + 1).alias("start_line"), (4 * F.col("chunk_index") + F.size(part)).alias("end_line"))
-    return c.withColumn("embedding", semantic.hash_embedding(F.col("content")))
+    # written without vectors, which would take more room than the texts and follow from them
+    return kept(c, "chunks").withColumn("embedding", semantic.hash_embedding(F.col("content")))
 
 
 @query()
@@ -202,7 +203,7 @@ def ask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of the benchmark asked over all documents, in two queries: how many spellings, hits and passages shown, the decision, the prompt's length, and
     how far an answer that is the passage, citing the first hit, is borne out by what was shown."""
     r = asked(spark, sf_dir).select(F.col("request").cast("string").alias("request"), F.col("query").alias("question"), F.array("query", F.substring("query", 1, 60)).alias("queries"))
-    a = asking.ask(r, kept(documents_in_chunks(spark, sf_dir), "chunks"))
+    a = asking.ask(r, documents_in_chunks(spark, sf_dir))
     first = a.hits.filter("place = 1").select("request", F.concat(F.lit(" ["), "chunk_id", F.lit("]")).alias("cite"))
     answers = r.join(first, "request", "left").select("request", F.concat("question", F.coalesce("cite", F.lit(""))).alias("answer"))
     n = lambda df, name: df.groupBy("request").agg(F.count("*").alias(name))
