@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import table
+from quillspark.functions.frames import kept, table
 from quillspark.operators import evaluation as ev
 from quillspark.operators.containment import containment
 from quillspark.operators.lexical import bm25_topk
@@ -29,8 +29,8 @@ round(coalesce(count(*) FILTER (should_abstain AND NOT abstained) / nullif(count
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
-    hits = bm25_topk(corpus(spark, sf_dir), asked(spark, sf_dir), "doc_id", "request", "query", 5, FIELDS).withColumnRenamed("request", "case_id")
-    relevant = containment(table(spark, sf_dir, "documents"), items.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage")), "doc_id", "text", "case_id", "passage")
+    hits = kept(bm25_topk(corpus(spark, sf_dir), asked(spark, sf_dir), "doc_id", "request", "query", 5, FIELDS).withColumnRenamed("request", "case_id"), "hits")
+    relevant = kept(containment(table(spark, sf_dir, "documents"), items.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage")), "doc_id", "text", "case_id", "passage"), "relevant")
     cases = items.select(F.col("item_id").alias("case_id"), (F.col("item_id") % 3).alias("kind"))
     ranks = ev.case_ranks(cases, hits, relevant)
     best = hits.groupBy("case_id").agg(F.max("score").alias("best"))
@@ -116,7 +116,7 @@ def stats_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_CASES} SELECT case_id, array_to_string(list_filter([CASE WHEN case_id % 4 = 0 THEN 'abstained' END, CASE WHEN rank IS NOT NULL AND case_id % 2 = 0 THEN 'rank' END], lambda x: x IS NOT NULL), ',') AS changed FROM cr WHERE case_id % 4 = 0 OR (rank IS NOT NULL AND case_id % 2 = 0)")
 def benchmark_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run against one in which some decisions flipped and some ranks were lost."""
-    a = results(spark, sf_dir)
+    a = kept(results(spark, sf_dir), "run")
     b = a.withColumn("abstained", F.when(F.col("case_id") % 4 == 0, ~F.col("abstained")).otherwise(F.col("abstained"))).withColumn("rank", F.when(F.col("case_id") % 2 != 0, F.col("rank")))
     return ev.case_diff(a, b, "case_id", ["abstained", "rank", "search_hit"]).select("case_id", F.array_join("changed", ",").alias("changed"))
 
