@@ -78,7 +78,8 @@ def with_texts(hits: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.rerank_overlap(with_texts(ranking.limit_candidates(fused(spark, sf_dir)), spark, sf_dir))
+    """Written, for most steps read them more than once."""
+    return kept(ranking.rerank_overlap(with_texts(kept(ranking.limit_candidates(fused(spark, sf_dir)), "fused"), spark, sf_dir)), "reranked")
 
 
 def constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
