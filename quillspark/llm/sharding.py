@@ -22,7 +22,7 @@ from .text import set_aside, text_of, written
 HASH_BITS = 60
 LIMIT = 64 << 20
 
-#: A directory of up to so many entries (16 bytes each) is broadcast; a larger one is joined by shuffle.
+#: A directory of up to so many entries (counted, some 100 bytes each) is broadcast; a larger one is joined by shuffle, however small its files are.
 BROADCAST_ENTRIES = 1 << 17
 
 OWN = ("shard", "depth", "part", "shard_bytes", "shard_rows", "bytes")
@@ -38,6 +38,11 @@ def prefix(bits: int) -> Column:
     return F.shiftright(F.col("_h"), HASH_BITS - bits)
 
 
+def side(entries: DataFrame, n: int) -> DataFrame:
+    """A side of a join with n rows: broadcast if that is few; otherwise never, also not by Spark's own estimate, which takes files' sizes."""
+    return F.broadcast(entries) if n <= BROADCAST_ENTRIES else entries.hint("merge")
+
+
 def directory(rows: DataFrame, limit: int, bits: int, above: int) -> DataFrame:
     """_h, _b -> cell (the first `bits` of _h), depth (null where the cell itself is above the limit), with shard_bytes and
     shard_rows. above: bits that are known not to suffice (-1: none)."""
@@ -48,8 +53,8 @@ def directory(rows: DataFrame, limit: int, bits: int, above: int) -> DataFrame:
     sums = level.select(F.explode(F.sequence(F.lit(above + 1), F.lit(bits))).alias("d"), "cell", "b", "n").groupBy("d", F.expr(f"shiftright(cell, {bits} - d)").alias("p")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
     fits = sums.filter((F.col("b") <= limit) | (F.col("n") == 1)).select(F.col("d"), "p", "b", "n")
     up = level.select("cell", F.explode(F.sequence(F.lit(above + 1), F.lit(bits))).alias("d")).withColumn("p", F.expr(f"shiftright(cell, {bits} - d)"))
-    best = up.join(fits, ["d", "p"]).groupBy("cell").agg(F.min(F.struct("d", "b", "n")).alias("s")).select("cell", F.col("s.d").alias("depth"), F.col("s.b").alias("shard_bytes"), F.col("s.n").alias("shard_rows"))
-    return found.select("cell").join(best, "cell", "left")
+    best = up.join(fits.hint("merge") if 1 << bits > BROADCAST_ENTRIES else fits, ["d", "p"]).groupBy("cell").agg(F.min(F.struct("d", "b", "n")).alias("s")).select("cell", F.col("s.d").alias("depth"), F.col("s.b").alias("shard_bytes"), F.col("s.n").alias("shard_rows"))
+    return found.select("cell").join(best.hint("merge") if 1 << bits > BROADCAST_ENTRIES else best, "cell", "left")
 
 
 def shard(docs: DataFrame, limit: int = LIMIT, key: tuple[str, ...] = ("doc_id", "text"), text: str = "text", step: int = 6) -> DataFrame:
@@ -70,15 +75,13 @@ def shard(docs: DataFrame, limit: int = LIMIT, key: tuple[str, ...] = ("doc_id",
         entries = written(directory(rows, limit, bits, above), "shard-directory")
         levels.append((bits, entries))
         deep = entries.filter("depth IS NULL").select("cell")
-        if bits == HASH_BITS or not deep.limit(1).count():
+        if bits == HASH_BITS or not (n := deep.count()):
             break
-        rows = rows.withColumn("cell", prefix(bits)).join(deep, "cell", "left_semi").select("_h", "_b")
+        rows = rows.withColumn("cell", prefix(bits)).join(side(deep, n), "cell", "left_semi").select("_h", "_b")
         above, bits = bits, min(HASH_BITS, bits + step)
     out = tagged
     for k, (b, entries) in enumerate(levels):
-        e = entries.select(F.col("cell").alias(f"_c{k}"), F.struct("depth", "shard_bytes", "shard_rows").alias(f"_e{k}"))
-        if b <= math.log2(BROADCAST_ENTRIES):
-            e = F.broadcast(e)
+        e = side(entries.select(F.col("cell").alias(f"_c{k}"), F.struct("depth", "shard_bytes", "shard_rows").alias(f"_e{k}")), entries.count())
         out = out.join(e, prefix(b) == F.col(f"_c{k}"), "left")
     pick = lambda c: F.coalesce(*[F.col(f"_e{k}.{c}") for k in range(len(levels))])
     out = out.select(*[F.col(f"`{c}`") for c in names], "_h", F.col("_b").alias("bytes"), F.coalesce(pick("depth"), F.lit(HASH_BITS)).alias("depth"), F.lit(0).cast("long").alias("part"), pick("shard_bytes").alias("shard_bytes"), pick("shard_rows").alias("shard_rows"))

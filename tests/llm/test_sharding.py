@@ -82,3 +82,13 @@ def test_one_very_long_text(spark):
     rows = spark.createDataFrame([(1, "x" * 3_000_000), (2, "y"), (3, "z")], "doc_id long, text string")
     got = {r["doc_id"]: (r["bytes"], r["shard_rows"]) for r in sh.shard(rows, limit=1000).collect()}
     assert got[1] == (3_000_000, 1)
+
+
+def test_large_directories_are_not_broadcast(spark, monkeypatch):
+    """Also not by Spark's own choice, which goes by the size of their files; results are the same."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 5)) for i in range(300)], "doc_id long, text string")
+    want = sorted(map(tuple, sh.shard(docs, 100).drop("text").collect()))
+    monkeypatch.setattr(sh, "BROADCAST_ENTRIES", 4)
+    out = sh.shard(docs, 100).drop("text")
+    assert sorted(map(tuple, out.collect())) == want
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
