@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import kept, small_side
-from quillspark.functions.text import dedupe_fold, let
+from quillspark.functions.frames import computed, kept, small_side
+from quillspark.functions.text import let, strip
 from quillspark.functions.vocabulary import ALIASES
 
 from .understanding import normal, strings
@@ -59,20 +59,22 @@ def matches(questions: DataFrame, key: str, text: str, groups: DataFrame) -> Dat
     """key, matches: of every question the groups with a member in it, in order: place, hit (the first such member), members. Questions without any
     aren't there."""
     each = kept(groups.select("place", "members", F.posexplode("members").alias("pos", "alias")), "members")
-    found = mentions(questions, key, text, each).join(small_side(each.select("alias", "place", "pos", "members")), "alias")
+    found = mentions(questions, key, text, each).join(small_side(each.select("alias", "place", "pos", "members")), "alias").repartition(key)  # for both steps
     first = found.groupBy(key, "place").agg(F.min_by(F.struct(F.col("alias").alias("hit"), "members"), "pos").alias("m"))
     return first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", F.col("m.hit").alias("hit"), F.col("m.members").alias("members")))).alias("matches"))
 
 
 def variants_from(text: Column, found: Column, limit: int = 4) -> Column:
-    """The text with a matched member replaced, once, by each other member of its group, group by group; distinct ones, `limit` at most."""
-    t = normal(text)
+    """The text with a matched member replaced, once, by each other member of its group, group by group; distinct ones, `limit` at most. Those after
+    the last that counts are not made."""
+    pairs = F.flatten(F.transform(found, lambda m: F.transform(F.filter(m["members"], lambda a: a != m["hit"]), lambda a: F.struct(m["hit"].alias("hit"), a.alias("a")))))
 
-    def of(m: Column) -> Column:
-        cut = lambda a: F.concat(F.substring(t, F.lit(1), F.instr(t, m["hit"]) - 1), a, F.substring(t, F.instr(t, m["hit"]) + F.length(m["hit"]), F.length(t)))
-        return F.transform(F.filter(m["members"], lambda a: a != m["hit"]), cut)
+    def of(t: Column) -> Column:
+        cut = lambda p: F.concat(F.substring(t, F.lit(1), F.instr(t, p["hit"]) - 1), p["a"], F.substring(t, F.instr(t, p["hit"]) + F.length(p["hit"]), F.length(t)))
+        new = lambda made, v: F.when((v == t) | (strip(v) == "") | F.exists(made, lambda x: F.lower(x) == F.lower(strip(v))), made).otherwise(F.concat(made, F.array(strip(v))))
+        return F.aggregate(pairs, strings([]), lambda made, p: F.when(F.size(made) >= limit, made).otherwise(let(cut(p), lambda v: new(made, v))))
 
-    return F.slice(dedupe_fold(F.filter(F.flatten(F.transform(found, of)), lambda x: x != t)), 1, limit)
+    return let(normal(text), of)
 
 
 def subjects_of(found: Column) -> Column:
@@ -85,5 +87,5 @@ def expanded(questions: DataFrame, key: str, text: str, groups: DataFrame) -> Da
     m = matches(questions, key, text, groups)
     out = questions.join(m, key, "left")
     slim = F.transform("matches", lambda x: F.struct(x["hit"].alias("hit"), x["members"].alias("members")))
-    made = let(F.coalesce(slim, F.array().cast("array<struct<hit: string, members: array<string>>>")), lambda s: F.struct(variants_from(F.col(text), s).alias("v"), subjects_of(s).alias("s")))
-    return out.withColumn("_made", made).withColumns({"alias_variants": F.col("_made.v"), "alias_subjects": F.col("_made.s")}).drop("_made", "matches")
+    out = computed(out, {"_found": F.coalesce(slim, F.array().cast("array<struct<hit: string, members: array<string>>>"))})
+    return computed(out, {"alias_variants": variants_from(F.col(text), F.col("_found")), "alias_subjects": subjects_of(F.col("_found"))}).drop("_found", "matches")

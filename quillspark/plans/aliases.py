@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.frames import spread, table
+from quillspark.functions.frames import computed, spread, table
 from quillspark.operators import alias_tables
 
 from .registry import query
@@ -31,7 +31,7 @@ def turn_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document names its first two long words and its source as aliases; every user's turn is looked through for all of them."""
     docs = spread(table(spark, sf_dir, "documents"))
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))
-    docs = docs.withColumn("_w", words).select("doc_id", F.array(F.get("_w", F.lit(0)), F.get(F.filter("_w", lambda x: x != F.get("_w", F.lit(0))), F.lit(0)), F.col("source")).alias("aliases"))
+    docs = computed(docs, {"_w": words}).select("doc_id", F.array(F.get("_w", F.lit(0)), F.get(F.filter("_w", lambda x: x != F.get("_w", F.lit(0))), F.lit(0)), F.col("source")).alias("aliases"))
     groups = alias_tables.groups_table(docs, "doc_id", base=[])
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.struct("conv_id", "turn").alias("key"), "text")
     out = alias_tables.expanded(turns, "key", "text", groups)

@@ -1,8 +1,12 @@
 """Alias groups as tables against the expressions over fixed groups."""
 
+import hashlib
+import time
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import alias_tables, understanding
+from quillspark.plans.catalogue import QUERIES
 
 
 def test_as_the_expressions_give(spark):
@@ -27,3 +31,21 @@ def test_empty_tables(spark):
     out = alias_tables.expanded(q.distinct(), "id", "text", alias_tables.groups_table(df, "doc_id", base=[])).collect()
     assert [(r["alias_variants"], r["alias_subjects"]) for r in out] == [([], [])]
     assert alias_tables.expanded(q.limit(0), "id", "text", alias_tables.groups_table(df, "doc_id")).count() == 0
+
+
+def test_long_documents_and_common_members(spark, tmp_path):
+    """Words of a document are cut out once, not once for each of them, and of a turn's variants only those that count are made."""
+    words = lambda i, n: " ".join(f"{a}{b}word" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"[:n]) + f" {i}"
+    long = "alpha alpha " + " ".join([words(i, 26) for i in range(60)])
+    docs = [(0, long, "S0")] + [(i, "common " + "".join(chr(97 + int(c)) for c in f"{i:05}"), "S1") for i in range(1, 6001)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, "user", " The COMMON thing, alpha "), (2, 0, "user", None), (3, 0, "assistant", "common")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.monotonic()
+    got = {r["conv_id"]: (r["variants"], r["subjects"]) for r in QUERIES["turn_aliases"](spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 40
+    md5 = lambda x: hashlib.md5("|".join(x).encode()).hexdigest()
+    names = [d[1].split()[1] for d in docs[1:]]
+    t = "the common thing, alpha"
+    variants = [t.replace("alpha", "aaword"), t.replace("alpha", "s0"), t.replace("common", names[0]), t.replace("common", "s1")]
+    assert got == {1: (md5(variants), md5(["alpha", "aaword", "s0", "common", names[0], "s1", *names[1:]])), 2: (md5([]), md5([]))}
