@@ -234,12 +234,16 @@ def contributions(records: DataFrame, mapping: dict[str, str] | None = None) ->
 
 def requests(records: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """One row per project and request: type, start, end, method, path, status code and status, duration, summary, counts, partial."""
-    m = contributions(records, mapping)
+    return finished(added_up(contributions(records, mapping)))
+
+
+def added_up(m: DataFrame) -> DataFrame:
+    """What the contributions of each request's records add up to; they may come in any order, and in parts."""
     edge, count = F.struct(*EDGE), lambda c: F.count(F.when(F.col(c), 1))
-    return finished(m.groupBy(*KEY).agg(
+    return m.groupBy(*KEY).agg(
         F.min_by(edge, F.when(F.col("is_start"), F.col("ord"))).alias("s"), F.max_by(edge, F.when(F.col("is_terminal"), F.col("ord"))).alias("e"),
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in FIRSTS],
-        count("is_error").alias("error_count"), F.count("*").alias("event_count"), count("is_stage").alias("stage_count"), F.array_sort(F.collect_set("source_id")).alias("source_ids")))
+        count("is_error").alias("error_count"), F.count("*").alias("event_count"), count("is_stage").alias("stage_count"), F.array_sort(F.collect_set("source_id")).alias("source_ids"))
 
 
 def finished(g: DataFrame, *more: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Request summaries as a stream: the state of a request is what its records add up to, so late and repeated looks end where a batch ends.
 
 The state merges: of starts the first and of ends the last by the records' order, of each field the first value that isn't null, counts, times
-and sources. Whenever records of a request come, its summary is told again, so the last one told is that of all records so far. State that
-has had no record for `idle` is let go of.
+and sources. Whenever records of a request come, its summary is told again, so the last one told is that of all records so far. Without `idle`
+the state is that of Spark's own streaming aggregation, with the aggregates of a batch. With it, state that has had no record for `idle` is let
+go of, by a processor in Python: each request then costs a few messages to the JVM whenever records of it come.
 """
 
 from __future__ import annotations
@@ -38,17 +39,14 @@ def later(a, b):
 
 
 class Summary(StatefulProcessor):
-    def __init__(self, idle_ms: int | None):
+    def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("request", STATE, self.idle_ms) if self.idle_ms else handle.getValueState("request", STATE)
+        self.state = handle.getValueState("request", STATE, self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.state.exists():
-            s, e, *firsts, first, last, errors, events, stages, sources, told = self.state.get()
-        else:
-            s, e, firsts, first, last, errors, events, stages, sources, told = None, None, [None] * len(KINDS), None, None, 0, 0, 0, [], 0
+        s, e, *firsts, first, last, errors, events, stages, sources, told = self.state.get() or (None, None, *[None] * len(KINDS), None, None, 0, 0, 0, [], 0)
         known = set(sources)
         for r in rows:
             edge = (r["ord"], r["us"], r["duration_ms"], r["event_type"], r["status"])
@@ -76,12 +74,14 @@ NAMES = ["s", "e", *KINDS, "first_us", "last_us", "error_count", "event_count",
 
 
 def summarised(records: DataFrame, mapping: dict[str, str] | None = None, idle: timedelta | None = None) -> DataFrame:
-    """A stream of parsed records -> a stream of request summaries, as `traces.requests` has them, with told: which telling of its request it is.
-    `latest` keeps the last one. The session's state store must be RocksDB's."""
+    """A stream of parsed records -> a stream of request summaries, as `traces.requests` has them, with told, which grows with each telling of a
+    request. `latest` keeps the last one. With `idle` the session's state store must be RocksDB's; without, it should be."""
+    if idle is None:
+        return tr.finished(tr.added_up(tr.contributions(records, mapping)).withColumn("told", F.col("event_count")), "told")
     rows = tr.contributions(records, mapping).withColumn("ord", order_text(F.col("ord"))).withColumn("project_key", F.coalesce(F.concat(F.lit("="), "project_id"), F.lit(""))).drop("project_id")
     rows = rows.withColumns({"status_code": F.col("status_code").cast("int"), "us": F.unix_micros("timestamp")}).drop("timestamp")
-    ms = int(idle.total_seconds() * 1000) if idle else None
-    out = rows.groupBy("project_key", "request_id").transformWithState(statefulProcessor=Summary(ms), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime" if ms else "None")
+    ms = int(idle.total_seconds() * 1000)
+    out = rows.groupBy("project_key", "request_id").transformWithState(statefulProcessor=Summary(ms), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime")
     flat = out.withColumn("project_id", F.when(F.col("project_key") != "", F.substring("project_key", F.lit(2), F.length("project_key")))).withColumns({c: F.col(f"{c}.value") for c in KINDS})
     edge = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.timestamp_micros(f"{c}.us").alias("timestamp"), *[F.col(f"{c}.{x}").alias(x) for x in tr.EDGE if x != "timestamp"]))
     return tr.finished(flat.withColumns({"s": edge("s"), "e": edge("e"), "first_seen": F.timestamp_micros("first_us"), "last_seen": F.timestamp_micros("last_us")}), "told")

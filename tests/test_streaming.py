@@ -142,6 +142,28 @@ def test_request_summaries_of_a_stream(spark, tmp_path):
     assert sorted(map(tuple, rq.latest(out).select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_request_summaries_without_idle_need_no_python_state(spark, tmp_path):
+    """Spark's own aggregation keeps what is never let go of; a processor in Python that lets go sends two messages for a request."""
+    from datetime import timedelta
+
+    from pyspark.sql import Row
+
+    from quillspark.operators import traces as tr
+    from quillspark.streaming import requests as rq
+
+    stream = tr.parse(spark.readStream.schema("line string, line_number int").parquet(str(tmp_path)), tr.LogSource("p", "s", "UTC"))
+    plan = lambda **o: rq.summarised(stream, **o)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan() and "TransformWithState" in plan(idle=timedelta(hours=1))
+    handle, p = Counted(), rq.Summary(1000)
+    p.init(handle)
+    row = lambda o, us, **k: Row(**{"ord": o, "us": us, "duration_ms": 1.0, "event_type": "end", "status": "ok", "source_id": "s", **dict.fromkeys(rq.KINDS), **dict.fromkeys(("is_start", "is_terminal", "is_error", "is_stage"), False), **k})
+    (first,) = p.handleInputRows(("=p", "r"), iter([row("b", 2, path="/b"), row("c", 3, is_terminal=True)]), None)
+    assert handle.calls == 2 and (first["path"], first["s"], first["told"]) == (("b", "/b"), None, 1)
+    (again,) = p.handleInputRows(("=p", "r"), iter([row("a", 1, path="/a", is_start=True)]), None)
+    assert handle.calls == 4 and (again["path"], again["first_us"], again["last_us"], again["event_count"], again["told"]) == (("a", "/a"), 1, 3, 3, 2)
+    assert again["s"][0] == "a" and again["e"][0] == "c"
+
+
 def test_order_texts_sort_like_orders(spark):
     from quillspark.streaming.requests import order_text
 
