@@ -20,8 +20,12 @@ def tokens(text: Column) -> Column:
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
     one = lambda r: F.when(F.ascii(r) < 128, F.array(F.lower(r))).when(F.length(r) <= 2, F.array(r)).otherwise(F.concat(F.array(r), pairs(r)))
     mixed = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(RUNS), F.lit(0)), one))
-    # without Han script, and without the two letters whose lower case is ASCII, no token needs a look of its own
-    return F.when(t.rlike(rf"[{HAN}\x{{130}}\x{{212a}}]"), mixed).otherwise(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9_]+"), F.lit(0)))
+    return F.when(~ascii_tokens(t), mixed).otherwise(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9_]+"), F.lit(0)))
+
+
+def ascii_tokens(text: Column) -> Column:
+    """Whether all tokens are runs of ASCII: without Han script, and without the two letters whose lower case is ASCII, no token needs a look of its own."""
+    return ~text.rlike(rf"[{HAN}\x{{130}}\x{{212a}}]")
 
 
 def token_estimate(text: Column) -> Column:
