@@ -2,14 +2,23 @@
 
 A member is found by its rarest n-gram (three characters, or all of a shorter member): members and questions meet where a question has that
 n-gram, and only there the member is looked for in the question's text. Nothing is collected, and no expression grows with the groups.
+
+A common word is in very many groups, and most questions hold some: pairs of questions and groups are many more than both, so they are never rows. Questions
+are dealt over the cores, groups stand in front of them in each task as numbers, and what a question meets is put together where it is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.functions.frames import computed, kept, small_side
+from quillspark.functions.frames import bounded_batches, computed, kept, small_side
 from quillspark.functions.text import let, strip
 from quillspark.functions.vocabulary import ALIASES
 
@@ -17,6 +26,13 @@ from .understanding import normal, strings
 
 #: Characters of the n-grams by which members are found.
 GRAM = 3
+#: Distinct variants of a question that count.
+LIMIT = 4
+#: Groups that a task holds at once (some 70 bytes each); more are dealt in slabs, and what a question meets in each is put together.
+SLAB = 4_000_000
+#: Places of members that are remembered from question to question, and subjects that are told at once.
+HELD, TOLD = 1 << 22, 1 << 18
+FOUND = pa.list_(pa.struct([("hit", pa.string()), ("members", pa.list_(pa.string()))]))
 
 
 def groups_table(documents: DataFrame, key: str, aliases: str = "aliases", base: list[list[str]] = ALIASES) -> DataFrame:
@@ -55,16 +71,112 @@ def mentions(questions: DataFrame, key: str, text: str, members: DataFrame) -> D
     return asked.join(meet, key).filter(F.col("_text").contains(F.col("alias"))).select(key, "alias")
 
 
-def matches(questions: DataFrame, key: str, text: str, groups: DataFrame) -> DataFrame:
-    """key, matches: of every question the groups with a member in it, in order: place, hit (the first such member), members. Questions without any
-    aren't there."""
-    each = kept(groups.select("place", "members", F.posexplode("members").alias("pos", "alias")), "members")
-    found = mentions(questions, key, text, each).join(small_side(each.select("alias", "place", "pos", "members")), "alias").repartition(key)  # for both steps
-    first = found.groupBy(key, "place").agg(F.min_by(F.struct(F.col("alias").alias("hit"), "members"), "pos").alias("m"))
-    return first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", F.col("m.hit").alias("hit"), F.col("m.members").alias("members")))).alias("matches"))
-
-
-def variants_from(text: Column, found: Column, limit: int = 4) -> Column:
+class Met:
+    """Groups in their order, as numbers: members are numbered, and of each member it is known in which groups it is."""
+
+    def __init__(self, parts: list[pa.ListArray]):
+        named = pa.chunked_array([p.flatten().dictionary_encode() for p in parts]).unify_dictionaries().chunks if parts else []
+        self.words = named[0].dictionary if named else pa.array([], pa.string())
+        self.ids = np.concatenate([np.empty(0, np.int32), *[c.indices.to_numpy() for c in named]])
+        sizes = np.concatenate([np.empty(0, np.int64), *[pc.list_value_length(p).to_numpy() for p in parts]])
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.argsort(self.ids, kind="stable")
+        self.groups = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at]  # of each member, in order
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(self.ids, minlength=len(self.words)))])
+        self.first, self.near, self.held = np.empty(len(self.words), np.int64), {}, 0
+
+    def of(self, member: int) -> np.ndarray:
+        return self.groups[self.bounds[member] : self.bounds[member + 1]]
+
+    def firsts(self, at: np.ndarray) -> np.ndarray:
+        """Of places (in order) those whose member is at none before."""
+        ids, n = self.ids[at], np.arange(len(at))
+        self.first[ids[::-1]] = n[::-1]
+        return at[self.first[ids] == n]
+
+    def around(self, member: int) -> np.ndarray:
+        """The first place of each member of this member's groups."""
+        if (at := self.near.get(member)) is None:
+            groups = self.of(member)
+            sizes = self.starts[groups + 1] - self.starts[groups]
+            at = np.repeat(self.starts[groups] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            if self.held > HELD:
+                self.near, self.held = {}, 0
+            at = self.near[member] = self.firsts(at).astype(np.int32)
+            self.held += len(at)
+        return at
+
+    def subjects(self, members: np.ndarray) -> np.ndarray:
+        """All members of the groups that have one of these, in order, each once."""
+        return self.ids[self.firsts(np.sort(np.concatenate([self.around(m) for m in members])))] if len(members) else self.ids[:0]
+
+    def hits(self, text: str, members: np.ndarray) -> list[dict]:
+        """What makes the first LIMIT distinct variants of a text: the first member of a group that the text has, and another one in its place. Groups are
+        looked at in order, no more than are needed."""
+        of, own, k = [self.of(m) for m in members], set(members.tolist()), LIMIT
+        while True:
+            whole = all(len(g) <= k for g in of)
+            groups = np.unique(np.concatenate([g[:k] for g in of])) if of else []  # its first k are the first k of all
+            made: dict[str, dict] = {}
+            for g in groups if whole else groups[:k]:
+                group = self.ids[self.starts[g] : self.starts[g + 1]].tolist()
+                first = next(m for m in group if m in own)
+                hit = self.words[first].as_py()
+                for a in (self.words[m].as_py() for m in group if m != first):
+                    made.setdefault(text.replace(hit, a, 1), {"hit": hit, "members": [a]})
+            if whole or len(made) >= LIMIT:
+                return list(made.values())[:LIMIT]
+            k *= 4
+
+    def answers(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The batch's rows with alias_subjects and _found, in parts of bounded size."""
+        aliases = batch.column("_aliases")
+        members = pc.index_in(aliases.flatten(), self.words)  # null: of another slab's groups
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(aliases), 0).to_numpy())])
+        texts, rest = batch.column("_text").to_pylist(), batch.drop_columns(["_text", "_aliases", "_members"])
+        begun, size, subjects, found = 0, 0, [], []
+        for i, text in enumerate(texts):
+            own = members.slice(ends[i], ends[i + 1] - ends[i]).drop_null().to_numpy()
+            subjects.append(self.subjects(own))
+            found.append(self.hits(text, own))
+            size += len(subjects[-1])
+            if size >= TOLD or i == len(texts) - 1:
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in subjects])]), pa.int32())
+                told = pa.ListArray.from_arrays(offsets, self.words.take(pa.array(np.concatenate(subjects))))
+                part = rest.slice(begun, i + 1 - begun)
+                yield pa.RecordBatch.from_arrays([*part.columns, told, pa.array(found, FOUND)], names=[*part.schema.names, "alias_subjects", "_found"])
+                begun, size, subjects, found = i + 1, 0, [], []
+
+
+def met(rows: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """rows (with _text and _aliases: the members in it) with alias_subjects and _found in their place. Rows are dealt over the cores by key, and the groups
+    stand in front of them in each task, in order; only groups and rows are shuffled. With a column slab groups are dealt by it as well, and a row comes
+    back once from each slab, with _slab."""
+    cores, slab = rows.sparkSession.sparkContext.defaultParallelism, F.col("slab") if "slab" in groups.columns else F.lit(0)
+    slabs = groups.agg(F.max(slab)).first()[0] + 1 if "slab" in groups.columns else 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    heads = groups.select(F.col("place").alias("_place"), F.col("members").alias("_members"), slab.alias("_slab"), each(cores).alias("_core"))
+    own = rows.withColumn("_core", F.pmod(F.xxhash64(key), F.lit(cores)).cast("int")).withColumn("_slab", each(slabs))
+    dealt = heads.unionByName(own, allowMissingColumns=True).repartitionById(cores * slabs, F.col("_slab") * cores + F.col("_core")).sortWithinPartitions(F.col("_place").asc_nulls_last())
+    names = [c for c in own.columns if c not in ("_text", "_aliases", "_core")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, index = [], None
+        for b in batches:
+            n = b.num_rows - b.column("_members").null_count
+            if n:
+                parts.append(b.column("_members").slice(0, n))
+            if n < b.num_rows:
+                index = index or Met(parts)
+                yield from index.answers(b.slice(n))
+
+    bounded_batches(rows.sparkSession)
+    strings_type = T.ArrayType(T.StringType())
+    schema = dealt.select(*[F.col(f"`{c}`") for c in names]).schema.add("alias_subjects", strings_type).add("_found", T.ArrayType(T.StructType().add("hit", "string").add("members", strings_type)))
+    return dealt.select(*[F.col(f"`{c}`") for c in names], "_text", "_aliases", "_members").mapInArrow(run, schema)
+
+
+def variants_from(text: Column, found: Column, limit: int = LIMIT) -> Column:
     """The text with a matched member replaced, once, by each other member of its group, group by group; distinct ones, `limit` at most. Those after
     the last that counts are not made."""
     pairs = F.flatten(F.transform(found, lambda m: F.transform(F.filter(m["members"], lambda a: a != m["hit"]), lambda a: F.struct(m["hit"].alias("hit"), a.alias("a")))))
@@ -77,15 +189,18 @@ def variants_from(text: Column, found: Column, limit: int = 4) -> Column:
     return let(normal(text), of)
 
 
-def subjects_of(found: Column) -> Column:
-    """All members of the matched groups, in order, each once."""
-    return F.coalesce(F.array_distinct(F.flatten(F.transform(found, lambda m: m["members"]))), strings([]))
-
-
 def expanded(questions: DataFrame, key: str, text: str, groups: DataFrame) -> DataFrame:
-    """questions with alias_variants and alias_subjects."""
-    m = matches(questions, key, text, groups)
-    out = questions.join(m, key, "left")
-    slim = F.transform("matches", lambda x: F.struct(x["hit"].alias("hit"), x["members"].alias("members")))
-    out = computed(out, {"_found": F.coalesce(slim, F.array().cast("array<struct<hit: string, members: array<string>>>"))})
-    return computed(out, {"alias_variants": variants_from(F.col(text), F.col("_found")), "alias_subjects": subjects_of(F.col("_found"))}).drop("_found", "matches")
+    """questions with alias_variants and alias_subjects (all members of the groups with a member in the text, in order, each once)."""
+    groups = kept(groups, "alias-groups")
+    found = mentions(questions, key, text, groups.select(F.explode("members").alias("alias")))
+    names = [F.col(f"`{c}`") for c in questions.columns]
+    rows = questions.join(found.groupBy(key).agg(F.collect_set("alias").alias("_aliases")), key, "left").select(*names, normal(F.col(text)).alias("_text"), "_aliases")
+    slabs = -(-groups.count() // SLAB)
+    if slabs <= 1:
+        out = met(rows, key, groups)
+    else:
+        rows = kept(rows.withColumn("_row", F.monotonically_increasing_id()), "asked")
+        dealt = kept(groups.repartitionByRange(slabs, "place").withColumn("slab", F.spark_partition_id()), "slabs")
+        parts = met(rows.select("_row", "_text", "_aliases"), "_row", dealt).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_slab", "alias_subjects", "_found"))).alias("_parts"))
+        out = rows.join(parts, "_row").withColumns({"alias_subjects": F.array_distinct(F.flatten("_parts.alias_subjects")), "_found": F.flatten("_parts._found")})
+    return computed(out, {"alias_variants": variants_from(F.col(text), F.col("_found"))}).select(*names, "alias_variants", "alias_subjects")

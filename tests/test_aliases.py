@@ -49,3 +49,32 @@ def test_long_documents_and_common_members(spark, tmp_path):
     t = "the common thing, alpha"
     variants = [t.replace("alpha", "aaword"), t.replace("alpha", "s0"), t.replace("common", names[0]), t.replace("common", "s1")]
     assert got == {1: (md5(variants), md5(["alpha", "aaword", "s0", "common", names[0], "s1", *names[1:]])), 2: (md5([]), md5([]))}
+
+
+def test_questions_times_groups_are_not_shuffled(spark):
+    """Every question holds a word of every group: what is shuffled grows with questions and groups, not with their pairs."""
+    names = ["".join(chr(97 + int(c)) for c in f"{i:05}") for i in range(4000)]
+    df = spark.createDataFrame([(i, ["common", n, f"S{i % 3}"]) for i, n in enumerate(names)], "doc_id long, aliases array<string>")
+    q = spark.createDataFrame([(i, f"some common thing {names[i]} {i}") for i in range(600)], "id long, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    groups = alias_tables.groups_table(df, "doc_id", base=[])
+    out = alias_tables.expanded(q, "id", "text", groups).select("id", F.array_join("alias_variants", "|"), F.size("alias_subjects"), F.md5(F.array_join("alias_subjects", "|"))).collect()
+    assert written() - before < 8_000_000
+    every = list(dict.fromkeys(m for i, n in enumerate(names) for m in ("common", n, f"s{i % 3}")))
+    subjects = (len(every), hashlib.md5("|".join(every).encode()).hexdigest())
+    variants = lambda t: "|".join([t.replace("common", a) for a in every[1:5]])
+    assert sorted(map(tuple, out)) == [(i, variants(f"some common thing {names[i]} {i}"), *subjects) for i in range(600)]
+
+
+def test_groups_in_slabs(spark, monkeypatch):
+    """More groups than one task holds: what a question meets in each slab is put together."""
+    docs = [(i, [f"w{i % 7}a", f"w{i % 5}b", f"w{i % 3}c"]) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, aliases array<string>")
+    q = spark.createDataFrame([(i, i % 2, f"w{i % 7}a and w{i % 3}c" if i % 4 else None) for i in range(30)], "id long, other long, text string")
+    table = alias_tables.groups_table(df, "doc_id")
+    whole = sorted(map(tuple, alias_tables.expanded(q, "id", "text", table).collect()))
+    monkeypatch.setattr(alias_tables, "SLAB", 5)
+    assert sorted(map(tuple, alias_tables.expanded(q, "id", "text", table).collect())) == whole
+    ordered = [r["members"] for r in table.orderBy("place").collect()]
+    assert whole == sorted(map(tuple, q.select("id", "other", "text", understanding.alias_variants(F.col("text"), ordered), understanding.alias_subjects(F.col("text"), ordered)).collect()))
