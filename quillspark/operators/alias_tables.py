@@ -1,10 +1,8 @@
 """Alias groups as tables: thousands of documents may name aliases, and all questions are looked through for all of them at once.
 
-A member is found by its rarest n-gram (three characters, or all of a shorter member): members and questions meet where a question has that
-n-gram, and only there the member is looked for in the question's text. Nothing is collected, and no expression grows with the groups.
-
-A common word is in very many groups, and most questions hold some: pairs of questions and groups are many more than both, so they are never rows. Questions
-are dealt over the cores, groups stand in front of them in each task as numbers, and what a question meets is put together where it is.
+A common word is in very many groups, and most questions hold some: pairs of questions and groups, or of questions and n-grams, are many more than both,
+so they are never rows. Questions are dealt over the cores, groups stand in front of them in each task as numbers, and what a question holds and meets is
+found where it is. Nothing is collected, and no expression grows with the groups.
 """
 
 from __future__ import annotations
@@ -32,6 +30,10 @@ LIMIT = 4
 SLAB = 4_000_000
 #: Places of members that are remembered from question to question, and subjects that are told at once.
 HELD, TOLD = 1 << 22, 1 << 18
+#: Bytes from which a word is looked for by a part of it, bytes of text that are looked through at once, bits of the table that says which words may be there.
+SHORT, PIECE, BITS = 16, 1 << 18, 22
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BACK, MIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), np.uint64(0xD6E8FEB86659FD93)
 FOUND = pa.list_(pa.struct([("hit", pa.string()), ("members", pa.list_(pa.string()))]))
 
 
@@ -63,12 +65,66 @@ def rarest_grams(texts: DataFrame, key: str, text: str, members: DataFrame) -> t
     return there, rarest
 
 
-def mentions(questions: DataFrame, key: str, text: str, members: DataFrame) -> DataFrame:
-    """key, alias: the members (alias) that occur in each question's normal text."""
-    asked = kept(questions.select(key, normal(F.col(text)).alias("_text")), "questions")
-    there, rarest = rarest_grams(asked, key, "_text", members)
-    meet = there.join(small_side(rarest), "gram").select(key, "alias")
-    return asked.join(meet, key).filter(F.col("_text").contains(F.col("alias"))).select(key, "alias")
+def windows(data: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n bytes, the same for the same bytes."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * np.cumprod(np.full(len(data), BASE), dtype=np.uint64), dtype=np.uint64)])
+    return (sums[n:] - sums[:-n]) * np.cumprod(np.full(len(data) - n + 1, BACK), dtype=np.uint64) * MIX
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of texts, from 0."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return offsets - offsets[0], np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+class Words:
+    """Words that are looked for in many texts at once: by a number for their first bytes (all of a word below SHORT bytes, else the largest power of two
+    of them), then by the bytes themselves."""
+
+    def __init__(self, words: pa.Array):
+        self.offsets, self.data = bytes_of(words)
+        sizes = np.diff(self.offsets)
+        heads = np.where(sizes < SHORT, sizes, 1 << np.maximum(0, np.frexp(sizes.astype(np.float64))[1] - 1))
+        self.seen, self.by = np.zeros(1 << BITS, bool), {}
+        for n in np.unique(heads).tolist():
+            own = np.flatnonzero(heads == n)
+            codes = np.concatenate([windows(self.data[at : at + n], n) for at in self.offsets[own]]) if n >= SHORT else self.codes(own, n)
+            order = np.argsort(codes, kind="stable")
+            self.by[n] = codes[order], own[order]
+            self.seen[codes >> np.uint64(64 - BITS)] = True
+
+    def codes(self, own: np.ndarray, n: int) -> np.ndarray:
+        powers = np.cumprod(np.full(n, BASE), dtype=np.uint64)
+        return (self.data[self.offsets[own][:, None] + np.arange(n)] * powers).sum(axis=1, dtype=np.uint64) * BACK * MIX
+
+    def inside(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, word), by text and word: each word that a text has, once."""
+        offsets, data = bytes_of(texts)
+        pairs = [np.empty(0, np.int64)]
+        for begin in range(0, len(data), PIECE):
+            for n, (codes, own) in self.by.items():
+                piece = data[begin : begin + PIECE + n - 1]
+                if len(piece) < n:
+                    continue
+                at = windows(piece, n)
+                spots = np.flatnonzero(self.seen[at >> np.uint64(64 - BITS)])
+                first = np.searchsorted(codes, at[spots])
+                many = np.searchsorted(codes, at[spots], side="right") - first
+                spots = np.repeat(spots + begin, many)
+                word = own[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                text = np.searchsorted(offsets, spots, side="right") - 1
+                fits = spots + self.offsets[word + 1] - self.offsets[word] <= offsets[text + 1]
+                spots, word, text = spots[fits], word[fits], text[fits]
+                if n < SHORT:
+                    same = np.ones(len(spots), bool)
+                    for i in range(n):
+                        same &= data[spots + i] == self.data[self.offsets[word] + i]
+                else:
+                    same = np.array([np.array_equal(data[x : x + e - b], self.data[b:e]) for x, b, e in zip(spots, self.offsets[word], self.offsets[word + 1], strict=True)], bool)
+                pairs.append(text[same] * (len(self.offsets) - 1) + word[same])
+        return np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.offsets) - 1))
 
 
 class Met:
@@ -77,6 +133,7 @@ class Met:
     def __init__(self, parts: list[pa.ListArray]):
         named = pa.chunked_array([p.flatten().dictionary_encode() for p in parts]).unify_dictionaries().chunks if parts else []
         self.words = named[0].dictionary if named else pa.array([], pa.string())
+        self.looked = Words(self.words)
         self.ids = np.concatenate([np.empty(0, np.int32), *[c.indices.to_numpy() for c in named]])
         sizes = np.concatenate([np.empty(0, np.int64), *[pc.list_value_length(p).to_numpy() for p in parts]])
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -130,13 +187,12 @@ class Met:
 
     def answers(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """The batch's rows with alias_subjects and _found, in parts of bounded size."""
-        aliases = batch.column("_aliases")
-        members = pc.index_in(aliases.flatten(), self.words)  # null: of another slab's groups
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(aliases), 0).to_numpy())])
-        texts, rest = batch.column("_text").to_pylist(), batch.drop_columns(["_text", "_aliases", "_members"])
+        at, members = self.looked.inside(batch.column("_text"))
+        ends = np.searchsorted(at, np.arange(batch.num_rows + 1))
+        texts, rest = batch.column("_text").to_pylist(), batch.drop_columns(["_text", "_members"])
         begun, size, subjects, found = 0, 0, [], []
         for i, text in enumerate(texts):
-            own = members.slice(ends[i], ends[i + 1] - ends[i]).drop_null().to_numpy()
+            own = members[ends[i] : ends[i + 1]]
             subjects.append(self.subjects(own))
             found.append(self.hits(text, own))
             size += len(subjects[-1])
@@ -149,7 +205,7 @@ class Met:
 
 
 def met(rows: DataFrame, key: str, groups: DataFrame) -> DataFrame:
-    """rows (with _text and _aliases: the members in it) with alias_subjects and _found in their place. Rows are dealt over the cores by key, and the groups
+    """rows (with _text) with alias_subjects and _found in its place. Rows are dealt over the cores by key, and the groups
     stand in front of them in each task, in order; only groups and rows are shuffled. With a column slab groups are dealt by it as well, and a row comes
     back once from each slab, with _slab."""
     cores, slab = rows.sparkSession.sparkContext.defaultParallelism, F.col("slab") if "slab" in groups.columns else F.lit(0)
@@ -158,7 +214,7 @@ def met(rows: DataFrame, key: str, groups: DataFrame) -> DataFrame:
     heads = groups.select(F.col("place").alias("_place"), F.col("members").alias("_members"), slab.alias("_slab"), each(cores).alias("_core"))
     own = rows.withColumn("_core", F.pmod(F.xxhash64(key), F.lit(cores)).cast("int")).withColumn("_slab", each(slabs))
     dealt = heads.unionByName(own, allowMissingColumns=True).repartitionById(cores * slabs, F.col("_slab") * cores + F.col("_core")).sortWithinPartitions(F.col("_place").asc_nulls_last())
-    names = [c for c in own.columns if c not in ("_text", "_aliases", "_core")]
+    names = [c for c in own.columns if c not in ("_text", "_core")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, index = [], None
@@ -173,7 +229,7 @@ def met(rows: DataFrame, key: str, groups: DataFrame) -> DataFrame:
     bounded_batches(rows.sparkSession)
     strings_type = T.ArrayType(T.StringType())
     schema = dealt.select(*[F.col(f"`{c}`") for c in names]).schema.add("alias_subjects", strings_type).add("_found", T.ArrayType(T.StructType().add("hit", "string").add("members", strings_type)))
-    return dealt.select(*[F.col(f"`{c}`") for c in names], "_text", "_aliases", "_members").mapInArrow(run, schema)
+    return dealt.select(*[F.col(f"`{c}`") for c in names], "_text", "_members").mapInArrow(run, schema)
 
 
 def variants_from(text: Column, found: Column, limit: int = LIMIT) -> Column:
@@ -192,15 +248,14 @@ def variants_from(text: Column, found: Column, limit: int = LIMIT) -> Column:
 def expanded(questions: DataFrame, key: str, text: str, groups: DataFrame) -> DataFrame:
     """questions with alias_variants and alias_subjects (all members of the groups with a member in the text, in order, each once)."""
     groups = kept(groups, "alias-groups")
-    found = mentions(questions, key, text, groups.select(F.explode("members").alias("alias")))
     names = [F.col(f"`{c}`") for c in questions.columns]
-    rows = questions.join(found.groupBy(key).agg(F.collect_set("alias").alias("_aliases")), key, "left").select(*names, normal(F.col(text)).alias("_text"), "_aliases")
+    rows = questions.withColumn("_text", normal(F.col(text)))
     slabs = -(-groups.count() // SLAB)
     if slabs <= 1:
         out = met(rows, key, groups)
     else:
         rows = kept(rows.withColumn("_row", F.monotonically_increasing_id()), "asked")
         dealt = kept(groups.repartitionByRange(slabs, "place").withColumn("slab", F.spark_partition_id()), "slabs")
-        parts = met(rows.select("_row", "_text", "_aliases"), "_row", dealt).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_slab", "alias_subjects", "_found"))).alias("_parts"))
+        parts = met(rows.select("_row", "_text"), "_row", dealt).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_slab", "alias_subjects", "_found"))).alias("_parts"))
         out = rows.join(parts, "_row").withColumns({"alias_subjects": F.array_distinct(F.flatten("_parts.alias_subjects")), "_found": F.flatten("_parts._found")})
     return computed(out, {"alias_variants": variants_from(F.col(text), F.col("_found"))}).select(*names, "alias_variants", "alias_subjects")

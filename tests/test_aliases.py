@@ -1,8 +1,10 @@
 """Alias groups as tables against the expressions over fixed groups."""
 
 import hashlib
+import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.operators import alias_tables, understanding
@@ -78,3 +80,16 @@ def test_groups_in_slabs(spark, monkeypatch):
     assert sorted(map(tuple, alias_tables.expanded(q, "id", "text", table).collect())) == whole
     ordered = [r["members"] for r in table.orderBy("place").collect()]
     assert whole == sorted(map(tuple, q.select("id", "other", "text", understanding.alias_variants(F.col("text"), ordered), understanding.alias_subjects(F.col("text"), ordered)).collect()))
+
+
+def test_words_inside_texts(monkeypatch):
+    """Against the language's own search: words of all lengths that share their beginnings, texts that are cut in pieces and don't run into each other."""
+    rng = random.Random(3)
+    for _ in range(200):
+        some = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+        letters = rng.choice(["ab", "ab\xe9中", "abcdefgh "])
+        words = list(dict.fromkeys(w for w in (some(rng.choice([3, 8, 40, 70])) for _ in range(rng.randint(0, 30))) if w))
+        texts = [some(rng.choice([0, 5, 200])) + rng.choice([*words, ""]) + some(9) for _ in range(rng.randint(0, 12))]
+        monkeypatch.setattr(alias_tables, "PIECE", rng.choice([7, 64, 1 << 18]))
+        text, word = alias_tables.Words(pa.array(words, pa.string())).inside(pa.array(["before", *texts], pa.string()).slice(1))
+        assert list(zip(text.tolist(), word.tolist(), strict=True)) == [(i, j) for i, t in enumerate(texts) for j, w in enumerate(words) if w in t]
