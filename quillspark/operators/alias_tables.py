@@ -26,7 +26,7 @@ from .understanding import normal, strings
 GRAM = 3
 #: Distinct variants of a question that count.
 LIMIT = 4
-#: Groups that a task holds at once (some 70 bytes each); more are dealt in slabs, and what a question meets in each is put together.
+#: Groups that a task holds at once; more are dealt in slabs, and what a question meets in each is put together.
 SLAB = 4_000_000
 #: Places of members that are remembered from question to question, and subjects that are told at once.
 HELD, TOLD = 1 << 22, 1 << 18
